@@ -1,7 +1,7 @@
 """Prompt operators: cleaned titles (B6), item prompts (B7), user prompts (B8, J1, A4, W3),
 chat messages (B9).
 
-User prompts keep the likes in file order (``seq``).  The per-user string is built in two levels so a
+User prompts keep the likes in file order (``seq``, then ``item_id`` when a line repeats).  The per-user string is built in two levels so a
 user holding a third of all likes never sorts them in one task: level 1 joins the likes of one
 ``seq`` range (bounded width) per user, level 2 joins those ordered pieces.
 """
@@ -50,9 +50,9 @@ def user_prompts(ratings: DataFrame, names: DataFrame, domain: str = "book") ->
     label = clean_title(F.col("name"), variant)
     likes = (ratings.filter(F.col("rating") == 1).select("user_id", "item_id", "seq")
              .join(names1, "item_id")
-             .select("user_id", "seq", label.alias("label")))
+             .select("user_id", "seq", "item_id", label.alias("label")))
     lvl1 = likes.groupBy("user_id", F.floor(F.col("seq") / SEQ_CHUNK).alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "label"))).alias("xs"))
+        F.array_sort(F.collect_list(F.struct("seq", "item_id", "label"))).alias("xs"))
     lvl1 = lvl1.select("user_id", "chunk", F.array_join(F.transform("xs", lambda x: x["label"]), "; ").alias("piece"))
     lvl2 = lvl1.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "piece"))).alias("ps"))
     joined = lvl2.select("user_id", F.array_join(F.transform("ps", lambda x: x["piece"]), "; ").alias("liked"))

@@ -154,3 +154,162 @@ def q_leaderboard(spark, d):
     earlier = M.wide_board(M.system_metrics(preds.filter(F.col("model") == "pop"), tr, te))
     board = M.leaderboard(preds, tr, te, existing=earlier)
     return board.select("model", *[r6(F.col(c)).alias(c) for c in board.columns if c != "model"])
+
+
+# ---- sources and scalar operators ---------------------------------------------------------------
+
+from kgrec.functions.keymaps import BOOK_ITEM_KEYS, BOOK_USER_KEYS  # noqa: E402
+from kgrec.functions.text import clean_title, entity_from_path  # noqa: E402
+from kgrec.operators import graph as G  # noqa: E402
+from kgrec.operators import prompts as P  # noqa: E402
+from kgrec.operators import triples as TR  # noqa: E402
+from kgrec.sources import files as FS  # noqa: E402
+
+
+@query("scan_ratings", with_views("SELECT user_id, item_id, CAST(rating AS INTEGER) AS rating FROM train", "train"))
+def q_scan_ratings(spark, d):
+    """Headerless TSV sink then scan with a fixed schema."""
+    path = FS.scratch_path(spark, "ratings")
+    FS.write_tsv(V.train(spark, d).select("user_id", "item_id", "rating"), path)
+    return FS.read_ratings(spark, path)
+
+
+@query("positive_filter", with_views("SELECT user_id, item_id, seq FROM train WHERE rating = 1", "train"))
+def q_positive_filter(spark, d):
+    return V.train(spark, d).filter(F.col("rating") == 1).select("user_id", "item_id", "seq")
+
+
+@query("implicit_ratings", with_views("""
+SELECT 'user' || CAST(user_id AS VARCHAR) AS "user", CAST(item_id AS VARCHAR) AS item, 1 AS rating
+FROM interactions""", "interactions"))
+def q_implicit_ratings(spark, d):
+    """Implicit feedback: every interaction is a 1, ids as strings, users prefixed."""
+    i = T.interactions(spark, d)
+    return i.select(T.user_entity(F.col("user_id")).alias("user"), F.col("item_id").cast("string").alias("item"),
+                    F.lit(1).alias("rating"))
+
+
+@query("nonzero_preds", with_views("SELECT model, user_id, item_id, score FROM predictions WHERE score <> 0",
+                                   "predictions"))
+def q_nonzero_preds(spark, d):
+    return V.predictions(spark, d).filter(F.col("score") != 0)
+
+
+def _clean_sql(x: str) -> dict[str, str]:
+    strip = lambda s: f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
+    brk = lambda s: f"regexp_replace({s}, '[\\(\\[].*?[\\)\\]]', '', 'g')"
+    head = f"split_part({x}, ';', 1)"
+    last = f"string_split({x}, '/')[-1]"
+    return {
+        "book_item": strip(brk(head)),
+        "book_user": strip(brk(f"replace({head}, '_', ' ')")),
+        "movie_item": strip(brk(f"replace({last}, '_', ' ')")),
+        "movie_user": strip(brk(f"replace({x}, '_', ' ')")),
+    }
+
+
+_CLEAN = _clean_sql("name")
+
+
+@query("clean_titles", with_views(
+    "SELECT item_id, " + ", ".join(f"{v} AS {k}" for k, v in _CLEAN.items()) + " FROM items", "items"))
+def q_clean_titles(spark, d):
+    return P.clean_titles(T.items(spark, d))
+
+
+@query("item_prompts", with_views(f"""
+SELECT 'book' AS domain, item_id, 'The book you have to infer information is: ' || {_CLEAN['book_item']} || '.' AS prompt
+FROM items
+UNION ALL
+SELECT 'movie', item_id, 'The movie you have to infer information is: ' || {_CLEAN['movie_item']} || '.' FROM items""",
+                                  "items"))
+def q_item_prompts(spark, d):
+    it = T.items(spark, d)
+    return (P.item_prompts(it, "book").select(F.lit("book").alias("domain"), "item_id", "prompt")
+            .unionByName(P.item_prompts(it, "movie").select(F.lit("movie").alias("domain"), "item_id", "prompt")))
+
+
+def _user_prompt_sql(domain: str, variant: str, prefix: str) -> str:
+    return f"""
+SELECT '{domain}' AS domain, u.user_id,
+       left(b, length(b) - 2) || '.' AS prompt
+FROM (SELECT u.user_id, CASE WHEN l.liked IS NULL THEN '{prefix}' ELSE '{prefix}' || l.liked || '; ' END AS b
+      FROM (SELECT DISTINCT user_id FROM train) u
+      LEFT JOIN (SELECT t.user_id, string_agg({_CLEAN[variant]}, '; ' ORDER BY t.seq, t.item_id) AS liked
+                 FROM train t JOIN items i USING (item_id) WHERE t.rating = 1 GROUP BY t.user_id) l
+      USING (user_id)) u"""
+
+
+@query("user_prompts", with_views(
+    _user_prompt_sql("book", "book_user", "My favourite books are: ") + "\nUNION ALL\n"
+    + _user_prompt_sql("movie", "movie_user", "My favourite movies are: "), "train", "items"))
+def q_user_prompts(spark, d):
+    tr, it = V.train(spark, d), T.items(spark, d)
+    return (P.user_prompts(tr, it, "book").select(F.lit("book").alias("domain"), "user_id", "prompt")
+            .unionByName(P.user_prompts(tr, it, "movie").select(F.lit("movie").alias("domain"), "user_id", "prompt")))
+
+
+@query("chat_messages", with_views(f"""
+SELECT item_id, 0 AS pos, 'user' AS role,
+       'The book you have to infer information is: ' || {_CLEAN['book_item']} || '.' AS content FROM items
+UNION ALL
+SELECT item_id, 1, 'system', '{P.DEFAULT_SYSTEM_PROMPT.replace("'", "''")}' FROM items""", "items"))
+def q_chat_messages(spark, d):
+    m = P.chat_messages(P.item_prompts(T.items(spark, d), "book"), "item_id")
+    x = m.select("item_id", F.posexplode("messages").alias("pos", "msg"))
+    return x.select("item_id", "pos", F.col("msg.role").alias("role"), F.col("msg.content").alias("content"))
+
+
+@query("parse_properties", with_views("""
+SELECT entity_id, feature, CAST(pos - 1 AS INTEGER) AS value_pos, value FROM (
+  SELECT entity_id, feature, unnest(vals) AS value, generate_subscripts(vals, 1) AS pos FROM item_props)""",
+                                      "item_props"))
+def q_parse_properties(spark, d):
+    props = TR.parse_properties(T.item_completions(spark, d))
+    return props.select("entity_id", "feature", F.posexplode("values").alias("value_pos", "value"))
+
+
+@query("normalize_features", with_views("SELECT entity_id, key, feature, value_pos, value FROM item_norm",
+                                        "item_norm"))
+def q_normalize_features(spark, d):
+    props = TR.parse_properties(T.item_completions(spark, d))
+    return TR.normalize_features(props, TR.key_map_frame(spark, BOOK_ITEM_KEYS))
+
+
+@query("build_triples", with_views("""
+SELECT 'item' AS side, head, relation, tail FROM llm_item_graph
+UNION ALL SELECT 'user', head, relation, tail FROM llm_user_graph""", "llm_item_graph", "llm_user_graph"))
+def q_build_triples(spark, d):
+    return (V.llm_item_graph(spark, d).select(F.lit("item").alias("side"), "head", "relation", "tail")
+            .unionByName(V.llm_user_graph(spark, d).select(F.lit("user").alias("side"), "head", "relation", "tail")))
+
+
+@query("entity_names", with_views("SELECT item_id, uri AS entity FROM item_uris", "item_uris"))
+def q_entity_names(spark, d):
+    return T.items(spark, d).select("item_id", T.item_entity(F.col("name")).alias("entity"))
+
+
+@query("entity_from_path", """
+SELECT path, CASE WHEN starts_with(fname, 'item') THEN regexp_extract(fname, '^item(\\d+)\\.json$', 1)
+                  ELSE regexp_extract(fname, '^(user\\d+)(_[^.]*)?\\.json$', 1) END AS entity
+FROM (SELECT path, string_split(path, '/')[-1] AS fname FROM (
+  SELECT 'out/items/item' || CAST(p_partkey AS VARCHAR) || '.json' AS path FROM part
+  UNION ALL SELECT 'out/users/user' || CAST(c_custkey AS VARCHAR) || '_sysprompt1.json' FROM customer
+  UNION ALL SELECT 'out/users/user' || CAST(c_custkey AS VARCHAR) || '.json' FROM customer))""")
+def q_entity_from_path(spark, d):
+    part = T.table(spark, d, "part").select(
+        F.concat(F.lit("out/items/item"), F.col("p_partkey").cast("string"), F.lit(".json")).alias("path"))
+    cust = T.table(spark, d, "customer")
+    u1 = cust.select(F.concat(F.lit("out/users/user"), F.col("c_custkey").cast("string"),
+                              F.lit("_sysprompt1.json")).alias("path"))
+    u2 = cust.select(F.concat(F.lit("out/users/user"), F.col("c_custkey").cast("string"), F.lit(".json")).alias("path"))
+    paths = part.unionByName(u1).unionByName(u2)
+    return paths.select("path", entity_from_path(F.col("path")).alias("entity"))
+
+
+@query("json_props", """
+SELECT event_id, k AS key, json_extract_string(props, '$."' || k || '"') AS value
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""")
+def q_json_props(spark, d):
+    ev = T.table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    return ev.select("event_id", F.explode("m").alias("key", "value"))

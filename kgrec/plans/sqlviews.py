@@ -124,3 +124,77 @@ SELECT m.model, m.k, m.precision, m.recall, m.f1, m.ndcg, g.gini, m.epc, m.aplt
 FROM (SELECT model, k, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1, avg(ndcg) AS ndcg,
              avg(epc) AS epc, avg(aplt) AS aplt FROM user_metric_vals GROUP BY model, k) m
 JOIN gini_vals g USING (model, k)""")
+
+# ---- completion parsing and triples ------------------------------------------------------------
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _strip(x: str) -> str:
+    return _STRIP.format(x=x)
+
+
+def _parsed_sql(src: str) -> str:
+    line = "line"
+    parts = f"string_split({_strip(line)}, ': ')"
+    feature = f"lower(string_split({_strip(f'replace({line}, {chr(39)}Favourite {chr(39)}, {chr(39)}{chr(39)})')}, ': ')[1])"
+    values = f"string_split(lower({parts}[2]), ', ')"
+    return f"""
+SELECT entity_id, feature, arg_max(vals, pos) AS vals FROM (
+  SELECT entity_id, pos, {feature} AS feature, {values} AS vals
+  FROM (SELECT entity_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
+        FROM (SELECT entity_id, string_split(replace(replace(plain, '<', ''), '>', ''), '.') AS ls FROM {src}))
+  WHERE len({parts}) >= 2)
+GROUP BY entity_id, feature"""
+
+
+def _keymap_sql(m: dict[str, str]) -> str:
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in sorted(m.items()))
+    return f"SELECT * FROM (VALUES {rows}) t(feature, key)"
+
+
+from kgrec.functions.keymaps import BOOK_ITEM_KEYS, BOOK_USER_KEYS  # noqa: E402
+
+_view("item_props", ("item_completions",), _parsed_sql("item_completions"))
+_view("user_props", ("user_completions",), _parsed_sql("user_completions"))
+_view("item_keymap", (), _keymap_sql(BOOK_ITEM_KEYS))
+_view("user_keymap", (), _keymap_sql(BOOK_USER_KEYS))
+_view("item_norm", ("item_props", "item_keymap"), """
+SELECT entity_id, key, feature, CAST(pos - 1 AS INTEGER) AS value_pos, value FROM (
+  SELECT p.entity_id, m.key, p.feature, unnest(p.vals) AS value, generate_subscripts(p.vals, 1) AS pos
+  FROM item_props p JOIN item_keymap m USING (feature))""")
+_view("user_norm", ("user_props", "user_keymap"), """
+SELECT entity_id, key, feature, CAST(pos - 1 AS INTEGER) AS value_pos, value FROM (
+  SELECT p.entity_id, m.key, p.feature, unnest(p.vals) AS value, generate_subscripts(p.vals, 1) AS pos
+  FROM user_props p JOIN user_keymap m USING (feature))""")
+_view("llm_item_graph", ("item_norm", "item_uris"), """
+SELECT DISTINCT u.uri AS head, 'llama_generated/' || n.key AS relation,
+       'llama_generated/' || replace(n.value, ' ', '_') AS tail
+FROM item_norm n JOIN item_uris u ON u.item_id = n.entity_id""")
+_view("llm_user_graph", ("user_norm",), f"""
+SELECT DISTINCT 'user' || CAST(entity_id AS VARCHAR) AS head, 'llama_generated/' || key AS relation,
+       'llama_generated/' || replace(value, ' ', '_') AS tail
+FROM user_norm WHERE {_strip('value')} <> ''""")
+_view("cf_graph", ("train", "item_uris"), """
+SELECT 'user' || CAST(t.user_id AS VARCHAR) AS head,
+       CASE WHEN t.rating >= 1 THEN 'like' ELSE 'dislike' END AS relation, u.uri AS tail
+FROM train t JOIN item_uris u USING (item_id)""")
+_view("catalog_graph", ("item_uris",), """
+SELECT u.uri AS head, 'brand' AS relation, 'brand/' || p.p_brand AS tail FROM part p JOIN item_uris u ON u.item_id = p.p_partkey
+UNION ALL SELECT u.uri, 'type', 'type/' || p.p_type FROM part p JOIN item_uris u ON u.item_id = p.p_partkey
+UNION ALL SELECT 'user' || CAST(c_custkey AS VARCHAR), 'nation', 'nation/' || CAST(c_nationkey AS VARCHAR) FROM customer
+UNION ALL SELECT 'user' || CAST(c_custkey AS VARCHAR), 'segment', 'segment/' || c_mktsegment FROM customer
+UNION ALL SELECT 'nation/' || CAST(n_nationkey AS VARCHAR), 'region', 'region/' || CAST(n_regionkey AS VARCHAR) FROM nation""")
+_view("kg_tagged", ("cf_graph", "catalog_graph", "llm_user_graph", "llm_item_graph"), """
+SELECT head, relation, tail, bit_or(bit) AS mask FROM (
+  SELECT head, relation, tail, 1 AS bit FROM cf_graph
+  UNION ALL SELECT head, relation, tail, 2 FROM catalog_graph
+  UNION ALL SELECT head, relation, tail, 4 FROM llm_user_graph
+  UNION ALL SELECT head, relation, tail, 8 FROM llm_item_graph)
+GROUP BY head, relation, tail""")
+_view("full_kg", ("kg_tagged",), "SELECT head, relation, tail FROM kg_tagged")
+_view("kg_entities", ("full_kg",), """
+SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS id
+FROM (SELECT head AS name FROM full_kg UNION SELECT tail FROM full_kg)""")
+_view("kg_relations", ("full_kg",), """
+SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS id
+FROM (SELECT DISTINCT relation AS name FROM full_kg)""")

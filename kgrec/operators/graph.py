@@ -87,9 +87,10 @@ def restrict_to_vocab(test: DataFrame, train: DataFrame) -> DataFrame:
     """Test triples whose head, tail and relation all occur in the train graph."""
     ents = train.select(F.col("head").alias("e")).unionByName(train.select(F.col("tail").alias("e"))).distinct()
     rels = train.select("relation").distinct()
-    return (test.join(ents, test.head == ents.e, "left_semi")
-            .join(ents.withColumnRenamed("e", "e2"), F.col("tail") == F.col("e2"), "left_semi")
-            .join(rels, "relation", "left_semi"))
+    return (test.join(ents.withColumnRenamed("e", "head"), "head", "left_semi")
+            .join(ents.withColumnRenamed("e", "tail"), "tail", "left_semi")
+            .join(rels, "relation", "left_semi")
+            .select("head", "relation", "tail"))
 
 
 def leak_pairs(kg_pairs: DataFrame, held_out: DataFrame) -> DataFrame:

@@ -313,3 +313,140 @@ FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""")
 def q_json_props(spark, d):
     ev = T.table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
     return ev.select("event_id", F.explode("m").alias("key", "value"))
+
+
+# ---- knowledge graph ----------------------------------------------------------------------------
+
+def _settings_sql() -> str:
+    rows = ", ".join(f"('{n}', {m})" for n, m in G.all_settings())
+    return with_views(f"""
+SELECT s.setting, t.head, t.relation, t.tail
+FROM kg_tagged t JOIN (VALUES {rows}) s(setting, smask) ON (t.mask & s.smask) <> 0""", "kg_tagged")
+
+
+@query("kg_settings", _settings_sql())
+def q_kg_settings(spark, d):
+    return G.kg_settings(V.kg_sources(spark, d))
+
+
+@query("kg_vocab", with_views("""
+SELECT 'entity' AS kind, name, id FROM kg_entities UNION ALL SELECT 'relation', name, id FROM kg_relations""",
+                              "kg_entities", "kg_relations"))
+def q_kg_vocab(spark, d):
+    return G.kg_vocab(V.full_kg(spark, d))
+
+
+@query("inverse_triples", with_views("""
+SELECT head, relation, tail FROM full_kg
+UNION ALL SELECT tail, relation || '_inverse', head FROM full_kg""", "full_kg"))
+def q_inverse_triples(spark, d):
+    return G.inverse_triples(V.full_kg(spark, d))
+
+
+@query("kg_triples", with_views("""
+SELECT k.head, k.relation, k.tail, r.id AS rel_id FROM full_kg k JOIN kg_relations r ON r.name = k.relation""",
+                                "full_kg", "kg_relations"))
+def q_kg_triples(spark, d):
+    """Triple TSV sink + scan (K2/S7), relation ids joined from the relation vocabulary."""
+    path = FS.scratch_path(spark, "triples")
+    FS.write_tsv(V.full_kg(spark, d), path)
+    kg = FS.read_triples(spark, path)
+    rels = G.kg_vocab(kg).filter(F.col("kind") == "relation").select(F.col("name").alias("relation"),
+                                                                    F.col("id").alias("rel_id"))
+    # the relation vocabulary has one row per relation name: small, but still size-checked by AQE
+    return kg.join(rels, "relation").select("head", "relation", "tail", "rel_id")
+
+
+@query("kg_test_filter", with_views("""
+WITH tt AS (SELECT 'user' || CAST(t.user_id AS VARCHAR) AS head,
+                   CASE WHEN t.rating >= 1 THEN 'like' ELSE 'dislike' END AS relation, u.uri AS tail
+            FROM test t JOIN item_uris u USING (item_id)),
+     ents AS (SELECT head AS e FROM full_kg UNION SELECT tail FROM full_kg)
+SELECT head, relation, tail FROM tt
+WHERE head IN (SELECT e FROM ents) AND tail IN (SELECT e FROM ents)
+  AND relation IN (SELECT relation FROM full_kg)""", "test", "item_uris", "full_kg"))
+def q_kg_test_filter(spark, d):
+    te = V.test(spark, d).join(V.item_uris(spark, d), "item_id")
+    test_kg = G.cf_triples(te, T.user_entity(F.col("user_id")), F.col("uri"))
+    return G.restrict_to_vocab(test_kg, V.full_kg(spark, d))
+
+
+@query("split_leak_check", with_views("""
+SELECT CAST(count(*) AS BIGINT) AS n_leaked FROM (
+  SELECT t.user_id, u.item_id FROM cf_graph c
+  JOIN item_uris u ON u.uri = c.tail
+  JOIN (SELECT DISTINCT 'user' || CAST(user_id AS VARCHAR) AS head, user_id FROM test) t ON t.head = c.head
+  INTERSECT SELECT user_id, item_id FROM test)""", "cf_graph", "item_uris", "test"))
+def q_split_leak_check(spark, d):
+    cf = V.cf_graph(spark, d).join(V.item_uris(spark, d).withColumnRenamed("uri", "tail"), "tail")
+    cf = cf.select(F.regexp_extract("head", r"^user(\d+)$", 1).cast("bigint").alias("user_id"), "item_id")
+    return G.leak_pairs(cf, V.test(spark, d)).agg(F.count(F.lit(1)).alias("n_leaked"))
+
+
+@query("negative_samples", with_views("""
+WITH t AS (SELECT k.head, k.relation, k.tail, h.id AS h, r.id AS r, e.id AS t
+           FROM full_kg k JOIN kg_entities h ON h.name = k.head JOIN kg_relations r ON r.name = k.relation
+           JOIN kg_entities e ON e.name = k.tail),
+     n AS (SELECT t.head, t.relation, t.tail,
+                  ((31 * t.h + 17 * t.r + 13 * t.t + 0) % (SELECT count(*) FROM kg_entities)) AS neg_id FROM t)
+SELECT n.head, n.relation, n.tail, e.name AS neg_tail FROM n JOIN kg_entities e ON e.id = n.neg_id
+WHERE NOT EXISTS (SELECT 1 FROM full_kg k WHERE k.head = n.head AND k.relation = n.relation AND k.tail = e.name)""",
+                                      "full_kg", "kg_entities", "kg_relations"))
+def q_negative_samples(spark, d):
+    kg = V.full_kg(spark, d)
+    return G.negative_samples(kg, G.kg_vocab(kg), epoch=0)
+
+
+@query("entity_universe", with_views("""
+SELECT DISTINCT entity FROM (SELECT uri AS entity FROM item_uris
+                             UNION ALL SELECT 'user' || CAST(user_id AS VARCHAR) FROM interactions)""",
+                                     "item_uris", "interactions"))
+def q_entity_universe(spark, d):
+    """Item names plus users."""
+    return (V.item_uris(spark, d).select(F.col("uri").alias("entity"))
+            .union(T.interactions(spark, d).select(T.user_entity(F.col("user_id")).alias("entity")))
+            .distinct())
+
+
+@query("all_interactions", with_views("""
+SELECT user_id, item_id, rating, 'train' AS fold FROM train UNION ALL
+SELECT user_id, item_id, rating, 'test' FROM test""", "train", "test"))
+def q_all_interactions(spark, d):
+    tr = V.train(spark, d).select("user_id", "item_id", "rating", F.lit("train").alias("fold"))
+    te = V.test(spark, d).select("user_id", "item_id", "rating", F.lit("test").alias("fold"))
+    return tr.unionByName(te)
+
+
+@query("entity_counts", with_views("""
+SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS n_users, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items,
+       CAST(count(DISTINCT user_id) + count(DISTINCT item_id) AS BIGINT) AS n_entities FROM interactions""",
+                                   "interactions"))
+def q_entity_counts(spark, d):
+    i = T.interactions(spark, d)
+    return i.agg(F.countDistinct("user_id").alias("n_users"), F.countDistinct("item_id").alias("n_items")) \
+        .select("n_users", "n_items", (F.col("n_users") + F.col("n_items")).alias("n_entities"))
+
+
+@query("likes_per_user", with_views("""
+SELECT user_id, count(*) AS n_likes FROM train WHERE rating = 1 GROUP BY user_id""", "train"))
+def q_likes_per_user(spark, d):
+    return V.train(spark, d).filter(F.col("rating") == 1).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_likes"))
+
+
+@query("pending_users", with_views("""
+SELECT DISTINCT user_id FROM train
+WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 4)""", "train"))
+def q_pending_users(spark, d):
+    """Users of the ratings with no stored answer yet (J9); an answer is stored for every customer
+    whose completion is not the empty ``<No answer>``."""
+    done = T.user_completions(spark, d).filter(F.col("plain") != "<No answer>").select(
+        F.col("entity_id").alias("user_id"))
+    return V.train(spark, d).select("user_id").distinct().join(done, "user_id", "left_anti")
+
+
+@query("pending_models", with_views("SELECT DISTINCT model FROM predictions WHERE model <> 'pop'", "predictions"))
+def q_pending_models(spark, d):
+    """Models with predictions that are not on the earlier board (J10); the earlier board holds 'pop'."""
+    preds = V.predictions(spark, d)
+    board = preds.filter(F.col("model") == "pop").select("model").distinct()
+    return preds.select("model").distinct().join(board, "model", "left_anti")

@@ -13,6 +13,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgrec.functions.frames import attach_scalars
 from kgrec.operators.rank import dense_index
 
 SOURCE_BITS = {"cf": 1, "dbpedia": 2, "llm_user": 4, "llm_item": 8}
@@ -110,8 +111,8 @@ def negative_samples(triples: DataFrame, vocab: DataFrame, epoch: int) -> DataFr
     n = ents.agg(F.count(F.lit(1)).alias("n"))
     t = (triples.join(ents.select(F.col("name").alias("head"), F.col("id").alias("h")), "head")
          .join(rels.select(F.col("name").alias("relation"), F.col("id").alias("r")), "relation")
-         .join(ents.select(F.col("name").alias("tail"), F.col("id").alias("t")), "tail")
-         .crossJoin(F.broadcast(n)))  # one-row frame
+         .join(ents.select(F.col("name").alias("tail"), F.col("id").alias("t")), "tail"))
+    t = attach_scalars(t, n)
     neg = t.select("head", "relation", "tail",
                    F.pmod(31 * F.col("h") + 17 * F.col("r") + 13 * F.col("t") + F.lit(7919 * epoch), F.col("n"))
                    .alias("neg_id"))

@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgrec.functions.frames import attach_scalars
 from kgrec.operators.rank import global_row_number, topk_per_user
 
 METRICS = ("precision", "recall", "f1", "ndcg", "gini", "epc", "aplt")
@@ -43,8 +44,7 @@ def item_popularity(train: DataFrame) -> DataFrame:
     """``(item_id, n_users, pop)``: distinct train users per item and its share of all train users."""
     n_users = train.select(F.countDistinct("user_id").alias("n_train_users"))
     per_item = train.groupBy("item_id").agg(F.countDistinct("user_id").alias("n_users"))
-    # one-row frame: broadcast is size-bounded
-    return per_item.crossJoin(F.broadcast(n_users)).select(
+    return attach_scalars(per_item, n_users).select(
         "item_id", "n_users", (F.col("n_users") / F.col("n_train_users")).alias("pop"))
 
 
@@ -54,7 +54,7 @@ def popular_items(train: DataFrame, share: tuple[int, int] = LONG_TAIL_SHARE) ->
     pop = train.groupBy("item_id").agg(F.countDistinct("user_id").alias("n_users"))
     ranked = global_row_number(pop, [F.col("n_users").desc(), F.col("item_id").asc()], "pos", start=1)
     n_items = pop.select(((F.count(F.lit(1)) * num + (den - 1)) / den).cast("bigint").alias("cut"))
-    return ranked.crossJoin(F.broadcast(n_items)).filter(F.col("pos") <= F.col("cut")).select("item_id")
+    return attach_scalars(ranked, n_items).filter(F.col("pos") <= F.col("cut")).select("item_id")
 
 
 def ranked_lists(preds: DataFrame, ks: Sequence[int] = DEFAULT_KS, group_cols: Sequence[str] = ("model",)) -> DataFrame:

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgrec.functions.frames import attach_scalars
+
 DIM = 64
 
 
@@ -63,7 +65,7 @@ def impute_vectors(entities: DataFrame, vecs: DataFrame, seed: int = 42, dim: in
     Output ``(entity, vec, imputed)``.
     """
     stats = embedding_stats(vecs).select("mean", "std")
-    joined = entities.select("entity").distinct().join(vecs, "entity", "left").crossJoin(F.broadcast(stats))
+    joined = attach_scalars(entities.select("entity").distinct().join(vecs, "entity", "left"), stats)
     draw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                        lambda d: F.col("mean") + F.col("std") * hashed_normal(F.col("entity"), d, seed))
     return joined.select("entity", F.coalesce(F.col("vec"), draw).alias("vec"),
@@ -123,9 +125,9 @@ def propagate(edges: DataFrame, vecs: DataFrame, dim: int = DIM) -> DataFrame:
 
 def symmetric_norm_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Undirected bipartite edges both ways with weight 1/sqrt(deg(a) deg(b)) (LightGCN, R11)."""
-    e = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct()
+    e = pairs.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = e.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(
-        e.select(F.col("y").alias("src"), F.col("x").alias("dst")))
+        e.select(F.col("y").alias("src"), F.col("x").alias("dst"))).distinct()
     deg = both.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     return (both.join(deg, "src")
             .join(deg.select(F.col("src").alias("dst"), F.col("deg").alias("deg_dst")), "dst")

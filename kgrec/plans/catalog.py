@@ -450,3 +450,148 @@ def q_pending_models(spark, d):
     preds = V.predictions(spark, d)
     board = preds.filter(F.col("model") == "pop").select("model").distinct()
     return preds.select("model").distinct().join(board, "model", "left_anti")
+
+
+# ---- vectors ------------------------------------------------------------------------------------
+
+from kgrec.functions.frames import attach_scalars  # noqa: E402
+from kgrec.operators import vectors as VX  # noqa: E402
+
+
+def _rating_entities(spark, d) -> DataFrame:
+    i = T.interactions(spark, d)
+    users = i.select(F.lit("user").alias("kind"), T.user_entity(F.col("user_id")).alias("entity"), "fold")
+    items = i.join(V.item_uris(spark, d), "item_id").select(F.lit("item").alias("kind"),
+                                                            F.col("uri").alias("entity"), "fold")
+    return users.unionByName(items).distinct()
+
+
+def _long(df: DataFrame, key: str = "entity") -> DataFrame:
+    x = df.select(key, F.posexplode("vec").alias("d", "v"))
+    return x.select(key, F.col("d").cast("bigint").alias("d"), r6(F.col("v")).alias("value"))
+
+
+@query("embedding_scan", with_views("""
+SELECT kind, id, CAST(len(vec) AS BIGINT) AS n_dims, round(list_sum(vec), 6) AS vec_sum FROM raw_vectors""",
+                                    "raw_vectors"))
+def q_embedding_scan(spark, d):
+    """Vector matrix with explicit ids (K4 -> S8) and a partitioned store (K5 -> S10), read back."""
+    rv = T.raw_vectors(spark, d)
+    mpath, spath = FS.scratch_path(spark, "matrix"), FS.scratch_path(spark, "store")
+    FS.write_matrix(rv.select("id", "vec").filter(F.col("kind") == "user"), mpath, VX.DIM)
+    FS.write_store(rv.filter(F.col("kind") == "item"), spath, ["kind"])
+    users = FS.read_matrix(spark, mpath).select(F.lit("user").alias("kind"), "id", "vec")
+    items = FS.read_store(spark, spath).filter(F.col("kind") == "item").select("kind", "id", "vec")
+    both = users.unionByName(items)
+    return both.select("kind", "id", F.size("vec").cast("bigint").alias("n_dims"),
+                       r6(VX.vsum(F.col("vec"))).alias("vec_sum"))
+
+
+@query("embedding_stats", with_views("""
+SELECT CAST(count(*) AS BIGINT) AS n_cells, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std
+FROM vector_cells""", "vector_cells"))
+def q_embedding_stats(spark, d):
+    s = VX.embedding_stats(T.vectors(spark, d))
+    return s.select("n_cells", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"))
+
+
+@query("embedding_coverage", with_views("""
+SELECT r.kind, count(*) AS n_entities, count(v.entity) AS n_covered,
+       CAST(sum(CASE WHEN v.entity IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing
+FROM (SELECT DISTINCT kind, entity FROM rating_entities) r LEFT JOIN vectors v USING (entity)
+GROUP BY r.kind""", "rating_entities", "vectors"))
+def q_embedding_coverage(spark, d):
+    return VX.coverage(_rating_entities(spark, d), T.vectors(spark, d))
+
+
+@query("missing_entities", with_views("""
+SELECT DISTINCT entity FROM rating_entities WHERE fold = 'test'
+  AND entity NOT IN (SELECT entity FROM vectors)""", "rating_entities", "vectors"))
+def q_missing_entities(spark, d):
+    ents = _rating_entities(spark, d).filter(F.col("fold") == "test")
+    return VX.missing_entities(ents, T.vectors(spark, d))
+
+
+@query("impute_embeddings")
+def q_impute_embeddings(spark, d):
+    """Every rating entity with its vector or a hashed N(mean, std) draw (G6, G7); randomised, no SQL."""
+    out = VX.impute_vectors(_rating_entities(spark, d), T.vectors(spark, d), seed=42)
+    return out.select("entity", "imputed", "vec")
+
+
+def _test_pairs(spark, d) -> DataFrame:
+    return (V.test(spark, d).join(V.item_uris(spark, d), "item_id")
+            .select("user_id", "item_id", T.user_entity(F.col("user_id")).alias("user_entity"),
+                    F.col("uri").alias("item_entity")))
+
+
+@query("dot_score", with_views("""
+SELECT t.user_id, t.item_id, round(list_dot_product(u.vec, v.vec), 6) AS score
+FROM test t JOIN item_uris i USING (item_id)
+JOIN vectors u ON u.entity = 'user' || CAST(t.user_id AS VARCHAR) JOIN vectors v ON v.entity = i.uri""",
+                               "test", "item_uris", "vectors"))
+def q_dot_score(spark, d):
+    vec = T.vectors(spark, d)
+    j = VX.pair_vectors(_test_pairs(spark, d), vec, vec)
+    return j.select("user_id", "item_id", r6(VX.dot(F.col("u"), F.col("v"))).alias("score"))
+
+
+@query("pair_features", with_views("""
+SELECT t.user_id, t.item_id, t.rating, round(sqrt(list_dot_product(u.vec, u.vec)), 6) AS u_norm,
+       round(sqrt(list_dot_product(v.vec, v.vec)), 6) AS v_norm
+FROM train t JOIN item_uris i USING (item_id)
+JOIN vectors u ON u.entity = 'user' || CAST(t.user_id AS VARCHAR) JOIN vectors v ON v.entity = i.uri""",
+                                   "train", "item_uris", "vectors"))
+def q_pair_features(spark, d):
+    vec = T.vectors(spark, d)
+    pairs = (V.train(spark, d).join(V.item_uris(spark, d), "item_id")
+             .select("user_id", "item_id", "rating", T.user_entity(F.col("user_id")).alias("user_entity"),
+                     F.col("uri").alias("item_entity")))
+    j = VX.pair_vectors(pairs, vec, vec)
+    return j.select("user_id", "item_id", "rating", r6(VX.l2(F.col("u"))).alias("u_norm"),
+                    r6(VX.l2(F.col("v"))).alias("v_norm"))
+
+
+@query("transe_score", with_views("""
+WITH r AS (SELECT h.d, avg(t.v - h.v) AS rv FROM cf_graph c
+           JOIN vector_cells h ON h.entity = c.head JOIN vector_cells t ON t.entity = c.tail AND t.d = h.d
+           WHERE c.relation = 'like' GROUP BY h.d),
+     p AS (SELECT t.user_id, t.item_id, 'user' || CAST(t.user_id AS VARCHAR) AS ue, i.uri AS ie
+           FROM test t JOIN item_uris i USING (item_id))
+SELECT p.user_id, p.item_id, round(-sqrt(sum((u.v + r.rv - v.v) * (u.v + r.rv - v.v))), 6) AS score
+FROM p JOIN vector_cells u ON u.entity = p.ue JOIN vector_cells v ON v.entity = p.ie AND v.d = u.d
+JOIN r ON r.d = u.d
+GROUP BY p.user_id, p.item_id""", "cf_graph", "vector_cells", "test", "item_uris"))
+def q_transe_score(spark, d):
+    """-||u + r_like - i|| with r_like the mean translation of train like edges (R12 scoring)."""
+    vec = T.vectors(spark, d)
+    like = V.cf_graph(spark, d).filter(F.col("relation") == "like")
+    r = VX.relation_translation(like, vec).filter(F.col("relation") == "like").select("r")
+    j = attach_scalars(VX.pair_vectors(_test_pairs(spark, d), vec, vec), r)
+    return j.select("user_id", "item_id", r6(VX.transe_distance(F.col("u"), F.col("r"), F.col("v"))).alias("score"))
+
+
+@query("gcn_propagate", with_views("""
+SELECT e.dst AS entity, c.d, round(sum(e.w * c.v), 6) AS value
+FROM kg_edges e JOIN vector_cells c ON c.entity = e.src GROUP BY e.dst, c.d""", "kg_edges", "vector_cells"))
+def q_gcn_propagate(spark, d):
+    """One symmetric-normalised propagation over the full KG, identity composition, no weights."""
+    kg = V.full_kg(spark, d)
+    edges = VX.symmetric_norm_edges(kg, "head", "tail")
+    return _long(VX.propagate(edges, T.vectors(spark, d)))
+
+
+@query("lightgcn_propagate", with_views("""
+WITH l1 AS (SELECT e.dst AS entity, c.d, sum(e.w * c.v) AS v FROM ui_edges e
+            JOIN vector_cells c ON c.entity = e.src GROUP BY e.dst, c.d),
+     l2 AS (SELECT e.dst AS entity, c.d, sum(e.w * c.v) AS v FROM ui_edges e
+            JOIN l1 c ON c.entity = e.src GROUP BY e.dst, c.d)
+SELECT entity, d, round(sum(v) / 3.0, 6) AS value FROM (
+  SELECT entity, d, v FROM vector_cells UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)
+GROUP BY entity, d""", "ui_edges", "vector_cells"))
+def q_lightgcn_propagate(spark, d):
+    """Two LightGCN layers on the train user-item graph, mean over layers 0..2."""
+    pairs = (V.train(spark, d).join(V.item_uris(spark, d), "item_id")
+             .select(T.user_entity(F.col("user_id")).alias("u"), F.col("uri").alias("i")))
+    edges = VX.symmetric_norm_edges(pairs, "u", "i")
+    return _long(VX.layer_mean(edges, T.vectors(spark, d), layers=2))

@@ -201,3 +201,25 @@ FROM (SELECT head AS name FROM full_kg UNION SELECT tail FROM full_kg)""")
 _view("kg_relations", ("full_kg",), """
 SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS id
 FROM (SELECT DISTINCT relation AS name FROM full_kg)""")
+
+# ---- vectors -----------------------------------------------------------------------------------
+_view("rating_entities", ("interactions", "item_uris"), """
+SELECT DISTINCT 'user' AS kind, 'user' || CAST(user_id AS VARCHAR) AS entity, fold FROM interactions
+UNION SELECT DISTINCT 'item', u.uri, i.fold FROM interactions i JOIN item_uris u USING (item_id)""")
+_view("kg_edges", ("full_kg",), """
+SELECT src, dst, 1.0 / sqrt(CAST(ds.deg AS DOUBLE) * dd.deg) AS w FROM
+  (SELECT DISTINCT src, dst FROM (SELECT head AS src, tail AS dst FROM full_kg UNION ALL
+                                  SELECT tail, head FROM full_kg)) e
+  JOIN (SELECT src AS n, count(*) AS deg FROM (SELECT DISTINCT src, dst FROM (
+          SELECT head AS src, tail AS dst FROM full_kg UNION ALL SELECT tail, head FROM full_kg)) GROUP BY src) ds
+    ON ds.n = e.src
+  JOIN (SELECT src AS n, count(*) AS deg FROM (SELECT DISTINCT src, dst FROM (
+          SELECT head AS src, tail AS dst FROM full_kg UNION ALL SELECT tail, head FROM full_kg)) GROUP BY src) dd
+    ON dd.n = e.dst""")
+_view("ui_edges", ("train", "item_uris"), """
+WITH p AS (SELECT DISTINCT 'user' || CAST(t.user_id AS VARCHAR) AS x, u.uri AS y
+           FROM train t JOIN item_uris u USING (item_id)),
+     b AS (SELECT x AS src, y AS dst FROM p UNION ALL SELECT y, x FROM p),
+     g AS (SELECT src, count(*) AS deg FROM b GROUP BY src)
+SELECT b.src, b.dst, 1.0 / sqrt(CAST(g1.deg AS DOUBLE) * g2.deg) AS w
+FROM b JOIN g g1 ON g1.src = b.src JOIN g g2 ON g2.src = b.dst""")

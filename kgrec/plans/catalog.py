@@ -595,3 +595,59 @@ def q_lightgcn_propagate(spark, d):
              .select(T.user_entity(F.col("user_id")).alias("u"), F.col("uri").alias("i")))
     edges = VX.symmetric_norm_edges(pairs, "u", "i")
     return _long(VX.layer_mean(edges, T.vectors(spark, d), layers=2))
+
+
+# ---- neighbourhood models -----------------------------------------------------------------------
+
+from kgrec.operators import neighbors as NB  # noqa: E402
+
+KNN_K, KNN_SHRINK, EASE_REG = 50, 0.5, 250.0
+
+_KNN_SQL = with_views(f"""
+WITH x AS (SELECT DISTINCT user_id, item_id FROM train),
+deg AS (SELECT item_id AS i, count(*) AS n FROM x GROUP BY item_id),
+cc AS (SELECT a.item_id AS i, b.item_id AS j, count(*) AS c FROM x a JOIN x b
+       ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY 1, 2),
+sim AS (SELECT cc.i, cc.j, cc.c / (sqrt(CAST(d1.n AS DOUBLE)) * sqrt(CAST(d2.n AS DOUBLE)) + {KNN_SHRINK}) AS sim
+        FROM cc JOIN deg d1 ON d1.i = cc.i JOIN deg d2 ON d2.i = cc.j),
+top AS (SELECT i, j, sim FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM sim)
+        WHERE r <= {KNN_K}),
+sc AS (SELECT t.user_id, top.j AS item_id, sum(top.sim) AS score FROM x t JOIN top ON top.i = t.item_id GROUP BY 1, 2)
+SELECT p.user_id, p.item_id, round(coalesce(sc.score, 0.0), 6) AS score FROM test p LEFT JOIN sc USING (user_id, item_id)
+""", "train", "test")
+
+
+@query("item_knn", _KNN_SQL)
+def q_item_knn(spark, d):
+    """ItemKNN (cosine with shrink, top-50 neighbours) scored on the test pairs."""
+    tr = V.train(spark, d)
+    sims = NB.knn_similarities(tr, KNN_K, KNN_SHRINK)
+    s = NB.score_pairs(tr, sims, V.test(spark, d))
+    return s.select("user_id", "item_id", r6(F.col("score")).alias("score"))
+
+
+@query("ease_gram", with_views(f"""
+WITH x AS (SELECT DISTINCT user_id, item_id FROM train)
+SELECT a.item_id AS i, b.item_id AS j, CAST(count(*) AS DOUBLE) AS value FROM x a JOIN x b
+  ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY 1, 2
+UNION ALL SELECT item_id, item_id, count(*) + {EASE_REG} FROM x GROUP BY item_id""", "train"))
+def q_ease_gram(spark, d):
+    return NB.gram(V.train(spark, d), EASE_REG)
+
+
+@query("ease")
+def q_ease(spark, d):
+    """EASE closed form (reg 250) on a size-checked dense Gram, scored on test pairs."""
+    tr = V.train(spark, d)
+    items, b = NB.ease_weights(tr, EASE_REG)
+    s = NB.dense_scores(tr, V.test(spark, d), items, b)
+    return s.select("user_id", "item_id", r6(F.col("score")).alias("score"))
+
+
+@query("slim")
+def q_slim(spark, d):
+    """SLIM elastic net (alpha 0.01, l1 0.01) by blocked coordinate descent, scored on test pairs."""
+    tr = V.train(spark, d)
+    w = NB.slim_weights(tr, alpha=0.01, l1_ratio=0.01, sweeps=5)
+    s = NB.score_pairs(tr, w, V.test(spark, d))
+    return s.select("user_id", "item_id", r6(F.col("score")).alias("score"))

@@ -60,8 +60,12 @@ def tag_sources(sources: dict[str, DataFrame]) -> DataFrame:
 
 def kg_settings(sources: dict[str, DataFrame], settings: list[tuple[str, int]] | None = None) -> DataFrame:
     """``(setting, head, relation, tail)``: for each setting, the union of its sources, de-duplicated."""
+    return settings_from_tagged(tag_sources(sources), settings)
+
+
+def settings_from_tagged(tagged: DataFrame, settings: list[tuple[str, int]] | None = None) -> DataFrame:
+    """Fan tagged triples ``(head, relation, tail, mask)`` out to the settings whose mask they hit."""
     settings = settings or all_settings()
-    tagged = tag_sources(sources)
     arr = F.array(*[F.struct(F.lit(n).alias("setting"), F.lit(m).alias("smask")) for n, m in settings])
     x = tagged.select("head", "relation", "tail", "mask", F.explode(arr).alias("s"))
     return x.filter((F.col("mask").bitwiseAND(F.col("s.smask"))) != 0).select(

@@ -326,7 +326,7 @@ FROM kg_tagged t JOIN (VALUES {rows}) s(setting, smask) ON (t.mask & s.smask) <>
 
 @query("kg_settings", _settings_sql())
 def q_kg_settings(spark, d):
-    return G.kg_settings(V.kg_sources(spark, d))
+    return G.settings_from_tagged(V.kg_tagged(spark, d))
 
 
 @query("kg_vocab", with_views("""

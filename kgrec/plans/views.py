@@ -45,11 +45,16 @@ def dot_predictions(spark: SparkSession, d: str) -> DataFrame:
                     F.round(F.coalesce(dot(F.col("u"), F.col("v")), F.lit(0.0)), SCORE_DIGITS).alias("score"))
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Test-pair predictions of every model (R5): ``(model, user_id, item_id, score)``."""
+def build_predictions(spark: SparkSession, d: str) -> DataFrame:
     return pop_predictions(spark, d).unionByName(dot_predictions(spark, d))
 
 
+def predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Test-pair predictions of every model (R5): ``(model, user_id, item_id, score)``, a stage output."""
+    return T.materialized(spark, d, "predictions", build_predictions, ["model"]).select(
+        "model", "user_id", "item_id", "score")
+
+
 # ---- knowledge graph sources -------------------------------------------------------------------
 
 def cf_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -103,6 +108,11 @@ def kg_sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
             "llm_user": llm_user_graph(spark, d), "llm_item": llm_item_graph(spark, d)}
 
 
+def kg_tagged(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct triples of every source with their source bitmask, a stage output."""
+    return T.materialized(spark, d, "kg_tagged", lambda s, dd: graph.tag_sources(kg_sources(s, dd)))
+
+
 def full_kg(spark: SparkSession, d: str) -> DataFrame:
     """The all-sources setting ``cf_dbpedia_llm_ui``, de-duplicated."""
-    return graph.kg_settings(kg_sources(spark, d), [("cf_dbpedia_llm_ui", 15)]).drop("setting")
+    return kg_tagged(spark, d).select("head", "relation", "tail")

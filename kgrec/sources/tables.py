@@ -56,7 +56,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MATERIALIZED: dict[tuple[str, str, str], str] = {}
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+    """A pipeline stage output written once per session to the shared checkpoint folder, then scanned.
+
+    Downstream queries read the parquet table (with partition pruning and column pruning) instead of
+    recomputing the stage in every branch of their plan; the written table also cuts lineage, so a
+    lost executor recomputes from this table, not from the raw inputs.
+    """
+    from kgrec.sources.files import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        path = scratch_path(spark, f"stage-{name}")
+        w = build(spark, sf_dir).write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
+
+
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interactions stage output (see ``build_interactions``), partitioned by fold."""
+    df = materialized(spark, sf_dir, "interactions", build_interactions, ["fold"])
+    return df.select("user_id", "item_id", "rating", "seq", "fold")
+
+
+def build_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (user, item): latest line by (shipdate, orderkey, linenumber).
 
     ``max_by`` is a partial aggregate, so a user or item holding a third of all lines is combined

@@ -798,3 +798,19 @@ def q_batch_completion(spark, d):
         F.col("entity_id").alias("item_id"))
     done = CP.run_completions(prompts, "item_id", CP.keyword_completion, answers=answered)
     return done
+
+
+# ---- runs ---------------------------------------------------------------------------------------
+
+from kgrec.operators import runs as RU  # noqa: E402
+
+
+@query("best_per_model", with_views("""
+SELECT model, k, round(precision, 6) AS precision, round(ndcg, 6) AS ndcg FROM (
+  SELECT model, k, precision, ndcg, row_number() OVER (PARTITION BY model ORDER BY precision DESC, k) AS r
+  FROM system_vals) WHERE r = 1""", "system_vals"))
+def q_best_per_model(spark, d):
+    """Best evaluated run per model by precision (A12); a run here is a (model, cut-off k) pair."""
+    sm = _system(spark, d).select("model", "k", r6(F.col("precision")).alias("precision"),
+                                  r6(F.col("ndcg")).alias("ndcg"))
+    return RU.best_per_model(sm, "precision", tie_cols=("k",))

@@ -57,6 +57,13 @@ def popular_items(train: DataFrame, share: tuple[int, int] = LONG_TAIL_SHARE) ->
     return attach_scalars(ranked, n_items).filter(F.col("pos") <= F.col("cut")).select("item_id")
 
 
+def item_stats(train: DataFrame) -> DataFrame:
+    """Train statistics per item: ``(item_id, n_users, pop, is_pop)`` (popularity and head membership)."""
+    popular = popular_items(train).select("item_id", F.lit(1.0).alias("is_pop"))
+    return (item_popularity(train).join(popular, "item_id", "left")
+            .select("item_id", "n_users", "pop", F.coalesce("is_pop", F.lit(0.0)).alias("is_pop")))
+
+
 def ranked_lists(preds: DataFrame, ks: Sequence[int] = DEFAULT_KS, group_cols: Sequence[str] = ("model",)) -> DataFrame:
     """Top-max(k) per (group, user), exploded to one row per k with rank <= k."""
     top = topk_per_user(preds, max(ks), group_cols=group_cols)
@@ -65,18 +72,17 @@ def ranked_lists(preds: DataFrame, ks: Sequence[int] = DEFAULT_KS, group_cols: S
 
 
 def user_metrics(preds: DataFrame, train: DataFrame, test: DataFrame, ks: Sequence[int] = DEFAULT_KS,
-                 relevant_threshold: int = 1, group_cols: Sequence[str] = ("model",)) -> DataFrame:
-    """Per (group, k, user) metric rows."""
+                 relevant_threshold: int = 1, group_cols: Sequence[str] = ("model",),
+                 stats: DataFrame | None = None) -> DataFrame:
+    """Per (group, k, user) metric rows (A9).  ``stats`` = precomputed ``item_stats(train)``."""
     g = list(group_cols)
     lists = ranked_lists(preds, ks, group_cols)
     truth = test.select("user_id", "item_id",
                         (F.col("rating") >= relevant_threshold).cast("double").alias("rel"))
     per_user_truth = truth.groupBy("user_id").agg(F.sum("rel").alias("n_rel"))
-    pop = item_popularity(train).select("item_id", "pop")
-    popular = popular_items(train).select("item_id", F.lit(1.0).alias("is_pop"))
+    stats = (stats if stats is not None else item_stats(train)).select("item_id", "pop", "is_pop")
     rows = (lists.join(truth, ["user_id", "item_id"], "left")
-            .join(pop, "item_id", "left")
-            .join(popular, "item_id", "left")
+            .join(stats, "item_id", "left")
             .select(*g, "k", "user_id", "item_id", "rank",
                     F.coalesce("rel", F.lit(0.0)).alias("rel"),
                     F.coalesce("pop", F.lit(0.0)).alias("pop"),
@@ -129,10 +135,11 @@ def gini(preds: DataFrame, ks: Sequence[int] = DEFAULT_KS, group_cols: Sequence[
 
 
 def system_metrics(preds: DataFrame, train: DataFrame, test: DataFrame, ks: Sequence[int] = DEFAULT_KS,
-                   relevant_threshold: int = 1, group_cols: Sequence[str] = ("model",)) -> DataFrame:
+                   relevant_threshold: int = 1, group_cols: Sequence[str] = ("model",),
+                   stats: DataFrame | None = None) -> DataFrame:
     """Macro means over users plus Gini, one row per (group, k) (A10)."""
     g = list(group_cols)
-    um = user_metrics(preds, train, test, ks, relevant_threshold, group_cols)
+    um = user_metrics(preds, train, test, ks, relevant_threshold, group_cols, stats)
     means = um.groupBy(*g, "k").agg(*[F.avg(m).alias(m) for m in USER_METRICS])
     return means.join(gini(preds, ks, group_cols), [*g, "k"])
 
@@ -148,12 +155,12 @@ def wide_board(system: DataFrame, ks: Sequence[int] = DEFAULT_KS) -> DataFrame:
 
 
 def leaderboard(preds: DataFrame, train: DataFrame, test: DataFrame, existing: DataFrame | None = None,
-                ks: Sequence[int] = DEFAULT_KS) -> DataFrame:
+                ks: Sequence[int] = DEFAULT_KS, stats: DataFrame | None = None) -> DataFrame:
     """Evaluate models not yet on ``existing`` (J10), append (U4), sort by model."""
     todo = preds
     if existing is not None:
         todo = preds.join(existing.select("model").distinct(), "model", "left_anti")
-    board = wide_board(system_metrics(todo, train, test, ks), ks)
+    board = wide_board(system_metrics(todo, train, test, ks, stats=stats), ks)
     if existing is not None:
         board = existing.unionByName(board)
     return board.orderBy("model")

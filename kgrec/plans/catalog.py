@@ -106,7 +106,7 @@ def q_topk_all_items_masked(spark, d):
 # ---- metrics ------------------------------------------------------------------------------------
 
 def _system(spark, d) -> DataFrame:
-    return M.system_metrics(V.predictions(spark, d), V.train(spark, d), V.test(spark, d))
+    return M.system_metrics(V.predictions(spark, d), V.train(spark, d), V.test(spark, d), stats=V.item_stats(spark, d))
 
 
 def _metric_query(metric: str):
@@ -128,7 +128,7 @@ SELECT model, k, user_id, round(precision, 6) AS precision, round(recall, 6) AS
        round(ndcg, 6) AS ndcg, round(epc, 6) AS epc, round(aplt, 6) AS aplt
 FROM user_metric_vals""", "user_metric_vals"))
 def q_user_metrics(spark, d):
-    um = M.user_metrics(V.predictions(spark, d), V.train(spark, d), V.test(spark, d))
+    um = M.user_metrics(V.predictions(spark, d), V.train(spark, d), V.test(spark, d), stats=V.item_stats(spark, d))
     return um.select("model", "k", "user_id", *[r6(F.col(m)).alias(m) for m in M.USER_METRICS])
 
 
@@ -151,8 +151,9 @@ def q_leaderboard(spark, d):
     """Earlier board holds model 'pop'; the pending models are evaluated and appended."""
     preds = V.predictions(spark, d)
     tr, te = V.train(spark, d), V.test(spark, d)
-    earlier = M.wide_board(M.system_metrics(preds.filter(F.col("model") == "pop"), tr, te))
-    board = M.leaderboard(preds, tr, te, existing=earlier)
+    st = V.item_stats(spark, d)
+    earlier = M.wide_board(M.system_metrics(preds.filter(F.col("model") == "pop"), tr, te, stats=st))
+    board = M.leaderboard(preds, tr, te, existing=earlier, stats=st)
     return board.select("model", *[r6(F.col(c)).alias(c) for c in board.columns if c != "model"])
 
 

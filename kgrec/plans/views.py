@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgrec.functions.keymaps import BOOK_ITEM_KEYS, BOOK_USER_KEYS
 from kgrec.operators import graph, triples
-from kgrec.operators.metrics import item_popularity
+from kgrec.operators.metrics import item_popularity, item_stats as _item_stats
 from kgrec.operators.vectors import dot
 from kgrec.sources import tables as T
 
@@ -22,6 +22,11 @@ def test(spark: SparkSession, d: str) -> DataFrame:
     return T.fold(spark, d, "test")
 
 
+def item_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Train statistics per item (popularity, popular-head flag), a stage output."""
+    return T.materialized(spark, d, "item_stats", lambda s, dd: _item_stats(train(s, dd)))
+
+
 def item_uris(spark: SparkSession, d: str) -> DataFrame:
     return T.items(spark, d).select("item_id", T.item_entity(F.col("name")).alias("uri"))
 

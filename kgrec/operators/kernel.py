@@ -4,8 +4,9 @@ One epoch is one synchronous full-batch gradient step:
 
 1. samples (positive + corrupted slot) join the current entity / relation vectors;
 2. per-sample gradients are Catalyst array expressions (``zip_with``), no Python;
-3. gradients are emitted per slot and summed per entity with one partial ``sum`` per dimension
-   (map-side combine, so an entity in a third of all samples is fine);
+3. gradients are emitted per slot and summed per (kind, key) with one partial ``sum`` per dimension
+   (map-side combine, so an entity in a third of all samples is fine); entity gradients, relation
+   gradients and the loss come out of this one aggregate, so per-sample rows are never stored;
 4. vectors are updated and the new table is checkpointed to the shared checkpoint folder, so the
    lineage of every epoch is one step deep and a lost executor recomputes one epoch at most.
 
@@ -57,10 +58,17 @@ def init_vectors(keys: DataFrame, key_col: str = "entity", seed: int = 42, dim:
     return keys.select(key_col).distinct().select(F.col(key_col).alias("entity"), draw.alias("vec"))
 
 
-def _sum_by_entity(grads: DataFrame, dim: int) -> DataFrame:
+def _loss_row(s: DataFrame, lval: Column, dim: int) -> DataFrame:
+    """Per-sample loss as a gradient-shaped row under key ('l', ''), so it is summed in the same pass."""
+    vec = F.concat(F.array(lval), F.array_repeat(F.lit(0.0), dim - 1))
+    return s.select(F.lit("l").alias("kind"), F.lit("").alias("entity"), vec.alias("g"))
+
+
+def _sum_by_key(grads: DataFrame, dim: int) -> DataFrame:
+    """One partial aggregate for every gradient kind (entities, relations, loss) of an epoch."""
     aggs = [F.sum(F.col("g")[d]).alias(f"_g{d}") for d in range(dim)]
-    s = grads.groupBy("entity").agg(*aggs)
-    return s.select("entity", F.array(*[F.col(f"_g{d}") for d in range(dim)]).alias("g"))
+    s = grads.groupBy("kind", "entity").agg(*aggs)
+    return s.select("kind", "entity", F.array(*[F.col(f"_g{d}") for d in range(dim)]).alias("g"))
 
 
 def _apply(vecs: DataFrame, gsum: DataFrame, lr: float, n: Column | float) -> DataFrame:
@@ -117,18 +125,17 @@ def bpr_epoch(vecs: DataFrame, samples: DataFrame, lr: float, reg: float, dim: i
     x = dot(F.col("u"), F.col("p")) - dot(F.col("u"), F.col("n"))
     s = s.withColumn("x", x).withColumn("gf", -F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("x"))))
     reg_c = F.lit(reg)
-    # per-sample gradients are materialised once; the update and the loss both read them
-    s = _checkpoint(s.select(
-        "uk", "pk", "nk", "x",
-        vadd(vscale(vsub(F.col("p"), F.col("n")), F.col("gf")), vscale(F.col("u"), reg_c)).alias("gu"),
-        vadd(vscale(F.col("u"), F.col("gf")), vscale(F.col("p"), reg_c)).alias("gp"),
-        vadd(vscale(F.col("u"), -F.col("gf")), vscale(F.col("n"), reg_c)).alias("gn")))
-    grads = (s.select(F.col("uk").alias("entity"), F.col("gu").alias("g"))
-             .unionByName(s.select(F.col("pk").alias("entity"), F.col("gp").alias("g")))
-             .unionByName(s.select(F.col("nk").alias("entity"), F.col("gn").alias("g"))))
-    n = s.count()
-    new = _apply(vecs, _sum_by_entity(grads, dim), lr, max(n, 1))
-    loss = s.agg(F.avg(F.log1p(F.exp(-F.col("x")))).alias("loss"))
+    grads = (s.select(F.lit("e").alias("kind"), F.col("uk").alias("entity"),
+                      vadd(vscale(vsub(F.col("p"), F.col("n")), F.col("gf")), vscale(F.col("u"), reg_c)).alias("g"))
+             .unionByName(s.select(F.lit("e").alias("kind"), F.col("pk").alias("entity"),
+                                   vadd(vscale(F.col("u"), F.col("gf")), vscale(F.col("p"), reg_c)).alias("g")))
+             .unionByName(s.select(F.lit("e").alias("kind"), F.col("nk").alias("entity"),
+                                   vadd(vscale(F.col("u"), -F.col("gf")), vscale(F.col("n"), reg_c)).alias("g")))
+             .unionByName(_loss_row(s, F.log1p(F.exp(-F.col("x"))), dim)))
+    gsum = _checkpoint(_sum_by_key(grads, dim))
+    n = max(samples.count(), 1)
+    new = _apply(vecs, gsum.filter(F.col("kind") == "e").drop("kind"), lr, n)
+    loss = gsum.filter(F.col("kind") == "l").select((F.col("g")[0] / F.lit(float(n))).alias("loss"))
     return new, loss
 
 
@@ -192,16 +199,18 @@ def triple_epoch(ents: DataFrame, rels: DataFrame, samples: DataFrame, kind: str
     else:
         raise ValueError(loss)
     gh, gr, gt, gtn = _triple_grads(kind, F.col("h"), F.col("r"), F.col("t"), F.col("tn"), F.col("w"))
-    # per-sample gradients are materialised once; entity, relation updates and the loss read them
-    s = _checkpoint(s.select("head", "relation", "tail", "neg_tail", gh.alias("gh"), gr.alias("gr"),
-                             gt.alias("gt"), gtn.alias("gtn"), lval.alias("lval")))
-    eg = (s.select(F.col("head").alias("entity"), F.col("gh").alias("g"))
-          .unionByName(s.select(F.col("tail").alias("entity"), F.col("gt").alias("g")))
-          .unionByName(s.select(F.col("neg_tail").alias("entity"), F.col("gtn").alias("g"))))
-    rg = s.select(F.col("relation").alias("entity"), F.col("gr").alias("g"))
-    n = max(s.count(), 1)
-    return (_apply(ents, _sum_by_entity(eg, dim), lr, n), _apply(rels, _sum_by_entity(rg, dim), lr, n),
-            s.agg(F.avg("lval").alias("loss")))
+    e = F.lit("e").alias("kind")
+    grads = (s.select(e, F.col("head").alias("entity"), gh.alias("g"))
+             .unionByName(s.select(e, F.col("tail").alias("entity"), gt.alias("g")))
+             .unionByName(s.select(e, F.col("neg_tail").alias("entity"), gtn.alias("g")))
+             .unionByName(s.select(F.lit("r").alias("kind"), F.col("relation").alias("entity"), gr.alias("g")))
+             .unionByName(_loss_row(s, lval, dim)))
+    # entity-sized result: entity and relation updates and the loss all read this one table
+    gsum = _checkpoint(_sum_by_key(grads, dim))
+    n = max(samples.count(), 1)
+    return (_apply(ents, gsum.filter(F.col("kind") == "e").drop("kind"), lr, n),
+            _apply(rels, gsum.filter(F.col("kind") == "r").drop("kind"), lr, n),
+            gsum.filter(F.col("kind") == "l").select((F.col("g")[0] / F.lit(float(n))).alias("loss")))
 
 
 def corrupt_tails(triples: DataFrame, vocab: DataFrame, epoch: int) -> DataFrame:

@@ -178,3 +178,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+
+
+def write_topk_lists(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Top-k lists of every setting and cut-off in one write, partitioned by (setting, k) (K6)."""
+    write_store(df, path, ["setting", "k"], mode)
+
+
+def read_topk_lists(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """Lists of one cut-off (S12): equality on the partition column ``k`` (so 5 never matches 50);
+    the filter prunes partitions at planning time."""
+    return read_store(spark, path).filter(F.col("k") == k)

@@ -102,3 +102,12 @@ def test_json_docs_entity_from_name(spark):
         fh.write('{"plain": "x", "genre": ["a", "b"]}')
     got = {(r["entity"], r["key"]): list(r["values"]) for r in FS.read_json_docs(spark, base).collect()}
     assert got == {("user3", "plain"): ["x"], ("user3", "genre"): ["a", "b"]}
+
+
+def test_topk_store_exact_k(spark):
+    base = tempfile.mkdtemp(prefix="kgrec-topk-", dir="/tmp")
+    df = spark.createDataFrame([("s1", 5, 1, 2), ("s1", 50, 1, 3), ("s2", 5, 2, 4)],
+                               "setting string, k int, user_id long, item_id long")
+    FS.write_topk_lists(df, base + "/lists")
+    got = sorted((r["setting"], r["item_id"]) for r in FS.read_topk_lists(spark, base + "/lists", 5).collect())
+    assert got == [("s1", 2), ("s2", 4)]

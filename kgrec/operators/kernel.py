@@ -43,7 +43,9 @@ def vmul(a: Column, b: Column) -> Column:
 
 
 def vscale(a: Column, s: Column) -> Column:
-    return F.transform(a, lambda x: x * s)
+    """a * s.  The scalar is repeated into an array first, so it is evaluated once per row: inside a
+    lambda the optimizer may inline an expensive scalar and re-evaluate it for every element."""
+    return F.zip_with(a, F.array_repeat(s, F.size(a)), lambda x, y: x * y)
 
 
 def sqnorm(a: Column) -> Column:

@@ -58,6 +58,9 @@ def dense_index(keys: DataFrame, key_col: str, index_col: str = "idx") -> DataFr
     return global_row_number(distinct, [F.col(key_col).asc()], index_col)
 
 
+POS_CHUNK = 4096
+
+
 def topk_all_items(users: DataFrame, item_scores: DataFrame, seen: DataFrame, k: int,
                    mask_score: float | None = None) -> DataFrame:
     """Top-k over the whole catalogue per user with the user's seen items removed (or masked).
@@ -72,7 +75,14 @@ def topk_all_items(users: DataFrame, item_scores: DataFrame, seen: DataFrame, k:
     reach = (users.select("user_id").distinct()
              .join(n_seen, "user_id", "left")
              .select("user_id", (F.lit(k) + F.coalesce(F.col("n_seen"), F.lit(0))).alias("reach")))
-    slots = reach.select("user_id", F.explode(F.sequence(F.lit(1), F.col("reach").cast("bigint"))).alias("pos"))
+    # positions 1..reach in chunks of POS_CHUNK, spread over tasks before they are expanded, so a
+    # user with a third of all seen items does not generate its whole range in one task
+    chunks = reach.select("user_id", "reach", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), ((F.col("reach") - 1) / POS_CHUNK).cast("bigint"))).alias("chunk"))
+    chunks = chunks.repartition("user_id", "chunk")
+    lo = F.col("chunk") * POS_CHUNK + 1
+    hi = F.least(F.col("reach").cast("bigint"), (F.col("chunk") + 1) * POS_CHUNK)
+    slots = chunks.select("user_id", F.explode(F.sequence(lo, hi)).alias("pos"))
     cand = slots.join(ranked.select("pos", "item_id", "score"), "pos")
     if mask_score is None:
         cand = cand.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")

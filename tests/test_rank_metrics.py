@@ -74,3 +74,8 @@ def test_topk_all_items_brute_force(spark):
                 cand.append((-s, i))
             want = [i for _, i in sorted(cand)[:5]]
             assert [i for _, i in sorted(got_map.get(u, []))] == want
+
+
+def test_topk_all_items_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(R, "POS_CHUNK", 3)
+    test_topk_all_items_brute_force(spark)

@@ -436,7 +436,8 @@ def q_likes_per_user(spark, d):
 
 @query("pending_users", with_views("""
 SELECT DISTINCT user_id FROM train
-WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 4)""", "train"))
+WHERE user_id NOT IN (SELECT entity_id FROM user_completions WHERE plain <> '<No answer>')""",
+                                   "train", "user_completions"))
 def q_pending_users(spark, d):
     """Users of the ratings with no stored answer yet (J9); an answer is stored for every customer
     whose completion is not the empty ``<No answer>``."""
@@ -793,12 +794,14 @@ def q_mlp_train(spark, d):
 
 @query("batch_completion")
 def q_batch_completion(spark, d):
-    """Completion job over item prompts still without an answer (X4, J9); answers parsed."""
+    """Completion job over item prompts still without a usable answer.
+
+    A stored answer counts when its parsed properties include a genre; the job re-asks the others."""
     prompts = P.item_prompts(T.items(spark, d), "book")
-    answered = T.item_completions(spark, d).filter(F.col("entity_id") % 7 != 4).select(
-        F.col("entity_id").alias("item_id"))
-    done = CP.run_completions(prompts, "item_id", CP.keyword_completion, answers=answered)
-    return done
+    props = TR.parse_properties(T.item_completions(spark, d))
+    answered = props.filter(F.col("feature").isin("genre", "genres")).select(
+        F.col("entity_id").alias("item_id")).distinct()
+    return CP.run_completions(prompts, "item_id", CP.keyword_completion, answers=answered)
 
 
 # ---- runs ---------------------------------------------------------------------------------------

@@ -241,6 +241,7 @@ def triple_train(triples: DataFrame, kind: str = "transe", loss: str = "margin",
 # ---- link-prediction evaluation -----------------------------------------------------------------
 
 RANK_BLOCK = 50000
+SCORE_CELLS = 20_000_000   # doubles in one (rows x entities) score matrix inside a task
 
 
 def rank_eval(test: DataFrame, known: DataFrame, ents: DataFrame, rels: DataFrame, kind: str,
@@ -273,19 +274,28 @@ def rank_eval(test: DataFrame, known: DataFrame, ents: DataFrame, rels: DataFram
 
         def count_higher(it, bmat=bmat):
             m = bmat.value
+            m_sq = (m * m).sum(axis=1)
+            # score rows in sub-chunks so one score matrix stays near SCORE_CELLS doubles
+            step = max(1, SCORE_CELLS // max(len(m), 1))
             for pdf in it:
                 h = np.array(pdf["h"].tolist(), dtype=np.float64)
                 r = np.array(pdf["r"].tolist(), dtype=np.float64)
-                if kind == "transe":
-                    hr = h + r
-                    sc = -((hr[:, None, :] - m[None, :, :]) ** 2).sum(axis=2) if len(m) else np.zeros((len(h), 0))
-                elif kind == "distmult":
-                    sc = (h * r) @ m.T
-                else:
-                    sc = (h + r) @ m.T
-                higher = (sc > pdf["s_true"].to_numpy()[:, None]).sum(axis=1)
+                s_true = pdf["s_true"].to_numpy()
+                higher = np.zeros(len(pdf), dtype=np.int64)
+                for lo in range(0, len(pdf), step):
+                    hh, rr = h[lo:lo + step], r[lo:lo + step]
+                    if kind == "transe":       # -||a - e||^2 = -(|a|^2 - 2 a.e + |e|^2), a = h + r
+                        a = hh + rr
+                        sc = -((a * a).sum(axis=1)[:, None] - 2.0 * (a @ m.T) + m_sq[None, :])
+                    elif kind == "distmult":
+                        sc = (hh * rr) @ m.T
+                    else:
+                        sc = (hh + rr) @ m.T
+                    st = s_true[lo:lo + step, None]
+                    # relative tolerance: the matrix form and the row form of a score differ by rounding
+                    higher[lo:lo + step] = (sc > st + 1e-9 * (1.0 + np.abs(st))).sum(axis=1)
                 yield pd.DataFrame({"head": pdf["head"], "relation": pdf["relation"], "tail": pdf["tail"],
-                                    "n_higher": higher.astype("int64")})
+                                    "n_higher": higher})
 
         c = q.mapInPandas(count_higher, "head string, relation string, tail string, n_higher bigint")
         counts = c if counts is None else counts.unionByName(c)

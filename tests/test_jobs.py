@@ -118,3 +118,35 @@ def test_run_isolated_and_param_store(spark):
     assert RU.save_params(spark, theta, path) is True
     assert RU.save_params(spark, theta * 2, path) is False
     np.testing.assert_array_equal(RU.load_params(spark, path), theta)
+
+
+def test_rank_eval_matches_brute_force(spark):
+    rng = np.random.RandomState(11)
+    ents = [f"e{i}" for i in range(12)]
+    vec = {e: rng.normal(size=4) for e in ents}
+    rvec = {"r": rng.normal(size=4)}
+    known = [("e0", "r", "e1"), ("e0", "r", "e2"), ("e3", "r", "e4")]
+    test = [("e0", "r", "e5"), ("e3", "r", "e6"), ("e7", "r", "e8")]
+    edf = spark.createDataFrame([(e, v.tolist()) for e, v in vec.items()], "entity string, vec array<double>")
+    rdf = spark.createDataFrame([("r", rvec["r"].tolist())], "entity string, vec array<double>")
+    kdf = spark.createDataFrame(known, "head string, relation string, tail string")
+    tdf = spark.createDataFrame(test, "head string, relation string, tail string")
+    for kind in ("transe", "distmult", "inner"):
+        def sc(h, t):
+            a, b = vec[h], vec[t]
+            r = rvec["r"]
+            if kind == "transe":
+                return -np.sum((a + r - b) ** 2)
+            if kind == "distmult":
+                return np.sum(a * r * b)
+            return np.dot(a + r, b)
+        ranks = []
+        for h, _, t in test:
+            s_true = sc(h, t)
+            higher = sum(sc(h, e) > s_true for e in ents)
+            filt = sum(sc(h, o) > s_true for hh, _, o in known if hh == h and o != t)
+            ranks.append(1 + higher - filt)
+        got = K.rank_eval(tdf, kdf, edf, rdf, kind, block=5).collect()[0]
+        assert got["n"] == 3
+        assert math.isclose(got["mr"], np.mean(ranks))
+        assert math.isclose(got["hits_1"], np.mean([r <= 1 for r in ranks]))

@@ -3,7 +3,8 @@
 One epoch is one synchronous full-batch gradient step:
 
 1. samples (positive + corrupted slot) join the current entity / relation vectors;
-2. per-sample gradients are Catalyst array expressions (``zip_with``), no Python;
+2. per-sample gradients are numpy maths on Arrow batches (``mapInPandas``), pre-summed by key
+   inside each batch; scores used elsewhere stay Catalyst expressions;
 3. gradients are emitted per slot and summed per (kind, key) with one partial ``sum`` per dimension
    (map-side combine, so an entity in a third of all samples is fine); entity gradients, relation
    gradients and the loss come out of this one aggregate, so per-sample rows are never stored;
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +63,6 @@ def init_vectors(keys: DataFrame, key_col: str = "entity", seed: int = 42, dim:
     return keys.select(key_col).distinct().select(F.col(key_col).alias("entity"), draw.alias("vec"))
 
 
-def _loss_row(s: DataFrame, lval: Column, dim: int) -> DataFrame:
-    """Per-sample loss as a gradient-shaped row under key ('l', ''), so it is summed in the same pass."""
-    vec = F.concat(F.array(lval), F.array_repeat(F.lit(0.0), dim - 1))
-    return s.select(F.lit("l").alias("kind"), F.lit("").alias("entity"), vec.alias("g"))
-
-
 def _sum_by_key(grads: DataFrame, dim: int) -> DataFrame:
     """One partial aggregate for every gradient kind (entities, relations, loss) of an epoch."""
     aggs = [F.sum(F.col("g")[d]).alias(f"_g{d}") for d in range(dim)]
@@ -86,6 +83,68 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+
+# ---- per-sample gradients in Arrow batches --------------------------------------------------------
+# Catalyst's array lambdas (zip_with / transform) are interpreted element by element, so the
+# per-sample gradient maths runs in numpy on Arrow batches; Spark still does the joins, the shuffle
+# and the per-entity sums.  Each batch is pre-summed by key before it leaves the task.
+
+GRAD_SCHEMA = "kind string, entity string, g array<double>"
+
+
+def _stack(col: pd.Series) -> np.ndarray:
+    return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, 0))
+
+
+def _presum(kinds: list[str], keys: list[np.ndarray], grads: list[np.ndarray], loss_sum: float,
+            dim: int) -> pd.DataFrame:
+    """Sum the batch's gradient rows per (kind, key): factorize keys, sort, ``add.reduceat``."""
+    kind_out, ent_out, g_out = [], [], []
+    for kd in dict.fromkeys(kinds):
+        sel = [i for i, x in enumerate(kinds) if x == kd]
+        ks = np.concatenate([np.asarray(keys[i], dtype=object) for i in sel])
+        gs = np.concatenate([grads[i] for i in sel], axis=0)
+        codes, uniq = pd.factorize(ks)
+        order = np.argsort(codes, kind="stable")
+        sc = codes[order]
+        starts = np.flatnonzero(np.r_[True, sc[1:] != sc[:-1]])
+        sums = np.add.reduceat(gs[order], starts, axis=0)
+        kind_out.extend([kd] * len(starts))
+        ent_out.extend(uniq[sc[starts]].tolist())
+        g_out.extend(list(sums))
+    loss_vec = np.zeros(dim)
+    loss_vec[0] = loss_sum
+    return pd.DataFrame({"kind": kind_out + ["l"], "entity": [str(e) for e in ent_out] + [""],
+                         "g": g_out + [loss_vec]})
+
+
+def _triple_grads_np(kind: str, loss: str, margin: float, h, r, t, tn):
+    if kind == "transe":
+        ep, en = h + r - t, h + r - tn
+        sp, sn = -(ep * ep).sum(1), -(en * en).sum(1)
+    elif kind == "distmult":
+        sp, sn = (h * r * t).sum(1), (h * r * tn).sum(1)
+    elif kind == "inner":
+        hr = h + r
+        sp, sn = (hr * t).sum(1), (hr * tn).sum(1)
+    else:
+        raise ValueError(kind)
+    if loss == "margin":
+        z = margin - sp + sn
+        w, lv = (z > 0).astype(np.float64), np.maximum(z, 0.0)
+    elif loss == "logistic":
+        w, lv = 1.0 / (1.0 + np.exp(np.clip(sp - sn, -700, 700))), np.logaddexp(0.0, sn - sp)
+    else:
+        raise ValueError(loss)
+    w = w[:, None]
+    if kind == "transe":
+        gh = 2.0 * (ep - en) * w
+        return gh, gh, -2.0 * ep * w, 2.0 * en * w, lv
+    if kind == "distmult":
+        return (r * tn - r * t) * w, (h * tn - h * t) * w, -(h * r) * w, (h * r) * w, lv
+    d, hr = tn - t, h + r
+    return d * w, d * w, -hr * w, hr * w, lv
+
 # ---- BPR ----------------------------------------------------------------------------------------
 
 def bpr_samples(train: DataFrame, items: DataFrame, epoch: int) -> DataFrame:
@@ -111,7 +170,23 @@ class TrainResult:
     losses: list[float] = field(default_factory=list)
 
 
+VECTOR_BROADCAST_BYTES = 256 << 20
+
+
+def sized_for_broadcast(vecs: DataFrame, dim: int = DIM) -> DataFrame:
+    """``vecs`` wrapped in a broadcast hint when its measured size fits the limit, else unchanged.
+
+    The size is checked, not assumed: rows are counted (the table is a checkpoint, so this is cheap)
+    and multiplied by the row width.  Above ``spark.kgrec.vectorBroadcastBytes`` the joins stay
+    shuffle joins.
+    """
+    limit = int(vecs.sparkSession.conf.get("spark.kgrec.vectorBroadcastBytes", str(VECTOR_BROADCAST_BYTES)))
+    est = vecs.count() * (dim * 8 + 96)
+    return F.broadcast(vecs) if est <= limit else vecs
+
+
 def _with_vecs(samples: DataFrame, vecs: DataFrame, slots: dict[str, str]) -> DataFrame:
+    vecs = sized_for_broadcast(vecs)
     out = samples
     for slot, col in slots.items():
         out = out.join(vecs.select(F.col("entity").alias(col), F.col("vec").alias(slot)), col)
@@ -124,17 +199,20 @@ def bpr_epoch(vecs: DataFrame, samples: DataFrame, lr: float, reg: float, dim: i
                    .withColumn("pk", F.concat(F.lit("item"), F.col("pos_item").cast("string")))
                    .withColumn("nk", F.concat(F.lit("item"), F.col("neg_item").cast("string"))),
                    vecs, {"u": "uk", "p": "pk", "n": "nk"})
-    x = dot(F.col("u"), F.col("p")) - dot(F.col("u"), F.col("n"))
-    s = s.withColumn("x", x).withColumn("gf", -F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("x"))))
-    reg_c = F.lit(reg)
-    grads = (s.select(F.lit("e").alias("kind"), F.col("uk").alias("entity"),
-                      vadd(vscale(vsub(F.col("p"), F.col("n")), F.col("gf")), vscale(F.col("u"), reg_c)).alias("g"))
-             .unionByName(s.select(F.lit("e").alias("kind"), F.col("pk").alias("entity"),
-                                   vadd(vscale(F.col("u"), F.col("gf")), vscale(F.col("p"), reg_c)).alias("g")))
-             .unionByName(s.select(F.lit("e").alias("kind"), F.col("nk").alias("entity"),
-                                   vadd(vscale(F.col("u"), -F.col("gf")), vscale(F.col("n"), reg_c)).alias("g")))
-             .unionByName(_loss_row(s, F.log1p(F.exp(-F.col("x"))), dim)))
-    gsum = _checkpoint(_sum_by_key(grads, dim))
+
+    def grads(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            u, p, n = _stack(pdf["u"]), _stack(pdf["p"]), _stack(pdf["n"])
+            x = (u * (p - n)).sum(1)
+            gf = (-1.0 / (1.0 + np.exp(np.clip(x, -700, 700))))[:, None]
+            gu, gp, gn = gf * (p - n) + reg * u, gf * u + reg * p, -gf * u + reg * n
+            yield _presum(["e", "e", "e"], [pdf["uk"].to_numpy(), pdf["pk"].to_numpy(), pdf["nk"].to_numpy()],
+                          [gu, gp, gn], float(np.logaddexp(0.0, -x).sum()), dim)
+
+    g = s.select("uk", "pk", "nk", "u", "p", "n").mapInPandas(grads, GRAD_SCHEMA)
+    gsum = _checkpoint(_sum_by_key(g, dim))
     n = max(samples.count(), 1)
     new = _apply(vecs, gsum.filter(F.col("kind") == "e").drop("kind"), lr, n)
     loss = gsum.filter(F.col("kind") == "l").select((F.col("g")[0] / F.lit(float(n))).alias("loss"))
@@ -167,48 +245,26 @@ def triple_score(h: Column, r: Column, t: Column, kind: str) -> Column:
     raise ValueError(kind)
 
 
-def _triple_grads(kind: str, h: Column, r: Column, t: Column, tn: Column, w: Column):
-    """Gradients of (score_neg - score_pos) weighted by ``w`` for the four slots."""
-    if kind == "transe":
-        e_pos, e_neg = vsub(vadd(h, r), t), vsub(vadd(h, r), tn)
-        gh = vscale(vsub(e_pos, e_neg), F.lit(2.0) * w)
-        return gh, gh, vscale(e_pos, F.lit(-2.0) * w), vscale(e_neg, F.lit(2.0) * w)
-    if kind == "distmult":
-        gh = vscale(vsub(vmul(r, tn), vmul(r, t)), w)
-        gr = vscale(vsub(vmul(h, tn), vmul(h, t)), w)
-        return gh, gr, vscale(vmul(h, r), -w), vscale(vmul(h, r), w)
-    if kind == "inner":
-        d = vsub(tn, t)
-        hr = vadd(h, r)
-        return vscale(d, w), vscale(d, w), vscale(hr, -w), vscale(hr, w)
-    raise ValueError(kind)
-
-
 def triple_epoch(ents: DataFrame, rels: DataFrame, samples: DataFrame, kind: str, loss: str, lr: float,
                  margin: float = 1.0, dim: int = DIM):
     """One full-batch step on ``samples(head, relation, tail, neg_tail)``; returns (ents, rels, loss frame)."""
     s = _with_vecs(samples, ents, {"h": "head", "t": "tail", "tn": "neg_tail"})
-    s = s.join(rels.select(F.col("entity").alias("relation"), F.col("vec").alias("r")), "relation")
-    sp = triple_score(F.col("h"), F.col("r"), F.col("t"), kind)
-    sn = triple_score(F.col("h"), F.col("r"), F.col("tn"), kind)
-    s = s.withColumn("sp", sp).withColumn("sn", sn)
-    if loss == "margin":
-        s = s.withColumn("w", F.when(F.lit(margin) - F.col("sp") + F.col("sn") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-        lval = F.greatest(F.lit(margin) - F.col("sp") + F.col("sn"), F.lit(0.0))
-    elif loss == "logistic":
-        s = s.withColumn("w", F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("sp") - F.col("sn"))))
-        lval = F.log1p(F.exp(F.col("sn") - F.col("sp")))
-    else:
-        raise ValueError(loss)
-    gh, gr, gt, gtn = _triple_grads(kind, F.col("h"), F.col("r"), F.col("t"), F.col("tn"), F.col("w"))
-    e = F.lit("e").alias("kind")
-    grads = (s.select(e, F.col("head").alias("entity"), gh.alias("g"))
-             .unionByName(s.select(e, F.col("tail").alias("entity"), gt.alias("g")))
-             .unionByName(s.select(e, F.col("neg_tail").alias("entity"), gtn.alias("g")))
-             .unionByName(s.select(F.lit("r").alias("kind"), F.col("relation").alias("entity"), gr.alias("g")))
-             .unionByName(_loss_row(s, lval, dim)))
+    s = s.join(sized_for_broadcast(rels).select(F.col("entity").alias("relation"), F.col("vec").alias("r")),
+               "relation")
+
+    def grads(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            h, r, t, tn = _stack(pdf["h"]), _stack(pdf["r"]), _stack(pdf["t"]), _stack(pdf["tn"])
+            gh, gr, gt, gtn, lv = _triple_grads_np(kind, loss, margin, h, r, t, tn)
+            yield _presum(["e", "e", "e", "r"],
+                          [pdf["head"].to_numpy(), pdf["tail"].to_numpy(), pdf["neg_tail"].to_numpy(),
+                           pdf["relation"].to_numpy()], [gh, gt, gtn, gr], float(lv.sum()), dim)
+
+    g = s.select("head", "relation", "tail", "neg_tail", "h", "r", "t", "tn").mapInPandas(grads, GRAD_SCHEMA)
     # entity-sized result: entity and relation updates and the loss all read this one table
-    gsum = _checkpoint(_sum_by_key(grads, dim))
+    gsum = _checkpoint(_sum_by_key(g, dim))
     n = max(samples.count(), 1)
     return (_apply(ents, gsum.filter(F.col("kind") == "e").drop("kind"), lr, n),
             _apply(rels, gsum.filter(F.col("kind") == "r").drop("kind"), lr, n),

@@ -92,12 +92,12 @@ def test_entity_from_path(spark):
 
 
 def test_run_name_roundtrip(spark):
-    df = spark.createDataFrame([(0.2, "Basic", "dbbook", 7, 64, 3)],
+    df = spark.createDataFrame([(0.2, "Basic", "books", 7, 64, 3)],
                                "p double, c string, ds string, s long, k long, l long")
     name = df.select(run_name(F.col("p"), F.col("c"), F.col("ds"), F.col("s"), F.col("k"), F.col("l")).alias("n"))
-    assert name.collect()[0]["n"] == "drop0.2_uni_Basic_dbbook_s=7_CompGCN_k=64_l=3"
+    assert name.collect()[0]["n"] == "drop0.2_uni_Basic_books_s=7_CompGCN_k=64_l=3"
     back = name.select(*parse_run_name(F.col("n"))).collect()[0]
-    assert (back["dropout"], back["dataset"], back["setting"], back["layers"]) == (0.2, "dbbook", 7, 3)
+    assert (back["dropout"], back["dataset"], back["setting"], back["layers"]) == (0.2, "books", 7, 3)
 
 
 def test_chat_messages_order(spark):

@@ -3,7 +3,8 @@
 One epoch is one synchronous full-batch gradient step:
 
 1. samples (positive + corrupted slot) join the current entity / relation vectors;
-2. per-sample gradients are numpy maths on Arrow batches (``mapInPandas``), pre-summed by key
+2. per-sample gradients are numpy maths on Arrow batches (``mapInArrow``, vectors read straight from
+   the list buffers), pre-summed by key
    inside each batch; scores used elsewhere stay Catalyst expressions;
 3. gradients are emitted per slot and summed per (kind, key) with one partial ``sum`` per dimension
    (map-side combine, so an entity in a third of all samples is fine); entity gradients, relation
@@ -92,8 +93,26 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 GRAD_SCHEMA = "kind string, entity string, g array<double>"
 
 
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, 0))
+def _mat(batch, name: str) -> np.ndarray:
+    """A list<double> column of equal-length vectors as an (n, dim) matrix, read from the Arrow buffer."""
+    col = batch.column(name)
+    vals = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return vals.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+
+
+def _keys(batch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _to_arrow(df: pd.DataFrame, dim: int):
+    import pyarrow as pa
+    n = len(df)
+    g = np.stack(df["g"].to_numpy()) if n else np.zeros((0, dim))
+    offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+    lists = pa.ListArray.from_arrays(offsets, pa.array(g.ravel(), pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(df["kind"].tolist(), pa.string()),
+                                       pa.array(df["entity"].tolist(), pa.string()), lists],
+                                      names=["kind", "entity", "g"])
 
 
 def _presum(kinds: list[str], keys: list[np.ndarray], grads: list[np.ndarray], loss_sum: float,
@@ -201,17 +220,17 @@ def bpr_epoch(vecs: DataFrame, samples: DataFrame, lr: float, reg: float, dim: i
                    vecs, {"u": "uk", "p": "pk", "n": "nk"})
 
     def grads(it):
-        for pdf in it:
-            if pdf.empty:
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
-            u, p, n = _stack(pdf["u"]), _stack(pdf["p"]), _stack(pdf["n"])
+            u, p, n = _mat(batch, "u"), _mat(batch, "p"), _mat(batch, "n")
             x = (u * (p - n)).sum(1)
             gf = (-1.0 / (1.0 + np.exp(np.clip(x, -700, 700))))[:, None]
             gu, gp, gn = gf * (p - n) + reg * u, gf * u + reg * p, -gf * u + reg * n
-            yield _presum(["e", "e", "e"], [pdf["uk"].to_numpy(), pdf["pk"].to_numpy(), pdf["nk"].to_numpy()],
-                          [gu, gp, gn], float(np.logaddexp(0.0, -x).sum()), dim)
+            yield _to_arrow(_presum(["e", "e", "e"], [_keys(batch, "uk"), _keys(batch, "pk"), _keys(batch, "nk")],
+                                   [gu, gp, gn], float(np.logaddexp(0.0, -x).sum()), dim), dim)
 
-    g = s.select("uk", "pk", "nk", "u", "p", "n").mapInPandas(grads, GRAD_SCHEMA)
+    g = s.select("uk", "pk", "nk", "u", "p", "n").mapInArrow(grads, GRAD_SCHEMA)
     gsum = _checkpoint(_sum_by_key(g, dim))
     n = max(samples.count(), 1)
     new = _apply(vecs, gsum.filter(F.col("kind") == "e").drop("kind"), lr, n)
@@ -253,16 +272,16 @@ def triple_epoch(ents: DataFrame, rels: DataFrame, samples: DataFrame, kind: str
                "relation")
 
     def grads(it):
-        for pdf in it:
-            if pdf.empty:
+        for batch in it:
+            if batch.num_rows == 0:
                 continue
-            h, r, t, tn = _stack(pdf["h"]), _stack(pdf["r"]), _stack(pdf["t"]), _stack(pdf["tn"])
+            h, r, t, tn = _mat(batch, "h"), _mat(batch, "r"), _mat(batch, "t"), _mat(batch, "tn")
             gh, gr, gt, gtn, lv = _triple_grads_np(kind, loss, margin, h, r, t, tn)
-            yield _presum(["e", "e", "e", "r"],
-                          [pdf["head"].to_numpy(), pdf["tail"].to_numpy(), pdf["neg_tail"].to_numpy(),
-                           pdf["relation"].to_numpy()], [gh, gt, gtn, gr], float(lv.sum()), dim)
+            yield _to_arrow(_presum(["e", "e", "e", "r"],
+                                   [_keys(batch, "head"), _keys(batch, "tail"), _keys(batch, "neg_tail"),
+                                    _keys(batch, "relation")], [gh, gt, gtn, gr], float(lv.sum()), dim), dim)
 
-    g = s.select("head", "relation", "tail", "neg_tail", "h", "r", "t", "tn").mapInPandas(grads, GRAD_SCHEMA)
+    g = s.select("head", "relation", "tail", "neg_tail", "h", "r", "t", "tn").mapInArrow(grads, GRAD_SCHEMA)
     # entity-sized result: entity and relation updates and the loss all read this one table
     gsum = _checkpoint(_sum_by_key(g, dim))
     n = max(samples.count(), 1)

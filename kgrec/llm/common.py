@@ -36,6 +36,12 @@ def row_hash(df: DataFrame, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
 
 
+def keyed_rows(df: DataFrame) -> DataFrame:
+    """``(key, row)``: two hashes of the whole row, and the row as it is, so that no column's name can clash."""
+    return df.select(F.struct(row_hash(df).alias("h0"), row_hash(df, 1).alias("h1")).alias("key"),
+                     F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def ranked(df: DataFrame, keys: list[str], counts: DataFrame, salt: Column, order: list, name: str = "rank",
            carry: list[str] = ()) -> DataFrame:
     """Adds ``name``: a gapless number from 0 within ``keys``, without one task per key; and ``carry`` from ``counts``.

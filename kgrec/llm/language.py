@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from kgrec.llm.common import row_hash, with_fields, written
+from kgrec.llm.common import keyed_rows, with_fields, written
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -190,6 +190,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, that the model does not reject."""
-    keyed = docs.withColumn("language_key", F.struct(row_hash(docs).alias("h0"), row_hash(docs, 1).alias("h1")))
-    good = written(predict(keyed, model, ["language_key"]).filter("not rejected").select("language_key"), "language-kept")
-    return keyed.join(good, "language_key", "left_semi").select(*docs.columns)
+    keyed = keyed_rows(docs)
+    good = written(predict(keyed.select("key", F.col("row.text").alias("text")), model, ["key"]).filter("not rejected").select("key"), "language-kept")
+    return keyed.join(good, "key", "left_semi").select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from kgrec.llm.common import WORD, ranked, row_hash, with_fields, written
+from kgrec.llm.common import WORD, keyed_rows, ranked, row_hash, with_fields, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5          # words of the mix over words of the corpus
@@ -133,8 +133,6 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """The mix: rows of ``docs``, with all their columns, as often as they are taken."""
     taken = mix(docs, weights, share, cap, seed).groupBy("h0", "h1").agg(F.sum("copies").alias("mix_copies"))
-    keyed = docs.select(F.struct(row_hash(docs).alias("h0"), row_hash(docs, 1).alias("h1")).alias("mix_key"), F.struct(
-        *[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"))
-    wanted = taken.filter("mix_copies > 0").select(F.struct("h0", "h1").alias("mix_key"), "mix_copies")
-    once = keyed.join(wanted, "mix_key").dropDuplicates(["mix_key"])  # equal rows are one row here, with all their copies
-    return once.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select("mix_row.*")
+    wanted = taken.filter("mix_copies > 0").select(F.struct("h0", "h1").alias("key"), "mix_copies")
+    once = keyed_rows(docs).join(wanted, "key").dropDuplicates(["key"])  # equal rows are one row here, with all their copies
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy")).select("row.*")

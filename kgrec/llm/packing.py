@@ -94,12 +94,16 @@ class Stock:
         ok = np.flatnonzero((self.left[longer] > 0) & (self.left[rest] > (rest == longer)))
         return (int(longer[ok[0]]), int(rest[ok[0]])) if len(ok) else ()
 
-    def exact(self, gap: int) -> tuple[int, ...]:
-        """One, two or three pieces in stock that fill the gap exactly, longest first; else nothing."""
+    def exact(self, gap: int, most: int = 3) -> tuple[int, ...]:
+        """One, two or three (``most``) pieces in stock that fill the gap exactly, longest first; else nothing."""
         if self.left[gap] > 0:
             return (gap,)
+        if most < 2:
+            return ()
         if self.pair_sums[gap] and (two := self.pair(gap)):
             return two
+        if most < 3:
+            return ()
         firsts = self.lengths[(self.lengths <= gap - 2) & (3 * self.lengths >= gap)]
         firsts = firsts[(self.left[firsts] > 0) & self.pair_sums[gap - firsts]]
         for first in firsts.tolist():
@@ -115,8 +119,22 @@ class Stock:
 def plan(counts: dict[int, int], max_len: int = MAX_LEN) -> np.ndarray:
     """Rows ``(length, first rank, last rank + 1, first sequence, copies a sequence, first offset)``.
 
-    Pieces of ``length`` with these ranks go ``copies`` to a sequence, one after the other from the offset on.
+    Pieces of ``length`` with these ranks go ``copies`` to a sequence, one after the other from the offset on.  Unless that
+    needs no more sequences than all tokens fill, gaps are also closed by two pieces, and by one, at most: where
+    long pieces prevail that can spare short ones; the fewest sequences win.
     """
+    least = -(-sum(length * n for length, n in counts.items()) // max_len)
+    best, fewest = None, None
+    for most in (3, 2, 1):
+        n, rows = _plan(counts, max_len, most)
+        if fewest is None or n < fewest:
+            best, fewest = rows, n
+        if fewest == least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], max_len: int, most: int) -> tuple[int, np.ndarray]:
     stock = Stock(counts, max_len)
     used: Counter[int] = Counter()
     rows, sequence, left = [], 0, sum(counts.values())
@@ -125,7 +143,7 @@ def plan(counts: dict[int, int], max_len: int = MAX_LEN) -> np.ndarray:
             stock.index()
         pattern, gap = [], max_len
         while gap:
-            parts = stock.exact(gap) if pattern else ()
+            parts = stock.exact(gap, most) if pattern else ()
             if not parts and (best := stock.largest(gap)):
                 parts = (best,)
             if not parts:
@@ -146,7 +164,7 @@ def plan(counts: dict[int, int], max_len: int = MAX_LEN) -> np.ndarray:
         left -= times * len(pattern)
         if not stock.left[pattern].all():
             stock.lengths = stock.lengths[stock.left[stock.lengths] > 0]
-    return np.array(sorted(rows), np.int64).reshape(-1, 6)
+    return sequence, np.array(sorted(rows), np.int64).reshape(-1, 6)
 
 
 def place(rows: DataFrame, max_len: int = MAX_LEN) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgrec.llm.common import LETTERS, row_hash, with_fields, written
+from kgrec.llm.common import LETTERS, keyed_rows, with_fields, written
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SAMPLE_ROWS = 20_000
@@ -187,9 +187,8 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The narrow counts are written first and learned from; the kept rows are then found again by their row hashes.
     """
-    keyed = docs.withColumn("quality_key", F.struct(row_hash(docs).alias("h0"), row_hash(docs, 1).alias("h1")))
-    named = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality_key", "text")
-    stats = written(statistics(named, ["doc_id", "quality_key"]), "quality-stats")
-    rules = learn(stats, labels)
-    good = stats.filter(~base_failed() & verdict(rules)).select("quality_key")
-    return keyed.join(good, "quality_key", "left_semi").select(*docs.columns)
+    keyed = keyed_rows(docs)
+    named = keyed.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "key", F.col("row.text").alias("text"))
+    stats = written(statistics(named, ["doc_id", "key"]), "quality-stats")
+    good = stats.filter(~base_failed() & verdict(learn(stats, labels))).select("key")
+    return keyed.join(good, "key", "left_semi").select("row.*")

@@ -62,12 +62,11 @@ def cut(rows: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS, seed: int = SEED) -> None:
-    """The records with ``slot``, in folders ``shard=K`` under ``path``; files hold their rows in slot order.
+    """``(record, slot)`` in folders ``shard=K`` under ``path``; files hold their rows in slot order.
 
     A bucket's rows go to one file of each shard that its slice reaches.
     """
     placed = cut(shuffled(docs, seed), n_shards)
-    n = placed.select("bucket").distinct().count()
-    (placed.select("record.*", "shard", "slot", F.col("bucket").alias("shuffle_bucket"))
-     .repartition(max(1, n), "shuffle_bucket").sortWithinPartitions("shard", "slot").drop("shuffle_bucket")
+    n = placed.agg(F.max("bucket")).first()[0] or 0
+    (placed.repartition(n + 1, "bucket").sortWithinPartitions("shard", "slot").select("record", "slot", "shard")
      .write.partitionBy("shard").parquet(path))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgrec.llm.common import row_hash, with_fields, written
+from kgrec.llm.common import keyed_rows, with_fields, written
 
 SEED = 42
 SHINGLE = 3
@@ -186,9 +186,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each component with all its columns: that of the smallest id (ties: the smallest row hash)."""
-    keyed = docs.withColumn("simhash_key", F.struct(row_hash(docs).alias("h0"), row_hash(docs, 1).alias("h1")))
-    named = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "simhash_key", "text")
-    prints = written(fingerprints(named, shingle, ("doc_id", "simhash_key")), "simhash-prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "simhash_key")).alias("first")
-    keys = component_ids(prints, radius).groupBy("root").agg(first).select("first.simhash_key")
-    return keyed.join(keys, "simhash_key", "left_semi").dropDuplicates(["simhash_key"]).select(*docs.columns)
+    keyed = keyed_rows(docs)
+    named = keyed.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), "key", F.col("row.text").alias("text"))
+    prints = written(fingerprints(named, shingle, ("doc_id", "key")), "simhash-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    keys = component_ids(prints, radius).groupBy("root").agg(first).select("first.key")
+    return keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kgrec.functions.keymaps import FAVOURITE_PREFIX
 
 BRACKETS = r"[\(\[].*?[\)\]]"   # bracketed spans, non-greedy, as the cleaner removes them
-EDGE_SPACE = r"^\s+|\s+$"       # whitespace strip (Spark's trim only strips spaces)
+EDGE_SPACE = r"(?U)^\s+|\s+$"   # white space of any script (Spark's trim only strips spaces)
 
 
 def strip(c: Column) -> Column:

@@ -35,10 +35,28 @@ def pending(prompts: DataFrame, answers: DataFrame | None, key: str) -> DataFram
     return prompts.join(answers.select(key).distinct(), key, "left_anti")
 
 
+def complete_each(fn: CompletionFn, prompts: pd.Series) -> list:
+    """Answers of a batch; when the batch fails, of each prompt on its own, None where that fails too."""
+    try:
+        return list(fn(prompts))
+    except Exception:  # noqa: BLE001 - isolate the prompts that fail
+        out = []
+        for k in range(len(prompts)):
+            try:
+                out.append(list(fn(prompts.iloc[k:k + 1]))[0])
+            except Exception:  # noqa: BLE001
+                out.append(None)
+        return out
+
+
 def run_completions(prompts: DataFrame, key: str, fn: CompletionFn = keyword_completion,
                     answers: DataFrame | None = None) -> DataFrame:
-    """``(key, prompt, plain)`` for every prompt without an answer yet."""
-    todo = pending(prompts.select(key, "prompt"), answers, key)
+    """``(key, prompt, plain)`` for every key without an answer yet, one row a key (its smallest prompt).
+
+    A prompt on which the completion function raises is left out, so it stays pending for the next run.
+    """
+    once = prompts.groupBy(key).agg(F.min("prompt").alias("prompt"))
+    todo = pending(once, answers, key)
     key_type = prompts.schema[key].dataType.simpleString()
 
     def run(it):
@@ -46,8 +64,8 @@ def run_completions(prompts: DataFrame, key: str, fn: CompletionFn = keyword_com
             if pdf.empty:
                 continue
             out = pdf[[key, "prompt"]].copy()
-            out["plain"] = fn(pdf["prompt"]).to_numpy()
-            yield out
+            out["plain"] = complete_each(fn, pdf["prompt"])
+            yield out[out["plain"].notna()]
 
     return todo.mapInPandas(run, f"{key} {key_type}, prompt string, plain string")
 

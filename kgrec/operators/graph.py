@@ -48,10 +48,25 @@ def cf_triples(ratings: DataFrame, user_head, item_tail) -> DataFrame:
                           item_tail.alias("tail"))
 
 
+def source_bits(names: list[str]) -> dict[str, int]:
+    """Bit of each source: the standard ones, then one bit each for the others."""
+    if len(set(names) - set(SOURCE_BITS)) > 31 - len(SOURCE_BITS):
+        raise ValueError("more sources than an integer mask has bits")
+    bits = {n: SOURCE_BITS[n] for n in names if n in SOURCE_BITS}
+    for n in names:
+        if n not in bits:
+            bits[n] = 1 << (len(SOURCE_BITS) + sum(x not in SOURCE_BITS for x in bits))
+    return bits
+
+
 def tag_sources(sources: dict[str, DataFrame]) -> DataFrame:
-    """Distinct triples with the bitmask of their sources: ``(head, relation, tail, mask)``."""
-    parts = [df.select("head", "relation", "tail", F.lit(SOURCE_BITS[name]).alias("bit"))
-             for name, df in sources.items()]
+    """Distinct triples with the bitmask of their sources: ``(head, relation, tail, mask)``.
+
+    The four standard sources keep their bits; any other name (friends, genre, ...) takes the next free bit in the
+    order given (``source_bits``).
+    """
+    bits = source_bits(list(sources))
+    parts = [df.select("head", "relation", "tail", F.lit(bits[name]).alias("bit")) for name, df in sources.items()]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
@@ -103,11 +118,42 @@ def leak_pairs(kg_pairs: DataFrame, held_out: DataFrame) -> DataFrame:
     return kg_pairs.select("user_id", "item_id").intersect(held_out.select("user_id", "item_id"))
 
 
+PROBES = 64   # slots tried at once for the few positives whose first slot is a known triple
+
+
+def redraw_slots(positives: DataFrame, slots: DataFrame, known: DataFrame, keys: list[str], n: DataFrame) -> DataFrame:
+    """``positives`` with ``neg``: the first of slots base, base + 1, ... (mod n) that is no known positive.
+
+    ``positives`` has ``row`` (unique), ``base`` and ``keys``; ``slots(slot, neg)`` names the ``n`` (one-row frame) slots;
+    ``known(keys, neg)``.  Every positive keeps its row; only one for which all slots are known has no negative and goes.
+    First slots are tried for all rows at once, further ones only for rows that still need one.
+    """
+    known = known.select(*keys, "neg").distinct()
+    todo = attach_scalars(positives, n.toDF("n_slots")).withColumn("at", F.pmod(F.col("base"), F.col("n_slots")))
+    done, first = None, True
+    total = int(n.collect()[0][0])
+    tried = 0
+    while tried < total:
+        width = 1 if first else min(PROBES, total - tried)
+        steps = todo if first else todo.withColumn("step", F.explode(F.sequence(F.lit(tried), F.lit(tried + width - 1))))
+        at = F.col("at") if first else F.pmod(F.col("at") + F.col("step"), F.col("n_slots"))
+        cand = steps.withColumn("slot", at).join(slots, "slot").join(known, [*keys, "neg"], "left_anti")
+        order = F.lit(0) if first else F.col("step")
+        hit = cand.select("row", "neg") if first else cand.groupBy("row").agg(F.min_by("neg", order).alias("neg"))
+        found = todo.join(hit, "row").drop("at", "n_slots").checkpoint(eager=True)
+        done = found if done is None else done.unionByName(found)
+        todo = todo.join(found.select("row"), "row", "left_anti").checkpoint(eager=True)
+        tried, first = tried + width, False
+        if todo.isEmpty():
+            break
+    return positives.withColumn("neg", F.lit(None).cast(slots.schema["neg"].dataType)).limit(0) if done is None else done
+
+
 def negative_samples(triples: DataFrame, vocab: DataFrame, epoch: int) -> DataFrame:
-    """Tail-corrupted negatives, one per positive and epoch, false negatives removed.
+    """Tail-corrupted negatives, exactly one per positive and epoch.
 
-    neg_id = (31*h + 17*r + 13*t + 7919*epoch) mod n_entities, a modular hash of the dense ids, so
-    the sample is the same on any partitioning and reproducible in SQL.
+    neg_id = (31*h + 17*r + 13*t + 7919*epoch) mod n_entities, a modular hash of the dense ids, so the sample is the
+    same on any partitioning and reproducible in SQL; a slot that makes a known triple moves on to the next id.
     Output ``(head, relation, tail, neg_tail)``.
     """
     ents = vocab.filter(F.col("kind") == "entity").select("name", "id")
@@ -116,10 +162,8 @@ def negative_samples(triples: DataFrame, vocab: DataFrame, epoch: int) -> DataFr
     t = (triples.join(ents.select(F.col("name").alias("head"), F.col("id").alias("h")), "head")
          .join(rels.select(F.col("name").alias("relation"), F.col("id").alias("r")), "relation")
          .join(ents.select(F.col("name").alias("tail"), F.col("id").alias("t")), "tail"))
-    t = attach_scalars(t, n)
-    neg = t.select("head", "relation", "tail",
-                   F.pmod(31 * F.col("h") + 17 * F.col("r") + 13 * F.col("t") + F.lit(7919 * epoch), F.col("n"))
-                   .alias("neg_id"))
-    neg = neg.join(ents.select(F.col("id").alias("neg_id"), F.col("name").alias("neg_tail")), "neg_id")
-    pos = triples.select("head", "relation", F.col("tail").alias("neg_tail"))
-    return neg.join(pos, ["head", "relation", "neg_tail"], "left_anti").select("head", "relation", "tail", "neg_tail")
+    base = 31 * F.col("h") + 17 * F.col("r") + 13 * F.col("t") + F.lit(7919 * epoch)
+    rows = t.select("head", "relation", "tail", base.alias("base"), F.monotonically_increasing_id().alias("row")).checkpoint(eager=True)
+    known = triples.select("head", "relation", F.col("tail").alias("neg"))
+    slots = ents.select(F.col("id").alias("slot"), F.col("name").alias("neg"))
+    return redraw_slots(rows, slots, known, ["head", "relation"], n).select("head", "relation", "tail", F.col("neg").alias("neg_tail"))

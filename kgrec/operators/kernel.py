@@ -7,12 +7,13 @@ One epoch is one synchronous full-batch gradient step:
    inside each batch; scores used elsewhere stay Catalyst expressions;
 3. gradients are emitted per slot and summed per (kind, key) with one partial ``sum`` per dimension
    (map-side combine, so an entity in a third of all samples is fine); entity gradients, relation
-   gradients and the loss come out of this one aggregate, so per-sample rows are never stored;
+   gradients and the loss come out of this one aggregate; the sampled ids of an epoch are checkpointed, the
+   per-sample vectors and gradients never are;
 4. vectors are updated and the new table is checkpointed to the shared checkpoint folder, so the
    lineage of every epoch is one step deep and a lost executor recomputes one epoch at most.
 
-Negative slots come from a modular hash of dense ids and the epoch (reproducible, partition-free);
-corruptions that hit a known positive are removed with an anti-join.
+Negative slots come from a modular hash of dense ids and the epoch (reproducible, partition-free); a slot
+that hits a known positive moves on, so every positive keeps one negative.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgrec.functions.frames import attach_scalars
@@ -148,19 +150,19 @@ def _triple_grads_np(kind: str, loss: str, margin: float, h, r, t, tn):
 # ---- BPR ----------------------------------------------------------------------------------------
 
 def bpr_samples(train: DataFrame, items: DataFrame, epoch: int) -> DataFrame:
-    """One (user, pos, neg) per positive interaction; neg is the catalogue item at position
-    (31*u + 17*pos_idx + 7919*epoch) mod n_items of the sorted catalogue, kept only if the user
-    never interacted with it.  Output ``(user_id, pos_item, neg_item)``."""
-    idx = dense_index(items.select("item_id"), "item_id", "idx")
-    n = idx.agg(F.count(F.lit(1)).alias("n_items"))
+    """One (user, pos, neg) for every positive interaction; neg is the catalogue item at position
+    (31*u + 17*pos_idx + 7919*epoch) mod n_items of the sorted catalogue, or the next one that the user never
+    interacted with.  Output ``(user_id, pos_item, neg_item)``."""
+    from kgrec.operators.graph import redraw_slots
+    idx = _checkpoint(dense_index(items.select("item_id"), "item_id", "idx"))
+    n = idx.agg(F.count(F.lit(1)).alias("n"))
     pos = train.filter(F.col("rating") == 1).select("user_id", F.col("item_id").alias("pos_item"))
     pos = pos.join(idx.select(F.col("item_id").alias("pos_item"), F.col("idx").alias("pidx")), "pos_item")
-    pos = attach_scalars(pos, n)
-    pos = pos.withColumn("nidx", F.pmod(31 * F.col("user_id") + 17 * F.col("pidx") + F.lit(7919 * epoch),
-                                        F.col("n_items")))
-    cand = pos.join(idx.select(F.col("idx").alias("nidx"), F.col("item_id").alias("neg_item")), "nidx")
-    seen = train.select("user_id", F.col("item_id").alias("neg_item"))
-    return cand.join(seen, ["user_id", "neg_item"], "left_anti").select("user_id", "pos_item", "neg_item")
+    base = 31 * F.col("user_id") + 17 * F.col("pidx") + F.lit(7919 * epoch)
+    rows = _checkpoint(pos.select("user_id", "pos_item", base.alias("base"), F.monotonically_increasing_id().alias("row")))
+    slots = idx.select(F.col("idx").alias("slot"), F.col("item_id").alias("neg"))
+    seen = train.select("user_id", F.col("item_id").alias("neg"))
+    return redraw_slots(rows, slots, seen, ["user_id"], n).select("user_id", "pos_item", F.col("neg").alias("neg_item"))
 
 
 @dataclass
@@ -194,11 +196,16 @@ def _with_vecs(samples: DataFrame, vecs: DataFrame, slots: dict[str, str]) -> Da
 
 
 def bpr_epoch(vecs: DataFrame, samples: DataFrame, lr: float, reg: float, dim: int = DIM):
-    """One full-batch BPR step; returns (new vectors, loss frame)."""
-    s = _with_vecs(samples.withColumn("uk", F.concat(F.lit("user"), F.col("user_id").cast("string")))
-                   .withColumn("pk", F.concat(F.lit("item"), F.col("pos_item").cast("string")))
-                   .withColumn("nk", F.concat(F.lit("item"), F.col("neg_item").cast("string"))),
-                   vecs, {"u": "uk", "p": "pk", "n": "nk"})
+    """One full-batch BPR step on ``samples(user_id, pos_item, neg_item)``; returns (new vectors, loss frame)."""
+    named = samples.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("uk"),
+                           F.concat(F.lit("item"), F.col("pos_item").cast("string")).alias("pk"),
+                           F.concat(F.lit("item"), F.col("neg_item").cast("string")).alias("nk"))
+    return bpr_step(vecs, named, lr, reg, dim)
+
+
+def bpr_step(vecs: DataFrame, samples: DataFrame, lr: float, reg: float, dim: int = DIM):
+    """One full-batch BPR step on entity names ``samples(uk, pk, nk)``; returns (new vectors, loss frame)."""
+    s = _with_vecs(samples, vecs, {"u": "uk", "p": "pk", "n": "nk"})
 
     def grads(it):
         for pdf in it:
@@ -296,82 +303,71 @@ def triple_train(triples: DataFrame, kind: str = "transe", loss: str = "margin",
 
 # ---- link-prediction evaluation -----------------------------------------------------------------
 
-RANK_BLOCK = 50000
-SCORE_CELLS = 20_000_000   # doubles in one (rows x entities) score matrix inside a task
+ENTITY_BLOCK = 4096   # entities of a packed block
+TEST_CHUNK = 512      # test triples of a packed chunk: a task scores TEST_CHUNK x ENTITY_BLOCK cells at a time
+TIE = 1e-9            # scores nearer than TIE * (1 + |score|) count as equal, among candidates and known tails alike
+
+
+def _query_vector(h: Column, r: Column, kind: str) -> Column:
+    """The vector q that ranks entities e: by q . e (distmult, inner) or by -||q - e||^2 (transe)."""
+    return vmul(h, r) if kind == "distmult" else vadd(h, r)
 
 
 def rank_eval(test: DataFrame, known: DataFrame, ents: DataFrame, rels: DataFrame, kind: str,
-              block: int = RANK_BLOCK) -> DataFrame:
-    """Filtered tail ranking of held-out triples against every entity.
+              block: int = ENTITY_BLOCK, chunk: int = TEST_CHUNK) -> DataFrame:
+    """Filtered tail ranking of held-out triples against every entity (E8); pass inverse triples to rank heads.
 
-    rank = 1 + #{e : score(h, r, e) > score(h, r, t)} - #{known tails t' != t of (h, r) scoring higher}.
-    Entity vectors are broadcast one block of ``block`` entities at a time (a bounded broadcast);
-    each pass counts higher-scoring candidates inside a ``mapInPandas`` over the test triples, and
-    the per-block counts are summed.  Output: one row with MR, MRR, Hits@1/3/10 and the count.
+    rank = 1 + #{e : score(h, r, e) > score(h, r, t)} - #{known tails t' of (h, r) scoring higher}; ``known`` holds all
+    true triples (train and test), and the row's own tail never scores higher than itself.  Entities are packed into
+    blocks and test rows into chunks; every (chunk, block) pair is one row that a task scores with one matrix product, so
+    nothing entity-sized meets the driver.  Output: one row with MR, MRR, Hits@1/3/10 and the count.
     """
-    import numpy as np
-    import pandas as pd
-
-    spark = test.sparkSession
-    q = (test.join(ents.select(F.col("entity").alias("head"), F.col("vec").alias("h")), "head")
+    q = (test.select("head", "relation", "tail").distinct()
+         .join(ents.select(F.col("entity").alias("head"), F.col("vec").alias("h")), "head")
          .join(ents.select(F.col("entity").alias("tail"), F.col("vec").alias("t")), "tail")
          .join(rels.select(F.col("entity").alias("relation"), F.col("vec").alias("r")), "relation"))
-    q = q.select("head", "relation", "tail", "h", "r",
-                 triple_score(F.col("h"), F.col("r"), F.col("t"), kind).alias("s_true"))
-    q = _checkpoint(q)
-    eb = ents.select("entity", "vec", (F.xxhash64("entity") % F.lit(1 << 30)).alias("_k"))
-    n_ents = ents.count()
-    n_blocks = max(1, -(-n_ents // block))
-    counts = None
-    for b in range(n_blocks):
-        part = eb.filter(F.pmod(F.col("_k"), F.lit(n_blocks)) == b).select("vec").toPandas()
-        mat = np.array(part["vec"].tolist(), dtype=np.float64) if len(part) else np.zeros((0, DIM))
-        bmat = spark.sparkContext.broadcast(mat)
-
-        def count_higher(it, bmat=bmat):
-            m = bmat.value
-            m_sq = (m * m).sum(axis=1)
-            # score rows in sub-chunks so one score matrix stays near SCORE_CELLS doubles
-            step = max(1, SCORE_CELLS // max(len(m), 1))
-            for pdf in it:
-                h = np.array(pdf["h"].tolist(), dtype=np.float64)
-                r = np.array(pdf["r"].tolist(), dtype=np.float64)
-                s_true = pdf["s_true"].to_numpy()
-                higher = np.zeros(len(pdf), dtype=np.int64)
-                for lo in range(0, len(pdf), step):
-                    hh, rr = h[lo:lo + step], r[lo:lo + step]
-                    if kind == "transe":       # -||a - e||^2 = -(|a|^2 - 2 a.e + |e|^2), a = h + r
-                        a = hh + rr
-                        sc = -((a * a).sum(axis=1)[:, None] - 2.0 * (a @ m.T) + m_sq[None, :])
-                    elif kind == "distmult":
-                        sc = (hh * rr) @ m.T
-                    else:
-                        sc = (hh + rr) @ m.T
-                    st = s_true[lo:lo + step, None]
-                    # relative tolerance: the matrix form and the row form of a score differ by rounding
-                    higher[lo:lo + step] = (sc > st + 1e-9 * (1.0 + np.abs(st))).sum(axis=1)
-                yield pd.DataFrame({"head": pdf["head"], "relation": pdf["relation"], "tail": pdf["tail"],
-                                    "n_higher": higher})
-
-        c = q.mapInPandas(count_higher, "head string, relation string, tail string, n_higher bigint")
-        counts = c if counts is None else counts.unionByName(c)
-    raw = counts.groupBy("head", "relation", "tail").agg(F.sum("n_higher").alias("n_higher"))
-    # filtered setting: known true tails of (h, r) other than t that outscore t.  Known and test
-    # scores of one (h, r) are merged in one sorted pass: for each test row, the running count of
-    # known rows strictly above it (ties: the test row sorts first).  No pairs are formed.
-    from pyspark.sql import Window
-    kt = (known.select("head", "relation", F.col("tail").alias("other"))
+    s_true = triple_score(F.col("h"), F.col("r"), F.col("t"), kind)
+    q = _checkpoint(q.select("head", "relation", "h", "r", s_true.alias("s_true"),
+                             _query_vector(F.col("h"), F.col("r"), kind).alias("q"), F.monotonically_increasing_id().alias("row")))
+    n_blocks, n_chunks = (max(1, -(-df.count() // size)) for df, size in ((ents, block), (q, chunk)))
+    blocks = (ents.groupBy(F.pmod(F.xxhash64("entity"), F.lit(n_blocks)).alias("block"))
+              .agg(F.collect_list("vec").alias("e")))
+    chunks = (q.groupBy(F.pmod(F.xxhash64("row"), F.lit(n_chunks)).alias("chunk"))
+              .agg(F.collect_list(F.struct("row", "q", "s_true")).alias("c")))
+    pairs = (chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))).join(blocks, "block")
+             .select(F.col("c.row").alias("row"), F.col("c.q").alias("q"), F.col("c.s_true").alias("s_true"), "e"))
+    tie = TIE
+
+    def count_higher(it):
+        for batch in it:
+            rows, higher = [], []
+            for k in range(batch.num_rows):
+                row, qs, st, e = (batch.column(c)[k].values for c in range(4))
+                st = st.to_numpy()
+                a = qs.flatten().to_numpy().reshape(len(st), -1)
+                m = e.flatten().to_numpy().reshape(len(e), -1)
+                sc = a @ m.T
+                if kind == "transe":   # -||a - e||^2 = -(|a|^2 - 2 a.e + |e|^2)
+                    sc = 2.0 * sc - (a * a).sum(axis=1)[:, None] - (m * m).sum(axis=1)[None, :]
+                rows.append(row.to_numpy())
+                higher.append((sc > (st + tie * (1.0 + np.abs(st)))[:, None]).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(higher).astype(np.int64))],
+                                             ["row", "n_higher"])
+
+    raw = pairs.mapInArrow(count_higher, "row bigint, n_higher bigint").groupBy("row").agg(F.sum("n_higher").alias("n_higher"))
+    # Known tails that outscore a test row: known scores and the rows' limits of one (h, r) in one sorted pass; for each
+    # row the running count of known scores strictly above its limit.  No pairs are formed.
+    kt = (known.select("head", "relation", F.col("tail").alias("other")).distinct()
           .join(ents.select(F.col("entity").alias("other"), F.col("vec").alias("o")), "other")
           .join(q.select("head", "relation", "h", "r").dropDuplicates(["head", "relation"]), ["head", "relation"]))
-    known_scores = kt.select("head", "relation", F.lit(None).cast("string").alias("tail"),
-                             triple_score(F.col("h"), F.col("r"), F.col("o"), kind).alias("sc"),
-                             F.lit(1).alias("is_known"))
-    test_scores = q.select("head", "relation", "tail", F.col("s_true").alias("sc"), F.lit(0).alias("is_known"))
+    known_scores = kt.select("head", "relation", F.lit(None).cast("bigint").alias("row"),
+                             triple_score(F.col("h"), F.col("r"), F.col("o"), kind).alias("sc"), F.lit(1).alias("is_known"))
+    limit = F.col("s_true") + F.lit(tie) * (F.lit(1.0) + F.abs("s_true"))
+    limits = q.select("head", "relation", "row", limit.alias("sc"), F.lit(0).alias("is_known"))
     w = (Window.partitionBy("head", "relation").orderBy(F.col("sc").desc(), F.col("is_known").asc())
          .rowsBetween(Window.unboundedPreceding, -1))
-    merged = known_scores.unionByName(test_scores).withColumn("n_known", F.coalesce(F.sum("is_known").over(w), F.lit(0)))
-    kq = merged.filter(F.col("is_known") == 0).select("head", "relation", "tail", "n_known")
-    ranks = (raw.join(kq, ["head", "relation", "tail"], "left")
-             .select((F.lit(1) + F.col("n_higher") - F.coalesce(F.col("n_known"), F.lit(0))).alias("rank")))
+    merged = known_scores.unionByName(limits).withColumn("n_known", F.coalesce(F.sum("is_known").over(w), F.lit(0)))
+    ranks = (raw.join(merged.filter(F.col("is_known") == 0).select("row", "n_known"), "row")
+             .select((F.lit(1) + F.greatest(F.col("n_higher") - F.col("n_known"), F.lit(0))).alias("rank")))
     return ranks.agg(F.count(F.lit(1)).alias("n"), F.avg("rank").alias("mr"), F.avg(1.0 / F.col("rank")).alias("mrr"),
                      *[F.avg((F.col("rank") <= k).cast("double")).alias(f"hits_{k}") for k in (1, 3, 10)])

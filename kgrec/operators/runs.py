@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import ast
 import itertools
+import math
 import traceback
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -17,8 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GRID_CAP = 100
-
 
 def parse_choices(text: str) -> list[tuple[str, list[str]]]:
     """Lines ``name choice [v1, v2]`` -> [(name, [v1, v2])]; values kept as their source text."""
@@ -35,9 +35,12 @@ def parse_choices(text: str) -> list[tuple[str, list[str]]]:
     return out
 
 
-def param_grid(spark: SparkSession, choices: list[tuple[str, list[str]]], cap: int = GRID_CAP) -> DataFrame:
-    """Exhaustive grid, at most ``cap`` configs: ``(config_id, param, value)``."""
+def param_grid(spark: SparkSession, choices: list[tuple[str, list[str]]], cap: int | None = None) -> DataFrame:
+    """Exhaustive grid ``(config_id, param, value)``; an explicit ``cap`` keeps the first configs and warns of the rest."""
     names = [n for n, _ in choices]
+    total = math.prod(len(v) for _, v in choices)
+    if cap is not None and total > cap:
+        warnings.warn(f"grid of {total} configurations cut to the first {cap}; {total - cap} left out", stacklevel=2)
     rows = []
     for cid, combo in enumerate(itertools.islice(itertools.product(*[v for _, v in choices]), cap)):
         rows.extend((cid, n, v) for n, v in zip(names, combo))
@@ -54,14 +57,18 @@ def best_per_model(results: DataFrame, metric: str, model_col: str = "model",
                    tie_cols: tuple[str, ...] = ()) -> DataFrame:
     """One row per model: the run with the highest ``metric`` (ties: smallest ``tie_cols``)."""
     others = [c for c in results.columns if c != model_col]
-    key = F.struct(F.col(metric), *[(-F.col(c)) if dict(results.dtypes)[c] != "string" else F.col(c)
-                                    for c in tie_cols])
-    best = results.groupBy(model_col).agg(F.max_by(F.struct(*others), key).alias("_b"))
+    top = results.groupBy(model_col).agg(F.max(metric).alias("_top"))
+    tied = results.join(top, model_col).filter(F.col(metric).eqNullSafe(F.col("_top")))
+    best = tied.groupBy(model_col).agg(F.min_by(F.struct(*others), F.struct(*(tie_cols or others))).alias("_b"))
     return best.select(model_col, *[F.col(f"_b.{c}").alias(c) for c in others])
 
 
-def run_isolated(runs: dict[str, Callable[[], object]]) -> tuple[dict[str, object], list[tuple[str, str, str]]]:
-    """Run each callable; a failure is logged and does not stop the others."""
+def run_isolated(runs: dict[str, Callable[[], object]], spark: SparkSession | None = None,
+                 log_path: str | None = None) -> tuple[dict[str, object], list[tuple[str, str, str]]]:
+    """Run each callable; a failure is logged and does not stop the others.
+
+    With ``log_path`` the log rows are appended to that table (K11) after the last run.
+    """
     results, log = {}, []
     for name, fn in runs.items():
         try:
@@ -69,6 +76,9 @@ def run_isolated(runs: dict[str, Callable[[], object]]) -> tuple[dict[str, objec
             log.append((name, "OK", ""))
         except Exception as e:  # noqa: BLE001
             log.append((name, "ERROR", f"{type(e).__name__}: {e}\n{traceback.format_exc(limit=3)}"))
+    if log_path and log:
+        from kgrec.sources.files import append_log
+        append_log(spark, log_path, log)
     return results, log
 
 

@@ -2,7 +2,7 @@
 dot score (R6), pair features (J8), TransE score (R12), graph propagation (G3, R11).
 
 Vectors are ``array<double>`` columns.  Per-vector math stays in Catalyst higher-order functions
-(``zip_with`` / ``aggregate``), which codegen inside the stage; no Python.  Neighbour sums use one
+(``zip_with`` / ``aggregate``), evaluated in the JVM element by element; no Python.  Neighbour sums use one
 ``sum(w * vec[d])`` aggregate per dimension, so propagation is a join plus a partial aggregate with no
 row explosion and no array collection per key.
 """
@@ -46,8 +46,8 @@ def embedding_stats(vecs: DataFrame) -> DataFrame:
 
 def _unit_hash(entity: Column, d: Column, seed: int, salt: int) -> Column:
     """Deterministic uniform in (0, 1) from (entity, dim, seed): independent of partitioning."""
-    h = F.xxhash64(entity, d, F.lit(seed), F.lit(salt))
-    return (F.pmod(h, F.lit(2 ** 52)).cast("double") + F.lit(0.5)) / F.lit(float(2 ** 52))
+    h = F.md5(F.concat_ws("|", entity, d.cast("string"), F.lit(str(seed)), F.lit(str(salt))).cast("binary"))
+    return (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2 ** 48))
 
 
 def hashed_normal(entity: Column, d: Column, seed: int) -> Column:

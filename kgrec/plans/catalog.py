@@ -384,15 +384,19 @@ def q_split_leak_check(spark, d):
     return G.leak_pairs(cf, V.test(spark, d)).agg(F.count(F.lit(1)).alias("n_leaked"))
 
 
-@query("negative_samples", with_views("""
+PROBES_SQL = 64   # slots that the oracle tries; the operator goes on until a slot is free
+
+
+@query("negative_samples", with_views(f"""
 WITH t AS (SELECT k.head, k.relation, k.tail, h.id AS h, r.id AS r, e.id AS t
            FROM full_kg k JOIN kg_entities h ON h.name = k.head JOIN kg_relations r ON r.name = k.relation
            JOIN kg_entities e ON e.name = k.tail),
-     n AS (SELECT t.head, t.relation, t.tail,
-                  ((31 * t.h + 17 * t.r + 13 * t.t + 0) % (SELECT count(*) FROM kg_entities)) AS neg_id FROM t)
-SELECT n.head, n.relation, n.tail, e.name AS neg_tail FROM n JOIN kg_entities e ON e.id = n.neg_id
-WHERE NOT EXISTS (SELECT 1 FROM full_kg k WHERE k.head = n.head AND k.relation = n.relation AND k.tail = e.name)""",
-                                      "full_kg", "kg_entities", "kg_relations"))
+     c AS (SELECT t.head, t.relation, t.tail, a,
+                  ((31 * t.h + 17 * t.r + 13 * t.t + 0 + a) % (SELECT count(*) FROM kg_entities)) AS neg_id
+           FROM t, range(0, {PROBES_SQL}) p(a))
+SELECT c.head, c.relation, c.tail, arg_min(e.name, c.a) AS neg_tail FROM c JOIN kg_entities e ON e.id = c.neg_id
+WHERE NOT EXISTS (SELECT 1 FROM full_kg k WHERE k.head = c.head AND k.relation = c.relation AND k.tail = e.name)
+GROUP BY c.head, c.relation, c.tail""", "full_kg", "kg_entities", "kg_relations"))
 def q_negative_samples(spark, d):
     kg = V.full_kg(spark, d)
     return G.negative_samples(kg, G.kg_vocab(kg), epoch=0)
@@ -514,11 +518,20 @@ def q_missing_entities(spark, d):
     return VX.missing_entities(ents, T.vectors(spark, d))
 
 
-@query("impute_embeddings")
+@query("impute_embeddings", with_views("""
+WITH st AS (SELECT avg(v) AS mean, stddev_pop(v) AS std FROM vector_cells),
+e AS (SELECT r.entity, v.vec IS NULL AS imputed, v.vec, CAST(t.d AS BIGINT) AS d
+      FROM (SELECT DISTINCT entity FROM rating_entities) r LEFT JOIN vectors v USING (entity), range(0, 64) t(d)),
+h AS (SELECT *, (CAST('0x' || substr(md5(entity || '|' || d || '|42|1'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u1,
+             (CAST('0x' || substr(md5(entity || '|' || d || '|42|2'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u2 FROM e)
+SELECT entity, imputed, d, round(CASE WHEN imputed THEN mean + std * (sqrt(-2.0 * ln(u1)) * cos(2 * pi() * u2))
+                                 ELSE vec[d + 1] END, 6) AS value FROM h, st""",
+                                       "rating_entities", "vectors", "vector_cells"))
 def q_impute_embeddings(spark, d):
-    """Every rating entity with its vector or a hashed N(mean, std) draw (G6, G7); randomised, no SQL."""
+    """Every rating entity with its vector or a hashed N(mean, std) draw (G6, G7), one row a cell."""
     out = VX.impute_vectors(_rating_entities(spark, d), T.vectors(spark, d), seed=42)
-    return out.select("entity", "imputed", "vec")
+    cells = out.select("entity", "imputed", F.posexplode("vec").alias("d", "v"))
+    return cells.select("entity", "imputed", F.col("d").cast("bigint").alias("d"), r6(F.col("v")).alias("value"))
 
 
 def _test_pairs(spark, d) -> DataFrame:
@@ -717,56 +730,203 @@ def q_bce_loss(spark, d):
                  r6(F.avg(S.bce_loss(p, F.col("rating").cast("double")))).alias("loss"))
 
 
-@query("bpr_samples", with_views("""
+@query("bpr_samples", with_views(f"""
 WITH idx AS (SELECT item_id, CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS idx FROM items),
-c AS (SELECT t.user_id, t.item_id AS pos_item,
-             (31 * t.user_id + 17 * i.idx + 0) % (SELECT count(*) FROM items) AS nidx
-      FROM train t JOIN idx i USING (item_id) WHERE t.rating = 1)
-SELECT c.user_id, c.pos_item, n.item_id AS neg_item FROM c JOIN idx n ON n.idx = c.nidx
-WHERE NOT EXISTS (SELECT 1 FROM train s WHERE s.user_id = c.user_id AND s.item_id = n.item_id)""",
-                                 "train", "items"))
+c AS (SELECT t.user_id, t.item_id AS pos_item, a,
+             (31 * t.user_id + 17 * i.idx + 0 + a) % (SELECT count(*) FROM items) AS nidx
+      FROM train t JOIN idx i USING (item_id), range(0, {PROBES_SQL}) p(a) WHERE t.rating = 1)
+SELECT c.user_id, c.pos_item, arg_min(n.item_id, c.a) AS neg_item FROM c JOIN idx n ON n.idx = c.nidx
+WHERE NOT EXISTS (SELECT 1 FROM train s WHERE s.user_id = c.user_id AND s.item_id = n.item_id)
+GROUP BY c.user_id, c.pos_item""", "train", "items"))
 def q_bpr_samples(spark, d):
     return K.bpr_samples(V.train(spark, d), T.items(spark, d).select("item_id"), epoch=0)
 
 
-# ---- training and scoring jobs (rows-only checks; unit tests cover the maths) -------------------
+# ---- training and scoring jobs (rows-only checks; the *_step queries check their steps) ----------
+
+# Epochs of the registered training queries; the operators' parameter has no limit (the published runs use 15 to 30).
+TRAIN_EPOCHS = 2
 
 @query("bpr_train")
 def q_bpr_train(spark, d):
-    """Three full-batch BPR epochs on the train positives; final user / item vectors."""
-    res = K.bpr_train(V.train(spark, d), T.items(spark, d).select("item_id"), epochs=3)
+    """Full-batch BPR epochs on the train positives; final user / item vectors."""
+    res = K.bpr_train(V.train(spark, d), T.items(spark, d).select("item_id"), epochs=TRAIN_EPOCHS)
     return res.vectors
 
 
-def _cf_and_catalog(spark, d) -> DataFrame:
-    tagged = V.kg_tagged(spark, d)
-    return tagged.filter((F.col("mask").bitwiseAND(F.lit(3))) != 0).select("head", "relation", "tail")
+def _like_and_catalog(spark, d) -> DataFrame:
+    """Likes as one interaction relation plus the catalogue facts; dislikes are no interaction of this model."""
+    tagged = V.kg_tagged(spark, d).filter(F.col("mask").bitwiseAND(F.lit(3)) != 0)
+    return tagged.filter(F.col("relation") != G.DISLIKE).select("head", "relation", "tail")
 
 
 @query("cfkg_train")
 def q_cfkg_train(spark, d):
-    """CFKG: interactions as a 'like' relation plus catalogue facts, TransE margin loss."""
-    res = K.triple_train(_cf_and_catalog(spark, d), kind="transe", loss="margin", epochs=2, margin=1.0)
+    """CFKG: likes as one relation plus catalogue facts, TransE margin loss."""
+    res = K.triple_train(_like_and_catalog(spark, d), kind="transe", loss="margin", epochs=TRAIN_EPOCHS, margin=1.0)
     return res.vectors.select(F.lit("entity").alias("kind"), "entity", "vec").unionByName(
         res.relations.select(F.lit("relation").alias("kind"), "entity", "vec"))
 
 
+KGE_KIND = "distmult"
+
+
+def _kge_model(spark, d) -> DataFrame:
+    """Trained once a session: ``(kind, entity, vec)`` of the all-sources setting with inverse edges."""
+    def build(spark, d):
+        kg = G.inverse_triples(V.full_kg(spark, d))
+        res = K.triple_train(kg, kind=KGE_KIND, loss="logistic", epochs=TRAIN_EPOCHS, lr=0.5)
+        return res.vectors.select(F.lit("entity").alias("kind"), "entity", "vec").unionByName(
+            res.relations.select(F.lit("relation").alias("kind"), "entity", "vec"))
+    return T.materialized(spark, d, f"kge-model-{TRAIN_EPOCHS}", build)
+
+
 @query("kge_train")
 def q_kge_train(spark, d):
-    """KGE on the all-sources setting with inverse edges, DistMult with logistic loss."""
-    kg = G.inverse_triples(V.full_kg(spark, d))
-    res = K.triple_train(kg, kind="distmult", loss="logistic", epochs=2, lr=0.5)
-    return res.vectors
+    return _kge_model(spark, d)
+
+
+def _both_ways(spark, d, train_kg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Held-out like / dislike triples and their inverses (tails, then heads, are ranked); all true triples."""
+    te = V.test(spark, d).join(V.item_uris(spark, d), "item_id")
+    test_kg = G.inverse_triples(G.restrict_to_vocab(G.cf_triples(te, T.user_entity(F.col("user_id")), F.col("uri")), train_kg))
+    known = G.inverse_triples(train_kg).unionByName(test_kg)
+    return test_kg, known
 
 
 @query("kge_rank_eval")
 def q_kge_rank_eval(spark, d):
-    """Filtered link prediction of held-out like/dislike triples after two TransE epochs."""
-    train_kg = _cf_and_catalog(spark, d)
-    res = K.triple_train(train_kg, kind="transe", loss="margin", epochs=2)
-    te = V.test(spark, d).join(V.item_uris(spark, d), "item_id")
-    test_kg = G.restrict_to_vocab(G.cf_triples(te, T.user_entity(F.col("user_id")), F.col("uri")), train_kg)
-    return K.rank_eval(test_kg, train_kg, res.vectors, res.relations, "transe")
+    """Filtered link prediction, tails and heads, of the model of ``kge_train``."""
+    model = _kge_model(spark, d)
+    ents, rels = (model.filter(F.col("kind") == k).select("entity", "vec") for k in ("entity", "relation"))
+    test_kg, known = _both_ways(spark, d, V.full_kg(spark, d))
+    return K.rank_eval(test_kg, known, ents, rels, KGE_KIND)
+
+
+# ---- single training steps and link prediction on the given vectors -----------------------------
+
+_PAIRS = """p AS (SELECT DISTINCT t.user_id, t.rating, 'user' || CAST(t.user_id AS VARCHAR) AS u, i.uri AS i
+     FROM train t JOIN item_uris i USING (item_id)),
+k AS (SELECT * FROM p WHERE u IN (SELECT entity FROM vectors) AND i IN (SELECT entity FROM vectors)),
+w AS (SELECT entity, CAST(row_number() OVER (ORDER BY entity) - 1 AS BIGINT) AS idx FROM vectors WHERE entity NOT LIKE 'user%'),"""
+
+
+def _given_pairs(spark, d) -> DataFrame:
+    """Train pairs of which both sides have a given vector: ``(user_id, rating, u, i)``."""
+    vec = T.vectors(spark, d).select("entity")
+    pairs = (V.train(spark, d).join(V.item_uris(spark, d), "item_id")
+             .select("user_id", "rating", T.user_entity(F.col("user_id")).alias("u"), F.col("uri").alias("i")).distinct())
+    return (pairs.join(vec.withColumnRenamed("entity", "u"), "u", "left_semi")
+            .join(vec.withColumnRenamed("entity", "i"), "i", "left_semi"))
+
+
+def _given_negatives(spark, d) -> DataFrame:
+    """Each given pair with item number (31 * user + 17 * item's number) mod items as its negative."""
+    items = T.vectors(spark, d).select("entity").filter(~F.col("entity").startswith("user"))
+    idx = R.dense_index(items, "entity", "idx")
+    n = idx.agg(F.count(F.lit(1)).alias("n"))
+    own = _given_pairs(spark, d).join(idx.select(F.col("entity").alias("i"), "idx"), "i")
+    at = attach_scalars(own, n).withColumn("at", F.pmod(31 * F.col("user_id") + 17 * F.col("idx"), F.col("n")))
+    return at.join(idx.select(F.col("idx").alias("at"), F.col("entity").alias("neg")), "at").select("user_id", "rating", "u", "i", "neg")
+
+
+_NEGATIVES = """s AS (SELECT k.u, k.i, k.rating, n.entity AS neg FROM k JOIN w o ON o.entity = k.i
+      JOIN w n ON n.idx = (31 * k.user_id + 17 * o.idx) % (SELECT count(*) FROM w)),"""
+
+_BPR_STEP = with_views(f"""
+WITH {_PAIRS}{_NEGATIVES}
+q AS (SELECT * FROM s WHERE rating = 1),
+c AS (SELECT q.u, q.i, q.neg, a.d, a.v AS av, b.v AS bv, n.v AS nv FROM q JOIN vector_cells a ON a.entity = q.u
+      JOIN vector_cells b ON b.entity = q.i AND b.d = a.d JOIN vector_cells n ON n.entity = q.neg AND n.d = a.d),
+x AS (SELECT u, i, neg, -1.0 / (1.0 + exp(sum(av * (bv - nv)))) AS g FROM c GROUP BY u, i, neg),
+m AS (SELECT c.*, x.g FROM c JOIN x USING (u, i, neg)),
+gs AS (SELECT entity, d, sum(g) AS g FROM (
+  SELECT u AS entity, d, g * (bv - nv) + 0.01 * av AS g FROM m UNION ALL
+  SELECT i, d, g * av + 0.01 * bv FROM m UNION ALL SELECT neg, d, -g * av + 0.01 * nv FROM m) GROUP BY entity, d)
+SELECT v.entity, v.d, round(v.v - coalesce(gs.g, 0.0) * 5.0 / (SELECT count(*) FROM q), 6) AS value
+FROM vector_cells v LEFT JOIN gs USING (entity, d)""", "train", "item_uris", "vectors", "vector_cells")
+
+
+@query("bpr_step", _BPR_STEP)
+def q_bpr_step(spark, d):
+    """One BPR gradient step from the given vectors."""
+    s = _given_negatives(spark, d).filter(F.col("rating") == 1)
+    vec = T.vectors(spark, d).withColumn("entity", F.col("entity"))
+    new, _ = K.bpr_step(vec, s.select(F.col("u").alias("uk"), F.col("i").alias("pk"), F.col("neg").alias("nk")), lr=5.0, reg=0.01)
+    return _long(new)
+
+
+def _triple_step_sql(kind: str) -> str:
+    score = {"transe": "-sum((h + r - {t}) * (h + r - {t}))", "distmult": "sum(h * r * {t})", "inner": "sum((h + r) * {t})"}[kind]
+    grads = {"transe": ("2.0 * ((h + r - t) - (h + r - n))", "2.0 * ((h + r - t) - (h + r - n))", "-2.0 * (h + r - t)", "2.0 * (h + r - n)"),
+             "distmult": ("r * n - r * t", "h * n - h * t", "-(h * r)", "h * r"),
+             "inner": ("n - t", "n - t", "-(h + r)", "h + r")}[kind]
+    weight = "1.0 / (1.0 + exp(sp - sn))"
+    gh, gr, gt, gn = grads
+    return with_views(f"""
+WITH {_PAIRS}{_NEGATIVES}
+rel AS (SELECT rating, a.d, avg(b.v - a.v) AS v FROM k JOIN vector_cells a ON a.entity = k.u
+        JOIN vector_cells b ON b.entity = k.i AND b.d = a.d GROUP BY rating, a.d),
+c AS (SELECT s.u, s.i, s.neg, s.rating, a.d, a.v AS h, rel.v AS r, b.v AS t, e.v AS n FROM s JOIN vector_cells a ON a.entity = s.u
+      JOIN vector_cells b ON b.entity = s.i AND b.d = a.d JOIN vector_cells e ON e.entity = s.neg AND e.d = a.d
+      JOIN rel ON rel.rating = s.rating AND rel.d = a.d),
+x AS (SELECT u, i, neg, rating, {score.format(t='t')} AS sp, {score.format(t='n')} AS sn FROM c GROUP BY u, i, neg, rating),
+m AS (SELECT c.*, {weight} AS w FROM c JOIN x USING (u, i, neg, rating)),
+gs AS (SELECT kind, entity, d, sum(g) AS g FROM (
+  SELECT 'entity' AS kind, u AS entity, d, w * ({gh}) AS g FROM m UNION ALL SELECT 'entity', i, d, w * ({gt}) FROM m
+  UNION ALL SELECT 'entity', neg, d, w * ({gn}) FROM m
+  UNION ALL SELECT 'relation', CAST(rating AS VARCHAR), d, w * ({gr}) FROM m) GROUP BY kind, entity, d),
+old AS (SELECT 'entity' AS kind, entity, d, v FROM vector_cells UNION ALL SELECT 'relation', CAST(rating AS VARCHAR), d, v FROM rel)
+SELECT old.kind, old.entity, old.d, round(old.v - coalesce(gs.g, 0.0) * 5.0 / (SELECT count(*) FROM s), 6) AS value
+FROM old LEFT JOIN gs USING (kind, entity, d)""", "train", "item_uris", "vectors", "vector_cells")
+
+
+def _given_relations(spark, d) -> DataFrame:
+    """A relation for each rating, its vector the mean translation over the given pairs: ``(entity, vec)``."""
+    edges = _given_pairs(spark, d).select(F.col("u").alias("head"), F.col("rating").cast("string").alias("relation"), F.col("i").alias("tail"))
+    return VX.relation_translation(edges, T.vectors(spark, d)).select(F.col("relation").alias("entity"), F.col("r").alias("vec"))
+
+
+def _triple_step(kind: str):
+    def run(spark, d):
+        samples = _given_negatives(spark, d).select(F.col("u").alias("head"), F.col("rating").cast("string").alias("relation"),
+                                                    F.col("i").alias("tail"), F.col("neg").alias("neg_tail"))
+        ents, rels, _ = K.triple_epoch(T.vectors(spark, d), _given_relations(spark, d), samples, kind, "logistic", lr=5.0)
+        return (_long(ents).select(F.lit("entity").alias("kind"), "entity", "d", "value")
+                .unionByName(_long(rels).select(F.lit("relation").alias("kind"), "entity", "d", "value")))
+    run.__name__ = f"q_{kind}_step"
+    run.__doc__ = f"One {kind} gradient step with logistic loss from the given vectors (G4, R12)."
+    return run
+
+
+for _kind in ("transe", "distmult", "inner"):
+    query(f"{_kind}_step", _triple_step_sql(_kind))(_triple_step(_kind))
+
+
+@query("link_rank", with_views(f"""
+WITH {_PAIRS}
+rel AS (SELECT rating, a.d, avg(b.v - a.v) AS v FROM k JOIN vector_cells a ON a.entity = k.u
+        JOIN vector_cells b ON b.entity = k.i AND b.d = a.d GROUP BY rating, a.d),
+te AS (SELECT DISTINCT 'user' || CAST(t.user_id AS VARCHAR) AS u, t.rating, i.uri AS i FROM test t JOIN item_uris i USING (item_id)),
+q AS (SELECT * FROM te WHERE u IN (SELECT entity FROM vectors) AND i IN (SELECT entity FROM vectors) AND rating IN (SELECT rating FROM rel)),
+hr AS (SELECT g.u, g.rating, a.d, a.v + rel.v AS v FROM (SELECT DISTINCT u, rating FROM q) g JOIN vector_cells a ON a.entity = g.u
+       JOIN rel ON rel.rating = g.rating AND rel.d = a.d),
+sc AS (SELECT hr.u, hr.rating, c.entity, -sum((hr.v - c.v) * (hr.v - c.v)) AS s FROM hr JOIN vector_cells c ON c.d = hr.d GROUP BY 1, 2, 3),
+true_tails AS (SELECT u, rating, i FROM q UNION SELECT u, rating, i FROM k),
+r AS (SELECT q.u, q.rating, q.i, 1 + (SELECT count(*) FROM sc o WHERE o.u = q.u AND o.rating = q.rating
+        AND o.s > sc.s + 1e-9 * (1 + abs(sc.s)) AND NOT EXISTS (SELECT 1 FROM true_tails x WHERE x.u = q.u AND x.rating = q.rating AND x.i = o.entity)) AS rank
+      FROM q JOIN sc ON sc.u = q.u AND sc.rating = q.rating AND sc.entity = q.i)
+SELECT count(*) AS n, round(avg(rank), 6) AS mr, round(avg(1.0 / rank), 6) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hits_1,
+       round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hits_3, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hits_10 FROM r""",
+                               "train", "test", "item_uris", "vectors", "vector_cells"))
+def q_link_rank(spark, d):
+    """Filtered link prediction on the given vectors with mean translations as relations."""
+    vec = T.vectors(spark, d)
+    te = (V.test(spark, d).join(V.item_uris(spark, d), "item_id")
+          .select(T.user_entity(F.col("user_id")).alias("head"), F.col("rating").cast("string").alias("relation"), F.col("uri").alias("tail")))
+    own = _given_pairs(spark, d).select(F.col("u").alias("head"), F.col("rating").cast("string").alias("relation"), F.col("i").alias("tail"))
+    out = K.rank_eval(te, own.unionByName(te), vec, _given_relations(spark, d), "transe")
+    return out.select("n", *[r6(F.col(c)).alias(c) for c in ("mr", "mrr", "hits_1", "hits_3", "hits_10")])
 
 
 def _imputed_pairs(spark, d, fold_name: str) -> DataFrame:

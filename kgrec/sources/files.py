@@ -6,7 +6,6 @@ parquet or delimited text through the DataFrame writer; nothing goes through the
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,7 @@ ATOMIC_TYPES = {"token": T.StringType(), "float": T.DoubleType(), "int": T.LongT
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory (never a machine-local temp dir)."""
+    """A fresh folder under the checkpoint directory (``session.ensure_checkpoint_dir``)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/kgrec-{name}-{uuid.uuid4().hex[:12]}"
 
@@ -100,16 +99,16 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite", header: bool =
 def read_json_docs(spark: SparkSession, path: str) -> DataFrame:
     """Folder of one-JSON-object-per-file documents, entity id taken from the file name.
 
-    Output ``(entity, key, values array<string>)``: string values become one-element arrays,
-    array values are parsed as ``array<string>``.
+    Output ``(entity, key, values array<string>)``: array values are their elements, any other value
+    is one element.  The JSON token decides (a string may well start with ``[``).
     """
     raw = spark.read.option("wholetext", True).text(path).select(
         entity_from_path(F.col("_metadata.file_path")).alias("entity"),
-        F.from_json("value", "map<string,string>").alias("doc"))
+        F.from_json("value", "map<string,variant>").alias("doc"))
     kv = raw.select("entity", F.explode("doc").alias("key", "raw"))
-    as_array = F.from_json("raw", "array<string>")
-    return kv.select("entity", "key",
-                     F.when(F.col("raw").startswith("["), as_array).otherwise(F.array(F.col("raw"))).alias("values"))
+    is_array = F.schema_of_variant("raw").startswith("ARRAY")
+    return kv.select("entity", "key", F.when(is_array, F.try_variant_get("raw", "$", "array<string>"))
+                     .otherwise(F.array(F.try_variant_get("raw", "$", "string"))).alias("values"))
 
 
 def write_json_docs(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
@@ -122,8 +121,7 @@ def write_json_docs(df: DataFrame, path: str, partition_by: list[str] | None = N
 
 def write_store(df: DataFrame, path: str, partition_by: list[str], mode: str = "overwrite") -> None:
     """Partitioned parquet store (K3-K6): dynamic overwrite replaces only the written partitions."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -133,12 +131,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Existing table or an empty frame with ``schema``."""
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hpath):
-        return spark.read.parquet(path)
-    return spark.createDataFrame([], schema)
+    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def write_matrix(df: DataFrame, path: str, dim: int) -> None:
@@ -173,8 +166,7 @@ def append_log(spark: SparkSession, path: str, rows: list[tuple[str, str, str]])
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    if path.startswith("/"):
-        return os.path.exists(path)
+    """Whether the path exists in the file system that Spark resolves it to (never the driver's own disk)."""
     jvm = spark._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)

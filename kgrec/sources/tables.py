@@ -4,7 +4,7 @@ The driver ships TPC-H-like tables; the pipeline needs interactions, an item cat
 graph, raw completions and entity vectors.  Every view below is a lazy DataFrame over the parquet
 scans, so Catalyst prunes columns and pushes filters into the scan of each caller.
 
-Mapping (kept identical in ``plans.oracle`` so DuckDB can check every query):
+Mapping (kept identical in ``plans.sqlviews`` so DuckDB can check every query):
 
 * interactions(user_id, item_id, rating, seq, fold): orders JOIN lineitem, user = o_custkey,
   item = l_partkey, rating = 1 if l_quantity >= 26 else 0, one row per (user, item): the latest by

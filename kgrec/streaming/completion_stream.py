@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgrec.operators.complete import CompletionFn, keyword_completion, run_completions
+from kgrec.operators.complete import CompletionFn, append_answers, keyword_completion, run_completions
 from kgrec.sources.files import exists
 
 PROMPT_SCHEMA = "item_id bigint, prompt string"
@@ -24,8 +24,7 @@ def start_completion_stream(spark: SparkSession, prompt_dir: str, answer_dir: st
 
     def answer_batch(batch: DataFrame, epoch_id: int) -> None:
         answers = spark.read.parquet(answer_dir) if exists(spark, answer_dir) else None
-        done = run_completions(batch, key, fn, answers=answers)
-        done.write.mode("append").parquet(answer_dir)
+        append_answers(run_completions(batch, key, fn, answers=answers), answer_dir)
 
     writer = prompts.writeStream.foreachBatch(answer_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

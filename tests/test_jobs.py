@@ -5,12 +5,15 @@ import os
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kgrec.operators import complete as CP
+from kgrec.operators import graph as G
 from kgrec.operators import kernel as K
 from kgrec.operators import runs as RU
 from kgrec.operators import scorer as S
+from kgrec.sources.files import exists, read_json_docs, write_store
 from kgrec.streaming.completion_stream import start_completion_stream
 
 
@@ -121,12 +124,15 @@ def test_run_isolated_and_param_store(spark):
 
 
 def test_rank_eval_matches_brute_force(spark):
+    """Several test tails per (h, r), known tails tied with or a hair above the true one, equal vectors."""
     rng = np.random.RandomState(11)
-    ents = [f"e{i}" for i in range(12)]
+    ents = [f"e{i}" for i in range(14)]
     vec = {e: rng.normal(size=4) for e in ents}
+    vec["e12"] = vec["e5"].copy()                 # exact tie with a test tail
+    vec["e13"] = vec["e6"] * (1 + 1e-11)          # near tie
     rvec = {"r": rng.normal(size=4)}
-    known = [("e0", "r", "e1"), ("e0", "r", "e2"), ("e3", "r", "e4")]
-    test = [("e0", "r", "e5"), ("e3", "r", "e6"), ("e7", "r", "e8")]
+    test = [("e0", "r", "e5"), ("e0", "r", "e9"), ("e0", "r", "e10"), ("e3", "r", "e6"), ("e7", "r", "e8")]
+    known = [("e0", "r", "e1"), ("e0", "r", "e2"), ("e0", "r", "e12"), ("e3", "r", "e4"), ("e3", "r", "e13"), *test]
     edf = spark.createDataFrame([(e, v.tolist()) for e, v in vec.items()], "entity string, vec array<double>")
     rdf = spark.createDataFrame([("r", rvec["r"].tolist())], "entity string, vec array<double>")
     kdf = spark.createDataFrame(known, "head string, relation string, tail string")
@@ -142,11 +148,64 @@ def test_rank_eval_matches_brute_force(spark):
             return np.dot(a + r, b)
         ranks = []
         for h, _, t in test:
-            s_true = sc(h, t)
-            higher = sum(sc(h, e) > s_true for e in ents)
-            filt = sum(sc(h, o) > s_true for hh, _, o in known if hh == h and o != t)
-            ranks.append(1 + higher - filt)
-        got = K.rank_eval(tdf, kdf, edf, rdf, kind, block=5).collect()[0]
-        assert got["n"] == 3
+            above = {e for e in ents if sc(h, e) > sc(h, t) + 1e-9 * (1 + abs(sc(h, t)))}
+            ranks.append(1 + len(above - {o for hh, _, o in known if hh == h}))
+        got = K.rank_eval(tdf, kdf, edf, rdf, kind, block=5, chunk=2).collect()[0]
+        assert got["n"] == len(test)
         assert math.isclose(got["mr"], np.mean(ranks))
         assert math.isclose(got["hits_1"], np.mean([r <= 1 for r in ranks]))
+
+
+def test_json_docs_keep_bracketed_strings(spark, tmp_path):
+    (tmp_path / "e1.json").write_text('{"plain": "[1] some text", "genre": ["a", "[b"], "n": 3, "none": null}')
+    got = {(r["key"]): r["values"] for r in read_json_docs(spark, str(tmp_path)).collect()}
+    assert got["plain"] == ["[1] some text"] and got["genre"] == ["a", "[b"] and got["n"] == ["3"]
+
+
+def test_best_per_model_string_ties(spark):
+    res = spark.createDataFrame([("m", "b", 0.5), ("m", "a", 0.5), ("m", "0", 0.1)], "model string, run string, precision double")
+    assert [r["run"] for r in RU.best_per_model(res, "precision", tie_cols=("run",)).collect()] == ["a"]
+
+
+def test_dropout_does_not_depend_on_partitions(spark):
+    rng = np.random.RandomState(0)
+    rows = [(rng.normal(size=8).tolist(), rng.normal(size=8).tolist(), float(k % 2)) for k in range(60)]
+    df = spark.createDataFrame(rows, "u array<double>, v array<double>, y double")
+    one, many = (S.mlp_train(df.repartition(n), epochs=3, dim=8, dropout=0.4).losses for n in (1, 7))
+    assert one == pytest.approx(many, rel=1e-9) and S.mlp_train(df, epochs=1, dim=8).losses != one[:1]
+
+
+def test_completions_answer_a_key_once_and_isolate_failures(spark):
+    def fn(prompts):
+        if prompts.str.contains("bad").any():
+            raise ValueError("no answer")
+        return "<" + prompts + ">"
+    rows = [(1, "x"), (1, "x"), (2, "bad"), (3, "y")]
+    got = CP.run_completions(spark.createDataFrame(rows, "item_id long, prompt string").coalesce(1), "item_id", fn).collect()
+    assert sorted((r["item_id"], r["plain"]) for r in got) == [(1, "<x>"), (3, "<y>")]
+
+
+def test_store_leaves_the_session_alone(spark, tmp_path):
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "x long, k string")
+    write_store(df, f"{tmp_path}/s", ["k"])
+    write_store(df.filter("k = 'a'").withColumn("x", df.x + 10), f"{tmp_path}/s", ["k"])
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+    assert {(r["x"], r["k"]) for r in spark.read.parquet(f"{tmp_path}/s").collect()} == {(11, "a"), (2, "b")}
+    assert exists(spark, f"{tmp_path}/s") and not exists(spark, f"{tmp_path}/none")
+
+
+def test_every_positive_keeps_a_negative(spark):
+    train = spark.createDataFrame([(1, i, 1, i) for i in range(9)] + [(2, 3, 1, 9)] + [(3, i, 1, i) for i in range(10)],
+                                  "user_id long, item_id long, rating long, seq long")
+    items = spark.createDataFrame([(i,) for i in range(10)], "item_id long")
+    got = K.bpr_samples(train, items, 0).collect()
+    assert sorted(r["pos_item"] for r in got if r["user_id"] == 1) == list(range(9))
+    assert {r["neg_item"] for r in got if r["user_id"] == 1} == {9}
+    assert not [r for r in got if r["user_id"] == 3] and [r["neg_item"] != 3 for r in got if r["user_id"] == 2] == [True]
+
+
+def test_free_sources_get_their_own_bits(spark):
+    df = spark.createDataFrame([("a", "r", "b")], "head string, relation string, tail string")
+    got = G.tag_sources({"cf": df, "friends": df, "genre": df.withColumn("tail", F.col("head"))}).collect()
+    assert {(r["tail"], r["mask"]) for r in got} == {("b", 17), ("a", 32)}

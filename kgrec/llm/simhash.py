@@ -34,6 +34,7 @@ SHINGLE = 3
 RADIUS = 3
 TILE_ROWS = 2048       # most fingerprints of a tile, on average
 QUARTER = 16
+COMMON = 1024          # a fingerprint of more than 1 / COMMON of all rows is common
 BLOCK = 1 << 16        # shingles whose bits are counted at once
 
 
@@ -83,16 +84,19 @@ def _cell(counts: list[Column]) -> Column:
     return code
 
 
-def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two arrays of fingerprints."""
-    left, right = [], []
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links between two arrays of fingerprints, a bounded block at a time reduced to a forest."""
+    x, y = np.empty(0, a.dtype), np.empty(0, a.dtype)
     for at in range(0, len(a), 512):
         i, j = np.nonzero(np.bitwise_count(a[at:at + 512, None] ^ b[None, :]) <= radius)
-        x, y = a[i + at], b[j]
-        differs = x != y
-        left.append(x[differs])
-        right.append(y[differs])
-    x, y = np.concatenate(left), np.concatenate(right)
+        u, v = a[i + at], b[j]
+        differs = u != v
+        x, y = _forest(np.concatenate([x, u[differs]]), np.concatenate([y, v[differs]]))
+    return x, y
+
+
+def _forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of links: every node but the least of its component, and that least node."""
     if not len(x):
         return x, y
     nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
@@ -100,10 +104,8 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     label = np.arange(len(nodes))
     while True:  # smallest label among links, then jump along labels
         new = label.copy()
-        np.minimum.at(new, u, label[v])
-        np.minimum.at(new, v, label[u])
-        np.minimum.at(new, label[u], label[v])
-        np.minimum.at(new, label[v], label[u])
+        for to, by in ((u, v), (v, u), (label[u], v), (label[v], u)):
+            np.minimum.at(new, to, label[by])
         new = new[new]
         if (new == label).all():
             break
@@ -136,45 +138,49 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
              .select("a_fps", F.col("fps").alias("b_fps")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = (np.empty(0, np.uint64),) * 2  # the forest of all that this task has compared
         for batch in batches:
-            found = [_forest(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), radius)
+            found = [_forest(*_near(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), radius))
                      for x, y in zip(batch.column(0), batch.column(1), strict=True)]
-            a = np.concatenate([f[0] for f in found] or [np.empty(0, np.uint64)]).view(np.int64)
-            b = np.concatenate([f[1] for f in found] or [np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            own = _forest(*(np.concatenate([own[k], *(f[k] for f in found)]) for k in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in own], ["a", "b"])
 
     return pairs.mapInArrow(compare, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node of the edges ``(a, b)``: nodes of one component share their root."""
-    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
-                   .unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "simhash-edges")
-    roots = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "simhash-roots")
+    """``(node, root)`` for every node of the edges ``(a, b)``: nodes of one component share their root.
+
+    In each round the larger root of an open edge hooks to the smaller, then every node jumps along roots; edges
+    whose ends share a root are settled for good and leave.
+    """
+    open_edges = written(edges.distinct(), "simhash-edges")
+    ends = open_edges.select(F.col("a").alias("node")).unionByName(open_edges.select(F.col("b").alias("node")))
+    roots = written(ends.distinct().withColumn("root", F.col("node")), "simhash-roots")
     while True:
-        by_other = roots.select(F.col("node").alias("other"), F.col("root").alias("seen"))
-        near = both.join(by_other, "other").select("node", "seen")
-        # Hook: a node's root takes the smallest root seen by any node under it; then jump along roots.
-        hooks = near.join(roots, "node").select(F.col("root").alias("node"), "seen")
-        low = near.unionByName(hooks).unionByName(roots.select("node", F.col("root").alias("seen")))
-        hooked = low.groupBy("node").agg(F.min("seen").alias("root"))
-        jumped = hooked.alias("h").join(hooked.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left")
-        step = written(jumped.select("node", F.least("root", F.coalesce("up", "root")).alias("root")), "simhash-roots")
-        changed = step.join(roots.withColumnRenamed("root", "old"), "node").filter(F.col("root") != F.col("old")).limit(1)
-        if changed.isEmpty():
-            return step
-        roots = step
+        of_a, of_b = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+        open_edges = written(open_edges.select("a", "b").join(of_a, "a").join(of_b, "b").filter("root_a <> root_b"), "simhash-edges")
+        hooks = open_edges.groupBy(F.greatest("root_a", "root_b").alias("root")).agg(F.min(F.least("root_a", "root_b")).alias("low"))
+        if hooks.isEmpty():
+            return roots
+        hooked = roots.join(hooks, "root", "left").select("node", F.coalesce("low", "root").alias("root"))
+        up = hooked.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        roots = written(hooked.join(up, "root").select("node", F.least("root", "up").alias("root")), "simhash-roots")
 
 
 def component_ids(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Adds ``root`` (a fingerprint of the component) and ``component_id``, its smallest ``doc_id``, to rows with ``fp``."""
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-distinct")
     linked = components(links(distinct, radius)).withColumnRenamed("node", "fp")
     least = linked.join(distinct, "fp").groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = linked.join(least, "root").select("fp", "root", "least_id")
-    by_fp = distinct.join(named, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(by_fp, "fp")
+    by_fp = written(distinct.join(named, "fp", "left").select(
+        "fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id")), "simhash-named")
+    # Fingerprints of so many copies that there are at most COMMON of them are looked up, the others joined.
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    many = F.broadcast(by_fp.filter(F.col("n") * COMMON > total).drop("n"))
+    few = prints.join(many.select("fp"), "fp", "left_anti").join(by_fp.drop("n"), "fp")
+    return few.unionByName(prints.join(many, "fp"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -650,22 +650,46 @@ def q_ease_gram(spark, d):
     return NB.gram(V.train(spark, d), EASE_REG)
 
 
+from kgrec.operators import linear as LN  # noqa: E402
+
+SLIM_ALPHA, SLIM_L1 = 0.01, 0.01
+
+
+def _ease(spark, d) -> DataFrame:
+    return T.materialized(spark, d, "ease-scores", lambda s, p: LN.ease_scores(V.train(s, p), V.test(s, p), EASE_REG))
+
+
+def _slim(spark, d) -> DataFrame:
+    return T.materialized(spark, d, "slim-scores", lambda s, p: LN.slim_scores(V.train(s, p), V.test(s, p), SLIM_ALPHA, SLIM_L1))
+
+
 @query("ease")
 def q_ease(spark, d):
-    """EASE closed form (reg 250) on a size-checked dense Gram, scored on test pairs."""
-    tr = V.train(spark, d)
-    items, b = NB.ease_weights(tr, EASE_REG)
-    s = NB.dense_scores(tr, V.test(spark, d), items, b)
-    return s.select("user_id", "item_id", r6(F.col("score")).alias("score"))
+    """EASE (reg 250) by conjugate gradients to a tolerance, scored on the test pairs."""
+    return _ease(spark, d).select("user_id", "item_id", r6(F.col("score")).alias("score"))
 
 
 @query("slim")
 def q_slim(spark, d):
-    """SLIM elastic net (alpha 0.01, l1 0.01) by blocked coordinate descent, scored on test pairs."""
-    tr = V.train(spark, d)
-    w = NB.slim_weights(tr, alpha=0.01, l1_ratio=0.01, sweeps=5)
-    s = NB.score_pairs(tr, w, V.test(spark, d))
-    return s.select("user_id", "item_id", r6(F.col("score")).alias("score"))
+    """SLIM elastic net (alpha 0.01, l1 0.01) by proximal gradients to a tolerance, scored on the test pairs."""
+    return _slim(spark, d).select("user_id", "item_id", r6(F.col("score")).alias("score"))
+
+
+_SOLVED_SQL = "SELECT item_id, count(*) AS n_pairs, true AS solved FROM test GROUP BY item_id"
+
+
+@query("ease_optimality", with_views(_SOLVED_SQL, "test"))
+def q_ease_optimality(spark, d):
+    """Whether |(G + reg I) p_j - e_j|, computed anew from the interactions, is within the tolerance for every wanted item."""
+    return _ease(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pairs"), (F.max("residual") <= LN.TOLERANCE).alias("solved"))
+
+
+@query("slim_optimality", with_views(_SOLVED_SQL, "test"))
+def q_slim_optimality(spark, d):
+    """Whether SLIM's optimality conditions hold within the tolerance for every wanted item's weights."""
+    n = V.train(spark, d).select("user_id").distinct().count()
+    tol = max(n * SLIM_ALPHA, 1.0) * LN.SLIM_TOLERANCE
+    return _slim(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pairs"), (F.max("residual") <= tol).alias("solved"))
 
 
 # ---- id maps, links, losses ---------------------------------------------------------------------

@@ -52,31 +52,6 @@ def test_knn_scores(spark):
     assert np.isclose(sc[1], sims[(3, 1)]) and np.isclose(sc[2], sims[(3, 2)])
 
 
-def test_ease_matches_closed_form(spark):
-    rows = [(u, i) for u in range(8) for i in range(6) if (u * 7 + i * 3) % 4 != 0]
-    df = spark.createDataFrame(rows, "user_id long, item_id long")
-    items, b = NB.ease_weights(df, reg=2.0)
-    x = np.zeros((8, 6))
-    for u, i in rows:
-        x[u, i] = 1
-    p = np.linalg.inv(x.T @ x + 2.0 * np.eye(6))
-    want = -p / np.diag(p)
-    np.fill_diagonal(want, 0)
-    np.testing.assert_allclose(b, want, atol=1e-10)
-    pairs = spark.createDataFrame([(0, 0), (1, 5)], "user_id long, item_id long")
-    sc = {(r["user_id"], r["item_id"]): r["score"] for r in NB.dense_scores(df, pairs, items, b).collect()}
-    np.testing.assert_allclose(sc[(0, 0)], (x[0] @ want)[0], rtol=1e-5)
-
-
-def test_ease_size_check(spark):
-    df = spark.createDataFrame([(0, i) for i in range(5)], "user_id long, item_id long")
-    try:
-        NB.ease_weights(df, max_items=3)
-        raise AssertionError("expected ValueError")
-    except ValueError:
-        pass
-
-
 def test_typed_header_file(spark):
     base = tempfile.mkdtemp(prefix="kgrec-atomic-", dir="/tmp")
     path = os.path.join(base, "x.inter")

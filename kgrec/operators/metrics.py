@@ -164,3 +164,26 @@ def leaderboard(preds: DataFrame, train: DataFrame, test: DataFrame, existing: D
     if existing is not None:
         board = existing.unionByName(board)
     return board.orderBy("model")
+
+
+def read_board(spark, path: str) -> DataFrame:
+    """The stored board, one row a model."""
+    return spark.read.parquet(path)
+
+
+def update_board(spark, path: str, preds: DataFrame, train: DataFrame, test: DataFrame, ks: Sequence[int] = DEFAULT_KS,
+                 stats: DataFrame | None = None) -> int:
+    """Evaluates the models that the board at ``path`` lacks and appends their rows (K9, S14, J10); returns how many.
+
+    An absent board is an empty one.  A model's row is appended once, so a second run evaluates and changes nothing.
+    """
+    from kgrec.sources.files import exists
+    names = preds.select("model").distinct()
+    if exists(spark, path):
+        names = names.join(read_board(spark, path).select("model"), "model", "left_anti")
+    todo = [r["model"] for r in names.collect()]  # a row for each model
+    if not todo:
+        return 0
+    board = wide_board(system_metrics(preds.filter(F.col("model").isin(todo)), train, test, ks, stats=stats), ks)
+    board.write.mode("append").parquet(path)
+    return len(todo)

@@ -7,14 +7,18 @@ Scale notes
   per map partition.
 * ``global_row_number`` never sends all rows to one task: it range-sorts, counts rows per sorted
   partition (a table with one row per partition, a proven small bound), and adds offsets.
+* ``topk_scored_items`` ranks the whole catalogue with a model: user blocks meet item blocks, each pair of blocks is one
+  matrix of scores inside a task and only its best rows leave it.
 * ``topk_all_items`` never forms users x items.  A user can only reach the first ``k + |train_u|``
   catalogue positions, so it joins each user to exactly those positions (equi-join on the position).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +96,53 @@ def topk_all_items(users: DataFrame, item_scores: DataFrame, seen: DataFrame, k:
                 .withColumn("score", F.when(F.col("_seen"), F.lit(float(mask_score))).otherwise(F.col("score")))
                 .drop("_seen"))
     return topk_per_user(cand.select("user_id", "item_id", "score"), k)
+
+
+USER_BLOCK, ITEM_BLOCK = 256, 4096
+
+
+def dot_scores(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Users x items scores of a block: u . v, to 9 digits (so that ties do not hang on the order of summation)."""
+    return np.round(u @ v.T, 9)
+
+
+def topk_scored_items(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, mask_score: float | None = None,
+                      score: Callable[[np.ndarray, np.ndarray], np.ndarray] = dot_scores, user_block: int = USER_BLOCK,
+                      item_block: int = ITEM_BLOCK) -> DataFrame:
+    """Top-k of the whole catalogue per user by a model's score of ``users(user_id, vec)`` and ``items(item_id, vec)``.
+
+    ``score`` maps two blocks of vectors to their matrix of scores (a dot product, a distance, a network).  From a block a
+    user takes its best k + |seen| items, which is enough whatever is seen; then seen items go, or with ``mask_score`` keep
+    that score.  Output ``(user_id, item_id, score, rank)``.
+    """
+    n_seen = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_seen"))
+    reach = users.join(n_seen, "user_id", "left").select("user_id", "vec", (F.lit(k) + F.coalesce("n_seen", F.lit(0))).alias("reach"))
+    n_users, n_items = (max(1, -(-df.count() // size)) for df, size in ((users, user_block), (items, item_block)))
+    ub = reach.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(n_users)).alias("ub")).agg(F.collect_list(F.struct("user_id", "vec", "reach")).alias("u"))
+    ib = items.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(n_items)).alias("ib")).agg(F.collect_list(F.struct("item_id", "vec")).alias("i"))
+    spread = ub.withColumn("ib", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_items - 1).cast("bigint"))))
+    pairs = spread.join(ib, "ib").select("u.user_id", F.col("u.vec").alias("u_vec"), "u.reach", "i.item_id", F.col("i.vec").alias("i_vec"))
+
+    def best(batches):
+        for b in batches:
+            out = []
+            for r in range(b.num_rows):
+                user, uv, to, item, iv = (b.column(c)[r].values for c in range(5))
+                order = np.argsort(item.to_numpy())  # equal scores go by the smaller item
+                item = item.to_numpy()[order]
+                u = uv.flatten().to_numpy().reshape(len(user), -1)
+                v = iv.flatten().to_numpy().reshape(len(item), -1)[order]
+                for who, n, row in zip(user.to_numpy(), to.to_numpy(), score(u, v), strict=True):
+                    top = np.argsort(-row, kind="stable")[:n]
+                    out.append((np.full(len(top), who), item[top], row[top]))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["user_id", "item_id", "score"])
+
+    cand = pairs.mapInArrow(best, "user_id bigint, item_id bigint, score double")
+    flagged = seen.select("user_id", "item_id").distinct()
+    if mask_score is None:
+        cand = cand.join(flagged, ["user_id", "item_id"], "left_anti")
+    else:
+        cand = cand.join(flagged.withColumn("hit", F.lit(True)), ["user_id", "item_id"], "left").select(
+            "user_id", "item_id", F.when(F.col("hit"), F.lit(float(mask_score))).otherwise(F.col("score")).alias("score"))
+    return topk_per_user(cand, k)

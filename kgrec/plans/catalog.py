@@ -771,11 +771,16 @@ def q_bpr_samples(spark, d):
 # Epochs of the registered training queries; the operators' parameter has no limit (the published runs use 15 to 30).
 TRAIN_EPOCHS = 2
 
+def _bpr_model(spark, d) -> DataFrame:
+    def build(spark, d):
+        return K.bpr_train(V.train(spark, d), T.items(spark, d).select("item_id"), epochs=TRAIN_EPOCHS).vectors
+    return T.materialized(spark, d, f"bpr-model-{TRAIN_EPOCHS}", build)
+
+
 @query("bpr_train")
 def q_bpr_train(spark, d):
     """Full-batch BPR epochs on the train positives; final user / item vectors."""
-    res = K.bpr_train(V.train(spark, d), T.items(spark, d).select("item_id"), epochs=TRAIN_EPOCHS)
-    return res.vectors
+    return _bpr_model(spark, d)
 
 
 def _like_and_catalog(spark, d) -> DataFrame:
@@ -1002,3 +1007,172 @@ def q_best_per_model(spark, d):
     sm = _system(spark, d).select("model", "k", r6(F.col("precision")).alias("precision"),
                                   r6(F.col("ndcg")).alias("ndcg"))
     return RU.best_per_model(sm, "precision", tie_cols=("k",))
+
+
+# ---- whole-catalogue lists of a vector model -----------------------------------------------------
+
+TOPK_DOT = 20
+
+
+def _topk_dot_sql(masked: bool) -> str:
+    score = "CASE WHEN t.item_id IS NULL THEN s.score ELSE -9.0 END" if masked else "s.score"
+    where = "" if masked else "WHERE t.item_id IS NULL"
+    return with_views(f"""
+WITH u AS (SELECT DISTINCT t.user_id, v.vec FROM train t JOIN vectors v ON v.entity = 'user' || CAST(t.user_id AS VARCHAR)),
+i AS (SELECT x.item_id, v.vec FROM item_uris x JOIN vectors v ON v.entity = x.uri),
+s AS (SELECT u.user_id, i.item_id, round(list_dot_product(u.vec, i.vec), 9) AS score FROM u, i),
+m AS (SELECT s.user_id, s.item_id, {score} AS score FROM s LEFT JOIN (SELECT DISTINCT user_id, item_id FROM train) t
+      ON t.user_id = s.user_id AND t.item_id = s.item_id {where})
+SELECT user_id, CAST(item_id AS VARCHAR) AS item, round(score, 6) AS score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS BIGINT) AS rank FROM m)
+WHERE rank <= {TOPK_DOT}""", "train", "item_uris", "vectors")
+
+
+def _topk_dot(spark, d, mask_score: float | None) -> DataFrame:
+    """Every train user with a vector against every item with one; the list goes through the typed-header sink."""
+    vec, tr = T.vectors(spark, d), V.train(spark, d)
+    users = (tr.select("user_id").distinct().withColumn("entity", T.user_entity(F.col("user_id"))).join(vec, "entity").select("user_id", "vec"))
+    items = V.item_uris(spark, d).join(vec.withColumnRenamed("entity", "uri"), "uri").select("item_id", "vec")
+    top = R.topk_scored_items(users, items, tr.select("user_id", "item_id"), TOPK_DOT, mask_score)
+    path = FS.scratch_path(spark, "topk-dot")
+    lists = top.select("user_id", F.col("item_id").cast("string").alias("item"), "score", F.col("rank").cast("double").alias("rank"))
+    FS.write_atomic(lists, path, {"user_id": "int", "item": "token", "score": "float", "rank": "float"})
+    return FS.read_atomic(spark, path).select("user_id", "item", r6(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("topk_dot_all_items", _topk_dot_sql(False))
+def q_topk_dot_all_items(spark, d):
+    """Top-20 of the whole catalogue by user . item, train items removed."""
+    return _topk_dot(spark, d, None)
+
+
+@query("topk_dot_all_items_masked", _topk_dot_sql(True))
+def q_topk_dot_all_items_masked(spark, d):
+    """The same lists with train items kept at the mask score."""
+    return _topk_dot(spark, d, -9.0)
+
+
+# ---- stores and file sources, written and read back ----------------------------------------------
+
+@query("mapping_scan", with_views("SELECT item_id, name FROM items", "items"))
+def q_mapping_scan(spark, d):
+    """Item mapping file (S3)."""
+    path = FS.scratch_path(spark, "mapping")
+    FS.write_tsv(T.items(spark, d).select("item_id", "name"), path)
+    return FS.read_mapping(spark, path)
+
+
+@query("headered_scan", with_views("SELECT user_id AS user_row_index, 'like' AS edge, CAST(item_id AS VARCHAR) AS artist FROM train", "train"))
+def q_headered_scan(spark, d):
+    """Headered interactions."""
+    path = FS.scratch_path(spark, "headered")
+    FS.write_tsv(V.train(spark, d).select(F.col("user_id").alias("user_row_index"), F.lit("like").alias("edge"),
+                                          F.col("item_id").cast("string").alias("artist")), path, header=True)
+    return FS.read_interactions_headered(spark, path)
+
+
+@query("relation_scan", with_views("SELECT CAST(id AS INTEGER) AS rel_id, name AS relation FROM kg_relations", "kg_relations"))
+def q_relation_scan(spark, d):
+    """Relation vocabulary with CRLF line ends."""
+    path = FS.scratch_path(spark, "relations")
+    rel = G.kg_vocab(V.full_kg(spark, d)).filter(F.col("kind") == "relation")
+    rel.select(F.concat(F.col("id").cast("string"), F.lit("\t"), "name", F.lit("\r")).alias("line")).write.text(path)
+    return FS.read_relations(spark, path)
+
+
+@query("id_map_scan", with_views("SELECT name AS entity, id FROM kg_entities", "kg_entities"))
+def q_id_map_scan(spark, d):
+    """Entity id map written and read back."""
+    path = FS.scratch_path(spark, "id-map")
+    ents = G.kg_vocab(V.full_kg(spark, d)).filter(F.col("kind") == "entity")
+    FS.write_id_map(ents.select(F.col("name").alias("entity"), "id"), path)
+    return FS.read_id_map(spark, path)
+
+
+@query("predictions_scan", with_views("SELECT user_id, item_id, round(score, 6) AS score FROM predictions WHERE model = 'dot'", "predictions"))
+def q_predictions_scan(spark, d):
+    """A model's prediction file."""
+    path = FS.scratch_path(spark, "predictions")
+    FS.write_tsv(V.predictions(spark, d).filter(F.col("model") == "dot").select("user_id", "item_id", "score"), path)
+    return FS.read_predictions(spark, path).select("user_id", "item_id", r6(F.col("score")).alias("score"))
+
+
+@query("topk_lists_scan", with_views("SELECT model AS setting, user_id, item_id, CAST(rank AS BIGINT) AS rank FROM lists WHERE k = 5", "lists"))
+def q_topk_lists_scan(spark, d):
+    """Lists of every model and cut-off in one partitioned store, those of one cut-off read back."""
+    path = FS.scratch_path(spark, "topk-lists")
+    top = R.topk_per_user(V.predictions(spark, d), 10, group_cols=["model"])
+    ks = top.withColumn("k", F.explode(F.array(F.lit(5), F.lit(10)))).filter(F.col("rank") <= F.col("k"))
+    FS.write_topk_lists(ks.select(F.col("model").alias("setting"), "k", "user_id", "item_id", "rank"), path)
+    return FS.read_topk_lists(spark, path, 5).select("setting", "user_id", "item_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("json_docs_scan", with_views("""
+SELECT CAST(p_partkey AS VARCHAR) AS entity, 'plain' AS key, ['[' || p_name] AS vals FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'features', [p_brand, p_type] FROM part""" ))
+def q_json_docs_scan(spark, d):
+    """Property documents with string and list values, one JSON line each."""
+    path = FS.scratch_path(spark, "json-docs")
+    part = T.table(spark, d, "part")
+    FS.write_json_docs(part.select(F.col("p_partkey").cast("string").alias("entity"), F.concat(F.lit("["), "p_name").alias("plain"),
+                                   F.array("p_brand", "p_type").alias("features")), path)
+    return FS.json_values(spark.read.text(path).select(F.get_json_object("value", "$.entity").alias("entity"), "value")).filter(
+        F.col("key") != "entity").select("entity", "key", F.col("values").alias("vals"))
+
+
+@query("movie_triples", with_views("""
+WITH m(feature, key) AS (VALUES ('genre', 'genre'), ('genres', 'genre'), ('writing_style', 'writing_style'), ('theme', 'themes'), ('themes', 'themes')),
+n AS (SELECT p.entity_id, m.key, unnest(p.vals) AS value FROM item_props p JOIN m USING (feature))
+SELECT DISTINCT u.uri AS head, 'llama_generated/' || n.key AS relation, 'llama_generated/' || replace(n.value, ' ', '_') AS tail
+FROM n JOIN item_uris u ON u.item_id = n.entity_id""", "item_props", "item_uris"))
+def q_movie_triples(spark, d):
+    """Triples of the item completions through the movie key map."""
+    from kgrec.functions.keymaps import MOVIE_ITEM_KEYS
+    norm = TR.normalize_features(TR.parse_properties(T.item_completions(spark, d)), TR.key_map_frame(spark, MOVIE_ITEM_KEYS))
+    heads = V.item_uris(spark, d).select(F.col("item_id").alias("entity_id"), F.col("uri").alias("head"))
+    return TR.build_triples(norm, heads)
+
+
+@query("leaderboard_store", _board_sql())
+def q_leaderboard_store(spark, d):
+    """A stored board (K9): an absent board (S14), then the pending model, then nothing left to evaluate."""
+    path = FS.scratch_path(spark, "board")
+    preds, tr, te, st = V.predictions(spark, d), V.train(spark, d), V.test(spark, d), V.item_stats(spark, d)
+    M.update_board(spark, path, preds.filter(F.col("model") == "pop"), tr, te, stats=st)
+    M.update_board(spark, path, preds, tr, te, stats=st)
+    if M.update_board(spark, path, preds, tr, te, stats=st):
+        raise RuntimeError("a complete board was evaluated again")
+    board = M.read_board(spark, path)
+    return board.select("model", *[r6(F.col(c)).alias(c) for c in board.columns if c != "model"])
+
+
+def _model_predictions(spark, d) -> DataFrame:
+    """Test-pair scores of the trained and solved models, written once a session: ``(model, user_id, item_id, score)``."""
+    def build(spark, d):
+        tr, te = V.train(spark, d), V.test(spark, d).select("user_id", "item_id")
+        named = lambda df, name: df.select(F.lit(name).alias("model"), "user_id", "item_id", F.round("score", 9).alias("score"))
+        knn = NB.score_pairs(tr, NB.knn_similarities(tr, KNN_K, KNN_SHRINK), te)
+        pairs = lambda key_u, key_i: te.withColumns({"user_entity": key_u, "item_entity": key_i})
+        bpr = _bpr_model(spark, d)
+        by_id = VX.pair_vectors(pairs(F.concat(F.lit("user"), F.col("user_id").cast("string")),
+                                      F.concat(F.lit("item"), F.col("item_id").cast("string"))), bpr, bpr)
+        kge = _kge_model(spark, d)
+        ents = kge.filter(F.col("kind") == "entity").select("entity", "vec")
+        like = kge.filter((F.col("kind") == "relation") & (F.col("entity") == G.LIKE)).select(F.col("vec").alias("r"))
+        by_uri = te.join(V.item_uris(spark, d), "item_id").select(
+            "user_id", "item_id", T.user_entity(F.col("user_id")).alias("user_entity"), F.col("uri").alias("item_entity"))
+        kged = attach_scalars(VX.pair_vectors(by_uri, ents, ents), like)
+        return (named(knn, "item_knn").unionByName(named(_ease(spark, d), "ease")).unionByName(named(_slim(spark, d), "slim"))
+                .unionByName(named(by_id.withColumn("score", VX.dot(F.col("u"), F.col("v"))), "bpr"))
+                .unionByName(named(kged.withColumn("score", K.triple_score(F.col("u"), F.col("r"), F.col("v"), KGE_KIND)), "kge")))
+    return T.materialized(spark, d, "model-predictions", build, ["model"]).select("model", "user_id", "item_id", "score")
+
+
+@query("model_leaderboard")
+def q_model_leaderboard(spark, d):
+    """The seven metrics of every model: popularity, dot, ItemKNN, EASE, SLIM, BPR and the graph embedding."""
+    path = FS.scratch_path(spark, "model-board")
+    tr, te, st = V.train(spark, d), V.test(spark, d), V.item_stats(spark, d)
+    M.update_board(spark, path, V.predictions(spark, d), tr, te, stats=st)
+    M.update_board(spark, path, V.predictions(spark, d).unionByName(_model_predictions(spark, d)), tr, te, stats=st)
+    return M.read_board(spark, path)

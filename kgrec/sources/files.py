@@ -105,7 +105,16 @@ def read_json_docs(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("wholetext", True).text(path).select(
         entity_from_path(F.col("_metadata.file_path")).alias("entity"),
         F.from_json("value", "map<string,variant>").alias("doc"))
-    kv = raw.select("entity", F.explode("doc").alias("key", "raw"))
+    return _doc_values(raw)
+
+
+def json_values(lines: DataFrame) -> DataFrame:
+    """``(entity, key, values)`` of JSON objects in ``(entity, value)``, one object a row (K1 read back)."""
+    return _doc_values(lines.select("entity", F.from_json("value", "map<string,variant>").alias("doc")))
+
+
+def _doc_values(docs: DataFrame) -> DataFrame:
+    kv = docs.select("entity", F.explode("doc").alias("key", "raw"))
     is_array = F.schema_of_variant("raw").startswith("ARRAY")
     return kv.select("entity", "key", F.when(is_array, F.try_variant_get("raw", "$", "array<string>"))
                      .otherwise(F.array(F.try_variant_get("raw", "$", "string"))).alias("values"))
@@ -134,6 +143,16 @@ def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def write_id_map(df: DataFrame, path: str) -> None:
+    """Entity id map ``entity \t id`` without header (K3)."""
+    write_tsv(df.select("entity", "id"), path)
+
+
+def read_id_map(spark: SparkSession, path: str) -> DataFrame:
+    """``(entity, id)`` of an id map file."""
+    return _tsv(spark, "entity string, id bigint").csv(path)
+
+
 def write_matrix(df: DataFrame, path: str, dim: int) -> None:
     """Embedding matrix as TSV with the id in the first column (K4): position never matters."""
     cells = [F.col("id").cast("string")] + [F.col("vec")[d].cast("string") for d in range(dim)]

@@ -981,7 +981,14 @@ def q_mlp_train(spark, d):
     return S.mlp_score(_imputed_pairs(spark, d, "test"), res.theta)
 
 
-@query("batch_completion")
+@query("batch_completion", with_views(f"""
+WITH answered AS (SELECT DISTINCT entity_id FROM item_props WHERE feature IN ('genre', 'genres')),
+p AS (SELECT item_id, 'The book you have to infer information is: ' || {_CLEAN['book_item']} || '.' AS prompt FROM items
+      WHERE item_id NOT IN (SELECT entity_id FROM answered)),
+w AS (SELECT item_id, prompt, list_filter(string_split_regex(replace(rtrim(substr(prompt, strpos(prompt, ': ') + 2), '.'), ';', ' '), '\s+'),
+                                          lambda x: x <> '') AS ws FROM p)
+SELECT item_id, prompt, '<Genres: ' || CASE WHEN len(ws) = 0 THEN 'unknown' ELSE array_to_string(ws[1:2], ', ') END
+       || '. Kind of plot: ' || CASE WHEN len(ws) = 0 THEN 'none' ELSE ws[-1] END || '.>' AS plain FROM w""", "item_props", "items"))
 def q_batch_completion(spark, d):
     """Completion job over item prompts still without a usable answer.
 
@@ -1176,3 +1183,68 @@ def q_model_leaderboard(spark, d):
     M.update_board(spark, path, V.predictions(spark, d), tr, te, stats=st)
     M.update_board(spark, path, V.predictions(spark, d).unionByName(_model_predictions(spark, d)), tr, te, stats=st)
     return M.read_board(spark, path)
+
+
+# ---- relation-aware convolution and the scorer with fixed weights --------------------------------
+
+from kgrec.operators import gcn as GC  # noqa: E402
+
+
+def _grid(k: int, dim: int = VX.DIM):
+    """A fixed full weight matrix: W[i, o] = ((17 i + 29 o + 5 k) mod 13 - 6) / 64."""
+    import numpy as np
+    i, o = np.meshgrid(np.arange(dim), np.arange(dim), indexing="ij")
+    return ((17 * i + 29 * o + 5 * k) % 13 - 6) / 64.0
+
+
+@query("compgcn_propagate", with_views("""
+WITH rel AS (SELECT name AS relation, CAST(t.d AS BIGINT) AS d, ((id * 31 + t.d * 7) % 11 - 5) / 10.0 AS r FROM kg_relations, range(0, 64) t(d)),
+deg_in AS (SELECT k.tail AS entity, count(*) AS n FROM full_kg k WHERE k.head IN (SELECT entity FROM vectors) GROUP BY k.tail),
+deg_out AS (SELECT k.head AS entity, count(*) AS n FROM full_kg k WHERE k.tail IN (SELECT entity FROM vectors) GROUP BY k.head),
+a AS (SELECT k.tail AS entity, c.d, sum(c.v - rel.r) / max(g.n) AS m FROM full_kg k JOIN vector_cells c ON c.entity = k.head
+      JOIN rel ON rel.relation = k.relation AND rel.d = c.d JOIN deg_in g ON g.entity = k.tail GROUP BY k.tail, c.d),
+b AS (SELECT k.head AS entity, c.d, sum(c.v - rel.r) / max(g.n) AS m FROM full_kg k JOIN vector_cells c ON c.entity = k.tail
+      JOIN rel ON rel.relation = k.relation AND rel.d = c.d JOIN deg_out g ON g.entity = k.head GROUP BY k.head, c.d),
+x AS (SELECT entity, d, m, 0 AS k FROM a UNION ALL SELECT entity, d, m, 1 FROM b UNION ALL SELECT entity, d, v, 2 FROM vector_cells)
+SELECT x.entity, CAST(o.o AS BIGINT) AS d, round(tanh(sum(x.m * (((17 * x.d + 29 * o.o + 5 * x.k) % 13) - 6) / 64.0)), 6) AS value
+FROM x, range(0, 64) o(o) GROUP BY x.entity, o.o""", "full_kg", "kg_relations", "vectors", "vector_cells"))
+def q_compgcn_propagate(spark, d):
+    """One layer over the whole graph from the given vectors, fixed relation vectors and weights."""
+    kg = V.full_kg(spark, d)
+    rel = G.kg_vocab(kg).filter(F.col("kind") == "relation")
+    cell = lambda t: ((F.col("id") * 31 + t * 7) % 11 - 5) / F.lit(10.0)
+    rels = rel.select(F.col("name").alias("entity"), F.transform(F.sequence(F.lit(0), F.lit(VX.DIM - 1)), cell).alias("vec"))
+    return _long(GC.compgcn_layer(kg, T.vectors(spark, d), rels, _grid(0), _grid(1), _grid(2)))
+
+
+def _mlp_layer_sql(x: str, n_in: int, n_out: int, offset: int, relu: bool) -> str:
+    """SQL list expression of one Linear with theta[p] = ((37 p) mod 101 - 50) / 500, weights then bias."""
+    z = (f"list_sum(list_transform(range(0, {n_in}), lambda i: {x}[i + 1] * (((37 * ({offset} + i * {n_out} + o)) % 101) - 50) / 500.0))"
+         f" + (((37 * ({offset} + {n_in * n_out} + o)) % 101) - 50) / 500.0")
+    return f"list_transform(range(0, {n_out}), lambda o: {f'greatest({z}, 0.0)' if relu else z})"
+
+
+def _mlp_fixed_sql() -> str:
+    shapes, offsets, at = S.layer_shapes(), [], 0
+    for n_in, n_out in shapes:
+        offsets.append(at)
+        at += n_in * n_out + n_out
+    steps = [f"l0 AS (SELECT user_id, item_id, list_concat({_mlp_layer_sql('u', *shapes[0], offsets[0], True)}, "
+             f"{_mlp_layer_sql('v', *shapes[1], offsets[1], True)}) AS x FROM p)"]
+    for k, (shape, offset) in enumerate(zip(shapes[2:], offsets[2:], strict=True)):
+        steps.append(f"l{k + 1} AS (SELECT user_id, item_id, {_mlp_layer_sql('x', *shape, offset, k < len(shapes) - 3)} AS x FROM l{k})")
+    return with_views(f"""
+WITH p AS (SELECT t.user_id, t.item_id, u.vec AS u, v.vec AS v FROM test t JOIN item_uris i USING (item_id)
+     JOIN vectors u ON u.entity = 'user' || CAST(t.user_id AS VARCHAR) JOIN vectors v ON v.entity = i.uri),
+{", ".join(steps)}
+SELECT user_id, item_id, round(1.0 / (1.0 + exp(-x[1])), 6) AS score FROM l{len(shapes) - 2}""", "test", "item_uris", "vectors")
+
+
+@query("mlp_fixed_score", _mlp_fixed_sql())
+def q_mlp_fixed_score(spark, d):
+    """The two-tower network with fixed weights on the test pairs that have both given vectors."""
+    import numpy as np
+    theta = ((37 * np.arange(S.n_params())) % 101 - 50) / 500.0
+    vec = T.vectors(spark, d)
+    out = S.mlp_score(VX.pair_vectors(_test_pairs(spark, d), vec, vec), theta)
+    return out.select("user_id", "item_id", r6(F.col("score")).alias("score"))

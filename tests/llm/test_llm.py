@@ -553,25 +553,57 @@ def test_lm_score_is_the_sum_over_hidden_tokens(monkeypatch):
 # --- pipeline -----------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
+    """Each stage on what its predecessor kept, against brute force on the same rows."""
     table = load(spark, SF, "documents").withColumn("row", F.lit(1))
-    docs = table
+    docs, ids = table, lambda df: collections.Counter(r.doc_id for r in df.select("doc_id").collect())
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
         path = f"{tmp_path}/{name}"
-        out.write.parquet(path)
-        new = spark.read.parquet(path)
-        if name == "best-fit packing":
-            pieces = new.toPandas()
-            assert pieces.groupby("sequence_id")["length"].sum().max() <= 4096
-            assert set(pieces["doc_id"]) == {r.doc_id for r in docs.select("doc_id").collect()}
-            break
-        assert new.columns == table.columns
-        if name != "source mix":
-            assert new.count() <= docs.count() and new.count() > 0.6 * docs.count()
-            assert new.exceptAll(docs).count() == 0
-        if name == "simhash near-dedup":
-            label = simhash.near_duplicates(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
-            assert {r.doc_id for r in new.collect()} == {r.doc_id for r in label.collect()}
+        stage(spark, docs, SF).write.parquet(path)
+        new, rows = spark.read.parquet(path), docs.collect()
+        if name != "best-fit packing":
+            assert new.columns == table.columns and new.join(docs, table.columns, "left_anti").count() == 0
+        if name == "quality rules":
+            stats = {r.doc_id: brute_statistics(r.text) for r in rows}
+            rules = quality.learn(quality.statistics(docs, ["doc_id"]), load(spark, SF, "labels"))
+            x = {f: np.array([eval(e.replace("greatest", "max"), {"max": max}, dict(zip(quality.STATS, stats[r.doc_id], strict=True)))  # noqa: S307
+                              for r in rows], float) for f, e in quality.FEATURES.items()}
+            bad = np.array([stats[r.doc_id][0] < 50 or 100 * stats[r.doc_id][4] > 50 * stats[r.doc_id][0] for r in rows])
+            for rule in rules:
+                bad |= quality._covered(rule, x)
+            assert ids(new) == collections.Counter(r.doc_id for r, b in zip(rows, bad, strict=True) if not b)
+        elif name == "language id":
+            model = language.learn(docs)
+            want = [r.doc_id for r in rows if model.score(r.text)[0] != "und" and model.score(r.text)[1] >= model.reject_below]
+            assert ids(new) == collections.Counter(want) and len(want) >= 0.98 * len(rows)
+        elif name == "simhash near-dedup":
+            label = brute_components([brute_fingerprint(r.text) for r in rows])
+            first = collections.defaultdict(list)
+            for r, k in zip(rows, label, strict=True):
+                first[k].append(r.doc_id)
+            assert ids(new) == collections.Counter(min(v) for v in first.values())
+        elif name == "source mix":
+            size, taken = collections.Counter(), collections.Counter()
+            for r in rows:
+                size[r.source] += len(words(r.text))
+            for r in new.collect():
+                taken[r.source] += len(words(r.text))
+            longest = {s: max(len(words(r.text)) for r in rows if r.source == s) for s in size}
+            for s, want in brute_targets(size).items():
+                assert abs(taken[s] - want) <= max(0.02 * want, longest[s] / 2)
+            assert max(ids(new).values()) <= 2
+        else:
+            lib, want = Tokenizer.from_file(WORD_BPE), collections.Counter()
+            for r in rows:
+                t = [*lib.encode(r.text or "", add_special_tokens=False).ids, 1]
+                for k, at in enumerate(range(0, len(t), 4096)):
+                    want[r.doc_id, k, at, len(t[at:at + 4096]), zlib.crc32(np.array(t[at:at + 4096], "<u4").tobytes())] += 1
+            got = new.collect()
+            assert want == collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got)
+            used = collections.Counter()
+            for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+                assert r.offset == used[r.sequence_id]
+                used[r.sequence_id] += r.length
+            assert max(used.values()) <= 4096 and len(used) <= -(-sum(used.values()) // 4096) + 1
         docs = new
 
 

@@ -985,7 +985,7 @@ def q_mlp_train(spark, d):
 WITH answered AS (SELECT DISTINCT entity_id FROM item_props WHERE feature IN ('genre', 'genres')),
 p AS (SELECT item_id, 'The book you have to infer information is: ' || {_CLEAN['book_item']} || '.' AS prompt FROM items
       WHERE item_id NOT IN (SELECT entity_id FROM answered)),
-w AS (SELECT item_id, prompt, list_filter(string_split_regex(replace(rtrim(substr(prompt, strpos(prompt, ': ') + 2), '.'), ';', ' '), '\s+'),
+w AS (SELECT item_id, prompt, list_filter(string_split_regex(replace(rtrim(substr(prompt, strpos(prompt, ': ') + 2), '.'), ';', ' '), '\\s+'),
                                           lambda x: x <> '') AS ws FROM p)
 SELECT item_id, prompt, '<Genres: ' || CASE WHEN len(ws) = 0 THEN 'unknown' ELSE array_to_string(ws[1:2], ', ') END
        || '. Kind of plot: ' || CASE WHEN len(ws) = 0 THEN 'none' ELSE ws[-1] END || '.>' AS plain FROM w""", "item_props", "items"))

@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kgrec.llm.common import written
-from kgrec.llm.tokens import encoder, in_slices
+from kgrec.llm.tokens import encoder, forget, in_slices
 
 END_ID = 2
 MAGIC = 0x6B74696C
 HEAD = struct.Struct("<IIQ")
 BLOCK_IDS = 1 << 18            # a block is closed at this many ids; a longer document stays whole
-ROWS_A_FILE = 50_000           # documents of an output file, about
+BLOCK_SCHEMA = "part int, inside bigint, n_tokens bigint, payload binary"  # inside: ids of the part's blocks before it
+MOST_PARTS = 1_000_000         # files up to which the table of their starts is broadcast
+ROWS_A_FILE = 20_000           # documents of an output file, about
 # How many data bytes each of a control byte's four ids has, and their sum.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -140,18 +142,19 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
     table = spark.sparkContext.broadcast(rank_of)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k = TaskContext.get().partitionId(), 0
+        forget()  # the tables of the tokenizing stage
+        part, at = TaskContext.get().partitionId(), 0
         rows = ((doc, _wide(kept.as_buffer())) for b in batches for doc, kept in zip(b.column(0).to_pylist(), b.column(1), strict=True))
         for docs_in in in_slices(rows, lambda r: len(r[1]), block_ids):
             n, payload = block_bytes(docs_in, table.value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())],
-                ["part", "block", "n_tokens", "payload"])
-            k += 1
+                [pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())],
+                ["part", "inside", "n_tokens", "payload"])
+            at += n
 
     n_files = max(1, -(-tokens.count() // ROWS_A_FILE), spark.sparkContext.defaultParallelism)
     ordered = tokens.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "kept")
-    (ordered.mapInArrow(blocks, "part int, block int, n_tokens bigint, payload binary")
+    (ordered.mapInArrow(blocks, BLOCK_SCHEMA)
      .write.option("compression", "zstd").parquet(f"{path}/blocks"))
 
 
@@ -165,32 +168,29 @@ def ids_in_order(spark: SparkSession, path: str) -> np.ndarray:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` of every document in file order; ids are little-endian 32-bit integers."""
     table = spark.sparkContext.broadcast(ids_in_order(spark, path))
-    files = spark.read.schema("part int, block int, n_tokens bigint, payload binary").parquet(f"{path}/blocks")
+    files = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+    starts = part_starts(files)
+    if starts.count() <= MOST_PARTS:  # a row of two numbers for each file
+        starts = F.broadcast(starts)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, block, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for start, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = np.frombuffer(value.as_buffer(), np.uint8)
                 names, named, sizes, ids = block_docs(raw, table.value)
-                n_docs = len(sizes)
                 ends = np.cumsum(sizes)
                 values = [ids[4 * (e - s):4 * e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, mask=~named), pa.array([part] * n_docs, pa.int32()), pa.array([block] * n_docs, pa.int32()),
-                     pa.array(ends - sizes), pa.array(sizes), pa.array(values, pa.binary())],
-                    ["doc_id", "part", "block", "at", "n_tokens", "ids"])
-
-    docs = files.select("part", "block", "payload").mapInArrow(
-        unpack, "doc_id bigint, part int, block int, at bigint, n_tokens bigint, ids binary")
-    return docs.join(block_starts(files), ["part", "block"]).select(
-        "doc_id", (F.col("block_start") + F.col("at")).alias("start"), "n_tokens", "ids")
-
-
-def block_starts(files: DataFrame) -> DataFrame:
-    """``(part, block, block_start)``: ids in all blocks before; files first, then the blocks of each file."""
-    sizes = files.select("part", "block", "n_tokens")
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
-    parts = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
-    inside = F.sum("n_tokens").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    own = sizes.select("part", "block", F.coalesce(inside, F.lit(0)).alias("inside"))
-    return own.join(parts, "part").select("part", "block", (F.col("part_start") + F.col("inside")).alias("block_start"))
+                    [pa.array(names, mask=~named), pa.array(start + ends - sizes), pa.array(sizes), pa.array(values, pa.binary())],
+                    ["doc_id", "start", "n_tokens", "ids"])
+
+    placed = files.select("part", "inside", "payload").join(starts, "part")
+    return placed.select(F.col("part_start") + F.col("inside"), "payload").mapInArrow(
+        unpack, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+
+
+def part_starts(files: DataFrame) -> DataFrame:
+    """``(part, part_start)``: ids in all files before."""
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each file
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    return parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))

@@ -9,6 +9,7 @@ either case (tests compare the two on every kind of white space).
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,13 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 # Characters for which splitting, lower-casing and normal forms are the same in every Unicode version.
 OTHER = regex.compile(r"[^\t\n\r\x0b\x0c\x20-\x7e\xa1-\xffŒœŸ]")
+CONTROL = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f]")  # those among them that are ASCII
 # The split patterns of the two public vocabulary files.
 BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-TABLE_SIZE = 400_000   # entries of a worker's table of units, and of pieces, before it starts anew
-LONGEST_KEPT = 48      # longer units are encoded each time
+TABLE_SIZE = 450_000   # entries of a worker's table of units before it becomes the old one
+LONGEST_KEPT = 32      # longer units are encoded each time
+CLOSING = ".,;:!?)]}\"*%&$#"  # a letter run followed by these only is two pieces
 
 
 class _Whole(Exception):
@@ -30,16 +33,25 @@ class _Whole(Exception):
 
 
 class _Table(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
+    """Ids by unit: the newest ``TABLE_SIZE`` units and those of the table before."""
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= LONGEST_KEPT:
+    def __init__(self, encoder: Encoder, before: str):
+        super().__init__()
+        self.encoder, self.before, self.old = encoder, before, {}
+        self.tokenize, self.space = encoder.model.tokenize, encoder.space if before else ""
+
+    def __missing__(self, unit: str) -> bytes:
+        value = self.old.get(unit)
+        if value is None:
+            if unit.isalpha() and unit.isascii():
+                value = array("I", [t.id for t in self.tokenize(self.space + unit)]).tobytes()
+            else:
+                value = self.encoder.odd_unit(unit, self.before)
+        if len(unit) <= LONGEST_KEPT:
             if len(self) >= TABLE_SIZE:
+                self.old = dict(self)
                 self.clear()
-            self[key] = value
+            self[unit] = value
         return value
 
 
@@ -49,26 +61,34 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.model = Tokenizer.from_file(path).model
+        self.model._resize_cache(0)  # units are kept here instead
         with open(path, encoding="utf-8") as f:
             self.by_words = bool(json.load(f)["model"].get("end_of_word_suffix"))
         chars = _byte_chars()
         self.as_bytes = str.maketrans({chr(b): c for b, c in chars.items()})
-        self.pieces = _Table(self._piece)
-        self.units = _Table(self._unit)
-        self.later = _Table(lambda u: self._unit(" " + u, checked=u))
+        self.space = "" if self.by_words else chars[32]
+        self.pieces = WORD_PIECES if self.by_words else BYTE_PIECES
+        self.first, self.units = _Table(self, ""), _Table(self, " " if self.space else "")
+        self.closing: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.as_bytes)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-
-    def _unit(self, unit: str, checked: str | None = None) -> bytes:
-        if not self.by_words:
-            bare = unit if checked is None else checked
-            if not bare or bare[0].isspace() or bare[-1].isspace():
-                raise _Whole
-            return b"".join(map(self.pieces.__getitem__, BYTE_PIECES.findall(unit)))
-        return b"".join(map(self.pieces.__getitem__, WORD_PIECES.findall(unit)))
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def odd_unit(self, unit: str, before: str) -> bytes:
+        """Ids of a unit of more than plain letters, after a space or (``before`` empty) without one."""
+        if not self.by_words and (not unit or unit[0].isspace() or unit[-1].isspace() or CONTROL.search(unit)):
+            raise _Whole
+        word = unit.rstrip(CLOSING)
+        if word.isascii() and word.isalpha():
+            end = unit[len(word):]
+            if end not in self.closing:
+                if len(self.closing) >= TABLE_SIZE:
+                    self.closing.clear()
+                self.closing[end] = self.piece(end)
+            return (self.units if before or self.by_words else self.first)[word] + self.closing[end]
+        return b"".join(map(self.piece, self.pieces.findall(before + unit)))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -76,13 +96,13 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if OTHER.search(text):
+        if (self.by_words or not text.isascii()) and OTHER.search(text):
             return self.whole(text)
         if self.by_words:
             return b"".join(map(self.units.__getitem__, text.lower().split()))
         first, *rest = text.split(" ")
         try:
-            return self.units[first] + b"".join(map(self.later.__getitem__, rest))
+            return self.first[first] + b"".join(map(self.units.__getitem__, rest))
         except _Whole:
             return self.whole(text)
 
@@ -104,6 +124,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Frees the tables of this worker."""
+    _ENCODERS.clear()
+
+
 def in_slices(rows: Iterator, size, most: int = 8 << 20) -> Iterator[list]:
     """Lists of consecutive rows whose ``size(row)`` sums to about ``most`` at most."""
     part, held = [], 0

@@ -41,6 +41,7 @@ KEEP_SHARE = 0.999     # of rightly predicted held-back documents that the rejec
 MOST_REJECT = 0.5      # no score above this is rejected
 MULTIPLIER = 0x9E3779B97F4A7C15
 KNOWN = 0x3000
+HASHES = 1 << 52
 LETTER = np.array([chr(c).isalpha() for c in range(KNOWN)])
 
 
@@ -135,10 +136,13 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_languag
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
     """Fits on rows of ``text`` and ``lang``."""
     named = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropna()
-    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).select("lang")
+    common = (named.groupBy("lang").agg(F.count("*").alias("n_docs"), F.approx_count_distinct("text").alias("n_texts"))
+              .orderBy(F.desc("n_docs"), "lang").limit(most_languages))
     first = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
-    sample = (named.join(F.broadcast(common), "lang").withColumn("h", F.xxhash64(F.lit(SEED), "text"))
-              .withColumn("n", first).filter(F.col("n") <= per_language).select("lang", "h", "text"))
+    # Hashes are uniform: those below twice the wanted share of texts hold the smallest ``per_language``, and only they move.
+    low = F.col("h") < F.lit(2.0 * per_language * HASHES) / F.col("n_texts")
+    sample = (named.join(F.broadcast(common), "lang").withColumn("h", F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(HASHES)))
+              .filter(low).withColumn("n", first).filter(F.col("n") <= per_language).select("lang", "h", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

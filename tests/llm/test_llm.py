@@ -472,6 +472,52 @@ def test_neighbours_recall(spark):
     assert len(got) == 25 and np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01", "sf0.1"])
+def test_neighbours_come_from_visited_leaves(spark, name):
+    table = load(spark, f"/root/testdata/{name}", "embeddings").select("vec_id", "embedding")
+    valid = ann.vectors(table).select("vec_id", "vec")
+    pdf = valid.toPandas()
+    ids, x = pdf["vec_id"].to_numpy(), np.array(pdf["vec"].tolist(), float)
+    forest = ann.fit(valid, x.shape[1], float(np.sqrt((x * x).sum(axis=1).max())))
+    at, share = forest.leaves_of(x), 0.2
+    got = collections.defaultdict(set)
+    for r in ann.search(table, table.filter("vec_id % 100 = 0"), share=share).collect():
+        got[r.query_id].add(r.vec_id)
+    assert got
+    for q, found in got.items():
+        query = x[list(ids).index(q)]
+        visited = set().union(*(ids[at[:, t] == leaf] for t, leaf in forest.visits(query, share, 42)[0]))
+        assert len(visited) < 0.5 * len(ids) and len(found) == 20 and found <= visited
+        scores = {i: float((v * query).sum()) for i, v in zip(ids, x, strict=True) if i in visited and i != q}
+        assert found == set(sorted(scores, key=lambda i: (-round(scores[i], 12), i))[:20])  # and all of them are looked at
+        assert len(set().union(*(ids[at[:, t] == leaf] for t, leaf in forest.visits(query, ann.SHARE, 42)[0]))) < len(ids)
+
+
+def test_neighbours_recall_beyond_the_sample(spark):
+    """Four times the sample: uniform directions, clusters and a vector that a third of the rows repeat."""
+    rng, n, dim = np.random.default_rng(5), 4 * ann.SAMPLE, 64
+    x = rng.standard_normal((n, dim))
+    kind = np.arange(n) % 3
+    middles = rng.standard_normal((40, dim))
+    x[kind == 1] = middles[rng.integers(0, 40, (kind == 1).sum())] + 0.2 * x[kind == 1]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[kind == 2] = x[2]
+    ids = np.arange(n)
+    table = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id bigint, embedding array<double>").repartition(8)
+    asked = list(range(0, n, 1092)) + list(range(1, n, 1092))[:-1] + [2, 3002]
+    got = collections.defaultdict(list)
+    for r in ann.search(table, table.filter(F.col("vec_id").isin(asked))).collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(asked)
+    recall = collections.defaultdict(list)
+    for q in asked:
+        s = np.round(np.einsum("ij,j->i", x, x[q]), 12)
+        s[q] = -np.inf
+        recall[kind[q]].append(len(set(got[q]) & set(np.lexsort((ids, -s))[:20].tolist())) / 20)
+    print({int(k): float(np.mean(v)) for k, v in recall.items()})
+    assert all(np.mean(v) >= 0.9 for v in recall.values())
+
+
 def test_neighbours_ties_and_bad_vectors(spark):
     same, other = [1.0, 2.0, 0.0], [0.0, 3.0, 1.0]
     rows = [(k, same if k % 3 else other) for k in range(120)]

@@ -6,9 +6,8 @@ classes at the cost of 2 * SIDE.  A document's score is the sum of the log-proba
 hidden in its turn.
 
 Classes: the most frequent words of the whole corpus one each, the other words by hash into ``RARE`` classes, and one for
-the borders.  Training is data-parallel: in each round every task trains a copy of the network in numpy on its share of
-the documents (``TRAIN_SHARE`` by id hash, so it grows with the corpus) and the copies are averaged by their number
-of tokens, in two levels.
+the borders.  Training is data-parallel: in each round every task trains a copy of the network in numpy on all of its
+documents and the copies are averaged by their number of tokens, in two levels.
 
 Defined results: a null text is an empty one with 0 tokens and score 0 (mean null); documents without an id are
 scored like any other; repeated rows each get their score; an empty table gives an empty result.
@@ -34,8 +33,7 @@ RARE = 512
 BORDER = 0
 REACH = 2
 DIM = 24
-ROUNDS = 2
-TRAIN_SHARE = 8        # one in so many documents is trained on
+ROUNDS = 1             # passes over all documents
 BATCH = 1024
 RATE = 0.3
 SEED = 1
@@ -142,7 +140,7 @@ def _scatter(table: np.ndarray, rows: np.ndarray, grads: np.ndarray, scale: floa
 
 
 def train_round(docs: DataFrame, classes: dict[bytes, int], net: dict, seed: int, rate: float) -> dict:
-    """One pass of every task over its share, then the average of the copies."""
+    """One pass of every task over its documents, then the average of the copies."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((classes, flat(net)))
     block = 4096
@@ -178,7 +176,7 @@ def train_round(docs: DataFrame, classes: dict[bytes, int], net: dict, seed: int
         mean = sum(x * np.asarray(v, float) for x, v in zip(w, group["v"], strict=True)) / w.sum()
         return pd.DataFrame({"block": group["block"].iloc[:1], "part": group["part"].iloc[:1], "w": [w.sum()], "v": [mean.astype(np.float32)]})
 
-    copies = written(docs.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(TRAIN_SHARE)) == 0).select("text").mapInArrow(run, schema), "lm-copies")
+    copies = written(docs.select("text").mapInArrow(run, schema), "lm-copies")
     n_parts = copies.select("part").distinct().count()
     some = copies.groupBy("block", (F.col("part") % max(1, int(n_parts ** 0.5))).alias("some"))
     halfway = some.applyInPandas(lambda g: average(g), schema)

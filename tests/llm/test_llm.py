@@ -584,6 +584,16 @@ def test_lm_scores(spark, docs, rows, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_lm_trains_on_every_document(spark):
+    """Corpora of one document each: whatever its hash, the network has learned it."""
+    begin = lm_score.start()
+    for k in range(3):
+        text = prose(100 + k, 400)
+        classes, net = lm_score.learn(spark.createDataFrame([(k, text)], "doc_id bigint, text string"))
+        ids = lm_score.tokens(text, lm_score.Classes(classes))
+        assert lm_score.log_likelihood(net, ids) > lm_score.log_likelihood(begin, ids) + 1
+
+
 def test_lm_score_is_the_sum_over_hidden_tokens(monkeypatch):
     net, ids = lm_score.start(1), np.arange(1, 40)
     want = 0.0

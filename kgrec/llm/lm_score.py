@@ -6,7 +6,9 @@ classes at the cost of 2 * SIDE.  A document's score is the sum of the log-proba
 hidden in its turn.
 
 Classes: the most frequent words of the whole corpus one each, the other words by hash into ``RARE`` classes, and one for
-the borders.  Training is data-parallel: in each round every task trains a copy of the network in numpy on all of its
+the borders.  A word of a shared class has log(count(word) / (count(class) + 1)) added, from counts of all words of the
+corpus; the one is kept for words that the corpus lacks.  The counts of about ``HEAD`` words are sent to the tasks, those of
+all others are joined.  Training is data-parallel: in each round every task trains a copy of the network in numpy on all of its
 documents and the copies are averaged by their number of tokens, in two levels.
 
 Defined results: a null text is an empty one with 0 tokens and score 0 (mean null); documents without an id are
@@ -15,7 +17,9 @@ scored like any other; repeated rows each get their score; an empty table gives
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -25,11 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgrec.llm.common import WORD, written
+from kgrec.llm.common import written
 
 SIDE = 64
 VOCABULARY = SIDE * SIDE
 RARE = 512
+HEAD = 200_000         # words of shared classes whose counts tasks hold, at most
+COUNTED = 200_000      # distinct words that a task counts before it passes them on
+LOGS = 1e9             # joined logarithms are summed as whole numbers of this part, in any order the same
 BORDER = 0
 REACH = 2
 DIM = 24
@@ -59,28 +66,97 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def vocabulary(docs: DataFrame) -> dict[bytes, int]:
-    """The most frequent words of all texts and their classes; at most ``VOCABULARY`` rows reach the driver."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY - RARE - 1)
-    return {r["w"].encode(): k + 1 for k, r in enumerate(top.select("w").collect())}
+def split(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "replace").split()
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(w, n)`` of every word of all texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["w", "n"])
+
+        for b in batches:
+            for t in b.column(0):
+                found.update(split(t.as_py()))
+                if len(found) > COUNTED:
+                    yield out()
+                    found.clear()
+        yield out()
+
+    counted = docs.select("text").mapInArrow(run, "w binary, n bigint")
+    return written(counted.groupBy("w").agg(F.sum("n").alias("n")), "lm-words")
+
+
+def vocabulary(counts: DataFrame) -> dict[bytes, int]:
+    """The most frequent words and their classes; at most ``VOCABULARY`` rows reach the driver."""
+    top = counts.orderBy(F.desc("n"), "w").limit(VOCABULARY - RARE - 1)
+    return {bytes(r["w"]): k + 1 for k, r in enumerate(top.select("w").collect())}
+
+
+def shares(counts: DataFrame, classes: dict[bytes, int]) -> tuple[dict[bytes, float], np.ndarray]:
+    """log p(word | its shared class) of the ``HEAD`` most frequent words outside ``classes`` (fewer where counts tie), and the
+    log-probability of a word that a class lacks, for each of the ``RARE`` classes."""
+    sent = counts.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARE, np.int64)
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if w not in sent.value:
+                    total[rare(w)] += n
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(RARE)), pa.array(total)], ["k", "n"])
+
+    total = np.zeros(RARE)
+    for r in counts.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():  # ``RARE`` rows
+        total[r["k"]] = r["n"]
+    unseen = -np.log(total + 1)
+    # How many words have about each count; the most frequent words come from the counts that few enough words reach.
+    size = F.floor(F.log("n") * 32)
+    words, least = 0, None
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["size"]):  # under 1500 rows
+        words += r["words"]
+        if words > HEAD + len(classes):
+            break
+        least = r["size"]
+    head = [] if least is None else counts.filter(size >= least).collect()
+    named = ((bytes(r["w"]), r["n"]) for r in head)
+    return {w: log(n) + float(unseen[rare(w)]) for w, n in named if w not in classes}, unseen
+
+
+def rare(word: bytes) -> int:
+    return xxhash.xxh32_intdigest(word) % RARE
 
 
 class Classes(dict):
     """Words to classes; other words are hashed, and kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        k = VOCABULARY - RARE + xxhash.xxh32_intdigest(word) % RARE
+        k = VOCABULARY - RARE + rare(word)
         if len(self) < 300_000:
             self[word] = k
         return k
 
 
 def tokens(text: str | None, classes: Classes) -> np.ndarray:
-    words = (text or "").lower().encode("utf-8", "replace").split()
+    words = split(text)
     return np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
 
 
+def within(words: list[bytes], ids: np.ndarray, known: dict[bytes, float], unseen: np.ndarray) -> tuple[float, Counter]:
+    """Sum of log p(word | its shared class), but for the log(count) of the words returned, whose counts are not at hand."""
+    total, others = 0.0, Counter()
+    for i in np.flatnonzero(ids >= VOCABULARY - RARE).tolist():
+        share = known.get(words[i])
+        if share is None:
+            others[words[i]] += 1
+            share = float(unseen[ids[i] - VOCABULARY + RARE])
+        total += share
+    return total, others
+
+
 def windows(ids: np.ndarray, first: int, last: int) -> np.ndarray:
     """Classes around the tokens ``first`` to ``last``; borders are padded."""
     padded = np.concatenate([np.full(REACH, BORDER), ids, np.full(REACH, BORDER)])
@@ -134,8 +210,10 @@ def step(net: dict, around: np.ndarray, ids: np.ndarray, rate: float) -> float:
 
 def _scatter(table: np.ndarray, rows: np.ndarray, grads: np.ndarray, scale: float) -> None:
     """Subtracts each row's gradient sum; a row's step is damped by how often it occurs, so frequent rows stay stable."""
-    order = np.argsort(rows, kind="stable")
-    own, first, n = np.unique(rows[order], return_index=True, return_counts=True)
+    order = np.argsort(rows.astype(np.int16), kind="stable")  # a radix sort
+    own = rows[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    own, n = own[first], np.diff(np.r_[first, len(own)])
     table[own] -= scale / np.sqrt(n)[:, None].astype(np.float32) * np.add.reduceat(grads[order], first, axis=0)
 
 
@@ -184,9 +262,9 @@ def train_round(docs: DataFrame, classes: dict[bytes, int], net: dict, seed: int
     return unflat(np.concatenate([np.array(r["v"], np.float32) for r in rows])) if rows else net
 
 
-def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[dict[bytes, int], dict]:
+def learn(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[dict[bytes, int], dict]:
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes, net = vocabulary(named), start()
+    classes, net = vocabulary(word_counts(named) if counts is None else counts), start()
     for k in range(rounds):
         net = train_round(named, classes, net, SEED + k, RATE / (k + 1))
     return classes, net
@@ -194,20 +272,35 @@ def learn(docs: DataFrame, rounds: int = ROUNDS) -> tuple[dict[bytes, int], dict
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, n_tokens, log_prob, mean_log_prob)`` of every row's whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, rounds))  # one vocabulary and one network
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counts = word_counts(rows)
+    classes, net = learn(rows, rounds, counts)
+    sent = docs.sparkSession.sparkContext.broadcast((classes, net, *shares(counts, classes)))  # all of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net = sent.value
-        words = Classes(known)
+        known, net, head, unseen = sent.value
+        classes, row = Classes(known), TaskContext.get().partitionId() << 40
         for b in batches:
-            n, total = [], []
-            for t in b.column(1):
-                ids = tokens(t.as_py(), words)
-                n.append(len(ids))
-                total.append(log_likelihood(net, ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())],
-                                             ["doc_id", "n_tokens", "log_prob"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    scored = rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, log_prob double")
-    return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                n, total, rest = [], [], []
+                for t in part.column(1):
+                    words = split(t.as_py())
+                    ids = np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
+                    more, others = within(words, ids, head, unseen)
+                    n.append(len(ids))
+                    total.append(log_likelihood(net, ids) + more)
+                    rest.append([{"w": w, "times": k} for w, k in others.items()])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + len(n))), part.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()),
+                     pa.array(rest, pa.list_(pa.struct([("w", pa.binary()), ("times", pa.int64())])))],
+                    ["row", "doc_id", "n_tokens", "log_prob", "rest"])
+                row += len(n)
+
+    schema = "row bigint, doc_id bigint, n_tokens bigint, log_prob double, rest array<struct<w:binary,times:bigint>>"
+    scored = written(rows.mapInArrow(run, schema), "lm-scored")
+    logs = counts.filter("n > 1").select("w", F.round(F.log("n") * LOGS).cast("bigint").alias("log"))  # the logarithm of 1 adds nothing
+    joined = scored.select("row", F.explode("rest").alias("r")).select("row", "r.w", "r.times").join(logs, "w")
+    more = joined.groupBy("row").agg((F.sum(F.col("times") * F.col("log")) / LOGS).alias("more"))
+    whole = scored.drop("rest").join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return whole.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

@@ -594,6 +594,30 @@ def test_lm_trains_on_every_document(spark):
         assert lm_score.log_likelihood(net, ids) > lm_score.log_likelihood(begin, ids) + 1
 
 
+@pytest.mark.parametrize("head", [lm_score.HEAD, 0])
+def test_lm_words_of_a_class_have_their_own_probability(spark, monkeypatch, head):
+    monkeypatch.setattr(lm_score, "HEAD", head)
+    by = collections.defaultdict(list)
+    for k in range(3000):
+        by[lm_score.rare(b"rare%d" % k)].append(f"rare{k}")
+    a, b, c, *_ = next(v for v in by.values() if len(v) > 2)  # of one class
+    frequent = " ".join(f"w{k} " * 20 for k in range(lm_score.VOCABULARY - lm_score.RARE - 1))
+    texts = [frequent, a, a, a, a, a, b, b, f"{a} {b} {b}", c]  # 6, 4 and 1 times
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r.log_prob for r in lm_score.score(docs).collect()}
+    assert got[1] == got[5] and got[6] == got[7]
+    assert got[1] - got[6] == pytest.approx(np.log(6 / 4), abs=1e-6) and got[6] - got[9] == pytest.approx(np.log(4), abs=1e-6)
+    counts = lm_score.word_counts(docs)
+    classes = lm_score.vocabulary(counts)
+    known, unseen = lm_score.shares(counts, classes)
+    assert len(classes) == lm_score.VOCABULARY - lm_score.RARE - 1 and (set(known) == {w.encode() for w in (a, b, c)} or not head)
+    if head:
+        assert sum(np.exp(list(known.values()))) + np.exp(unseen[lm_score.rare(a.encode())]) == pytest.approx(1)
+    net = lm_score.learn(docs)[1]
+    ids = lm_score.tokens(texts[8], lm_score.Classes(classes))
+    assert got[8] == pytest.approx(lm_score.log_likelihood(net, ids) + np.log(6 / 12) + 2 * np.log(4 / 12), abs=1e-3)
+
+
 def test_lm_score_is_the_sum_over_hidden_tokens(monkeypatch):
     net, ids = lm_score.start(1), np.arange(1, 40)
     want = 0.0

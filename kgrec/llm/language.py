@@ -139,10 +139,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int
     common = (named.groupBy("lang").agg(F.count("*").alias("n_docs"), F.approx_count_distinct("text").alias("n_texts"))
               .orderBy(F.desc("n_docs"), "lang").limit(most_languages))
     first = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
-    # Hashes are uniform: those below twice the wanted share of texts hold the smallest ``per_language``, and only they move.
+    # Copies of a text count once.  Hashes are uniform: those below twice the wanted share of texts hold the smallest ``per_language``, and only they move.
     low = F.col("h") < F.lit(2.0 * per_language * HASHES) / F.col("n_texts")
     sample = (named.join(F.broadcast(common), "lang").withColumn("h", F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(HASHES)))
-              .filter(low).withColumn("n", first).filter(F.col("n") <= per_language).select("lang", "h", "text"))
+              .filter(low).select("lang", "h", "text").distinct().withColumn("n", first).filter(F.col("n") <= per_language).select("lang", "h", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -322,6 +322,16 @@ def test_language_held_out_accuracy(spark):
     assert preds[:3] == ["und"] * 3 and preds[3] in model.languages
 
 
+def test_language_sample_holds_a_text_once(spark, monkeypatch):
+    texts = spark.createDataFrame([(prose(k, 30), "en") for k in range(100)], "text string, lang string")
+    lowest = texts.orderBy(F.pmod(F.xxhash64(F.lit(language.SEED), "text"), F.lit(language.HASHES))).limit(1)
+    copies = lowest.crossJoin(spark.range(500)).select("text", "lang")
+    seen, train = [], language.train
+    monkeypatch.setattr(language, "train", lambda xs, *a: seen.extend(xs) or train(xs, *a))
+    language.learn(texts.unionByName(copies), per_language=50)
+    assert len(seen) > 25 and len({(b.tobytes(), c.tobytes()) for b, c in seen}) == len(seen)
+
+
 def test_language_edges(docs, none):
     model = language.learn(docs)
     assert set(model.languages) == {"de", "en"}

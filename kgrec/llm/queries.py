@@ -6,8 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgrec.llm import ann, html_text, language, lm_score, mixing, packing, quality, sharding, simhash, token_files
+from kgrec.llm import (
+    ann,
+    conversations,
+    html_text,
+    language,
+    lm_score,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    token_files,
+    whitening,
+)
 from kgrec.llm.common import load
+from kgrec.llm.oracles import ORACLE  # noqa: F401 - read by __spark_entry__
 from kgrec.sources.files import scratch_path
 
 
@@ -74,6 +89,21 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.filter("vec_id % 20 = 0"))
 
 
+def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit(whitening.fit_list(rows)))
+
+
+def op12_count_min_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.deduplicated(load(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -81,4 +111,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_pseudo_likelihood, op2_best_fit_packing, op3_external_shuffle, op4_token_files, op5_entropy_mix, op6_page_difference,
-    op7_subword_language, op8_simhash_tiles, op9_decision_list, op10_projection_forest, pipeline)}
+    op7_subword_language, op8_simhash_tiles, op9_decision_list, op10_projection_forest,
+    op11_qdwh_whitening, op12_count_min_substring, op13_hirschberg_repair, pipeline)}

@@ -30,6 +30,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/kgrec-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _tsv(spark: SparkSession, schema, header: bool = False):
     return spark.read.schema(schema).option("sep", "\t").option("header", header).option("mode", "FAILFAST")
 

@@ -197,6 +197,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the file system that Spark resolves it to."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in hpath.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hpath)]
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, as a marker."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(hpath, True).close()
+
+
 def write_topk_lists(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Top-k lists of every setting and cut-off in one write, partitioned by (setting, k) (K6)."""
     write_store(df, path, ["setting", "k"], mode)

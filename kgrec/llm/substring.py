@@ -5,13 +5,14 @@ also at an earlier place of the input; windows are judged on the input, not on w
 
 1. ``Sketch``: each task counts its windows' hashes in ``DEPTH`` rows of cells; partial sketches are merged.  Only "none", "one"
    and "two or more" matter, so a cell is two bits and merging never loses a count: an estimate is never too low.
-2. Windows estimated to repeat are told apart exactly by 96 bits of two independent hashes of their words: the first place
-   of each is found by a minimum, after every batch has sent one row a window.  All others never leave their task.
-3. First places go back to their documents, where all other windows that are estimated to repeat are removed.
+2. Windows estimated to repeat are grouped exactly, by 64 bits of their least ``GRAM``-word gram and 32 independent bits of all their words,
+   and every place but the first is found.  Neighbouring windows mostly share that gram, so they travel as one row, in some seven
+   bytes a window even where nothing is filtered; a task sends a window once.  All other windows never leave their task.
+3. Places that are not first go back to their documents as runs, and their words are removed.
 
 The sketch is sized by the text, up to ``SKETCH_BYTES`` (a parameter): that is all that is broadcast.  Where the corpus has more windows
-than that separates, more single windows pass the filter and meet in step 2, which is exact in any case: the result
-never depends on the sketch.  Step 1 runs in as many tasks as there are cores, so merging moves one sketch a core.
+than that separates, more single windows pass the filter and meet in step 2, which is exact in any case and cheap enough for all windows:
+the result never depends on the sketch.  Step 1 runs in as many tasks as there are cores, so merging moves one sketch a core.
 
 Places are ordered by (doc_id, start), a null id first.  Rows that share an id but not the text are documents of their own, ordered by a
 hash of the text; rows equal in both are one document and have the same result.  Defined results: a null or
@@ -22,7 +23,7 @@ are not read by ``deduplicated``, which returns one row a document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgrec.llm.common import written
-
 WINDOW = 20
 DEPTH = 2                       # rows of a sketch
 SKETCH_BYTES = 64 << 20         # a whole sketch at most
-CHARS_A_CELL = 1.5              # sketch sizing: a row gets about a cell for so many characters
+CHARS_A_CELL = 6.0              # sketch sizing: a row gets about a cell a word, rounded up to a power of two
 SEGMENT = 1 << 20               # bytes of a partial sketch that travel in one row
-SLICE = 4 << 20                 # bytes of text hashed at once
+SLICE = 2 << 20                 # bytes of text hashed at once
+GRAM = 8                        # words of the grams whose least one windows are dealt by
+HELD = 1 << 20                  # windows that a task gathers before it sends or reduces them
 LONGEST = 64                    # bytes of words that are hashed together; longer ones go one by one
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 BASES = (0xD1342543DE82EF95, 0xF1357AEA2E62A9C5)
@@ -102,8 +103,18 @@ def _rolled(h: np.ndarray, base: int, window: int) -> np.ndarray:
             have *= 2
 
 
-def windows_of(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of the texts, in order: two 64-bit hashes (rows) of the words, the text's number, the first word's number."""
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """Minima of all runs of ``width``."""
+    have = 1
+    while have * 2 <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return np.minimum(x[:len(x) - (width - have)], x[width - have:])
+
+
+def windows_of(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable]:
+    """Of all windows of the texts, in order: a 64-bit hash of the words, the text's number, the first word's number; and
+    ``more()``: the hash of the least gram and 32 further bits, for each window."""
     starts, h = hashed_words(b"\n".join(texts))
     ends = np.cumsum([len(t) + 1 for t in texts])
     words = np.diff(np.searchsorted(starts, ends), prepend=0)
@@ -111,11 +122,21 @@ def windows_of(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np
     doc = np.repeat(np.arange(len(texts)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     if not len(doc):
-        return np.zeros((2, 0), np.uint64), doc, start
+        none = np.zeros(0, np.uint64)
+        return none, doc, start, lambda: (none, none.astype(np.uint32))
     at = start + np.repeat(np.cumsum(words) - words, n)
-    out = np.stack([_rolled(h[k], BASES[k], window)[at] for k in range(2)])
-    out ^= out >> np.uint64(29)
-    return out, doc, start
+
+    def hashes(row: int) -> np.ndarray:
+        x = _rolled(h[row], BASES[row], window)[at]
+        return x ^ (x >> np.uint64(29))
+
+    def more() -> tuple[np.ndarray, np.ndarray]:
+        gram = min(GRAM, (window + 1) // 2)
+        with np.errstate(over="ignore"):
+            grams = _mixed(_rolled(h[0], BASES[1], gram), 0)
+        return _least(grams, window - gram + 1)[at], (hashes(1) >> np.uint64(32)).astype(np.uint32)
+
+    return hashes(0), doc, start, more
 
 
 def _slices(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
@@ -201,7 +222,7 @@ def sketched(texts: DataFrame, size: int, window: int = WINDOW) -> Sketch:
         sketch = Sketch(size)
         for batch in batches:
             for part in _slices(_texts(batch.column(0))):
-                sketch.add(windows_of(part, window)[0][0])
+                sketch.add(windows_of(part, window)[0])
         raw = sketch.seen.reshape(2, -1)
         for k, at in enumerate(range(0, raw.shape[1], SEGMENT)):
             part = raw[:, at:at + SEGMENT]
@@ -244,49 +265,148 @@ def sketched(texts: DataFrame, size: int, window: int = WINDOW) -> Sketch:
 def _with_key(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, key)``: the key tells documents that share an id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
-
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.hash(text).alias("key"))
+
+
+RUN = "gram bigint, doc_id bigint, key int, start int, n int, bits array<int>"
+
+
+class _Windows:
+    """Windows with their places; ``doc`` is a place in ``docs``, whose rows are (known, doc_id, key) in the order of documents."""
+
+    def __init__(self, gram, bits, doc, start, docs):
+        self.gram, self.bits, self.doc, self.start, self.docs = gram, bits, doc, start, docs
+
+    def told_apart(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which windows stand first among these, and which stand later; a place that is given again (by an equal row) is neither."""
+        place = self.doc.astype(np.int64) << 32 | self.start
+        order = np.lexsort((place, self.bits, self.gram))
+        gram, bits, place = self.gram[order], self.bits[order], place[order]
+        same = (gram[1:] == gram[:-1]) & (bits[1:] == bits[:-1])
+        first, later = np.empty(len(order), bool), np.empty(len(order), bool)
+        first[order] = np.concatenate([[True], ~same])[:len(order)]
+        begin = np.maximum.accumulate(np.where(first[order], np.arange(len(order)), 0))
+        moved = np.concatenate([[True], place[1:] != place[:-1]])[:len(order)]
+        later[order] = moved & (place != place[begin]) if len(order) else False
+        return first, later
+
+    def pick(self, which: np.ndarray) -> "_Windows":
+        return _Windows(self.gram[which], self.bits[which], self.doc[which], self.start[which], self.docs)
+
+    def runs(self, with_bits: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of ``RUN``: consecutive windows of a document (and, ``with_bits``, of one gram)."""
+        order = np.lexsort((self.start, self.doc))
+        doc, start, gram = self.doc[order], self.start[order], self.gram[order]
+        cut = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+        if with_bits:
+            cut |= gram[1:] != gram[:-1]
+        first = np.flatnonzero(np.concatenate([[True], cut])) if len(order) else np.zeros(0, np.int64)
+        ends = np.append(first[1:], len(order))
+        bits = self.bits[order].view(np.int32)
+        known, ids, keys = self.docs
+        for lo in range(0, len(first), 1 << 16):
+            a, b = first[lo:lo + (1 << 16)], ends[lo:lo + (1 << 16)]
+            d = doc[a]
+            lists = (pa.ListArray.from_arrays(pa.array(np.append(a, b[-1]) - a[0], pa.int32()), pa.array(bits[a[0]:b[-1]])) if with_bits
+                     else pa.nulls(len(a), pa.list_(pa.int32())))
+            with np.errstate(over="ignore"):  # runs without bits go anywhere: by their place
+                key = gram[a] if with_bits else _mixed(ids[d].astype(np.uint64) ^ start[a].astype(np.uint64) << np.uint64(40), 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(ids[d], pa.int64(), mask=~known[d]), pa.array(keys[d]), pa.array(start[a].astype(np.int32)),
+                 pa.array((b - a).astype(np.int32)), lists], ["gram", "doc_id", "key", "start", "n", "bits"])
+
+
+def _ordered(known: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The number of each document in the order of places (a null id first; equal ones share it), and the documents by number."""
+    order = np.lexsort((keys, ids, known))
+    k, i, x = known[order], ids[order], keys[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (x[1:] != x[:-1])])[:len(order)]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, (k[new], i[new], x[new])
+
+
+def later_places(docs: DataFrame, shared, size: int, window: int = WINDOW) -> DataFrame:
+    """``(doc_id, key, runs)``: the windows that stand earlier, as runs (start, n).  ``shared`` is the broadcast sketch."""
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, held, many = Sketch(size, shared.value), [], 0
 
-def first_places(docs: DataFrame, shared, size: int, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, key, starts)``: where windows that are estimated to repeat stand first.
+        def flush():
+            gram, bits, known, ids, keys, start = (np.concatenate(c) for c in zip(*held, strict=True))
+            doc, table = _ordered(known, ids, keys)
+            windows = _Windows(gram, bits, doc, start, table)
+            first, later = windows.told_apart()
+            yield from windows.pick(first).runs(True)
+            yield from windows.pick(later).runs(False)  # settled here
 
-    ``shared`` is the broadcast sketch.  Each batch sends a window once, with its first place in the batch.
-    """
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(size, shared.value)
         for batch in batches:
             ids, keys = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            known = np.array([v is not None for v in ids.to_pylist()], bool)
-            order = np.lexsort((keys, ids.fill_null(0).to_numpy(zero_copy_only=False), known))  # by place: a null id first
+            known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
             done = 0
-            for part in _slices((batch.column(1)[row].as_py() or "").encode() for row in order.tolist()):
-                h, doc, start = windows_of(part, window)
-                at = np.flatnonzero(sketch.repeats(h[0]))
+            for part in _slices(_texts(batch.column(1))):
+                h, doc, start, more = windows_of(part, window)
+                at = np.flatnonzero(sketch.repeats(h))
                 if len(at):
-                    h, row, start = h[:, at], order[done + doc[at]], start[at]
-                    # The first place of each window: places ascend, so the least index of each pair of hashes.
-                    by = np.lexsort((h[1], h[0]))
-                    a, b = h[0][by], h[1][by]
-                    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                    at = np.minimum.reduceat(by, np.flatnonzero(new))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[0][at].view(np.int64)), pa.array((h[1][at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                         ids.take(pa.array(row[at])), pa.array(keys[row[at]]), pa.array(start[at].astype(np.int32))],
-                        ["h", "g", "doc_id", "key", "start"])
+                    gram, bits = more()
+                    doc = done + doc[at]
+                    held.append((gram[at], bits[at], known[doc], ids[doc], keys[doc], start[at]))
+                    many += len(at)
                 done += len(part)
+                if many >= HELD:
+                    yield from flush()
+                    held, many = [], 0
+        if held:
+            yield from flush()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by gram; the windows of the last one wait for the next batch, reduced to first places when they are many."""
+        held, room = [], HELD
+
+        def reduced(parts, keep_last: bool):
+            gram, known, ids, keys, start, n, bits = (np.concatenate(c) for c in zip(*parts, strict=True))
+            doc, table = _ordered(known, ids, keys)
+            row = np.repeat(np.arange(len(n)), n)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            windows = _Windows(gram[row], bits.view(np.uint32), doc[row], start[row] + inside, table)
+            last = windows.gram == gram[-1] if keep_last else np.zeros(len(row), bool)
+            first, later = windows.told_apart()
+            out = list(windows.pick(later).runs(False))
+            wait = windows.pick(last & first)
+            if not len(wait.gram):
+                return out, []
+            d = wait.doc
+            return out, [(wait.gram, table[0][d], table[1][d], table[2][d], wait.start, np.ones(len(d), np.int64), wait.bits.view(np.int32))]
 
-    rows = _with_key(docs).mapInArrow(candidates, "h bigint, g int, doc_id bigint, key bigint, start int")
-    first = rows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "key", "start")).alias("place"))
-    return first.groupBy("place.doc_id", "place.key").agg(F.collect_list("place.start").alias("starts"))  # at most a document's windows
-
-
-def _removed(words: list[bytes], starts: np.ndarray, window: int) -> tuple[int, int, bytes]:
-    """Word count, how many the windows from ``starts`` cover, and the rest joined."""
+        for batch in batches:
+            settled = batch.column("bits").is_null()
+            if settled.true_count:
+                yield batch.filter(settled)
+                batch = batch.filter(settled.to_numpy(zero_copy_only=False) == 0) if settled.true_count < batch.num_rows else batch.slice(0, 0)
+            if not batch.num_rows:
+                continue
+            gram, ids, keys, start, n, bits = (batch.column(k) for k in range(6))
+            held.append((gram.to_numpy(zero_copy_only=False).view(np.uint64), ids.is_valid().to_numpy(zero_copy_only=False),
+                         ids.fill_null(0).to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False),
+                         start.to_numpy(zero_copy_only=False).astype(np.int64), n.to_numpy(zero_copy_only=False).astype(np.int64), bits.flatten().to_numpy(zero_copy_only=False)))
+            if sum(len(p[6]) for p in held) >= room:
+                out, held = reduced(held, True)
+                yield from out
+                room = HELD + 2 * sum(len(p[6]) for p in held)
+        if held:
+            yield from reduced(held, False)[0]
+
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sent = _with_key(docs).mapInArrow(candidates, RUN).repartition(n, "gram").sortWithinPartitions("gram")
+    return sent.mapInArrow(settle, RUN).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))  # a document's, whatever its copies
+
+
+def _removed(words: list[bytes], starts: np.ndarray, sizes: np.ndarray) -> tuple[int, int, bytes]:
+    """Word count, how many the runs of words cover, and the rest joined."""
     if not len(starts):
         return len(words), 0, b" ".join(words)
     steps = np.zeros(len(words) + 1, np.int64)
-    steps[starts] += 1
-    steps[starts + window] -= 1
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, starts + sizes, -1)
     kept = [words[k] for k in np.flatnonzero(np.cumsum(steps[:-1]) == 0).tolist()]
     return len(words), len(words) - len(kept), b" ".join(kept)
 
@@ -297,27 +417,22 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, sketch_bytes: int = SKET
     chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
     size = log_cells(int(chars), sketch_bytes)
     shared = spark.sparkContext.broadcast(sketched(docs.select("text"), size, window).seen)
-    first = written(first_places(docs, shared, size, window), "first-places")
-    rows, at = _with_key(docs).alias("d"), first.alias("f")
+    rows, at = _with_key(docs).alias("d"), later_places(docs, shared, size, window).alias("f")
     joined = rows.join(at, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.key") == F.col("f.key")), "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(size, shared.value)
         for batch in batches:
-            done = 0
-            for part in _slices(_texts(batch.column(1))):
-                h, doc, start = windows_of(part, window)
-                gone = sketch.repeats(h[0])
-                ends = np.cumsum(np.bincount(doc, minlength=len(part)))
-                out = []
-                for k, text in enumerate(part):
-                    words = text.split()
-                    left = gone[ends[k] - max(0, len(words) - window + 1):ends[k]]
-                    starts = batch.column(2)[done + k]
-                    if starts.is_valid:
-                        left[starts.values.to_numpy(zero_copy_only=False)] = False
-                    out.append((batch.column(0)[done + k].as_py(), *_removed(words, np.flatnonzero(left), window)))
-                done += len(part)
+            out, size = [], 0
+            for doc, text, runs in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2), strict=True):
+                pairs = runs.values if runs.is_valid else None
+                start, n = ((pairs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n")) if pairs is not None
+                            else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                out.append((doc, *_removed(text.split(), start, n + window - 1)))
+                size += len(text)
+                if size >= SLICE:
+                    yield _rows(out)
+                    out, size = [], 0
+            if out:
                 yield _rows(out)
 
     def _rows(out):
@@ -326,4 +441,4 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, sketch_bytes: int = SKET
             [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
             ["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.select("d.doc_id", "d.text", "f.starts").mapInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return joined.select("d.doc_id", "d.text", "f.runs").mapInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept string")

@@ -48,6 +48,8 @@ def made(seed):
             body.insert(rng.randint(0, len(body)), passage)
         rows.append((k * 7 % 61, "  ".join(body) + rng.choice(["", "\n", " \t"])))
     rows += [(100 + k, copy) for k in range(20)] + [(3, copy), (3, copy), (3, "other text " + copy), (None, copy), (None, passage), (None, None)]
+    own = " ".join(rng.choice(words) + "x" for _ in range(40))
+    rows += [(-5, own)] * 30 + [(-4, own), (-6, " ".join(["t"] * 25))] + [(-6, " ".join(["t"] * 25))] * 3  # equal rows that stand first
     rows += [(200, None), (201, ""), (202, " \n\x0b"), (203, " ".join(words[:4] * 300)), (204, "x" * 5000 + " " + "y" * 70), (205, " ".join(["x" * 5000] * 9)),
              (206, "\x1c".join(words[:8]) + " " + " ".join(["\xa0", "\x85"] * 6)), (207, "z " * 3000)]
     return rows

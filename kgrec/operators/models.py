@@ -60,10 +60,6 @@ def _log(spark, path: str | None, **settings) -> TR.EpochLog | None:
     return TR.EpochLog(spark, path, settings) if path else None
 
 
-def _loss(sums: np.ndarray) -> float:
-    return float(sums[0, 0])
-
-
 # --- triple models ------------------------------------------------------------------------------------------
 
 class TripleSamples:
@@ -71,6 +67,7 @@ class TripleSamples:
 
     def __init__(self, triples: DataFrame, index: DataFrame, relations: list[str], n: int):
         self.ids, self.n = TR.written(with_ids(triples, index, relations).distinct(), "triples"), n
+        self.rows = self.ids.count()
         self.blocked = TR.written(TR.next_free(self.ids.withColumnRenamed("t", "slot"), ["h", "r"], n), "blocked")
 
     def __call__(self, epoch: int) -> DataFrame:
@@ -86,23 +83,16 @@ def triple_model(triples: DataFrame, kind: str = "distmult", loss: str = "logist
 
     def step(state: TR.State, batch: DataFrame):
         x = state.vectors()
-        sums = TR.written(TR.triple_loss(batch, x, state.arrays["rel"], kind, loss, margin), "sums")
-        got = TR.small(sums, dim, {TR.RELATION: len(names), TR.LOSS: 1})
+        gradient, got = TR.collected(TR.triple_loss(batch, x, state.arrays["rel"], kind, loss, margin), x, {TR.RELATION: len(names), TR.LOSS: 1})
         x.free()
-        return _entity_rows(sums), {"rel": got[TR.RELATION]}, _loss(got[TR.LOSS]), batch.count()
+        return gradient, {"rel": got[TR.RELATION]}, got[TR.LOSS]
 
     state = TR.State(rows, n, dim, {"rel": TR.normal((len(names), dim), seed + 1, INIT_SCALE)})
     log = _log(spark, log_path, model=kind, loss=loss, lr=lr, margin=margin, seed=seed, dim=dim, batch_rows=batch_rows)
-    state = TR.run_epochs(state, step, samples, ["h", "r", "t"], epochs, lr, batch_rows, log)
+    state = TR.run_epochs(state, step, samples, samples.rows, ["h", "r", "t"], epochs, lr, batch_rows, log)
     return TrainResult(_named(index, state.rows), _relation_rows(spark, names, state.arrays["rel"]), state.losses)
 
 
-def _entity_rows(sums: DataFrame) -> DataFrame:
-    rows = sums.filter(F.col("kind") == TR.ENTITY).select("id", "g")
-    rows._kgrec_path = sums._kgrec_path
-    return rows
-
-
 # --- pair models --------------------------------------------------------------------------------------------
 
 class PairSamples:
@@ -117,6 +107,7 @@ class PairSamples:
         self.n = self.n_items + self.users.count()
         met = TR.written(train.join(self.items, "item_id").join(self.users, "user_id").select("u", "user_id", F.col("i").alias("slot"), "rating").distinct(), "met")
         self.pairs = met.filter("rating = 1").select("u", "user_id", F.col("slot").alias("p")).distinct()
+        self.rows = self.pairs.count()
         self.blocked = TR.written(TR.next_free(met, ["u"], self.n_items), "blocked")
 
     def __call__(self, epoch: int) -> DataFrame:
@@ -142,30 +133,32 @@ def symmetric_edges(pairs: DataFrame) -> DataFrame:
     return symmetric_norm_edges(pairs, "a", "b")
 
 
-def pair_gradient(edges: DataFrame | None, x: TR.Vectors, batch: DataFrame, layers: int, reg: float) -> tuple[DataFrame, float]:
-    """Gradient rows ``(id, g)`` and loss sum of BPR on the mean of x and its ``layers`` propagations (0: on x itself).
+def pair_gradient(edges: DataFrame | None, x: TR.Vectors, batch: DataFrame, layers: int, reg: float) -> tuple[TR.Vectors, np.ndarray]:
+    """Gradient and loss row of BPR on the mean of x and its ``layers`` propagations (0: on x itself).
 
     The propagation is linear and its weights symmetric, so the gradient of x is the propagated mean of the gradient.
     """
     dim = x.dim
     top = TR.layer_mean(edges, x, layers) if layers else x
-    sums = TR.written(TR.pair_loss(batch, top, x, reg), "sums")
-    loss = _loss(sums.filter(F.col("kind") == TR.LOSS).select("g").toPandas()["g"].map(lambda g: np.array(g)[None]).tolist()[0]) if not sums.isEmpty() else 0.0
-    rows = sums.filter(F.col("kind") == TR.ENTITY)
-    main = rows.select("id", F.slice("g", 1, dim).alias("vec"))
+    width = 2 * dim if reg else dim
+    sums, got = TR.collected(TR.pair_loss(batch, top, x, reg), x, {TR.LOSS: 1}, width)
     if layers:
-        back = TR.layer_mean(edges, TR.Vectors(main, x.n, dim), layers)
-        main = back.rows.select("id", "vec")
         top.free()
-    out = main
+    if x.fits:
+        both = sums.matrix()
+        main = TR.Vectors(None, x.n, dim, x.spark, both[:, :dim])
+        out = TR.layer_mean(edges, main, layers).matrix() if layers else main.matrix()
+        return TR.Vectors(None, x.n, dim, x.spark, out + both[:, dim:] if reg else out), got[TR.LOSS]
+    main = TR.Vectors(sums.rows.select("id", F.slice("vec", 1, dim).alias("vec")), x.n, dim)
+    back = TR.layer_mean(edges, main, layers) if layers else main
+    out = back.rows
     if reg:
-        own = rows.select("id", F.slice("g", dim + 1, dim).alias("vec"))
-        both = main.unionByName(own)
-        out = both.groupBy("id").agg(*[F.sum(F.col("vec")[d]).alias(f"g{d}") for d in range(dim)]).select(
-            "id", F.array(*[f"g{d}" for d in range(dim)]).alias("vec"))
-    out = TR.written(out.select("id", F.col("vec").alias("g")), "gradient")
-    TR.dropped(sums, *([top.rows, back.rows] if layers else []))
-    return out, loss
+        own = sums.rows.select("id", F.slice("vec", dim + 1, dim).alias("own"))
+        out = out.join(own, "id", "left").select(
+            "id", F.when(F.col("own").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "own", lambda a, b: a + b)).alias("vec"))
+    out = TR.written(out, "gradient")
+    TR.dropped(sums.rows, *([top.rows, back.rows] if layers else []))
+    return TR.Vectors(out, x.n, dim), got[TR.LOSS]
 
 
 def _pair_model(train: DataFrame, items: DataFrame, layers: int, epochs: int, lr: float, reg: float, seed: int, dim: int, batch_rows: int,
@@ -178,10 +171,10 @@ def _pair_model(train: DataFrame, items: DataFrame, layers: int, epochs: int, lr
         x = state.vectors()
         gradient, loss = pair_gradient(edges, x, batch, layers, reg)
         x.free()
-        return gradient, {}, loss, batch.count()
+        return gradient, {}, loss
 
     log = _log(train.sparkSession, log_path, model="pairs", layers=layers, lr=lr, reg=reg, seed=seed, dim=dim, batch_rows=batch_rows)
-    state = TR.run_epochs(state, step, samples, ["u", "p"], epochs, lr, batch_rows, log)
+    state = TR.run_epochs(state, step, samples, samples.rows, ["u", "p"], epochs, lr, batch_rows, log)
     x = state.vectors()
     final = TR.layer_mean(edges, x, layers) if layers else x
     return TrainResult(_named(index, final.rows), None, state.losses)
@@ -216,10 +209,13 @@ def lightgcn_step(pairs: DataFrame, vecs: DataFrame, samples: DataFrame, layers:
     return _stepped(index, x, gradient, lr / max(batch.count(), 1))
 
 
-def _stepped(index: DataFrame, x: TR.Vectors, gradient: DataFrame, times: float) -> DataFrame:
-    """x - times * gradient for every id that has either: ``(entity, vec)``."""
+def _stepped(index: DataFrame, x: TR.Vectors, gradient: TR.Vectors, times: float) -> DataFrame:
+    """x - times * gradient for every id of the index: ``(entity, vec)``."""
     zero = F.array_repeat(F.lit(0.0), x.dim)
-    both = x.rows.select("id", "vec").join(gradient.select("id", "g"), "id", "full").select(
+    if gradient.fits:
+        return _named(index, TR.Vectors(None, x.n, x.dim, x.spark, x.matrix() - times * gradient.matrix()).rows)
+    g = gradient.rows.select("id", F.col("vec").alias("g"))
+    both = index.select("id").join(x.rows.select("id", "vec"), "id", "left").join(g, "id", "left").select(
         "id", F.zip_with(F.coalesce("vec", zero), F.coalesce("g", zero), lambda v, g: v - times * g).alias("vec"))
     return _named(index, both)
 
@@ -251,27 +247,26 @@ def conv_forward(edges: DataFrame, x: TR.Vectors, arrays: dict[str, np.ndarray],
 
 
 def conv_gradient(edges: DataFrame, x: TR.Vectors, arrays: dict[str, np.ndarray], batch: DataFrame, layers: int, comp: str, kind: str, loss: str,
-                  margin: float) -> tuple[DataFrame, dict[str, np.ndarray], float]:
-    """Gradients of the summed triple loss of ``batch(h, r, t, tn)`` after ``layers`` layers: entity rows ``(id, g)``, arrays, loss sum."""
-    dim = x.dim
+                  margin: float) -> tuple[TR.Vectors, dict[str, np.ndarray], np.ndarray]:
+    """Gradients of the summed triple loss of ``batch(h, r, t, tn)`` after ``layers`` layers: of x, of the arrays; the loss row."""
     done, rels = conv_forward(edges, x, arrays, layers, comp)
-    sums = TR.written(TR.triple_loss(batch, done[-1].out, rels, kind, loss, margin), "sums")
-    got = TR.small(sums, dim, {TR.RELATION: len(rels), TR.LOSS: 1})
-    gradient, g_rel, out = _entity_rows(sums), got[TR.RELATION], {}
+    gradient, got = TR.collected(TR.triple_loss(batch, done[-1].out, rels, kind, loss, margin), x, {TR.RELATION: len(rels), TR.LOSS: 1})
+    g_rel, out = got[TR.RELATION], {}
     for k in reversed(range(layers)):
         out[f"turn{k}"] = done[k].rels.T @ g_rel
         g_rel = g_rel @ arrays[f"turn{k}"].T
-        below = done[k - 1].out if k else x
-        before = gradient
+        below, before = done[k - 1].out if k else x, gradient
         gradient, composed, weights = TR.convolved_back(edges, done[k], below, _layer_weights(arrays, k), comp, k + 1 < layers, gradient)
-        TR.dropped(before)
+        if not x.fits:
+            TR.dropped(before.rows)
         g_rel = g_rel + composed
         out |= {f"{name}{k}": g for name, g in weights.items()}
     out["rel"] = g_rel
     for layer in done:
         layer.out.free()
-        TR.dropped(layer.rows)
-    return gradient, out, _loss(got[TR.LOSS])
+        if layer.rows is not None:
+            TR.dropped(layer.rows)
+    return gradient, out, got[TR.LOSS]
 
 
 def compgcn_model(triples: DataFrame, layers: int = 2, comp: str = "sub", kind: str = "distmult", loss: str = "logistic", epochs: int = KGE_EPOCHS,
@@ -285,13 +280,13 @@ def compgcn_model(triples: DataFrame, layers: int = 2, comp: str = "sub", kind:
 
     def step(state: TR.State, batch: DataFrame):
         x = state.vectors()
-        gradient, arrays, loss_sum = conv_gradient(edges, x, state.arrays, batch, layers, comp, kind, loss, margin)
+        gradient, arrays, loss_row = conv_gradient(edges, x, state.arrays, batch, layers, comp, kind, loss, margin)
         x.free()
-        return gradient, arrays, loss_sum, batch.count()
+        return gradient, arrays, loss_row
 
     state = TR.State(rows, n, dim, start_weights(layers, len(names), dim, seed))
     log = _log(spark, log_path, model="compgcn", layers=layers, comp=comp, kind=kind, loss=loss, lr=lr, margin=margin, seed=seed, dim=dim, batch_rows=batch_rows)
-    state = TR.run_epochs(state, step, samples, ["h", "r", "t"], epochs, lr, batch_rows, log)
+    state = TR.run_epochs(state, step, samples, samples.rows, ["h", "r", "t"], epochs, lr, batch_rows, log)
     done, rels = conv_forward(edges, state.vectors(), state.arrays, layers, comp)
     return TrainResult(_named(index, done[-1].out.rows), _relation_rows(spark, names, rels), state.losses)
 

@@ -9,8 +9,9 @@ vectors, convolution weights) whose size the vocabulary of relations and the dim
    (relations) and weight gradients are partial sums of the same passes;
 4. Adam moves the rows that have a gradient (others keep vector and moments) and the small arrays.
 
-How vectors reach a task depends on their counted size alone: up to ``spark.kgrec.vectorBroadcastBytes`` the matrix is broadcast
-and gathered by id, above that edges and samples are joined with the table; the same numpy code runs on either.  Sums are
+Where a model is kept depends on its counted size alone.  Up to ``spark.kgrec.vectorBroadcastBytes`` its matrix is broadcast for every
+pass and gathered by id, and the summed rows of a pass come back as one matrix; above that vectors stay tables, edges and
+samples are joined with them, and every step writes the next state.  The same numpy code runs in the tasks of either.  Sums are
 pre-added in the task (a hub leaves each task once) and finished by one aggregate.  Rows are dealt to the batches of an
 epoch by a hash of the row and the epoch, so a run does not depend on the partitioning.
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from kgrec.operators.rank import dense_index, global_row_number
 from kgrec.sources.files import exists, list_folder, remove, scratch_path, touch
 
 VECTOR_BYTES = 256 << 20
-BATCH_ROWS = 1 << 19          # samples of one synchronous step
+BATCH_ROWS = 1 << 20          # samples of one synchronous step
 ENTITY, RELATION, LOSS, WEIGHT = 0, 1, 2, 3   # kinds of summed rows; weights follow from WEIGHT on
 SUMS = "kind int, id bigint, g array<double>"
 B1, B2, EPS = 0.9, 0.999, 1e-8
@@ -61,32 +62,49 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def matrix_rows(spark, **columns: np.ndarray) -> DataFrame:
+    """Matrices of a size that fits as rows ``(id, ...)``."""
+    n = len(next(iter(columns.values())))
+    table = pa.table({"id": pa.array(np.arange(n)), **{c: list_array(m) for c, m in columns.items()}})
+    return spark.createDataFrame(table, "id bigint, " + ", ".join(f"{c} array<double>" for c in columns))
+
+
 class Vectors:
-    """Rows ``(id, vec)`` with ids below ``n``; an id without a row is a zero vector."""
+    """Rows ``(id, vec)`` with ids below ``n``; an id without a row is a zero vector.  A matrix that may be broadcast can stand for the rows."""
 
-    def __init__(self, rows: DataFrame, n: int, dim: int):
-        self.rows, self.n, self.dim, self._held, self._asked = rows, n, dim, None, False
+    def __init__(self, rows: DataFrame | None, n: int, dim: int, spark=None, held: np.ndarray | None = None):
+        self._rows, self.n, self.dim, self._matrix, self._shared = rows, n, dim, held, None
+        self.spark = spark or rows.sparkSession
 
     @property
     def fits(self) -> bool:
-        limit = int(self.rows.sparkSession.conf.get("spark.kgrec.vectorBroadcastBytes", str(VECTOR_BYTES)))
+        limit = int(self.spark.conf.get("spark.kgrec.vectorBroadcastBytes", str(VECTOR_BYTES)))
         return self.n * self.dim * 8 <= limit
 
+    @property
+    def rows(self) -> DataFrame:
+        if self._rows is None:
+            self._rows = matrix_rows(self.spark, vec=self._matrix)
+        return self._rows
+
+    def matrix(self) -> np.ndarray:
+        """All rows, for a size that fits."""
+        if self._matrix is None:
+            t = self.rows.select("id", "vec").toArrow()
+            self._matrix = np.zeros((self.n, self.dim))
+            if t.num_rows:
+                self._matrix[t.column("id").to_numpy()] = matrix(t.column("vec").combine_chunks(), self.dim)
+        return self._matrix
+
     def held(self):
         """The broadcast matrix, where its size fits."""
-        if not self._asked:
-            self._asked = True
-            if self.fits:
-                t = self.rows.select("id", "vec").toArrow()
-                m = np.zeros((self.n, self.dim))
-                if t.num_rows:
-                    m[t.column("id").to_numpy()] = matrix(t.column("vec").combine_chunks(), self.dim)
-                self._held = self.rows.sparkSession.sparkContext.broadcast(m)
-        return self._held
+        if self._shared is None and self.fits:
+            self._shared = self.spark.sparkContext.broadcast(self.matrix())
+        return self._shared
 
     def free(self) -> None:
-        if self._held is not None:
-            self._held.unpersist()
+        if self._shared is not None:
+            self._shared.unpersist()
 
 
 def gathering(df: DataFrame, vectors: dict[str, Vectors]) -> tuple[DataFrame, Callable]:
@@ -143,21 +161,61 @@ class Sums:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind), pa.int32()), pa.array(ids, pa.int64()), list_array(g)], ["kind", "id", "g"])
 
 
+MERGED = 1 << 17   # rows that a task of ``summed`` gathers before it adds them
+
+
 def summed(rows: DataFrame, dim: int) -> DataFrame:
-    """Rows of ``SUMS`` added over all tasks."""
-    sums = rows.groupBy("kind", "id").agg(*[F.sum(F.col("g")[d]).alias(f"g{d}") for d in range(dim)])
-    return sums.select("kind", "id", F.array(*[f"g{d}" for d in range(dim)]).alias("g"))
+    """Rows of ``SUMS`` added over all tasks: each (kind, id) meets in one task, which keeps one row of it."""
+    def merge(batches):
+        held, many, room = [], 0, MERGED
 
+        def added():
+            key, g = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            return key[first], np.add.reduceat(g[order], first, axis=0)
 
-def small(sums: DataFrame, dim: int, sizes: dict[int, int]) -> dict[int, np.ndarray]:
-    """The summed rows of small kinds (relations, loss, weights) as matrices."""
-    t = sums.filter(F.col("kind") != ENTITY).toArrow()
-    out = {k: np.zeros((n, dim)) for k, n in sizes.items()}
+        for batch in batches:
+            if batch.num_rows:
+                kind, ids = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("kind", "id"))
+                held.append((kind + 2 << 48 | ids, matrix(batch.column("g"), dim)))
+                many += batch.num_rows
+                if many >= room:
+                    held = [added()]
+                    many = len(held[0][0])
+                    room = MERGED + 2 * many
+        if held:
+            key, g = added()
+            for at in range(0, len(key), 8192):
+                part = key[at:at + 8192]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((part >> 48) - 2, pa.int32()), pa.array(part & (1 << 48) - 1), list_array(g[at:at + 8192])], ["kind", "id", "g"])
+
+    return rows.repartition("kind", "id").mapInArrow(merge, SUMS)
+
+
+def collected(sums: DataFrame, x: Vectors, sizes: dict[int, int], width: int | None = None) -> tuple[Vectors, dict[int, np.ndarray]]:
+    """Summed rows run once: those of entities as vectors (of ``x.n`` ids), those of small kinds as matrices."""
+    width = width or x.dim
+    if x.fits:
+        t, rest = sums.toArrow(), None
+        m = np.zeros((x.n, width))
+    else:
+        rest = written(sums, "sums")
+        t = rest.filter(F.col("kind") != ENTITY).toArrow()
+    out = {k: np.zeros((n, width)) for k, n in sizes.items()}
     if t.num_rows:
-        kinds, ids, g = t.column("kind").to_numpy(), t.column("id").to_numpy(), matrix(t.column("g").combine_chunks(), dim)
+        kinds, ids, g = t.column("kind").to_numpy(), t.column("id").to_numpy(), matrix(t.column("g").combine_chunks(), width)
         for k in out:
             out[k][ids[kinds == k]] = g[kinds == k]
-    return out
+        if rest is None:
+            m[ids[kinds == ENTITY]] = g[kinds == ENTITY]
+    if rest is None:
+        return Vectors(None, x.n, width, x.spark, m), out
+    rows = rest.filter(F.col("kind") == ENTITY).select("id", F.col("g").alias("vec"))
+    rows._kgrec_path = rest._kgrec_path
+    return Vectors(rows, x.n, width), out
 
 
 # --- samples ------------------------------------------------------------------------------------------------
@@ -222,7 +280,7 @@ def pair_loss(samples: DataFrame, x: Vectors, reg_on: Vectors | None = None, reg
                 for c, gc in zip(("u", "p", "n"), g, strict=True):
                     yield from sums.add(ENTITY, batch.column(c).to_numpy(zero_copy_only=False), gc)
                 row = np.zeros((1, sums.dim))
-                row[0, 0] = loss.sum()
+                row[0, :2] = loss.sum(), batch.num_rows
                 yield from sums.add(LOSS, np.zeros(1, np.int64), row)
         yield from sums.rest()
 
@@ -249,7 +307,7 @@ def triple_loss(samples: DataFrame, x: Vectors, rels: np.ndarray, kind: str, los
                     yield from sums.add(ENTITY, batch.column(c).to_numpy(zero_copy_only=False), g)
                 yield from sums.add(RELATION, rel, gr)
                 row = np.zeros((1, dim))
-                row[0, 0] = value.sum()
+                row[0, :2] = value.sum(), batch.num_rows
                 yield from sums.add(LOSS, np.zeros(1, np.int64), row)
         yield from sums.rest()
 
@@ -271,8 +329,10 @@ def propagated(edges: DataFrame, x: Vectors) -> Vectors:
                 yield from sums.add(ENTITY, batch.column("dst").to_numpy(zero_copy_only=False), get(batch, "src") * w[:, None])
         yield from sums.rest()
 
-    out = summed(df.mapInArrow(run, SUMS), dim)
-    return Vectors(written(out.select("id", F.col("g").alias("vec")), "layer"), x.n, dim)
+    out = summed(df.mapInArrow(run, SUMS), dim).select("id", F.col("g").alias("vec"))
+    if x.fits:
+        return Vectors(None, x.n, dim, x.spark, Vectors(out, x.n, dim).matrix())
+    return Vectors(written(out, "layer"), x.n, dim)
 
 
 def layer_mean(edges: DataFrame, x: Vectors, layers: int) -> Vectors:
@@ -281,15 +341,18 @@ def layer_mean(edges: DataFrame, x: Vectors, layers: int) -> Vectors:
     for _ in range(layers):
         cur = propagated(edges, cur)
         parts.append(cur)
-    rows = parts[0].rows.select("id", "vec")
-    for p in parts[1:]:
-        rows = rows.unionByName(p.rows.select("id", "vec"))
-    sums = rows.groupBy("id").agg(*[F.sum(F.col("vec")[d]).alias(f"g{d}") for d in range(x.dim)])
-    mean = sums.select("id", F.array(*[F.col(f"g{d}") / F.lit(float(layers + 1)) for d in range(x.dim)]).alias("vec"))
-    out = Vectors(written(mean, "mean"), x.n, x.dim)
+    if x.fits:
+        out = Vectors(None, x.n, x.dim, x.spark, sum(p.matrix() for p in parts) / (layers + 1))
+    else:
+        rows = parts[0].rows.select("id", "vec")
+        for p in parts[1:]:
+            rows = rows.unionByName(p.rows.select("id", "vec"))
+        sums = rows.groupBy("id").agg(*[F.sum(F.col("vec")[d]).alias(f"g{d}") for d in range(x.dim)])
+        mean = sums.select("id", F.array(*[F.col(f"g{d}") / F.lit(float(layers + 1)) for d in range(x.dim)]).alias("vec"))
+        out = Vectors(written(mean, "mean"), x.n, x.dim)
+        dropped(*(p.rows for p in parts[1:]))
     for p in parts[1:]:
         p.free()
-        dropped(p.rows)
     return out
 
 
@@ -309,10 +372,11 @@ def mean_edges(triples: DataFrame) -> DataFrame:
 
 @dataclass
 class Layer:
-    """What the backward pass needs: the layer's input, its two mean messages and its output, one row an entity."""
-    rows: DataFrame          # (id, h, a, b, out)
+    """What the backward pass needs: the layer's input, its two mean messages and its output, as rows or as matrices."""
+    rows: DataFrame | None                     # (id, h, a, b, out)
+    mats: tuple[np.ndarray, ...] | None        # h, a, b, out
     out: Vectors
-    rels: np.ndarray         # relation vectors that the layer composed with
+    rels: np.ndarray                           # relation vectors that the layer composed with
 
 
 def convolved(edges: DataFrame, x: Vectors, rels: np.ndarray, w: dict[str, np.ndarray], comp: str, activation: bool) -> Layer:
@@ -330,6 +394,12 @@ def convolved(edges: DataFrame, x: Vectors, rels: np.ndarray, w: dict[str, np.nd
                 yield from sums.add(ENTITY, ids, m * batch.column("w").to_numpy(zero_copy_only=False)[:, None])
         yield from sums.rest()
 
+    if x.fits:
+        both = Vectors(summed(df.mapInArrow(messages, SUMS), dim).select("id", F.col("g").alias("vec")), 2 * x.n, dim).matrix()
+        h, a, b = x.matrix(), both[0::2], both[1::2]
+        out = a @ w["in"] + b @ w["out"] + h @ w["loop"]
+        out = np.tanh(out) if activation else out
+        return Layer(None, (h, a, b, out), Vectors(None, x.n, dim, x.spark, out), rels)
     zero = F.array_repeat(F.lit(0.0), dim)
     means = summed(df.mapInArrow(messages, SUMS), dim).select(F.floor(F.col("id") / 2).alias("id"), (F.col("id") % 2).alias("way"), "g")
     means = means.groupBy("id").agg(F.max(F.when(F.col("way") == 0, F.col("g"))).alias("a"), F.max(F.when(F.col("way") == 1, F.col("g"))).alias("b"))
@@ -345,34 +415,39 @@ def convolved(edges: DataFrame, x: Vectors, rels: np.ndarray, w: dict[str, np.nd
                 yield pa.RecordBatch.from_arrays([*batch.columns, list_array(np.tanh(z) if activation else z)], [*batch.schema.names, "out"])
 
     rows = written(rows.mapInArrow(act, "id bigint, h array<double>, a array<double>, b array<double>, out array<double>"), "conv")
-    return Layer(rows, Vectors(rows.select("id", F.col("out").alias("vec")), x.n, dim), rels)
+    return Layer(rows, None, Vectors(rows.select("id", F.col("out").alias("vec")), x.n, dim), rels)
 
 
 def convolved_back(edges: DataFrame, layer: Layer, x: Vectors, w: dict[str, np.ndarray], comp: str, activation: bool,
-                   delta: DataFrame) -> tuple[DataFrame, np.ndarray, dict[str, np.ndarray]]:
-    """From ``delta(id, g)``, the gradient of the layer's output: that of its input (rows ``(id, g)``), of the relations it composed with, and of its weights."""
+                   delta: Vectors) -> tuple[Vectors, np.ndarray, dict[str, np.ndarray]]:
+    """From ``delta``, the gradient of the layer's output: that of its input, of the relations it composed with, and of its weights."""
     dim, sc = x.dim, edges.sparkSession.sparkContext
     shared = sc.broadcast((layer.rels, w))
 
+    def through(h, a, b, out, g, weights):
+        """The gradients of a, b and h, and of the three weights."""
+        dz = g * (1 - out * out) if activation else g
+        return [dz @ weights[c].T for c in ("in", "out", "loop")], [m.T @ dz for m in (a, b, h)]
+
     def inner(batches):
-        """Through the activation and the weights: the gradients of a and b (ids 2 i, 2 i + 1), of h by the loop, and of the weights."""
-        weights = shared.value[1]
         sums = Sums(dim, {})
         for batch in batches:
             if batch.num_rows:
-                h, a, b, out, g = (matrix(batch.column(c), dim) for c in ("h", "a", "b", "out", "g"))
-                dz = g * (1 - out * out) if activation else g
-                for k, m in enumerate((a, b, h)):
-                    sums.add_all(WEIGHT + k, m.T @ dz)
-                ids = pa.array(batch.column("id"))
-                n = len(dz)
-                for kind, m in ((ENTITY, dz @ weights["in"].T), (-1, dz @ weights["out"].T), (-2, dz @ weights["loop"].T)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), ids, list_array(m)], ["kind", "id", "g"])
+                parts, weights = through(*(matrix(batch.column(c), dim) for c in ("h", "a", "b", "out", "g")), shared.value[1])
+                for k, m in enumerate(weights):
+                    sums.add_all(WEIGHT + k, m)
+                for kind, m in zip((ENTITY, -1, -2), parts, strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), kind), pa.int32()), batch.column("id"), list_array(m)], ["kind", "id", "g"])
         yield from sums.rest()
 
-    parts = written(layer.rows.join(delta.select("id", "g"), "id").select("id", "h", "a", "b", "out", "g").mapInArrow(inner, SUMS), "inner")
-    ways = parts.filter(F.col("kind").isin(ENTITY, -1)).select((2 * F.col("id") + F.when(F.col("kind") == ENTITY, 0).otherwise(1)).alias("id"), F.col("g").alias("vec"))
-    back = Vectors(ways, 2 * x.n, dim)
+    if x.fits:
+        (ga, gb, loop), weights = through(*layer.mats, delta.matrix(), w)
+        back, parts = Vectors(None, 2 * x.n, dim, x.spark, np.stack([ga, gb], axis=1).reshape(-1, dim)), None
+    else:
+        delta_rows = delta.rows.select("id", F.col("vec").alias("g"))
+        parts = written(layer.rows.join(delta_rows, "id").select("id", "h", "a", "b", "out", "g").mapInArrow(inner, SUMS), "inner")
+        back = Vectors(parts.filter(F.col("kind").isin(ENTITY, -1)).select(
+            (2 * F.col("id") + F.when(F.col("kind") == ENTITY, 0).otherwise(1)).alias("id"), F.col("g").alias("vec")), 2 * x.n, dim)
     df, get = gathering(edges.withColumn("to", 2 * F.col("dst") + F.col("way")), {"to": back, "src": x})
     size = x.n if x.fits else None
 
@@ -389,59 +464,79 @@ def convolved_back(edges: DataFrame, layer: Layer, x: Vectors, w: dict[str, np.n
                 yield from sums.add(RELATION, rel, gr)
         yield from sums.rest()
 
-    loops = parts.filter(F.col("kind") == -2).select(F.lit(ENTITY).alias("kind"), "id", "g")
-    weights = parts.filter(F.col("kind") >= WEIGHT).select("kind", "id", "g")
-    sums = written(summed(df.mapInArrow(outer, SUMS).unionByName(loops).unionByName(weights), dim), "back")
-    got = small(sums, dim, {RELATION: len(layer.rels), **{WEIGHT + k: dim for k in range(3)}})
+    sizes, messages = {RELATION: len(layer.rels)}, df.mapInArrow(outer, SUMS)
+    if x.fits:
+        gradient, got = collected(summed(messages, dim), x, sizes)
+        gradient = Vectors(None, x.n, dim, x.spark, gradient.matrix() + loop)
+    else:
+        loops = parts.filter(F.col("kind") == -2).select(F.lit(ENTITY).alias("kind"), "id", "g")
+        rest = parts.filter(F.col("kind") >= WEIGHT).select("kind", "id", "g")
+        gradient, got = collected(summed(messages.unionByName(loops).unionByName(rest), dim), x, sizes | {WEIGHT + k: dim for k in range(3)})
+        weights = [got[WEIGHT + k] for k in range(3)]
+        dropped(parts)
     back.free()
-    dropped(parts)
-    gradient = sums.filter(F.col("kind") == ENTITY).select("id", "g")
-    gradient._kgrec_path = sums._kgrec_path
-    return gradient, got[RELATION], {name: got[WEIGHT + k] for k, name in enumerate(("in", "out", "loop"))}
+    return gradient, got[RELATION], dict(zip(("in", "out", "loop"), weights, strict=True))
 
 
 # --- optimiser, state, epochs -------------------------------------------------------------------------------
 
-@dataclass
 class State:
-    """A model in training: ``rows(id, vec, m, s)``, small arrays with their moments, steps done, losses of the epochs."""
-    rows: DataFrame
-    n: int
-    dim: int
-    arrays: dict[str, np.ndarray]
-    moments: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    step: int = 0
-    losses: list[float] = field(default_factory=list)
+    """A model in training: vectors with their Adam moments as rows ``(id, vec, m, s)`` or three matrices, small arrays with theirs,
+    steps done, losses of the epochs."""
+
+    def __init__(self, rows: DataFrame | None, n: int, dim: int, arrays: dict[str, np.ndarray], moments: dict | None = None, step: int = 0,
+                 losses: list[float] | None = None, mats: tuple[np.ndarray, ...] | None = None, spark=None):
+        self.table, self.n, self.dim, self.arrays, self.moments = rows, n, dim, arrays, moments or {}
+        self.step, self.losses, self.mats, self.spark = step, losses or [], mats, spark or rows.sparkSession
+        if mats is None and Vectors(rows, n, dim).fits:
+            t = rows.select("id", "vec", "m", "s").toArrow()
+            self.mats = tuple(np.zeros((n, dim)) for _ in range(3))
+            for c, m in zip(("vec", "m", "s"), self.mats, strict=True):
+                m[t.column("id").to_numpy()] = matrix(t.column(c).combine_chunks(), dim)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.table if self.mats is None else matrix_rows(self.spark, **dict(zip(("vec", "m", "s"), self.mats, strict=True)))
 
     def vectors(self) -> Vectors:
-        return Vectors(self.rows.select("id", "vec"), self.n, self.dim)
+        return Vectors(self.table.select("id", "vec"), self.n, self.dim) if self.mats is None else Vectors(None, self.n, self.dim, self.spark, self.mats[0])
 
+    def drop(self) -> None:
+        if self.table is not None:
+            dropped(self.table)
 
-def adam(state: State, gradient: DataFrame, arrays: dict[str, np.ndarray], lr: float) -> State:
-    """One Adam step: rows with a gradient in ``gradient(id, g)`` and the arrays move; all moments count the same steps."""
+
+def adam(state: State, gradient: Vectors, arrays: dict[str, np.ndarray], lr: float) -> State:
+    """One Adam step: rows whose gradient is not zero and the arrays move; all moments count the same steps."""
     t, dim = state.step + 1, state.dim
     c1, c2 = 1 - B1 ** t, 1 - B2 ** t
 
+    def moved(vec, m, s, g):
+        m, s = B1 * m + (1 - B1) * g, B2 * s + (1 - B2) * g * g
+        return vec - lr * (m / c1) / (np.sqrt(s / c2) + EPS), m, s
+
+    def rows_moved(all_, g):
+        has = (g != 0).any(axis=1)
+        out = tuple(v.copy() for v in all_)
+        for v, new in zip(out, moved(*(v[has] for v in all_), g[has]), strict=True):
+            v[has] = new
+        return out
+
     def move(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vec, m, s = (matrix(batch.column(c), dim).copy() for c in ("vec", "m", "s"))
-            has = batch.column("g").is_valid().to_numpy(zero_copy_only=False)
-            g = matrix(batch.column("g"), dim)  # rows without one are not listed
-            m[has] = B1 * m[has] + (1 - B1) * g
-            s[has] = B2 * s[has] + (1 - B2) * g * g
-            vec[has] -= lr * (m[has] / c1) / (np.sqrt(s[has] / c2) + EPS)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(list_array(v) for v in (vec, m, s))], ["id", "vec", "m", "s"])
-
-    joined = state.rows.join(gradient.select("id", "g"), "id", "left").select("id", "vec", "m", "s", "g")
-    rows = written(joined.mapInArrow(move, "id bigint, vec array<double>, m array<double>, s array<double>"), "state")
+            if batch.num_rows:
+                out = rows_moved(tuple(matrix(batch.column(c), dim) for c in ("vec", "m", "s")), matrix(batch.column("g"), dim))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *map(list_array, out)], ["id", "vec", "m", "s"])
+
     new, moments = dict(state.arrays), dict(state.moments)
     for name, g in arrays.items():
-        m, s = moments.get(name, (np.zeros_like(g), np.zeros_like(g)))
-        m, s = B1 * m + (1 - B1) * g, B2 * s + (1 - B2) * g * g
-        new[name] = new[name] - lr * (m / c1) / (np.sqrt(s / c2) + EPS)
-        moments[name] = m, s
+        new[name], *both = moved(new[name], *moments.get(name, (np.zeros_like(g), np.zeros_like(g))), g)
+        moments[name] = tuple(both)
+    if state.mats is not None:
+        return State(None, state.n, dim, new, moments, t, state.losses, rows_moved(state.mats, gradient.matrix()), state.spark)
+    g = gradient.rows.select("id", F.col("vec").alias("g"))
+    joined = state.table.join(g, "id", "left").select("id", "vec", "m", "s", F.coalesce("g", F.array_repeat(F.lit(0.0), dim)).alias("g"))
+    rows = written(joined.mapInArrow(move, "id bigint, vec array<double>, m array<double>, s array<double>"), "state")
     return State(rows, state.n, dim, new, moments, t, state.losses)
 
 
@@ -470,6 +565,8 @@ class EpochLog:
         touch(self.spark, f"{at}/committed")
         for old in self.committed()[:-2]:
             remove(self.spark, f"{self.path}/epoch-{old}")
+        if state.mats is not None:
+            return state
         return State(self.spark.read.parquet(f"{at}/rows"), state.n, state.dim, state.arrays, state.moments, state.step, state.losses)
 
     def last(self) -> tuple[int, State] | None:
@@ -487,26 +584,28 @@ class EpochLog:
         return done[-1], State(self.spark.read.parquet(f"{at}/rows"), note["n"], note["dim"], plain, moments, note["step"], losses)
 
 
-def run_epochs(state: State, step: Callable, samples: Callable, columns: list[str], epochs: int, lr: float, batch_rows: int,
+def run_epochs(state: State, step: Callable, samples: Callable, rows: int, columns: list[str], epochs: int, lr: float, batch_rows: int,
                log: EpochLog | None = None) -> State:
-    """``step(state, batch)`` gives (gradient rows, array gradients, loss sum, rows) of a batch of ``samples(epoch)``; epochs that ``log`` has are not run again."""
-    first = 0
+    """``step(state, batch)`` gives (gradient, array gradients, loss row) of a batch of ``samples(epoch)``, about ``rows`` samples; epochs
+    that ``log`` has are not run again."""
+    first, batches = 0, max(1, -(-rows // batch_rows))
     if log is not None and (last := log.last()):
         first, state = last
     for epoch in range(first, epochs):
-        rows = written(samples(epoch), "samples")
-        batches = max(1, -(-rows.count() // batch_rows))
-        total, count = 0.0, 0
-        for batch in dealt(rows, columns, epoch, batches):
-            gradient, arrays, loss, n = step(state, batch)
+        drawn = samples(epoch) if batches == 1 else written(samples(epoch), "samples")  # each batch reads them
+        total = np.zeros(2)
+        for batch in dealt(drawn, columns, epoch, batches):
+            gradient, arrays, loss = step(state, batch)
             before, state = state, adam(state, gradient, arrays, lr)
-            dropped(before.rows, gradient)
-            total, count = total + loss, count + n
-        state.losses = [*state.losses, total / max(count, 1)]
-        dropped(rows)
+            before.drop()
+            if not gradient.fits:
+                dropped(gradient.rows)
+            total += loss[0, :2]
+        state.losses = [*state.losses, float(total[0] / max(total[1], 1))]
+        dropped(drawn)
         if log is not None:
             before, state = state, log.save(epoch + 1, state)
-            dropped(before.rows)
+            before.drop()
     return state
 
 

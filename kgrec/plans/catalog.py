@@ -540,13 +540,20 @@ def _test_pairs(spark, d) -> DataFrame:
                     F.col("uri").alias("item_entity")))
 
 
+def _imputed(spark, d) -> DataFrame:
+    """A vector for every rating entity, the given one or a draw: ``(entity, vec)``; written once a session."""
+    def build(spark, d):
+        return VX.impute_vectors(_rating_entities(spark, d), T.vectors(spark, d), seed=42).select("entity", "vec")
+    return T.materialized(spark, d, "imputed-vectors", build)
+
+
 @query("dot_score", with_views("""
 SELECT t.user_id, t.item_id, round(list_dot_product(u.vec, v.vec), 6) AS score
 FROM test t JOIN item_uris i USING (item_id)
-JOIN vectors u ON u.entity = 'user' || CAST(t.user_id AS VARCHAR) JOIN vectors v ON v.entity = i.uri""",
-                               "test", "item_uris", "vectors"))
+JOIN imputed u ON u.entity = 'user' || CAST(t.user_id AS VARCHAR) JOIN imputed v ON v.entity = i.uri""",
+                               "test", "item_uris", "imputed"))
 def q_dot_score(spark, d):
-    vec = T.vectors(spark, d)
+    vec = _imputed(spark, d)
     j = VX.pair_vectors(_test_pairs(spark, d), vec, vec)
     return j.select("user_id", "item_id", r6(VX.dot(F.col("u"), F.col("v"))).alias("score"))
 
@@ -555,10 +562,10 @@ def q_dot_score(spark, d):
 SELECT t.user_id, t.item_id, t.rating, round(sqrt(list_dot_product(u.vec, u.vec)), 6) AS u_norm,
        round(sqrt(list_dot_product(v.vec, v.vec)), 6) AS v_norm
 FROM train t JOIN item_uris i USING (item_id)
-JOIN vectors u ON u.entity = 'user' || CAST(t.user_id AS VARCHAR) JOIN vectors v ON v.entity = i.uri""",
-                                   "train", "item_uris", "vectors"))
+JOIN imputed u ON u.entity = 'user' || CAST(t.user_id AS VARCHAR) JOIN imputed v ON v.entity = i.uri""",
+                                   "train", "item_uris", "imputed"))
 def q_pair_features(spark, d):
-    vec = T.vectors(spark, d)
+    vec = _imputed(spark, d)
     pairs = (V.train(spark, d).join(V.item_uris(spark, d), "item_id")
              .select("user_id", "item_id", "rating", T.user_entity(F.col("user_id")).alias("user_entity"),
                      F.col("uri").alias("item_entity")))
@@ -574,15 +581,16 @@ WITH r AS (SELECT h.d, avg(t.v - h.v) AS rv FROM cf_graph c
      p AS (SELECT t.user_id, t.item_id, 'user' || CAST(t.user_id AS VARCHAR) AS ue, i.uri AS ie
            FROM test t JOIN item_uris i USING (item_id))
 SELECT p.user_id, p.item_id, round(-sqrt(sum((u.v + r.rv - v.v) * (u.v + r.rv - v.v))), 6) AS score
-FROM p JOIN vector_cells u ON u.entity = p.ue JOIN vector_cells v ON v.entity = p.ie AND v.d = u.d
+FROM p JOIN imputed_cells u ON u.entity = p.ue JOIN imputed_cells v ON v.entity = p.ie AND v.d = u.d
 JOIN r ON r.d = u.d
-GROUP BY p.user_id, p.item_id""", "cf_graph", "vector_cells", "test", "item_uris"))
+GROUP BY p.user_id, p.item_id""", "cf_graph", "vector_cells", "imputed_cells", "test", "item_uris"))
 def q_transe_score(spark, d):
     """-||u + r_like - i|| with r_like the mean translation of train like edges (R12 scoring)."""
     vec = T.vectors(spark, d)
     like = V.cf_graph(spark, d).filter(F.col("relation") == "like")
     r = VX.relation_translation(like, vec).filter(F.col("relation") == "like").select("r")
-    j = attach_scalars(VX.pair_vectors(_test_pairs(spark, d), vec, vec), r)
+    every = _imputed(spark, d)
+    j = attach_scalars(VX.pair_vectors(_test_pairs(spark, d), every, every), r)
     return j.select("user_id", "item_id", r6(VX.transe_distance(F.col("u"), F.col("r"), F.col("v"))).alias("score"))
 
 
@@ -738,14 +746,14 @@ def q_item_entity_link(spark, d):
 @query("bce_loss", with_views("""
 WITH p AS (SELECT t.rating AS y, 1.0 / (1.0 + exp(-list_dot_product(u.vec, v.vec))) AS p
            FROM train t JOIN item_uris i USING (item_id)
-           JOIN vectors u ON u.entity = 'user' || CAST(t.user_id AS VARCHAR) JOIN vectors v ON v.entity = i.uri)
+           JOIN imputed u ON u.entity = 'user' || CAST(t.user_id AS VARCHAR) JOIN imputed v ON v.entity = i.uri)
 SELECT count(*) AS n_pairs,
        round(avg(-(y * ln(least(greatest(p, 1e-12), 1 - 1e-12))
                    + (1 - y) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12)))), 6) AS loss FROM p""",
-                              "train", "item_uris", "vectors"))
+                              "train", "item_uris", "imputed"))
 def q_bce_loss(spark, d):
-    """Mean binary cross-entropy of sigmoid(u . v) on train pairs with both vectors."""
-    vec = T.vectors(spark, d)
+    """Mean binary cross-entropy of sigmoid(u . v) on every train pair."""
+    vec = _imputed(spark, d)
     pairs = (V.train(spark, d).join(V.item_uris(spark, d), "item_id")
              .select("rating", T.user_entity(F.col("user_id")).alias("user_entity"), F.col("uri").alias("item_entity")))
     j = VX.pair_vectors(pairs, vec, vec)
@@ -768,33 +776,64 @@ def q_bpr_samples(spark, d):
 
 # ---- training and scoring jobs (rows-only checks; the *_step queries check their steps) ----------
 
-# Epochs of the registered training queries; the operators' parameter has no limit (the published runs use 15 to 30).
-TRAIN_EPOCHS = 2
+from kgrec.operators import models as MD  # noqa: E402
+
+# The published runs: graph embeddings train for 15 epochs, the pair models and the collaborative graph for 50, the scorer for 30.
+KGE_EPOCHS, PAIR_EPOCHS, MLP_EPOCHS = 15, 50, 30
+
 
 def _bpr_model(spark, d) -> DataFrame:
     def build(spark, d):
-        return K.bpr_train(V.train(spark, d), T.items(spark, d).select("item_id"), epochs=TRAIN_EPOCHS).vectors
-    return T.materialized(spark, d, f"bpr-model-{TRAIN_EPOCHS}", build)
+        return MD.bpr_model(V.train(spark, d), T.items(spark, d).select("item_id"), epochs=PAIR_EPOCHS).vectors
+    return T.materialized(spark, d, "bpr-model", build)
+
+
+def _lightgcn_model(spark, d) -> DataFrame:
+    def build(spark, d):
+        return MD.lightgcn_model(V.train(spark, d), T.items(spark, d).select("item_id"), layers=2, epochs=PAIR_EPOCHS).vectors
+    return T.materialized(spark, d, "lightgcn-model", build)
 
 
 @query("bpr_train")
 def q_bpr_train(spark, d):
-    """Full-batch BPR epochs on the train positives; final user / item vectors."""
+    """BPR on the train positives; final user / item vectors."""
     return _bpr_model(spark, d)
 
 
+@query("lightgcn_train")
+def q_lightgcn_train(spark, d):
+    """LightGCN with two layers on the graph of train positives; the propagated user / item vectors."""
+    return _lightgcn_model(spark, d)
+
+
 def _like_and_catalog(spark, d) -> DataFrame:
     """Likes as one interaction relation plus the catalogue facts; dislikes are no interaction of this model."""
     tagged = V.kg_tagged(spark, d).filter(F.col("mask").bitwiseAND(F.lit(3)) != 0)
     return tagged.filter(F.col("relation") != G.DISLIKE).select("head", "relation", "tail")
 
 
+def _both_kinds(result: K.TrainResult) -> DataFrame:
+    return result.vectors.select(F.lit("entity").alias("kind"), "entity", "vec").unionByName(
+        result.relations.select(F.lit("relation").alias("kind"), "entity", "vec"))
+
+
+def _cfkg_model(spark, d, kind: str) -> DataFrame:
+    def build(spark, d):
+        loss = "margin" if kind == "transe" else "logistic"
+        return _both_kinds(MD.triple_model(_like_and_catalog(spark, d), kind=kind, loss=loss, epochs=PAIR_EPOCHS, margin=1.0))
+    return T.materialized(spark, d, f"cfkg-{kind}", build)
+
+
 @query("cfkg_train")
 def q_cfkg_train(spark, d):
     """CFKG: likes as one relation plus catalogue facts, TransE margin loss."""
-    res = K.triple_train(_like_and_catalog(spark, d), kind="transe", loss="margin", epochs=TRAIN_EPOCHS, margin=1.0)
-    return res.vectors.select(F.lit("entity").alias("kind"), "entity", "vec").unionByName(
-        res.relations.select(F.lit("relation").alias("kind"), "entity", "vec"))
+    return _cfkg_model(spark, d, "transe")
+
+
+@query("cfkg_inner_train")
+def q_cfkg_inner_train(spark, d):
+    """CFKG with the inner product as its score."""
+    return _cfkg_model(spark, d, "inner")
 
 
 KGE_KIND = "distmult"
@@ -804,10 +843,20 @@ def _kge_model(spark, d) -> DataFrame:
     """Trained once a session: ``(kind, entity, vec)`` of the all-sources setting with inverse edges."""
     def build(spark, d):
         kg = G.inverse_triples(V.full_kg(spark, d))
-        res = K.triple_train(kg, kind=KGE_KIND, loss="logistic", epochs=TRAIN_EPOCHS, lr=0.5)
-        return res.vectors.select(F.lit("entity").alias("kind"), "entity", "vec").unionByName(
-            res.relations.select(F.lit("relation").alias("kind"), "entity", "vec"))
-    return T.materialized(spark, d, f"kge-model-{TRAIN_EPOCHS}", build)
+        return _both_kinds(MD.triple_model(kg, kind=KGE_KIND, loss="logistic", epochs=KGE_EPOCHS))
+    return T.materialized(spark, d, "kge-model", build)
+
+
+def _compgcn_model(spark, d) -> DataFrame:
+    def build(spark, d):
+        return _both_kinds(MD.compgcn_model(V.full_kg(spark, d), layers=2, epochs=KGE_EPOCHS))
+    return T.materialized(spark, d, "compgcn-model", build)
+
+
+@query("compgcn_train")
+def q_compgcn_train(spark, d):
+    """Two trained convolution layers over the all-sources graph; vectors after the last layer."""
+    return _compgcn_model(spark, d)
 
 
 @query("kge_train")
@@ -886,28 +935,28 @@ def q_bpr_step(spark, d):
 
 
 def _triple_step_sql(kind: str) -> str:
-    score = {"transe": "-sum((h + r - {t}) * (h + r - {t}))", "distmult": "sum(h * r * {t})", "inner": "sum((h + r) * {t})"}[kind]
-    grads = {"transe": ("2.0 * ((h + r - t) - (h + r - n))", "2.0 * ((h + r - t) - (h + r - n))", "-2.0 * (h + r - t)", "2.0 * (h + r - n)"),
-             "distmult": ("r * n - r * t", "h * n - h * t", "-(h * r)", "h * r"),
-             "inner": ("n - t", "n - t", "-(h + r)", "h + r")}[kind]
-    weight = "1.0 / (1.0 + exp(sp - sn))"
-    gh, gr, gt, gn = grads
+    """The step on whole lists: a row a sample, gradients as lists, unfolded once for the sums."""
+    cell = {"transe": ("2.0 * ((h[i] + r[i] - t[i]) - (h[i] + r[i] - n[i]))", None, "-2.0 * (h[i] + r[i] - t[i])", "2.0 * (h[i] + r[i] - n[i])"),
+            "distmult": ("r[i] * n[i] - r[i] * t[i]", "h[i] * n[i] - h[i] * t[i]", "-(h[i] * r[i])", "h[i] * r[i]"),
+            "inner": ("n[i] - t[i]", None, "-(h[i] + r[i])", "h[i] + r[i]")}[kind]
+    gh, gr, gt, gn = cell[0], cell[1] or cell[0], cell[2], cell[3]
+    each = lambda e: f"list_transform(range(1, 65), lambda i: {e})"
+    score = {"transe": lambda t: f"-list_sum({each(f'(h[i] + r[i] - {t}[i]) * (h[i] + r[i] - {t}[i])')})",
+             "distmult": lambda t: f"list_sum({each(f'h[i] * r[i] * {t}[i]')})", "inner": lambda t: f"list_sum({each(f'(h[i] + r[i]) * {t}[i]')})"}[kind]
     return with_views(f"""
 WITH {_PAIRS}{_NEGATIVES}
-rel AS (SELECT rating, a.d, avg(b.v - a.v) AS v FROM k JOIN vector_cells a ON a.entity = k.u
-        JOIN vector_cells b ON b.entity = k.i AND b.d = a.d GROUP BY rating, a.d),
-c AS (SELECT s.u, s.i, s.neg, s.rating, a.d, a.v AS h, rel.v AS r, b.v AS t, e.v AS n FROM s JOIN vector_cells a ON a.entity = s.u
-      JOIN vector_cells b ON b.entity = s.i AND b.d = a.d JOIN vector_cells e ON e.entity = s.neg AND e.d = a.d
-      JOIN rel ON rel.rating = s.rating AND rel.d = a.d),
-x AS (SELECT u, i, neg, rating, {score.format(t='t')} AS sp, {score.format(t='n')} AS sn FROM c GROUP BY u, i, neg, rating),
-m AS (SELECT c.*, {weight} AS w FROM c JOIN x USING (u, i, neg, rating)),
-gs AS (SELECT kind, entity, d, sum(g) AS g FROM (
-  SELECT 'entity' AS kind, u AS entity, d, w * ({gh}) AS g FROM m UNION ALL SELECT 'entity', i, d, w * ({gt}) FROM m
-  UNION ALL SELECT 'entity', neg, d, w * ({gn}) FROM m
-  UNION ALL SELECT 'relation', CAST(rating AS VARCHAR), d, w * ({gr}) FROM m) GROUP BY kind, entity, d),
-old AS (SELECT 'entity' AS kind, entity, d, v FROM vector_cells UNION ALL SELECT 'relation', CAST(rating AS VARCHAR), d, v FROM rel)
-SELECT old.kind, old.entity, old.d, round(old.v - coalesce(gs.g, 0.0) * 5.0 / (SELECT count(*) FROM s), 6) AS value
-FROM old LEFT JOIN gs USING (kind, entity, d)""", "train", "item_uris", "vectors", "vector_cells")
+relcell AS (SELECT rating, d.d, avg(b.vec[d.d + 1] - a.vec[d.d + 1]) AS v FROM k JOIN vectors a ON a.entity = k.u
+        JOIN vectors b ON b.entity = k.i, range(0, 64) d(d) GROUP BY rating, d.d),
+rel AS (SELECT rating, list(v ORDER BY d) AS r FROM relcell GROUP BY rating),
+c AS (SELECT s.u, s.i, s.neg, s.rating, a.vec AS h, rel.r, b.vec AS t, e.vec AS n FROM s JOIN vectors a ON a.entity = s.u
+      JOIN vectors b ON b.entity = s.i JOIN vectors e ON e.entity = s.neg JOIN rel ON rel.rating = s.rating),
+m AS (SELECT *, 1.0 / (1.0 + exp({score('t')} - ({score('n')}))) AS w FROM c),
+g AS (SELECT 'entity' AS kind, u AS entity, {each(f'w * ({gh})')} AS g FROM m UNION ALL SELECT 'entity', i, {each(f'w * ({gt})')} FROM m
+  UNION ALL SELECT 'entity', neg, {each(f'w * ({gn})')} FROM m UNION ALL SELECT 'relation', CAST(rating AS VARCHAR), {each(f'w * ({gr})')} FROM m),
+gs AS (SELECT kind, entity, d.d, sum(g[d.d + 1]) AS g FROM g, range(0, 64) d(d) GROUP BY kind, entity, d.d),
+old AS (SELECT 'entity' AS kind, entity, d, v FROM vector_cells UNION ALL SELECT 'relation', CAST(rating AS VARCHAR), d, v FROM relcell)
+SELECT old.kind, old.entity, CAST(old.d AS BIGINT) AS d, round(old.v - coalesce(gs.g, 0.0) * 5.0 / (SELECT count(*) FROM s), 6) AS value
+FROM old LEFT JOIN gs ON gs.kind = old.kind AND gs.entity = old.entity AND gs.d = old.d""", "train", "item_uris", "vectors", "vector_cells")
 
 
 def _given_relations(spark, d) -> DataFrame:
@@ -932,6 +981,93 @@ for _kind in ("transe", "distmult", "inner"):
     query(f"{_kind}_step", _triple_step_sql(_kind))(_triple_step(_kind))
 
 
+_LIGHTGCN_STEP = with_views(f"""
+WITH {_PAIRS}{_NEGATIVES}
+q AS (SELECT * FROM s WHERE rating = 1),
+e AS (SELECT DISTINCT u, i FROM k WHERE rating = 1),
+both_ways AS (SELECT u AS src, i AS dst FROM e UNION ALL SELECT i, u FROM e),
+deg AS (SELECT src AS entity, count(*) AS n FROM both_ways GROUP BY src),
+ed AS (SELECT b.src, b.dst, 1.0 / sqrt(a.n * c.n) AS w FROM both_ways b JOIN deg a ON a.entity = b.src JOIN deg c ON c.entity = b.dst),
+l1 AS (SELECT ed.dst AS entity, c.d, sum(ed.w * c.v) AS v FROM ed JOIN vector_cells c ON c.entity = ed.src GROUP BY 1, 2),
+m AS (SELECT entity, d, sum(v) / 2.0 AS v FROM (SELECT entity, d, v FROM vector_cells UNION ALL SELECT entity, d, v FROM l1) GROUP BY 1, 2),
+c AS (SELECT q.u, q.i, q.neg, a.d, a.v AS av, b.v AS bv, n.v AS nv FROM q JOIN m a ON a.entity = q.u
+      JOIN m b ON b.entity = q.i AND b.d = a.d JOIN m n ON n.entity = q.neg AND n.d = a.d),
+x AS (SELECT u, i, neg, -1.0 / (1.0 + exp(sum(av * (bv - nv)))) AS g FROM c GROUP BY u, i, neg),
+z AS (SELECT c.*, x.g FROM c JOIN x USING (u, i, neg)),
+top AS (SELECT entity, d, sum(g) AS v FROM (
+  SELECT u AS entity, d, g * (bv - nv) AS g FROM z UNION ALL SELECT i, d, g * av FROM z UNION ALL SELECT neg, d, -g * av FROM z) GROUP BY 1, 2),
+back AS (SELECT ed.dst AS entity, t.d, sum(ed.w * t.v) AS v FROM ed JOIN top t ON t.entity = ed.src GROUP BY 1, 2),
+times AS (SELECT entity, count(*) AS n FROM (SELECT u AS entity FROM q UNION ALL SELECT i FROM q UNION ALL SELECT neg FROM q) GROUP BY 1),
+gs AS (SELECT entity, d, sum(v) AS g FROM (SELECT entity, d, v / 2.0 AS v FROM top UNION ALL SELECT entity, d, v / 2.0 FROM back
+       UNION ALL SELECT c.entity, c.d, 0.01 * t.n * c.v FROM vector_cells c JOIN times t USING (entity)) GROUP BY 1, 2)
+SELECT v.entity, v.d, round(v.v - coalesce(gs.g, 0.0) * 5.0 / (SELECT count(*) FROM q), 6) AS value
+FROM vector_cells v LEFT JOIN gs USING (entity, d)""", "train", "item_uris", "vectors", "vector_cells")
+
+
+@query("lightgcn_step", _LIGHTGCN_STEP)
+def q_lightgcn_step(spark, d):
+    """One LightGCN gradient step with one layer from the given vectors."""
+    pairs = _given_pairs(spark, d).filter(F.col("rating") == 1).select(F.col("u").alias("a"), F.col("i").alias("b"))
+    s = _given_negatives(spark, d).filter(F.col("rating") == 1).select("u", F.col("i").alias("p"), F.col("neg").alias("n"))
+    return _long(MD.lightgcn_step(pairs, T.vectors(spark, d), s, layers=1, lr=5.0, reg=0.01))
+
+
+_COMPGCN_STEP = with_views(f"""
+WITH {_PAIRS}{_NEGATIVES}
+dims AS (SELECT CAST(t.d AS BIGINT) AS d FROM range(0, 64) t(d)),
+w2 AS (SELECT k.k, i.d AS i, o.d AS o, ((17 * i.d + 29 * o.d + 5 * k.k) % 13 - 6) / 64.0 AS w FROM range(0, 4) k(k), dims i, dims o),
+rel AS (SELECT name AS relation, d, ((id * 31 + d * 7) % 11 - 5) / 10.0 AS r FROM kg_relations, dims),
+ents AS (SELECT name AS entity FROM kg_entities UNION SELECT entity FROM vectors),
+a AS (SELECT g.tail AS entity, rel.d, avg(coalesce(c.v, 0.0) - rel.r) AS m FROM full_kg g JOIN rel ON rel.relation = g.relation
+      LEFT JOIN vector_cells c ON c.entity = g.head AND c.d = rel.d GROUP BY 1, 2),
+b AS (SELECT g.head AS entity, rel.d, avg(coalesce(c.v, 0.0) - rel.r) AS m FROM full_kg g JOIN rel ON rel.relation = g.relation
+      LEFT JOIN vector_cells c ON c.entity = g.tail AND c.d = rel.d GROUP BY 1, 2),
+named AS (SELECT u AS entity FROM s UNION SELECT i FROM s UNION SELECT neg FROM s),
+x AS (SELECT entity, d, m, 0 AS k FROM a UNION ALL SELECT entity, d, m, 1 FROM b UNION ALL SELECT entity, d, v, 2 FROM vector_cells),
+xs AS (SELECT x.* FROM x JOIN named USING (entity)),
+z AS (SELECT xs.entity, w2.o AS d, sum(xs.m * w2.w) AS v FROM xs JOIN w2 ON w2.k = xs.k AND w2.i = xs.d GROUP BY 1, 2),
+r1 AS (SELECT rel.relation, w2.o AS d, sum(rel.r * w2.w) AS v FROM rel JOIN w2 ON w2.k = 3 AND w2.i = rel.d GROUP BY 1, 2),
+c AS (SELECT s.u, s.i, s.neg, s.rating, h.d, h.v AS h, r1.v AS r, t.v AS t, n.v AS n FROM s JOIN z h ON h.entity = s.u JOIN z t ON t.entity = s.i AND t.d = h.d
+      JOIN z n ON n.entity = s.neg AND n.d = h.d JOIN r1 ON r1.relation = CASE WHEN s.rating = 1 THEN 'like' ELSE 'dislike' END AND r1.d = h.d),
+y AS (SELECT u, i, neg, rating, 1.0 / (1.0 + exp(sum((h + r) * t) - sum((h + r) * n))) AS w FROM c GROUP BY 1, 2, 3, 4),
+g AS (SELECT c.*, y.w FROM c JOIN y USING (u, i, neg, rating)),
+dz AS (SELECT entity, d, sum(v) AS v FROM (SELECT u AS entity, d, w * (n - t) AS v FROM g UNION ALL SELECT i, d, -w * (h + r) FROM g
+       UNION ALL SELECT neg, d, w * (h + r) FROM g) GROUP BY 1, 2),
+dr1 AS (SELECT CASE WHEN rating = 1 THEN 'like' ELSE 'dislike' END AS relation, d, sum(w * (n - t)) AS v FROM g GROUP BY 1, 2),
+back AS (SELECT dz.entity, w2.k, w2.i AS d, sum(dz.v * w2.w) AS v FROM dz JOIN w2 ON w2.k < 3 AND w2.o = dz.d GROUP BY 1, 2, 3),
+deg_in AS (SELECT tail AS entity, count(*) AS n FROM full_kg GROUP BY 1), deg_out AS (SELECT head AS entity, count(*) AS n FROM full_kg GROUP BY 1),
+msg AS (SELECT f.head AS src, f.relation, q.d, q.v / deg_in.n AS v FROM full_kg f JOIN back q ON q.k = 0 AND q.entity = f.tail JOIN deg_in ON deg_in.entity = f.tail
+        UNION ALL SELECT f.tail, f.relation, q.d, q.v / deg_out.n FROM full_kg f JOIN back q ON q.k = 1 AND q.entity = f.head JOIN deg_out ON deg_out.entity = f.head),
+gs AS (SELECT 'entity' AS kind, entity, d, sum(v) AS g FROM (SELECT src AS entity, d, v FROM msg UNION ALL SELECT entity, d, v FROM back WHERE k = 2) GROUP BY 2, 3
+  UNION ALL SELECT 'relation', relation, d, sum(v) FROM (SELECT relation, d, -v AS v FROM msg
+       UNION ALL SELECT dr1.relation, w2.i, dr1.v * w2.w FROM dr1 JOIN w2 ON w2.k = 3 AND w2.o = dr1.d) GROUP BY 2, 3
+  UNION ALL SELECT ['in', 'out', 'loop'][xs.k + 1], CAST(xs.d AS VARCHAR), dz.d, sum(xs.m * dz.v) FROM xs JOIN dz USING (entity) GROUP BY 1, 2, 3
+  UNION ALL SELECT 'turn', CAST(rel.d AS VARCHAR), dr1.d, sum(rel.r * dr1.v) FROM rel JOIN dr1 USING (relation) GROUP BY 2, 3),
+old AS (SELECT 'entity' AS kind, ents.entity, dims.d, coalesce(v.v, 0.0) AS v FROM ents CROSS JOIN dims LEFT JOIN vector_cells v ON v.entity = ents.entity AND v.d = dims.d
+  UNION ALL SELECT 'relation', relation, d, r FROM rel UNION ALL SELECT ['in', 'out', 'loop', 'turn'][k + 1], CAST(i AS VARCHAR), o, w FROM w2)
+SELECT old.kind, old.entity, old.d, round(old.v - coalesce(gs.g, 0.0) * 5.0 / (SELECT count(*) FROM s), 6) AS value
+FROM old LEFT JOIN gs ON gs.kind = old.kind AND gs.entity = old.entity AND gs.d = old.d""",
+                           "train", "item_uris", "vectors", "vector_cells", "full_kg", "kg_relations", "kg_entities")
+
+
+@query("compgcn_step", _COMPGCN_STEP)
+def q_compgcn_step(spark, d):
+    """One gradient step through one convolution layer over the whole graph: vectors, relations and all four weights."""
+    kg, vec = V.full_kg(spark, d), T.vectors(spark, d)
+    samples = _given_negatives(spark, d).select(
+        F.col("u").alias("head"), F.when(F.col("rating") == 1, G.LIKE).otherwise(G.DISLIKE).alias("relation"), F.col("i").alias("tail"), F.col("neg").alias("neg_tail"))
+    vocab = G.kg_vocab(kg).filter(F.col("kind") == "relation").collect()  # a few names
+    rels = {r["name"]: [((r["id"] * 31 + t * 7) % 11 - 5) / 10.0 for t in range(VX.DIM)] for r in vocab}
+    arrays = {f"{name}0": _grid(k) for k, name in enumerate(("in", "out", "loop", "turn"))}
+    new, moved = MD.compgcn_step(kg, vec, rels, arrays, samples, layers=1, lr=5.0, kind="inner")
+    out = _long(new).select(F.lit("entity").alias("kind"), "entity", "d", "value")
+    rows = [("relation", n, v.tolist()) for n, v in zip(sorted(rels), moved["rel"], strict=True)]
+    rows += [(name, str(i), v.tolist()) for name in ("in", "out", "loop", "turn") for i, v in enumerate(moved[f"{name}0"])]
+    small = spark.createDataFrame(rows, "kind string, entity string, vec array<double>")
+    cells = small.select("kind", "entity", F.posexplode("vec").alias("d", "v"))
+    return out.unionByName(cells.select("kind", "entity", F.col("d").cast("bigint").alias("d"), r6(F.col("v")).alias("value")))
+
+
 @query("link_rank", with_views(f"""
 WITH {_PAIRS}
 rel AS (SELECT rating, a.d, avg(b.v - a.v) AS v FROM k JOIN vector_cells a ON a.entity = k.u
@@ -959,7 +1095,7 @@ def q_link_rank(spark, d):
 
 
 def _imputed_pairs(spark, d, fold_name: str) -> DataFrame:
-    vec = VX.impute_vectors(_rating_entities(spark, d), T.vectors(spark, d)).select("entity", "vec")
+    vec = _imputed(spark, d)
     base = V.train(spark, d) if fold_name == "train" else V.test(spark, d)
     pairs = (base.join(V.item_uris(spark, d), "item_id")
              .select("user_id", "item_id", "rating", T.user_entity(F.col("user_id")).alias("user_entity"),
@@ -973,12 +1109,18 @@ def q_mlp_score(spark, d):
     return S.mlp_score(_imputed_pairs(spark, d, "test"), S.init_params())
 
 
+def _mlp_scores(spark, d) -> DataFrame:
+    def build(spark, d):
+        train_pairs = _imputed_pairs(spark, d, "train").select("u", "v", F.col("rating").alias("y"))
+        res = S.mlp_train(train_pairs, epochs=MLP_EPOCHS)
+        return S.mlp_score(_imputed_pairs(spark, d, "test"), res.theta)
+    return T.materialized(spark, d, "mlp-scores", build)
+
+
 @query("mlp_train")
 def q_mlp_train(spark, d):
-    """Three data-parallel Adam steps on the train pairs, then the test pairs scored."""
-    train_pairs = _imputed_pairs(spark, d, "train").select("u", "v", F.col("rating").alias("y"))
-    res = S.mlp_train(train_pairs, epochs=3)
-    return S.mlp_score(_imputed_pairs(spark, d, "test"), res.theta)
+    """The scorer trained on the train pairs in batches of 512 for 30 epochs, then the test pairs scored."""
+    return _mlp_scores(spark, d)
 
 
 @query("batch_completion", with_views(f"""
@@ -1025,19 +1167,19 @@ def _topk_dot_sql(masked: bool) -> str:
     score = "CASE WHEN t.item_id IS NULL THEN s.score ELSE -9.0 END" if masked else "s.score"
     where = "" if masked else "WHERE t.item_id IS NULL"
     return with_views(f"""
-WITH u AS (SELECT DISTINCT t.user_id, v.vec FROM train t JOIN vectors v ON v.entity = 'user' || CAST(t.user_id AS VARCHAR)),
-i AS (SELECT x.item_id, v.vec FROM item_uris x JOIN vectors v ON v.entity = x.uri),
+WITH u AS (SELECT DISTINCT t.user_id, v.vec FROM train t JOIN imputed v ON v.entity = 'user' || CAST(t.user_id AS VARCHAR)),
+i AS (SELECT x.item_id, v.vec FROM item_uris x JOIN imputed v ON v.entity = x.uri),
 s AS (SELECT u.user_id, i.item_id, round(list_dot_product(u.vec, i.vec), 9) AS score FROM u, i),
 m AS (SELECT s.user_id, s.item_id, {score} AS score FROM s LEFT JOIN (SELECT DISTINCT user_id, item_id FROM train) t
       ON t.user_id = s.user_id AND t.item_id = s.item_id {where})
 SELECT user_id, CAST(item_id AS VARCHAR) AS item, round(score, 6) AS score, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS BIGINT) AS rank FROM m)
-WHERE rank <= {TOPK_DOT}""", "train", "item_uris", "vectors")
+WHERE rank <= {TOPK_DOT}""", "train", "item_uris", "imputed")
 
 
 def _topk_dot(spark, d, mask_score: float | None) -> DataFrame:
-    """Every train user with a vector against every item with one; the list goes through the typed-header sink."""
-    vec, tr = T.vectors(spark, d), V.train(spark, d)
+    """Every train user against every item; the list goes through the typed-header sink."""
+    vec, tr = _imputed(spark, d), V.train(spark, d)
     users = (tr.select("user_id").distinct().withColumn("entity", T.user_entity(F.col("user_id"))).join(vec, "entity").select("user_id", "vec"))
     items = V.item_uris(spark, d).join(vec.withColumnRenamed("entity", "uri"), "uri").select("item_id", "vec")
     top = R.topk_scored_items(users, items, tr.select("user_id", "item_id"), TOPK_DOT, mask_score)
@@ -1158,26 +1300,34 @@ def _model_predictions(spark, d) -> DataFrame:
     def build(spark, d):
         tr, te = V.train(spark, d), V.test(spark, d).select("user_id", "item_id")
         named = lambda df, name: df.select(F.lit(name).alias("model"), "user_id", "item_id", F.round("score", 9).alias("score"))
-        knn = NB.score_pairs(tr, NB.knn_similarities(tr, KNN_K, KNN_SHRINK), te)
-        pairs = lambda key_u, key_i: te.withColumns({"user_entity": key_u, "item_entity": key_i})
-        bpr = _bpr_model(spark, d)
-        by_id = VX.pair_vectors(pairs(F.concat(F.lit("user"), F.col("user_id").cast("string")),
-                                      F.concat(F.lit("item"), F.col("item_id").cast("string"))), bpr, bpr)
-        kge = _kge_model(spark, d)
-        ents = kge.filter(F.col("kind") == "entity").select("entity", "vec")
-        like = kge.filter((F.col("kind") == "relation") & (F.col("entity") == G.LIKE)).select(F.col("vec").alias("r"))
+        by_id = te.withColumns({"user_entity": F.concat(F.lit("user"), F.col("user_id").cast("string")),
+                                "item_entity": F.concat(F.lit("item"), F.col("item_id").cast("string"))})
         by_uri = te.join(V.item_uris(spark, d), "item_id").select(
             "user_id", "item_id", T.user_entity(F.col("user_id")).alias("user_entity"), F.col("uri").alias("item_entity"))
-        kged = attach_scalars(VX.pair_vectors(by_uri, ents, ents), like)
-        return (named(knn, "item_knn").unionByName(named(_ease(spark, d), "ease")).unionByName(named(_slim(spark, d), "slim"))
-                .unionByName(named(by_id.withColumn("score", VX.dot(F.col("u"), F.col("v"))), "bpr"))
-                .unionByName(named(kged.withColumn("score", K.triple_score(F.col("u"), F.col("r"), F.col("v"), KGE_KIND)), "kge")))
+
+        def pairs(model):
+            return VX.pair_vectors(by_id, model, model).withColumn("score", VX.dot(F.col("u"), F.col("v")))
+
+        def triples(model, kind):
+            ents = model.filter(F.col("kind") == "entity").select("entity", "vec")
+            like = model.filter((F.col("kind") == "relation") & (F.col("entity") == G.LIKE)).select(F.col("vec").alias("r"))
+            return attach_scalars(VX.pair_vectors(by_uri, ents, ents), like).withColumn("score", K.triple_score(F.col("u"), F.col("r"), F.col("v"), kind))
+
+        scores = {"item_knn": NB.score_pairs(tr, NB.knn_similarities(tr, KNN_K, KNN_SHRINK), te), "ease": _ease(spark, d), "slim": _slim(spark, d),
+                  "bpr": pairs(_bpr_model(spark, d)), "lightgcn": pairs(_lightgcn_model(spark, d)),
+                  "cfkg": triples(_cfkg_model(spark, d, "transe"), "transe"), "cfkg_inner": triples(_cfkg_model(spark, d, "inner"), "inner"),
+                  "kge": triples(_kge_model(spark, d), KGE_KIND), "compgcn": triples(_compgcn_model(spark, d), "distmult"), "mlp": _mlp_scores(spark, d)}
+        out = None
+        for name, df in scores.items():
+            out = named(df, name) if out is None else out.unionByName(named(df, name))
+        return out
     return T.materialized(spark, d, "model-predictions", build, ["model"]).select("model", "user_id", "item_id", "score")
 
 
 @query("model_leaderboard")
 def q_model_leaderboard(spark, d):
-    """The seven metrics of every model: popularity, dot, ItemKNN, EASE, SLIM, BPR and the graph embedding."""
+    """The seven metrics of every model: popularity, dot, ItemKNN, EASE, SLIM, BPR, LightGCN, both CFKG scores, the graph embedding, the
+    convolution and the scorer network (R5, E1-E7, X3)."""
     path = FS.scratch_path(spark, "model-board")
     tr, te, st = V.train(spark, d), V.test(spark, d), V.item_stats(spark, d)
     M.update_board(spark, path, V.predictions(spark, d), tr, te, stats=st)
@@ -1235,16 +1385,16 @@ def _mlp_fixed_sql() -> str:
         steps.append(f"l{k + 1} AS (SELECT user_id, item_id, {_mlp_layer_sql('x', *shape, offset, k < len(shapes) - 3)} AS x FROM l{k})")
     return with_views(f"""
 WITH p AS (SELECT t.user_id, t.item_id, u.vec AS u, v.vec AS v FROM test t JOIN item_uris i USING (item_id)
-     JOIN vectors u ON u.entity = 'user' || CAST(t.user_id AS VARCHAR) JOIN vectors v ON v.entity = i.uri),
+     JOIN imputed u ON u.entity = 'user' || CAST(t.user_id AS VARCHAR) JOIN imputed v ON v.entity = i.uri),
 {", ".join(steps)}
-SELECT user_id, item_id, round(1.0 / (1.0 + exp(-x[1])), 6) AS score FROM l{len(shapes) - 2}""", "test", "item_uris", "vectors")
+SELECT user_id, item_id, round(1.0 / (1.0 + exp(-x[1])), 6) AS score FROM l{len(shapes) - 2}""", "test", "item_uris", "imputed")
 
 
 @query("mlp_fixed_score", _mlp_fixed_sql())
 def q_mlp_fixed_score(spark, d):
-    """The two-tower network with fixed weights on the test pairs that have both given vectors."""
+    """The two-tower network with fixed weights on every test pair."""
     import numpy as np
     theta = ((37 * np.arange(S.n_params())) % 101 - 50) / 500.0
-    vec = T.vectors(spark, d)
+    vec = _imputed(spark, d)
     out = S.mlp_score(VX.pair_vectors(_test_pairs(spark, d), vec, vec), theta)
     return out.select("user_id", "item_id", r6(F.col("score")).alias("score"))

@@ -194,6 +194,16 @@ SELECT head, relation, tail, bit_or(bit) AS mask FROM (
   UNION ALL SELECT head, relation, tail, 4 FROM llm_user_graph
   UNION ALL SELECT head, relation, tail, 8 FROM llm_item_graph)
 GROUP BY head, relation, tail""")
+_view("imputed_cells", ("rating_entities", "vectors", "vector_cells"), """
+SELECT entity, d, CASE WHEN vec IS NULL THEN mean + std * (sqrt(-2.0 * ln(u1)) * cos(2 * pi() * u2)) ELSE vec[d + 1] END AS v FROM (
+  SELECT r.entity, v.vec, CAST(t.d AS BIGINT) AS d,
+         (CAST('0x' || substr(md5(r.entity || '|' || t.d || '|42|1'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u1,
+         (CAST('0x' || substr(md5(r.entity || '|' || t.d || '|42|2'), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u2
+  FROM (SELECT DISTINCT entity FROM rating_entities) r LEFT JOIN vectors v USING (entity), range(0, 64) t(d)),
+ (SELECT avg(v) AS mean, stddev_pop(v) AS std FROM vector_cells)""")
+
+_view("imputed", ("imputed_cells",), "SELECT entity, list(v ORDER BY d) AS vec FROM imputed_cells GROUP BY entity")
+
 _view("full_kg", ("kg_tagged",), "SELECT head, relation, tail FROM kg_tagged")
 _view("kg_entities", ("full_kg",), """
 SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS id

@@ -64,17 +64,23 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, partition_b
 
     Downstream queries read the parquet table (with partition pruning and column pruning) instead of
     recomputing the stage in every branch of their plan; the written table also cuts lineage, so a
-    lost executor recomputes from this table, not from the raw inputs.
+    lost executor recomputes from this table, not from the raw inputs.  A stage that failed raises again at once.
     """
     from kgrec.sources.files import scratch_path
     key = (spark.sparkContext.applicationId, sf_dir, name)
     path = _MATERIALIZED.get(key)
+    if isinstance(path, Exception):
+        raise RuntimeError(f"stage {name} failed before in this session") from path
     if path is None:
         path = scratch_path(spark, f"stage-{name}")
-        w = build(spark, sf_dir).write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(path)
+        try:
+            w = build(spark, sf_dir).write.mode("overwrite")
+            if partition_by:
+                w = w.partitionBy(*partition_by)
+            w.parquet(path)
+        except Exception as e:
+            _MATERIALIZED[key] = e  # an expensive stage is not tried again by every query that needs it
+            raise
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 

@@ -2,7 +2,7 @@
 
 Both public BPE files split a text into pieces that are encoded independently.  For texts of plain Latin
 characters the pieces of a white-space-free unit do not depend on its neighbours, so a unit's ids are kept in a
-bounded table per worker; all other texts go through ``Tokenizer.encode`` whole.  Ids are the library's in
+bounded table per worker; all other texts, and those that hold an added token's literal, go through ``Tokenizer.encode`` whole.  Ids are the library's in
 either case (tests compare the two on every kind of white space).
 """
 
@@ -60,11 +60,14 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = Tokenizer.from_file(path).model
         self.model._resize_cache(0)  # units are kept here instead
         with open(path, encoding="utf-8") as f:
-            self.by_words = bool(json.load(f)["model"].get("end_of_word_suffix"))
+            file = json.load(f)
+        self.by_words = bool(file["model"].get("end_of_word_suffix"))
+        added = file.get("added_tokens") or []
+        self.added = [t["content"] for t in added]
+        self.never_cut = any(t["normalized"] for t in added)  # such tokens match other spellings as well
         chars = _byte_chars()
         self.as_bytes = str.maketrans({chr(b): c for b, c in chars.items()})
         self.space = "" if self.by_words else chars[32]
@@ -96,6 +99,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.never_cut or any(t in text for t in self.added):  # the library finds added tokens before it splits
+            return self.whole(text)
         if (self.by_words or not text.isascii()) and OTHER.search(text):
             return self.whole(text)
         if self.by_words:

@@ -59,12 +59,12 @@ def words(text):
 @pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
 def test_encoder_gives_the_librarys_ids(path):
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     enc = tokens.Encoder(path)
     rng = random.Random(1)
     parts = ["the", "The", " ", "  ", "\n", "\r\n", "\t", "\xa0", "\x85", "\x1c", "don't", "we'll", "x²½", "été", "Œuvre", "naïve,", "£5.00", "İ", "ΑΣ", "ſ",
-             "日本", "é", "​", "<|endoftext|>", "'s", "...", "1234", "a-b", "\x00", "\xad", "ª", "😀", "%%%"]
-    texts = ["", " ", "a ", " a", "a  b", "a \nb", "a\n b", "a\nb", *("".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(12)) for _ in range(400))]
+             "日本", "é", "​", "<|endoftext|>", "'s", "...", "1234", "a-b", "\x00", "\xad", "ª", "😀", "%%%", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof"]
+    assert lib.encode("a <|endoftext|> b", add_special_tokens=False).ids[1:-1] == [lib.token_to_id("<|endoftext|>")] or path == BYTE_BPE
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y", "", " ", "a ", " a", "a  b", "a \nb", "a\n b", "a\nb", *("".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(12)) for _ in range(400))]
     texts += [r["text"] for r in []] + [prose(3, 300)]
     for t in texts:
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)

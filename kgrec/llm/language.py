@@ -6,8 +6,9 @@ are trained by stochastic gradient descent in numpy.  Probabilities are calibrat
 the sample, and a document is rejected if its calibrated score falls below what nearly all held-back documents
 of its kind reach.
 
-The fit uses a bounded sample: for each of the ``MOST_LANGUAGES`` most frequent languages the ``PER_LANGUAGE`` documents of
-smallest hash, each as at most ``BUCKETS`` counts made from its whole text.  Prediction reads every whole text.
+The fit uses a bounded sample: of each labelled language the ``PER_LANGUAGE`` distinct texts of smallest hash, and fewer of each
+where there are more languages than ``SAMPLE_TEXTS`` has room for (one at least), each as at most ``BUCKETS`` counts made from its
+whole text.  Every labelled language can be predicted.  Prediction reads every whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; rows with a null language
 or text are not learned from; repeated rows each get their prediction; without a labelled row every text is
@@ -32,7 +33,7 @@ BUCKETS = 1 << 16
 DIM = 16
 GRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 600
-MOST_LANGUAGES = 200
+SAMPLE_TEXTS = 120_000   # texts of the whole sample, about
 EPOCHS = 8
 RATE = 0.5
 SEED = 3
@@ -133,15 +134,16 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_languag
     return emb @ out, bias
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_texts: int = SAMPLE_TEXTS) -> Model:
     """Fits on rows of ``text`` and ``lang``."""
     named = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropna()
-    common = (named.groupBy("lang").agg(F.count("*").alias("n_docs"), F.approx_count_distinct("text").alias("n_texts"))
-              .orderBy(F.desc("n_docs"), "lang").limit(most_languages))
+    texts = named.groupBy("lang").agg(F.approx_count_distinct("text").alias("n_texts"))
+    texts = written(texts, "languages")  # a row a language
+    per_language = max(1, min(per_language, sample_texts // max(1, texts.count())))
     first = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
     # Copies of a text count once.  Hashes are uniform: those below twice the wanted share of texts hold the smallest ``per_language``, and only they move.
     low = F.col("h") < F.lit(2.0 * per_language * HASHES) / F.col("n_texts")
-    sample = (named.join(F.broadcast(common), "lang").withColumn("h", F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(HASHES)))
+    sample = (named.join(texts, "lang").withColumn("h", F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(HASHES)))
               .filter(low).select("lang", "h", "text").distinct().withColumn("n", first).filter(F.col("n") <= per_language).select("lang", "h", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -202,8 +202,11 @@ def place(rows: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, max_len: int = MAX_LEN) -> DataFrame:
-    """Placed pieces with their ids."""
-    return place(pieces(docs, tokenizer_path, end_id, max_len), max_len)
+    """Placed pieces with their ids: the pieces are written once, only their lengths are ranked, and the ids meet their places by a number."""
+    numbered = pieces(docs, tokenizer_path, end_id, max_len).withColumn("piece_number", F.monotonically_increasing_id())
+    cut = written(numbered, "token-pieces")
+    spots = place(cut.select("piece_number", "length"), max_len).select("piece_number", "sequence_id", "offset")
+    return cut.join(spots, "piece_number").drop("piece_number")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 the last return the columns of ``documents``.  Defined results for nulls, empty texts, repeated rows and empty tables are
 those of the operators.  Stage by stage: a null text has no words, so the quality rules reject it; documents whose
 language is rejected or undetermined go; one row of each near-duplicate component stays; the mix may repeat a row or leave
-it out; the last stage returns the placed pieces.
+it out; the last stage returns the placed pieces with their token ids.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgrec.llm import language, mixing, packing, quality, simhash
+from kgrec.llm import language, mixing, quality, simhash
 from kgrec.llm.common import load, written
-from kgrec.llm.queries import digested_pieces
+from kgrec.llm.queries import packed_with_digest
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.place(digested_pieces(docs))
+    return packed_with_digest(docs)
 
 
 STAGES = [

@@ -23,11 +23,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgrec.functions.frames import attach_scalars
-from kgrec.operators.rank import dense_index
+from kgrec.operators.rank import dense_index, running_sum
 from kgrec.operators.vectors import DIM, dot, hashed_normal
 
 INIT_SCALE = 0.1
@@ -355,8 +355,8 @@ def rank_eval(test: DataFrame, known: DataFrame, ents: DataFrame, rels: DataFram
                                              ["row", "n_higher"])
 
     raw = pairs.mapInArrow(count_higher, "row bigint, n_higher bigint").groupBy("row").agg(F.sum("n_higher").alias("n_higher"))
-    # Known tails that outscore a test row: known scores and the rows' limits of one (h, r) in one sorted pass; for each
-    # row the running count of known scores strictly above its limit.  No pairs are formed.
+    # Known tails that outscore a test row: known scores and the rows' limits of one (h, r) in one order; for each row the running
+    # count of known scores strictly above its limit, over as many tasks as a hot (h, r) needs.  No pairs are formed.
     kt = (known.select("head", "relation", F.col("tail").alias("other")).distinct()
           .join(ents.select(F.col("entity").alias("other"), F.col("vec").alias("o")), "other")
           .join(q.select("head", "relation", "h", "r").dropDuplicates(["head", "relation"]), ["head", "relation"]))
@@ -364,9 +364,7 @@ def rank_eval(test: DataFrame, known: DataFrame, ents: DataFrame, rels: DataFram
                              triple_score(F.col("h"), F.col("r"), F.col("o"), kind).alias("sc"), F.lit(1).alias("is_known"))
     limit = F.col("s_true") + F.lit(tie) * (F.lit(1.0) + F.abs("s_true"))
     limits = q.select("head", "relation", "row", limit.alias("sc"), F.lit(0).alias("is_known"))
-    w = (Window.partitionBy("head", "relation").orderBy(F.col("sc").desc(), F.col("is_known").asc())
-         .rowsBetween(Window.unboundedPreceding, -1))
-    merged = known_scores.unionByName(limits).withColumn("n_known", F.coalesce(F.sum("is_known").over(w), F.lit(0)))
+    merged = running_sum(known_scores.unionByName(limits), ["head", "relation"], [F.col("sc").desc(), F.col("is_known").asc()], "is_known", "n_known")
     ranks = (raw.join(merged.filter(F.col("is_known") == 0).select("row", "n_known"), "row")
              .select((F.lit(1) + F.greatest(F.col("n_higher") - F.col("n_known"), F.lit(0))).alias("rank")))
     return ranks.agg(F.count(F.lit(1)).alias("n"), F.avg("rank").alias("mr"), F.avg(1.0 / F.col("rank")).alias("mrr"),

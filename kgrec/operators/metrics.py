@@ -187,3 +187,32 @@ def update_board(spark, path: str, preds: DataFrame, train: DataFrame, test: Dat
     board = wide_board(system_metrics(preds.filter(F.col("model").isin(todo)), train, test, ks, stats=stats), ks)
     board.write.mode("append").parquet(path)
     return len(todo)
+
+
+def signed_ranks(per_user: DataFrame, metrics: Sequence[str] = tuple(USER_METRICS), digits: int = 6) -> DataFrame:
+    """Wilcoxon signed-rank comparison of every two models on paired per-user metrics (the purpose of A9).
+
+    ``per_user(model, k, user_id, <metrics>)``; a row for each ``(metric, k, a, b)``, a < b: users with both lists and a difference
+    ``n``, the rank sum ``w_plus`` of those where a is better, and its normal deviate ``z`` with the correction for ties (null
+    without a difference).  Differences are rounded to ``digits``; equal ones share the mean of their ranks.  Ranks come from the
+    histogram of differences, so a task neither sorts nor holds the users of a pair; a user with models as lists, bounded by
+    the number of models, gives its pairs.
+    """
+    from kgrec.operators.rank import running_sum
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
+    long = per_user.select("model", "k", "user_id", F.explode(values).alias("v")).select("model", "k", "user_id", "v.metric", "v.value")
+    a = long.select("metric", "k", "user_id", F.col("model").alias("a"), F.col("value").alias("va"))
+    b = long.select("metric", "k", "user_id", F.col("model").alias("b"), F.col("value").alias("vb"))
+    keys = ["metric", "k", "a", "b"]
+    pairs = a.join(b, ["metric", "k", "user_id"]).filter(F.col("a") < F.col("b")).withColumn("d", F.round(F.col("va") - F.col("vb"), digits))
+    every = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_users"))
+    cells = pairs.filter(F.col("d") != 0).groupBy(*keys, F.abs("d").alias("size")).agg(
+        F.count(F.lit(1)).alias("c"), F.sum((F.col("d") > 0).cast("bigint")).alias("plus"))
+    ranked = running_sum(cells, keys, [F.col("size")], "c", "before")
+    rank, c = F.col("before") + (F.col("c") + 1) / 2.0, F.col("c").cast("double")
+    sums = ranked.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("plus") * rank).alias("w_plus"), F.sum(c * c * c - c).alias("ties"))
+    n = F.col("n").cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
+    out = every.join(sums, keys, "left")
+    return out.select(*keys, "n_users", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"),
+                      F.when(spread > 0, (F.col("w_plus") - n * (n + 1) / 4.0) / spread).alias("z"))

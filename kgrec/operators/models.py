@@ -71,7 +71,7 @@ class TripleSamples:
         self.blocked = TR.written(TR.next_free(self.ids.withColumnRenamed("t", "slot"), ["h", "r"], n), "blocked")
 
     def __call__(self, epoch: int) -> DataFrame:
-        return TR.corrupted(self.ids, self.blocked, ["h", "r"], "31 * h + 17 * r + 13 * t", self.n, epoch, "tn")
+        return TR.spread(TR.corrupted(self.ids, self.blocked, ["h", "r"], "31 * h + 17 * r + 13 * t", self.n, epoch, "tn"), self.rows, "h", "r", "t")
 
 
 def triple_model(triples: DataFrame, kind: str = "distmult", loss: str = "logistic", epochs: int = KGE_EPOCHS, lr: float = KGE_LR,
@@ -111,7 +111,7 @@ class PairSamples:
         self.blocked = TR.written(TR.next_free(met, ["u"], self.n_items), "blocked")
 
     def __call__(self, epoch: int) -> DataFrame:
-        return TR.corrupted(self.pairs, self.blocked, ["u"], "31 * user_id + 17 * p", self.n_items, epoch, "n")
+        return TR.spread(TR.corrupted(self.pairs, self.blocked, ["u"], "31 * user_id + 17 * p", self.n_items, epoch, "n"), self.rows, "u", "p")
 
     def index(self) -> DataFrame:
         """``(entity, id)``: ``item<id>`` and ``user<id>``."""
@@ -165,7 +165,8 @@ def _pair_model(train: DataFrame, items: DataFrame, layers: int, epochs: int, lr
                 log_path: str | None) -> TrainResult:
     samples = PairSamples(train, items)
     index, state = _pair_state(samples, seed, dim)
-    edges = TR.written(symmetric_edges(samples.pairs.select(F.col("u").alias("a"), F.col("p").alias("b"))), "edges") if layers else None
+    edges = symmetric_edges(samples.pairs.select(F.col("u").alias("a"), F.col("p").alias("b"))) if layers else None
+    edges = TR.written(TR.spread(edges, 2 * samples.rows, "src", "dst"), "edges") if layers else None
 
     def step(state: TR.State, batch: DataFrame):
         x = state.vectors()
@@ -276,7 +277,7 @@ def compgcn_model(triples: DataFrame, layers: int = 2, comp: str = "sub", kind:
     spark, names = triples.sparkSession, relation_names(triples, dim)
     index, rows, n = TR.started(_entities(triples), dim, seed, INIT_SCALE)
     samples = TripleSamples(triples, index, names, n)
-    edges = TR.written(TR.mean_edges(samples.ids), "edges")
+    edges = TR.written(TR.spread(TR.mean_edges(samples.ids), 2 * samples.rows, "src", "dst"), "edges")
 
     def step(state: TR.State, batch: DataFrame):
         x = state.vectors()

@@ -56,6 +56,25 @@ def global_row_number(df: DataFrame, order: Sequence[Column], index_col: str = "
               .drop("_mid", "_p", "_off")
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the same keys that come before in ``order`` (equal ones in any order).
+
+    Keys and order are range-sorted together, so a key of any size is cut over many tasks: each sums its part, and the sums of
+    the parts before (a row for each key and part) are added.  Keys must not be null.
+    """
+    from kgrec.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    salted = df.withColumn("_salt", F.monotonically_increasing_id())  # equal rows can be cut apart
+    tagged = (salted.orderBy(*[F.col(k) for k in keys], *order, "_salt").drop("_salt")
+              .withColumn("_mid", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mid", 33)).checkpoint(eager=True))
+    here = Window.partitionBy(*keys, "_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = tagged.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*keys, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    return (tagged.withColumn("_here", F.coalesce(F.sum(value).over(here), F.lit(0))).join(starts, [*keys, "_part"])
+            .withColumn(name, F.col("_start") + F.col("_here")).drop("_mid", "_part", "_here", "_start"))
+
+
 def dense_index(keys: DataFrame, key_col: str, index_col: str = "idx") -> DataFrame:
     """0-based index of the sorted distinct keys."""
     distinct = keys.select(key_col).distinct()

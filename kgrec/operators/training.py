@@ -218,6 +218,14 @@ def collected(sums: DataFrame, x: Vectors, sizes: dict[int, int], width: int | N
     return Vectors(rows, x.n, width), out
 
 
+ROWS_A_TASK = 1 << 16   # samples or edges of a task: few bytes, but a vector or more each
+
+
+def spread(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """``df`` over as many tasks as its number of rows asks for; by its bytes alone it would be merged into very few."""
+    return df.repartition(max(1, -(-rows // ROWS_A_TASK), min(rows // 512, df.sparkSession.sparkContext.defaultParallelism)), *columns)
+
+
 # --- samples ------------------------------------------------------------------------------------------------
 
 def next_free(known: DataFrame, keys: list[str], n: int) -> DataFrame:

@@ -132,6 +132,28 @@ def q_user_metrics(spark, d):
     return um.select("model", "k", "user_id", *[r6(F.col(m)).alias(m) for m in M.USER_METRICS])
 
 
+_SIGNED_RANKS = with_views("""
+WITH v AS (SELECT model, k, user_id, unnest(['precision', 'recall', 'f1', 'ndcg', 'epc', 'aplt']) AS metric,
+                  unnest([precision, recall, f1, ndcg, epc, aplt]) AS value FROM user_metric_vals),
+p AS (SELECT a.metric, a.k, a.model AS a, b.model AS b, round(round(a.value, 9) - round(b.value, 9), 6) AS d FROM v a JOIN v b
+      ON a.metric = b.metric AND a.k = b.k AND a.user_id = b.user_id AND a.model < b.model),
+r AS (SELECT *, rank() OVER (PARTITION BY metric, k, a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, k, a, b, abs(d)) - 1) / 2.0 AS rk,
+             count(*) OVER (PARTITION BY metric, k, a, b, abs(d)) AS c FROM p WHERE d <> 0),
+s AS (SELECT metric, k, a, b, CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0.0 END) AS w, sum(CAST(c AS DOUBLE) * c - 1) AS ties FROM r GROUP BY 1, 2, 3, 4)
+SELECT e.metric, e.k, e.a, e.b, e.n_users, CAST(coalesce(s.n, 0) AS BIGINT) AS n, round(coalesce(s.w, 0.0), 6) AS w_plus,
+       round((s.w - s.n * (s.n + 1) / 4.0) / sqrt(s.n * (s.n + 1) * (2 * s.n + 1) / 24.0 - s.ties / 48.0), 6) AS z
+FROM (SELECT metric, k, a, b, count(*) AS n_users FROM p GROUP BY 1, 2, 3, 4) e LEFT JOIN s USING (metric, k, a, b)""", "user_metric_vals")
+
+
+@query("paired_significance", _SIGNED_RANKS)
+def q_paired_significance(spark, d):
+    """Signed-rank comparison of every two models on every per-user metric."""
+    um = M.user_metrics(V.predictions(spark, d), V.train(spark, d), V.test(spark, d), stats=V.item_stats(spark, d))
+    exact = um.select("model", "k", "user_id", *[F.round(m, 9).alias(m) for m in M.USER_METRICS])
+    out = M.signed_ranks(exact)
+    return out.select("metric", "k", "a", "b", "n_users", "n", r6(F.col("w_plus")).alias("w_plus"), r6(F.col("z")).alias("z"))
+
+
 @query("system_metrics", with_views("""
 SELECT model, k, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
        round(ndcg, 6) AS ndcg, round(gini, 6) AS gini, round(epc, 6) AS epc, round(aplt, 6) AS aplt

@@ -79,3 +79,43 @@ def test_topk_all_items_brute_force(spark):
 def test_topk_all_items_small_chunks(spark, monkeypatch):
     monkeypatch.setattr(R, "POS_CHUNK", 3)
     test_topk_all_items_brute_force(spark)
+
+
+def test_running_sum_cuts_a_hot_key(spark):
+    import random
+    from pyspark.sql import functions as F
+    from kgrec.operators.rank import running_sum
+    rng = random.Random(4)
+    rows = [("hot", rng.randint(0, 40), 1 + k % 3, k) for k in range(600)] + [(f"k{k % 50}", rng.randint(0, 9), 1, 1000 + k) for k in range(200)]
+    df = spark.createDataFrame(rows, "k string, x int, v int, id int").repartition(5)
+    got = running_sum(df, ["k"], [F.col("x").desc(), F.col("id")], "v", "before").collect()
+    assert len(got) == len(rows)
+    want = {}
+    for key in {r[0] for r in rows}:
+        total = 0
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[3])):
+            want[r[3]] = total
+            total += r[2]
+    assert {r.id: r.before for r in got} == want
+
+
+def test_signed_ranks_equal_a_plain_test(spark):
+    import itertools
+    import random
+    from kgrec.operators import metrics as M
+    rng = random.Random(9)
+    rows = [(m, 5, u, rng.randint(0, 5) / 5 + (0.2 if m == "b" else 0.0)) for m in "abc" for u in range(1000) if rng.random() < 0.9]
+    rows += [(m, 10, 1, 0.5) for m in "ab"]  # no difference at all
+    df = spark.createDataFrame(rows, "model string, k int, user_id int, p double").repartition(6)
+    got = {(r.k, r.a, r.b): r for r in M.signed_ranks(df, ["p"]).collect()}
+    by = {(m, k, u): v for m, k, u, v in rows}
+    for a, b in itertools.combinations("abc", 2):
+        d = [round(by[a, 5, u] - by[b, 5, u], 6) for u in range(1000) if (a, 5, u) in by and (b, 5, u) in by]
+        other = [x for x in d if x]
+        size = sorted(abs(x) for x in other)
+        rank = {s: sum(i + 1 for i, x in enumerate(size) if x == s) / size.count(s) for s in set(size)}
+        w, n = sum(rank[abs(x)] for x in other if x > 0), len(other)
+        var = n * (n + 1) * (2 * n + 1) / 24 - sum(size.count(s) ** 3 - size.count(s) for s in set(size)) / 48
+        r = got[5, a, b]
+        assert (r.n_users, r.n) == (len(d), n) and abs(r.w_plus - w) < 1e-6 and abs(r.z - (w - n * (n + 1) / 4) / var ** 0.5) < 1e-9
+    assert got[5, "a", "b"].z < -5 and (got[10, "a", "b"].n, got[10, "a", "b"].w_plus, got[10, "a", "b"].z) == (0, 0.0, None)

@@ -175,3 +175,42 @@ def test_batches_deal_every_row_once(spark):
     parts = TR.dealt(rows, ["id", "x"], 3, 4)
     assert sum(p.count() for p in parts) == 1000 and parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).distinct().count() == 1000
     assert min(p.count() for p in parts) > 180
+
+
+def scorer_samples(n, dim=4):
+    rng = np.random.default_rng(8)
+    return [(rng.standard_normal(dim).tolist(), rng.standard_normal(dim).tolist(), float(k % 2)) for k in range(n)]
+
+
+def test_one_copy_of_the_scorer_is_plain_mini_batch_adam(spark):
+    from kgrec.operators import scorer as S
+    rows = scorer_samples(50)
+    df = spark.createDataFrame(rows, "u array<double>, v array<double>, y double")
+    res = S.mlp_train(df, epochs=2, lr=0.01, seed=5, dim=4, batch=16)
+    keyed = sorted(df.select("u", "v", "y", F.xxhash64("u", "v", "y").alias("k")).collect(), key=lambda r: r.k)
+    u, v, y = (np.array([r[c] for r in keyed]) for c in ("u", "v", "y"))
+    th, t, losses = S.init_params(4, 5), 0, []
+    m, s = np.zeros_like(th), np.zeros_like(th)
+    for epoch in range(2):
+        order, total = np.random.default_rng([5, epoch, 0]).permutation(50), 0.0
+        for at in range(0, 50, 16):
+            rows_ = order[at:at + 16]
+            g, loss = S.backward(th, u[rows_], v[rows_], y[rows_], 4)
+            g, t, total = g / len(rows_), t + 1, total + loss
+            m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+            th = th - 0.01 * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.999 ** t)) + 1e-8)
+        losses.append(total / 50)
+    assert np.allclose(res.theta, th, atol=1e-12) and res.losses == pytest.approx(losses)
+
+
+def test_copies_of_the_scorer_average_in_a_tree(spark, monkeypatch):
+    from kgrec.operators import scorer as S
+    rows = scorer_samples(60) + [scorer_samples(1)[0]] * 40  # a sample that many rows repeat is dealt over the copies as well
+    df = spark.createDataFrame(rows, "u array<double>, v array<double>, y double")
+    data, copies = S.packed_copies(df, 4, copy_rows=10)
+    sizes = [r.n for r in data.collect()]
+    assert copies == 10 and sum(sizes) == 100 and max(sizes) < 25
+    flat = S.mlp_train(df.repartition(1), epochs=2, dim=4, batch=4, copy_rows=10)
+    monkeypatch.setattr(S, "FAN_IN", 3)  # ten copies, then four, then two
+    tree = S.mlp_train(df.repartition(7), epochs=2, dim=4, batch=4, copy_rows=10)
+    assert np.allclose(flat.theta, tree.theta, atol=1e-12) and flat.losses == pytest.approx(tree.losses)

@@ -36,6 +36,8 @@ VECTOR_BYTES = 256 << 20
 BATCH_ROWS = 1 << 20          # samples of one synchronous step
 ENTITY, RELATION, LOSS, WEIGHT = 0, 1, 2, 3   # kinds of summed rows; weights follow from WEIGHT on
 SUMS = "kind int, id bigint, g array<double>"
+PACKED = "kind int, block int, ids binary, g binary"   # rows of up to BLOCK ids as two buffers: what models that fit are added in
+BLOCK = 1 << 12
 B1, B2, EPS = 0.9, 0.999, 1e-8
 
 
@@ -125,10 +127,13 @@ def gathering(df: DataFrame, vectors: dict[str, Vectors]) -> tuple[DataFrame, Ca
 
 
 class Sums:
-    """Rows of a task added by (kind, id): dense where the number of ids is given, else added within each call."""
+    """Rows of a task added by (kind, id): dense where the number of ids is given, else added within each call.
 
-    def __init__(self, dim: int, sizes: dict[int, int | None]):
-        self.dim, self.sizes, self.dense = dim, sizes, {}
+    ``packed`` sums (all kinds dense) leave the task as blocks of ``PACKED``, others as rows of ``SUMS``.
+    """
+
+    def __init__(self, dim: int, sizes: dict[int, int | None], packed: bool = False):
+        self.dim, self.sizes, self.dense, self.packed = dim, sizes, {}, packed
 
     def add(self, kind: int, ids: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(ids):
@@ -138,7 +143,7 @@ class Sums:
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         total = np.add.reduceat(g[order], first, axis=0)
         if self.sizes[kind] is None:
-            yield self._batch(kind, at[first], total)
+            yield _row_batch(kind, at[first], total)
             return
         if kind not in self.dense:
             self.dense[kind] = np.zeros((self.sizes[kind], self.dim)), np.zeros(self.sizes[kind], bool)
@@ -154,17 +159,58 @@ class Sums:
     def rest(self) -> Iterator[pa.RecordBatch]:
         for kind, (sums, seen) in self.dense.items():
             ids = np.flatnonzero(seen)
-            for at in range(0, len(ids), 8192):
-                yield self._batch(kind, ids[at:at + 8192], sums[ids[at:at + 8192]])
+            if not self.packed:
+                for at in range(0, len(ids), 8192):
+                    yield _row_batch(kind, ids[at:at + 8192], sums[ids[at:at + 8192]])
+                continue
+            for part in np.split(ids, np.flatnonzero(np.diff(ids // BLOCK)) + 1):
+                if len(part):
+                    yield _block_batch(kind, part, sums[part])
+
+
+def _row_batch(kind: int, ids: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind), pa.int32()), pa.array(ids, pa.int64()), list_array(g)], ["kind", "id", "g"])
+
+
+def _block_batch(kind: int, ids: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind], pa.int32()), pa.array([ids[0] // BLOCK], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
+         pa.array([np.ascontiguousarray(g).tobytes()], pa.binary())], ["kind", "block", "ids", "g"])
+
 
-    def _batch(self, kind: int, ids: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind), pa.int32()), pa.array(ids, pa.int64()), list_array(g)], ["kind", "id", "g"])
+def _blocks(batch: pa.RecordBatch | pa.Table, dim: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for k in range(batch.num_rows):
+        kind, block, ids, g = (batch.column(c)[k] for c in ("kind", "block", "ids", "g"))
+        yield kind.as_py(), block.as_py(), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(g.as_buffer()).reshape(-1, dim)
 
 
-MERGED = 1 << 17   # rows that a task of ``summed`` gathers before it adds them
+def summed(df: DataFrame, run: Callable, dim: int, packed: bool) -> DataFrame:
+    """The sums that ``run`` makes of ``df`` in each task, added over all tasks."""
+    if not packed:
+        return rows_summed(df.mapInArrow(run, SUMS), dim)
+
+    def merge(batches):
+        """Blocks come sorted: one is held at a time."""
+        at, sums, seen = None, None, None
+        for batch in batches:
+            for kind, block, ids, g in _blocks(batch, dim):
+                if (kind, block) != at:
+                    if at is not None:
+                        yield _block_batch(at[0], np.flatnonzero(seen) + at[1] * BLOCK, sums[seen])
+                    at, sums, seen = (kind, block), np.zeros((BLOCK, dim)), np.zeros(BLOCK, bool)
+                here = ids - block * BLOCK
+                sums[here] += g
+                seen[here] = True
+        if at is not None:
+            yield _block_batch(at[0], np.flatnonzero(seen) + at[1] * BLOCK, sums[seen])
+
+    return df.mapInArrow(run, PACKED).repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(merge, PACKED)
 
 
-def summed(rows: DataFrame, dim: int) -> DataFrame:
+MERGED = 1 << 17   # rows that a task of ``rows_summed`` gathers before it adds them
+
+
+def rows_summed(rows: DataFrame, dim: int) -> DataFrame:
     """Rows of ``SUMS`` added over all tasks: each (kind, id) meets in one task, which keeps one row of it."""
     def merge(batches):
         held, many, room = [], 0, MERGED
@@ -195,27 +241,24 @@ def summed(rows: DataFrame, dim: int) -> DataFrame:
     return rows.repartition("kind", "id").mapInArrow(merge, SUMS)
 
 
-def collected(sums: DataFrame, x: Vectors, sizes: dict[int, int], width: int | None = None) -> tuple[Vectors, dict[int, np.ndarray]]:
-    """Summed rows run once: those of entities as vectors (of ``x.n`` ids), those of small kinds as matrices."""
-    width = width or x.dim
+def collected(sums: DataFrame, x: Vectors, sizes: dict[int, int], width: int | None = None, n: int | None = None) -> tuple[Vectors, dict[int, np.ndarray]]:
+    """Sums run once: those of entities as vectors (of ``n`` ids, else as many as ``x`` has), those of small kinds as matrices."""
+    width, n = width or x.dim, n or x.n
+    out = {k: np.zeros((size, width)) for k, size in sizes.items()}
     if x.fits:
-        t, rest = sums.toArrow(), None
-        m = np.zeros((x.n, width))
-    else:
-        rest = written(sums, "sums")
-        t = rest.filter(F.col("kind") != ENTITY).toArrow()
-    out = {k: np.zeros((n, width)) for k, n in sizes.items()}
+        m = np.zeros((n, width))
+        for kind, _, ids, g in _blocks(sums.toArrow(), width):
+            (m if kind == ENTITY else out[kind])[ids] = g
+        return Vectors(None, n, width, x.spark, m), out
+    rest = written(sums, "sums")
+    t = rest.filter(F.col("kind") != ENTITY).toArrow()
     if t.num_rows:
         kinds, ids, g = t.column("kind").to_numpy(), t.column("id").to_numpy(), matrix(t.column("g").combine_chunks(), width)
         for k in out:
             out[k][ids[kinds == k]] = g[kinds == k]
-        if rest is None:
-            m[ids[kinds == ENTITY]] = g[kinds == ENTITY]
-    if rest is None:
-        return Vectors(None, x.n, width, x.spark, m), out
     rows = rest.filter(F.col("kind") == ENTITY).select("id", F.col("g").alias("vec"))
     rows._kgrec_path = rest._kgrec_path
-    return Vectors(rows, x.n, width), out
+    return Vectors(rows, n, width), out
 
 
 ROWS_A_TASK = 1 << 16   # samples or edges of a task: few bytes, but a vector or more each
@@ -279,7 +322,7 @@ def pair_loss(samples: DataFrame, x: Vectors, reg_on: Vectors | None = None, reg
         df, get0 = gathering(df, {f"{c}0": reg_on for c in ("u", "p", "n")})
 
     def run(batches):
-        sums = Sums(2 * dim if reg else dim, {ENTITY: size, LOSS: 1})
+        sums = Sums(2 * dim if reg else dim, {ENTITY: size, LOSS: 1}, size is not None)
         for batch in batches:
             if batch.num_rows:
                 *g, loss = pair_gradients(*(get(batch, c) for c in ("u", "p", "n")))
@@ -292,7 +335,7 @@ def pair_loss(samples: DataFrame, x: Vectors, reg_on: Vectors | None = None, reg
                 yield from sums.add(LOSS, np.zeros(1, np.int64), row)
         yield from sums.rest()
 
-    return summed(df.mapInArrow(run, SUMS), 2 * dim if reg else dim)
+    return summed(df, run, 2 * dim if reg else dim, x.fits)
 
 
 def triple_gradients(kind: str, loss: str, margin: float, h, r, t, tn):
@@ -306,7 +349,7 @@ def triple_loss(samples: DataFrame, x: Vectors, rels: np.ndarray, kind: str, los
     dim, size, shared = x.dim, x.n if x.fits else None, samples.sparkSession.sparkContext.broadcast(rels)
 
     def run(batches):
-        sums = Sums(dim, {ENTITY: size, RELATION: len(shared.value), LOSS: 1})
+        sums = Sums(dim, {ENTITY: size, RELATION: len(shared.value), LOSS: 1}, size is not None)
         for batch in batches:
             if batch.num_rows:
                 rel = batch.column("r").to_numpy(zero_copy_only=False)
@@ -319,7 +362,7 @@ def triple_loss(samples: DataFrame, x: Vectors, rels: np.ndarray, kind: str, los
                 yield from sums.add(LOSS, np.zeros(1, np.int64), row)
         yield from sums.rest()
 
-    return summed(df.mapInArrow(run, SUMS), dim)
+    return summed(df, run, dim, x.fits)
 
 
 # --- propagation --------------------------------------------------------------------------------------------
@@ -330,17 +373,17 @@ def propagated(edges: DataFrame, x: Vectors) -> Vectors:
     dim, size = x.dim, x.n if x.fits else None
 
     def run(batches):
-        sums = Sums(dim, {ENTITY: size})
+        sums = Sums(dim, {ENTITY: size}, size is not None)
         for batch in batches:
             if batch.num_rows:
                 w = batch.column("w").to_numpy(zero_copy_only=False)
                 yield from sums.add(ENTITY, batch.column("dst").to_numpy(zero_copy_only=False), get(batch, "src") * w[:, None])
         yield from sums.rest()
 
-    out = summed(df.mapInArrow(run, SUMS), dim).select("id", F.col("g").alias("vec"))
+    out = summed(df, run, dim, x.fits)
     if x.fits:
-        return Vectors(None, x.n, dim, x.spark, Vectors(out, x.n, dim).matrix())
-    return Vectors(written(out, "layer"), x.n, dim)
+        return collected(out, x, {})[0]
+    return Vectors(written(out.select("id", F.col("g").alias("vec")), "layer"), x.n, dim)
 
 
 def layer_mean(edges: DataFrame, x: Vectors, layers: int) -> Vectors:
@@ -394,7 +437,7 @@ def convolved(edges: DataFrame, x: Vectors, rels: np.ndarray, w: dict[str, np.nd
     shared = edges.sparkSession.sparkContext.broadcast((rels, w))
 
     def messages(batches):
-        sums, f = Sums(dim, {ENTITY: size}), COMPOSE[comp]
+        sums, f = Sums(dim, {ENTITY: size}, size is not None), COMPOSE[comp]
         for batch in batches:
             if batch.num_rows:
                 m = f(get(batch, "src"), shared.value[0][batch.column("rel").to_numpy(zero_copy_only=False)])
@@ -402,14 +445,15 @@ def convolved(edges: DataFrame, x: Vectors, rels: np.ndarray, w: dict[str, np.nd
                 yield from sums.add(ENTITY, ids, m * batch.column("w").to_numpy(zero_copy_only=False)[:, None])
         yield from sums.rest()
 
+    sums = summed(df, messages, dim, x.fits)
     if x.fits:
-        both = Vectors(summed(df.mapInArrow(messages, SUMS), dim).select("id", F.col("g").alias("vec")), 2 * x.n, dim).matrix()
+        both = collected(sums, x, {}, n=2 * x.n)[0].matrix()
         h, a, b = x.matrix(), both[0::2], both[1::2]
         out = a @ w["in"] + b @ w["out"] + h @ w["loop"]
         out = np.tanh(out) if activation else out
         return Layer(None, (h, a, b, out), Vectors(None, x.n, dim, x.spark, out), rels)
     zero = F.array_repeat(F.lit(0.0), dim)
-    means = summed(df.mapInArrow(messages, SUMS), dim).select(F.floor(F.col("id") / 2).alias("id"), (F.col("id") % 2).alias("way"), "g")
+    means = sums.select(F.floor(F.col("id") / 2).alias("id"), (F.col("id") % 2).alias("way"), "g")
     means = means.groupBy("id").agg(F.max(F.when(F.col("way") == 0, F.col("g"))).alias("a"), F.max(F.when(F.col("way") == 1, F.col("g"))).alias("b"))
     rows = x.rows.select("id", F.col("vec").alias("h")).join(means, "id", "full").select(
         "id", *[F.coalesce(c, zero).alias(c) for c in ("h", "a", "b")])
@@ -462,7 +506,7 @@ def convolved_back(edges: DataFrame, layer: Layer, x: Vectors, w: dict[str, np.n
     def outer(batches):
         """Against the edges: each message's gradient goes to its source and its relation."""
         rels = shared.value[0]
-        sums, f = Sums(dim, {ENTITY: size, RELATION: len(rels)}), DECOMPOSE[comp]
+        sums, f = Sums(dim, {ENTITY: size, RELATION: len(rels)}, size is not None), DECOMPOSE[comp]
         for batch in batches:
             if batch.num_rows:
                 g = get(batch, "to") * batch.column("w").to_numpy(zero_copy_only=False)[:, None]
@@ -472,14 +516,14 @@ def convolved_back(edges: DataFrame, layer: Layer, x: Vectors, w: dict[str, np.n
                 yield from sums.add(RELATION, rel, gr)
         yield from sums.rest()
 
-    sizes, messages = {RELATION: len(layer.rels)}, df.mapInArrow(outer, SUMS)
+    sizes = {RELATION: len(layer.rels)}
     if x.fits:
-        gradient, got = collected(summed(messages, dim), x, sizes)
+        gradient, got = collected(summed(df, outer, dim, True), x, sizes)
         gradient = Vectors(None, x.n, dim, x.spark, gradient.matrix() + loop)
     else:
         loops = parts.filter(F.col("kind") == -2).select(F.lit(ENTITY).alias("kind"), "id", "g")
         rest = parts.filter(F.col("kind") >= WEIGHT).select("kind", "id", "g")
-        gradient, got = collected(summed(messages.unionByName(loops).unionByName(rest), dim), x, sizes | {WEIGHT + k: dim for k in range(3)})
+        gradient, got = collected(rows_summed(df.mapInArrow(outer, SUMS).unionByName(loops).unionByName(rest), dim), x, sizes | {WEIGHT + k: dim for k in range(3)})
         weights = [got[WEIGHT + k] for k in range(3)]
         dropped(parts)
     back.free()

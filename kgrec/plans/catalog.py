@@ -1131,12 +1131,17 @@ def q_mlp_score(spark, d):
     return S.mlp_score(_imputed_pairs(spark, d, "test"), S.init_params())
 
 
-def _mlp_scores(spark, d) -> DataFrame:
+def _mlp_theta(spark, d):
+    """The trained network's parameters, kept as ``(pos, value)`` rows."""
     def build(spark, d):
         train_pairs = _imputed_pairs(spark, d, "train").select("u", "v", F.col("rating").alias("y"))
-        res = S.mlp_train(train_pairs, epochs=MLP_EPOCHS)
-        return S.mlp_score(_imputed_pairs(spark, d, "test"), res.theta)
-    return T.materialized(spark, d, "mlp-scores", build)
+        theta = S.mlp_train(train_pairs, epochs=MLP_EPOCHS).theta
+        return spark.createDataFrame([(k, float(v)) for k, v in enumerate(theta)], "pos bigint, value double")
+    return T.materialized(spark, d, "mlp-theta", build).toPandas().sort_values("pos")["value"].to_numpy()
+
+
+def _mlp_scores(spark, d) -> DataFrame:
+    return T.materialized(spark, d, "mlp-scores", lambda s, p: S.mlp_score(_imputed_pairs(s, p, "test"), _mlp_theta(s, p)))
 
 
 @query("mlp_train")
@@ -1223,6 +1228,16 @@ def q_topk_dot_all_items_masked(spark, d):
     return _topk_dot(spark, d, -9.0)
 
 
+@query("topk_mlp_all_items")
+def q_topk_mlp_all_items(spark, d):
+    """Top-20 of the whole catalogue for every train user by the trained network, train items removed."""
+    vec, tr = _imputed(spark, d), V.train(spark, d)
+    users = tr.select("user_id").distinct().withColumn("entity", T.user_entity(F.col("user_id"))).join(vec, "entity").select("user_id", "vec")
+    items = V.item_uris(spark, d).join(vec.withColumnRenamed("entity", "uri"), "uri").select("item_id", "vec")
+    top = R.topk_scored_items(users, items, tr.select("user_id", "item_id"), TOPK_DOT, score=S.block_scores(_mlp_theta(spark, d)))
+    return top.select("user_id", "item_id", r6(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 # ---- stores and file sources, written and read back ----------------------------------------------
 
 @query("mapping_scan", with_views("SELECT item_id, name FROM items", "items"))

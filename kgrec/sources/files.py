@@ -159,6 +159,16 @@ def read_id_map(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, "entity string, id bigint").csv(path)
 
 
+def write_dictionary(df: DataFrame, path: str) -> None:
+    """A dictionary from names to ids as a two-column table (what a pickled dictionary holds; S11)."""
+    df.select(F.col("name").cast("string").alias("name"), F.col("id").cast("bigint").alias("id")).write.mode("overwrite").parquet(path)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """``(name, id)``, the schema fixed; joined, never collected."""
+    return spark.read.schema("name string, id bigint").parquet(path)
+
+
 def write_matrix(df: DataFrame, path: str, dim: int) -> None:
     """Embedding matrix as TSV with the id in the first column (K4): position never matters."""
     cells = [F.col("id").cast("string")] + [F.col("vec")[d].cast("string") for d in range(dim)]

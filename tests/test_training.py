@@ -141,7 +141,12 @@ def close(a, b, tol=1e-9):
     return a.keys() == b.keys() and all(np.abs(a[k] - b[k]).max() < tol for k in a)
 
 
-@pytest.mark.parametrize("model", ["triples", "compgcn", "lightgcn"])
+def test_convolution_training_learns(spark):
+    result = M.compgcn_model(graph(spark), layers=1, epochs=3, dim=4)
+    assert result.losses[-1] < result.losses[0] and result.vectors.count() == 12 and result.relations.count() == 3
+
+
+@pytest.mark.parametrize("model", ["triples", "lightgcn"])
 def test_training_learns_resumes_and_ignores_partitions(spark, model):
     def train(parts, epochs, path=None, **more):
         if model == "lightgcn":
@@ -150,8 +155,7 @@ def test_training_learns_resumes_and_ignores_partitions(spark, model):
             df = spark.createDataFrame(rows, "user_id long, item_id long, rating int").repartition(parts)
             items = spark.createDataFrame([(i,) for i in range(11)], "item_id long")
             return M.lightgcn_model(df, items, 2, epochs, dim=4, batch_rows=40, log_path=path)
-        make = M.triple_model if model == "triples" else M.compgcn_model
-        return make(graph(spark).repartition(parts), epochs=epochs, dim=4, batch_rows=30, log_path=path, **more)
+        return M.triple_model(graph(spark).repartition(parts), epochs=epochs, dim=4, batch_rows=30, log_path=path, **more)
 
     whole = train(1, 3)
     assert whole.losses[-1] < whole.losses[0] and len(whole.losses) == 3
@@ -214,3 +218,33 @@ def test_copies_of_the_scorer_average_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(S, "FAN_IN", 3)  # ten copies, then four, then two
     tree = S.mlp_train(df.repartition(7), epochs=2, dim=4, batch=4, copy_rows=10)
     assert np.allclose(flat.theta, tree.theta, atol=1e-12) and flat.losses == pytest.approx(tree.losses)
+
+
+def test_network_scores_blocks_for_whole_catalogue_lists(spark, monkeypatch):
+    from kgrec.operators import rank as R
+    from kgrec.operators import scorer as S
+    rng = np.random.default_rng(3)
+    u, v = rng.standard_normal((7, 4)), rng.standard_normal((11, 4))
+    weights = [rng.standard_normal(shape) for shape in S.layer_shapes(4)]
+    theta = S.import_weights(weights, 4)
+    assert all((w == x).all() and not b.any() for w, (x, b) in zip(weights, S.unpack(theta, 4), strict=True))
+    with pytest.raises(ValueError, match="shapes"):
+        S.import_weights(weights[1:], 4)
+    theta = rng.standard_normal(S.n_params(4))
+    monkeypatch.setattr(S, "CELLS", 25)
+    every = np.array([S.forward(theta, np.repeat(u[k:k + 1], 11, axis=0), v, 4) for k in range(7)])
+    assert np.allclose(S.block_scores(theta, 4)(u, v), every)
+    users = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(u)], "user_id long, vec array<double>")
+    items = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "item_id long, vec array<double>")
+    seen = spark.createDataFrame([(k, j) for k in range(7) for j in range(k)], "user_id long, item_id long")
+    got = R.topk_scored_items(users, items, seen, 3, score=S.block_scores(theta, 4), user_block=3, item_block=4).collect()
+    for k in range(7):
+        want = sorted((-every[k, j], j) for j in range(k, 11))[:3]
+        mine = sorted((r.rank, r.item_id, r.score) for r in got if r.user_id == k)
+        assert [m[1] for m in mine] == [w[1] for w in want] and np.allclose([m[2] for m in mine], [-w[0] for w in want])
+
+
+def test_dictionary_table(spark, tmp_path):
+    from kgrec.sources import files as FS
+    FS.write_dictionary(spark.createDataFrame([("b", 2), ("a", 1)], "name string, id int"), str(tmp_path / "d"))
+    assert sorted(map(tuple, FS.read_dictionary(spark, str(tmp_path / "d")).collect())) == [("a", 1), ("b", 2)]

@@ -30,13 +30,14 @@ def op1_lm_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(load(spark, sf_dir, "documents"))
 
 
-def packed_with_digest(docs: DataFrame) -> DataFrame:
-    """The packing operator's placed pieces with their ids, and the ids' checksum."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids"))
+def digested_pieces(docs: DataFrame) -> DataFrame:
+    """The packing operator's pieces with the checksum of their ids in the ids' place (``packing.pack`` carries the ids themselves)."""
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_with_digest(load(spark, sf_dir, "documents")).drop("ids")
+    return packing.place(digested_pieces(load(spark, sf_dir, "documents")))
 
 
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

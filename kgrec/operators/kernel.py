@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgrec.functions.frames import attach_scalars
 from kgrec.operators.rank import dense_index, running_sum
 from kgrec.operators.vectors import DIM, dot, hashed_normal
 

@@ -153,14 +153,18 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_texts: int =
                 [b.column("lang"), b.column("h"), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())),
                  pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32()))], ["lang", "h", "buckets", "counts"])
 
-    rows = sample.mapInArrow(count, "lang string, h bigint, buckets array<int>, counts array<int>").toArrow()  # the bounded sample
-    rows = sorted((r for r in rows.to_pylist() if r["buckets"]), key=lambda r: (r["h"], r["lang"]))
-    languages = sorted({r["lang"] for r in rows})
+    found = sample.mapInArrow(count, "lang string, h bigint, buckets array<int>, counts array<int>").toArrow().combine_chunks()  # the bounded sample
+    lists = {c: found.column(c).combine_chunks() for c in ("buckets", "counts")}  # kept as the two buffers that they came in
+    ends = {c: v.offsets.to_numpy() for c, v in lists.items()}
+    values = {c: v.values.to_numpy(zero_copy_only=False) for c, v in lists.items()}
+    langs, hashes = found.column("lang").to_pylist(), found.column("h").to_pylist()
+    order = sorted((k for k in range(len(langs)) if ends["buckets"][k + 1] > ends["buckets"][k]), key=lambda k: (hashes[k], langs[k]))
+    languages = sorted({langs[k] for k in order})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
-    xs = [(np.array(r["buckets"]), np.array(r["counts"])) for r in rows]
-    y = np.array([languages.index(r["lang"]) for r in rows])
-    back = np.array([r["h"] % 5 == 0 for r in rows])
+    xs = [tuple(values[c][ends[c][k]:ends[c][k + 1]] for c in ("buckets", "counts")) for k in order]
+    y = np.array([languages.index(langs[k]) for k in order])
+    back = np.array([hashes[k] % 5 == 0 for k in order])
     if back.all() or len(set(y[~back])) < len(languages):
         back[:] = False
     own = np.flatnonzero(~back)

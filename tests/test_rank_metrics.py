@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kgrec.operators import metrics as M
@@ -119,3 +120,14 @@ def test_signed_ranks_equal_a_plain_test(spark):
         r = got[5, a, b]
         assert (r.n_users, r.n) == (len(d), n) and abs(r.w_plus - w) < 1e-6 and abs(r.z - (w - n * (n + 1) / 4) / var ** 0.5) < 1e-9
     assert got[5, "a", "b"].z < -5 and (got[10, "a", "b"].n, got[10, "a", "b"].w_plus, got[10, "a", "b"].z) == (0, 0.0, None)
+
+
+@pytest.mark.parametrize("mask", [None, -9.0])
+def test_topk_all_items_broadcasts_no_history(spark, capsys, mask):
+    users = spark.range(4).withColumnRenamed("id", "user_id")
+    scores = spark.range(9).select(F.col("id").alias("item_id"), F.col("id").cast("double").alias("score"))
+    seen = spark.createDataFrame([(1, 8), (2, 0)], "user_id long, item_id long")
+    R.topk_all_items(users, scores, seen, 3, mask_score=mask).explain()
+    plan = capsys.readouterr().out
+    joins = [line for line in plan.splitlines() if "Join" in line and "item_id" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins), plan  # a small history as well: its size on disk says little

@@ -209,3 +209,15 @@ def test_free_sources_get_their_own_bits(spark):
     df = spark.createDataFrame([("a", "r", "b")], "head string, relation string, tail string")
     got = G.tag_sources({"cf": df, "friends": df, "genre": df.withColumn("tail", F.col("head"))}).collect()
     assert {(r["tail"], r["mask"]) for r in got} == {("b", 17), ("a", 32)}
+
+
+def test_vector_store_never_broadcasts_the_catalogue(spark, tmp_path, capsys):
+    from kgrec.sources import tables as T
+    spark.createDataFrame([(0, [1.0]), (1, [2.0]), (3, [3.0]), (5, [4.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(2000).selectExpr("id as p_partkey", "'a b' as p_name", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    vec = T.vectors(spark, str(tmp_path))
+    assert sorted((r.entity, r.vec) for r in vec.collect()) == [
+        ("http://kg/part/0/a_b", [2.0]), ("http://kg/part/1/a_b", [3.0]), ("http://kg/part/2/a_b", [4.0]), ("user0", [1.0])]
+    vec.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "BuildRight" not in plan, plan

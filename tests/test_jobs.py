@@ -221,3 +221,26 @@ def test_vector_store_never_broadcasts_the_catalogue(spark, tmp_path, capsys):
     vec.explain()
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and "BuildRight" not in plan, plan
+
+
+def test_interactions_keep_the_latest_line_and_names_come_after_distinct_ids(spark, tmp_path):
+    from kgrec.plans.catalog import _rating_entities
+    from kgrec.sources import tables as T
+    at = str(tmp_path)
+    spark.createDataFrame([(1, 7), (2, 7), (5, 8), (6, None)], "o_orderkey long, o_custkey long").write.parquet(f"{at}/orders.parquet")
+    spark.createDataFrame(
+        [(1, 3, 1, 50.0, "1995-01-02"), (2, 3, 1, 1.0, "1995-01-02"), (2, 3, 2, 30.0, "1995-01-01"), (5, 3, 1, 2.0, None), (5, 3, 2, 26.0, None),
+         (5, 4, 3, None, "1995-01-01"), (6, 4, 1, 40.0, "1995-01-01"), (6, 9, 2, 40.0, "1995-01-01")],
+        "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_shipdate string").write.parquet(f"{at}/lineitem.parquet")
+    spark.createDataFrame([(3, "p q", 5), (4, "r", 6)], "p_partkey long, p_name string, p_size int").write.parquet(f"{at}/part.parquet")
+    built = T.build_interactions(spark, at)
+    assert {tuple(r) for r in built.collect()} == {
+        (7, 3, 0, 201, "train"), (8, 3, 1, 502, "test"), (8, 4, None, 503, "test"), (None, 4, 1, 601, "train"), (None, 9, 1, 602, "train")}
+    entities = _rating_entities(spark, at)
+    assert sorted(map(tuple, entities.collect()), key=str) == sorted(
+        [("user", "user7", "train"), ("user", "user8", "test"), ("user", None, "train"), ("item", "http://kg/part/3/p_q", "train"),
+         ("item", "http://kg/part/3/p_q", "test"), ("item", "http://kg/part/4/r", "train"), ("item", "http://kg/part/4/r", "test")], key=str)
+    # a field travels once, and only distinct ids are joined with names
+    assert "max_by" not in built._jdf.queryExecution().optimizedPlan().toString()
+    below = entities._jdf.queryExecution().optimizedPlan().toString().split("Join")[-1]
+    assert "Aggregate [item_id" in below

@@ -86,3 +86,35 @@ def test_topk_store_exact_k(spark):
     FS.write_topk_lists(df, base + "/lists")
     got = sorted((r["setting"], r["item_id"]) for r in FS.read_topk_lists(spark, base + "/lists", 5).collect())
     assert got == [("s1", 2), ("s2", 4)]
+
+
+def _exchanges(df) -> list[str]:
+    """The shuffles of a plan as it starts, reused ones left out."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+
+
+def test_symmetric_norm_edges_of_repeated_and_null_names(spark):
+    pairs = spark.createDataFrame([("a", "x"), ("a", "x"), ("x", "a"), ("b", "x"), ("b", "b"), ("a", None)], "u string, i string")
+    want = {("a", "x"): 2 * 2, ("x", "a"): 2 * 2, ("b", "x"): 2 * 2, ("x", "b"): 2 * 2, ("b", "b"): 2 * 2}  # a null name counts as a neighbour
+    got = {(r["src"], r["dst"]): r["w"] for r in VX.symmetric_norm_edges(pairs, "u", "i").collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k] ** -0.5) < 1e-12 for k in want)
+    some = VX.symmetric_norm_edges(pairs, "u", "i", sources=spark.createDataFrame([("b",), ("b",), (None,)], "entity string"))
+    assert {(r["src"], r["dst"]): r["w"] for r in some.collect()} == {k: w for k, w in got.items() if k[0] == "b"}
+
+
+def test_symmetric_norm_edges_shuffle_edges_twice(spark, tmp_path):
+    spark.range(50).selectExpr("'u' || id % 7 u", "'i' || id i").write.parquet(f"{tmp_path}/pairs")
+    spark.range(40).selectExpr("'i' || id entity", "array(double(id), 1.0D) vec").write.parquet(f"{tmp_path}/vecs")
+    adaptive, limit = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        vecs = spark.read.parquet(f"{tmp_path}/vecs")
+        out = VX.propagate(VX.symmetric_norm_edges(spark.read.parquet(f"{tmp_path}/pairs"), "u", "i"), vecs, dim=2)
+        # edges by dst, edges by src, the vectors, the sums
+        assert len(_exchanges(out)) == 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

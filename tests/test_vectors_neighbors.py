@@ -118,3 +118,25 @@ def test_symmetric_norm_edges_shuffle_edges_twice(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_first_free_slots_are_settled_in_one_written_pass(spark):
+    from kgrec.operators.graph import redraw_slots
+    names = ["n0", "n1", None, "n3", "n4"]
+    slots = spark.createDataFrame(list(enumerate(names)), "slot long, neg string")
+    n = spark.createDataFrame([(len(names),)], "n long")
+    facts = {("a", "n0"), ("a", "n1"), ("b", "n4"), ("b", None), *(("full", x) for x in names if x)}
+    known = spark.createDataFrame([*facts, *facts], "k string, neg string")
+    asked = [(r, k, base) for r, (k, base) in enumerate(itertools.product(["a", "b", None, "full"], [0, 3, 4, 12, -1]))]
+    positives = spark.createDataFrame([*asked, (99, "a", None)], "row long, k string, base long")
+    want = {}
+    for row, k, base in asked:
+        tries = [names[(base + step) % len(names)] for step in range(len(names))]
+        want[row] = next(x for x in tries if x is None or (k, x) not in facts)   # a null name equals none that is known
+    out = redraw_slots(positives, slots, known, ["k"], n)
+    assert {r["row"]: r["neg"] for r in out.collect()} == want
+    assert out.count() == len(want)
+    free = redraw_slots(positives.filter("k = 'b' and base = 0"), slots, known, ["k"], n)
+    plan = free._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "ExistingRDD" not in plan   # read from the one written table, not from row-wise checkpoints
+    assert redraw_slots(positives, slots.limit(0), known, ["k"], n.selectExpr("n * 0 n")).count() == 0

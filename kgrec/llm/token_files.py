@@ -73,8 +73,8 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for kept in batch.column(0):
-                n = np.bincount(_wide(kept.as_buffer()), minlength=len(total))
+            for part in in_slices((_wide(kept.as_buffer()) for kept in batch.column(0)), len, BLOCK_IDS):  # not a whole vocabulary for each document
+                n = np.bincount(np.concatenate(part), minlength=len(total))
                 n[:len(total)] += total
                 total = n
         ids = np.flatnonzero(total)

@@ -24,6 +24,7 @@ CONTROL = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f]")  # those among them that ar
 BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 TABLE_SIZE = 450_000   # entries of a worker's table of units before it becomes the old one
+FIRST_SIZE = 50_000    # entries of the tables of units without a space before them and of pieces that are no words
 LONGEST_KEPT = 32      # longer units are encoded each time
 CLOSING = ".,;:!?)]}\"*%&$#"  # a letter run followed by these only is two pieces
 
@@ -33,28 +34,57 @@ class _Whole(Exception):
 
 
 class _Table(dict):
-    """Ids by unit: the newest ``TABLE_SIZE`` units and those of the table before."""
+    """Ids by unit: the newest ``most`` units and those of the table before."""
 
-    def __init__(self, encoder: Encoder, before: str):
+    def __init__(self, encoder: Encoder, before: str, most: int):
         super().__init__()
-        self.encoder, self.before, self.old = encoder, before, {}
+        self.encoder, self.before, self.most, self.old = encoder, before, most, {}
         self.tokenize, self.space = encoder.model.tokenize, encoder.space if before else ""
 
     def __missing__(self, unit: str) -> bytes:
         value = self.old.get(unit)
         if value is None:
-            if unit.isalpha() and unit.isascii():
-                value = array("I", [t.id for t in self.tokenize(self.space + unit)]).tobytes()
+            if unit.isalpha():  # letters only are one piece
+                spelled = unit if unit.isascii() else unit.translate(self.encoder.spelled)
+                value = array("I", [t.id for t in self.tokenize(self.space + spelled)]).tobytes()
             else:
                 value = self.encoder.odd_unit(unit, self.before)
         if len(unit) <= LONGEST_KEPT:
-            if len(self) >= TABLE_SIZE:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[unit] = value
         return value
 
 
+class _Pieces(dict):
+    """Ids of the newest ``FIRST_SIZE`` pieces that are no words."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self.encoder.piece(piece)
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= FIRST_SIZE:
+                self.clear()
+            self[piece] = value
+        return value
+
+
+class _Spelled(dict):
+    """Characters as the byte-level alphabet spells them, each worked out once."""
+
+    def __init__(self, chars: dict[int, str]):
+        super().__init__()
+        self.chars = chars
+
+    def __missing__(self, code: int) -> str:
+        self[code] = value = "".join(self.chars[b] for b in chr(code).encode())
+        return value
+
+
 class Encoder:
     """``encode(text)`` gives a text's ids as little-endian unsigned 32-bit integers; null is an empty text."""
 
@@ -69,29 +99,36 @@ class Encoder:
         self.added = [t["content"] for t in added]
         self.never_cut = any(t["normalized"] for t in added)  # such tokens match other spellings as well
         chars = _byte_chars()
-        self.as_bytes = str.maketrans({chr(b): c for b, c in chars.items()})
+        self.spelled = _Spelled(chars)
         self.space = "" if self.by_words else chars[32]
         self.pieces = WORD_PIECES if self.by_words else BYTE_PIECES
-        self.first, self.units = _Table(self, ""), _Table(self, " " if self.space else "")
-        self.closing: dict[str, bytes] = {}
+        self.first, self.units = _Table(self, "", FIRST_SIZE), _Table(self, " " if self.space else "", TABLE_SIZE)
+        self.others = _Pieces(self)
 
     def piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.as_bytes)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(piece.translate(self.spelled))]).tobytes()
+
+    def kept(self, piece: str) -> bytes:
+        """Ids of a piece, from the tables: words that occur as units are met there."""
+        if self.by_words:
+            return self.units[piece] if piece.isalpha() else self.others[piece]
+        if piece[0] == " " and piece[1:].isalpha():
+            return self.units[piece[1:]]
+        return self.first[piece] if piece.isalpha() else self.others[piece]
 
     def odd_unit(self, unit: str, before: str) -> bytes:
         """Ids of a unit of more than plain letters, after a space or (``before`` empty) without one."""
-        if not self.by_words and (not unit or unit[0].isspace() or unit[-1].isspace() or CONTROL.search(unit)):
-            raise _Whole
         word = unit.rstrip(CLOSING)
-        if word.isascii() and word.isalpha():
-            end = unit[len(word):]
-            if end not in self.closing:
-                if len(self.closing) >= TABLE_SIZE:
-                    self.closing.clear()
-                self.closing[end] = self.piece(end)
-            return (self.units if before or self.by_words else self.first)[word] + self.closing[end]
-        return b"".join(map(self.piece, self.pieces.findall(before + unit)))
+        if word.isalpha():
+            return (self.units if before or self.by_words else self.first)[word] + self.others[unit[len(word):]]
+        if not self.by_words and not (unit and unit.isprintable()):
+            if not unit or unit[0].isspace() or unit[-1].isspace() or CONTROL.search(unit):
+                raise _Whole
+            first, *lines = unit.split("\n")
+            if lines and first.isprintable() and first and all(x and x.isprintable() for x in lines):  # a single line end is a piece
+                begun = self.units[first] if before else self.first[first]
+                return self.others["\n"].join([begun, *map(self.first.__getitem__, lines)])
+        return b"".join(map(self.kept, self.pieces.findall(before + unit)))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

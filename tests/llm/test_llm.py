@@ -71,6 +71,25 @@ def test_encoder_gives_the_librarys_ids(path):
     assert enc.encode(None) == b""
 
 
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_words_of_any_unit_are_encoded_once(path):
+    """Letters beyond ASCII and words inside longer units are met in the tables, and their ids are the library's."""
+    enc, whole, asked = tokens.Encoder(path), Tokenizer.from_file(path), []
+    plain = enc.piece
+    enc.piece = lambda piece: asked.append(piece) or plain(piece)
+    ends = [".", ",", "!", "?", ";", ".\nseñor", ".\nseñor,\nñandú"]
+    text = " ".join(f"{word}{end}" for end in ends for word in ("señor", "ñandú", "plain")) + " a\n\nb (señor) x-ñandú"
+    assert np.frombuffer(enc.encode(text), np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert not any(piece.strip().isalpha() for piece in asked)  # words went through the tables
+    assert len(asked) == len(set(asked))
+
+
+def test_counts_of_ids_over_documents_of_any_size(spark):
+    docs = [b"\x02" + np.array([3, 3, 500], "<u2").tobytes(), b"\x04" + np.array([3, 70_000], "<u4").tobytes()]
+    rows = spark.createDataFrame([(d,) for d in docs * 3] + [(b"\x02",)], "kept binary")
+    assert {r["id"]: r["n"] for r in token_files.id_counts(rows).collect()} == {3: 9, 500: 3, 70_000: 3}
+
+
 # --- 2 packing ----------------------------------------------------------------------------------------------
 
 def check_packing(got, texts, max_len):

@@ -101,6 +101,19 @@ def test_bpr_loss_falls(spark):
     assert res.losses[-1] < res.losses[0]
 
 
+def test_pairs_are_scored_from_their_buffers_and_keep_their_keys(spark):
+    """Scores are those of the forward pass on whole matrices; large keys beside a null one stay as they are."""
+    dim, rng = 4, np.random.default_rng(5)
+    u, v = rng.normal(size=(2, 30, dim))
+    keys = [None, 2**53 + 1, *range(28)]
+    rows = [(k, n, u[n].tolist(), v[n].tolist()) for n, k in enumerate(keys)]
+    pairs = spark.createDataFrame(rows, "user_id bigint, item_id bigint, u array<double>, v array<double>")
+    theta = S.init_params(dim)
+    got = {r["item_id"]: (r["user_id"], r["score"]) for r in S.mlp_score(pairs.coalesce(1), theta, dim).collect()}
+    assert [got[n][0] for n in range(30)] == keys
+    assert np.allclose([got[n][1] for n in range(30)], S.forward(theta, u, v, dim), atol=1e-12)
+
+
 def test_param_grid_and_best(spark):
     ch = RU.parse_choices("k choice [20, 50, 100]\nshrink choice [0, 0.5, 1]")
     g = RU.param_grid(spark, ch)

@@ -114,6 +114,17 @@ def test_pairs_are_scored_from_their_buffers_and_keep_their_keys(spark):
     assert np.allclose([got[n][1] for n in range(30)], S.forward(theta, u, v, dim), atol=1e-12)
 
 
+def test_vocabulary_indexes_only_the_kinds_asked_for(spark, monkeypatch):
+    kg = spark.createDataFrame([("b", "r2", "a"), ("c", "r1", "a"), ("b", "r1", "b")], "head string, relation string, tail string")
+    plain, indexed = G.dense_index, []
+    monkeypatch.setattr(G, "dense_index", lambda keys, *a: indexed.append(keys.columns) or plain(keys, *a))
+    found = [(r["kind"], r["name"], r["id"]) for r in G.kg_vocab(kg, kinds=("relation",)).orderBy("id").collect()]
+    assert found == [("relation", "r1", 0), ("relation", "r2", 1)]
+    assert len(indexed) == 1
+    both = {(r["kind"], r["name"], r["id"]) for r in G.kg_vocab(kg).collect()}
+    assert both == {*found, ("entity", "a", 0), ("entity", "b", 1), ("entity", "c", 2)}
+
+
 def test_param_grid_and_best(spark):
     ch = RU.parse_choices("k choice [20, 50, 100]\nshrink choice [0, 0.5, 1]")
     g = RU.param_grid(spark, ch)

@@ -140,3 +140,41 @@ def test_first_free_slots_are_settled_in_one_written_pass(spark):
     plan = free._jdf.queryExecution().executedPlan().toString()
     assert "parquet" in plan and "ExistingRDD" not in plan   # read from the one written table, not from row-wise checkpoints
     assert redraw_slots(positives, slots.limit(0), known, ["k"], n.selectExpr("n * 0 n")).count() == 0
+
+
+def test_co_occurrence_shuffles_no_pairs(spark, monkeypatch):
+    """Light users' pairs are counted in their block's task: no shuffle has a row for each of them; hot items, many pieces and heavy users give the same."""
+    rnd = random.Random(11)
+    rows = {(u, rnd.choice([5, 7 << 40, -3]) + rnd.randrange(80)) for u in range(50) for _ in range(rnd.choice([1, 4, 30]))}
+    nulls = [(None, 5), (None, 6), (3, None), (3, 5), (3, 5)]
+    df = spark.createDataFrame([*sorted(rows), *nulls], "user_id long, item_id long")
+    rows.add((3, 5))
+    want = _brute_co(rows)
+    degree = {i: sum(1 for _, j in rows if j == i) + (i in (5, 6)) for _, i in rows}
+    sims = {}
+    for i in degree:
+        near = sorted((-c / (np.sqrt(float(degree[i])) * np.sqrt(float(degree[j])) + 0.5), j) for (a, j), c in want.items() if a == i)[:4]
+        sims |= {(i, j): -s for s, j in near}
+    plan = NB.co_counts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [i" not in plan and "FlatMapGroupsInArrow" in plan
+    for sizes in ({}, {"PAIRS": 50, "BLOCK_IDS": 300}, {"HOT_IDS": 200, "BLOCK_IDS": 300}):
+        with monkeypatch.context() as m:
+            for name, value in sizes.items():
+                m.setattr(NB, name, value)
+            for heavy in (1 << 12, 12):
+                assert {(r["i"], r["j"]): r["c"] for r in NB.co_counts(df, heavy_threshold=heavy, item_block=16).collect()} == want
+                got = NB.knn_similarities(df, 4, 0.5, heavy_threshold=heavy, item_block=16).collect()
+                assert {(r["i"], r["j"]): r["sim"] for r in got} == sims and len(got) == len(sims)
+    assert NB.co_counts(df.limit(0)).count() == 0
+
+
+def test_scores_of_users_with_few_and_many_wanted_pairs(spark, monkeypatch):
+    rnd = random.Random(5)
+    hist = [(rnd.randrange(6), rnd.randrange(12)) for _ in range(40)]
+    sims = {(i, j): rnd.random() for i in range(12) for j in range(12) if i != j and rnd.random() < 0.4}
+    pairs = [(u, j) for u in range(7) for j in range(12) if u % 2 or j % 5 == 0] + [(1, 1), (None, 2)]
+    dfs = (spark.createDataFrame(hist, "user_id long, item_id long"), spark.createDataFrame([(*k, s) for k, s in sims.items()], "i long, j long, sim double"),
+           spark.createDataFrame(pairs, "user_id long, item_id long"))
+    monkeypatch.setattr(NB, "FEW_WANTED", 4)
+    got = sorted((r["user_id"] or -1, r["item_id"], round(r["score"], 9)) for r in NB.score_pairs(*dfs).collect())
+    assert got == sorted((u or -1, j, round(sum(sims.get((i, j), 0.0) for v, i in hist if v == u), 9)) for u, j in pairs)

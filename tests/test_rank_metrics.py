@@ -131,3 +131,27 @@ def test_topk_all_items_broadcasts_no_history(spark, capsys, mask):
     plan = capsys.readouterr().out
     joins = [line for line in plan.splitlines() if "Join" in line and "item_id" in line]
     assert joins and all("SortMergeJoin" in line for line in joins), plan  # a small history as well: its size on disk says little
+
+
+def test_scored_items_copy_no_block(spark, monkeypatch):
+    """Blocks meet without a shuffle that copies them; ties, masks, many parts of the catalogue, users without items seen and repeated rows agree with brute force."""
+    import numpy as np
+
+    from kgrec.operators import rank as R
+    rng = np.random.default_rng(2)
+    u, v = rng.integers(-2, 3, (9, 2)).astype(float), rng.integers(-2, 3, (23, 2)).astype(float)
+    users = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(u)] + [(0, u[0].tolist())], "user_id long, vec array<double>")
+    items = spark.createDataFrame([(3 * k, x.tolist()) for k, x in enumerate(v)], "item_id long, vec array<double>")
+    had = {(k, 3 * j) for k in range(8) for j in range(23) if (k + j) % 3 == 0 or k == 2}
+    seen = spark.createDataFrame([*sorted(had), (1, None), (1, 7), (5, 9), (5, 9)], "user_id long, item_id long")
+    had.add((5, 9))
+    monkeypatch.setattr(R, "ITEM_BLOCKS", 2)
+    for mask in (None, -1.0):
+        top = R.topk_scored_items(users, items, seen, 4, mask, user_block=2, item_block=3)
+        assert "CartesianProduct" in top._jdf.queryExecution().sparkPlan().toString()
+        got = sorted(map(tuple, top.select("user_id", "rank", "item_id", "score").collect()))
+        want = []
+        for k in range(9):
+            rows = [(-(mask if (k, 3 * j) in had else u[k] @ v[j]), 3 * j) for j in range(23) if mask is not None or (k, 3 * j) not in had]
+            want += [(k, n + 1, j, -s) for n, (s, j) in enumerate(sorted(rows * (2 if k == 0 else 1))[:4])]
+        assert got == want

@@ -155,3 +155,36 @@ def test_scored_items_copy_no_block(spark, monkeypatch):
             rows = [(-(mask if (k, 3 * j) in had else u[k] @ v[j]), 3 * j) for j in range(23) if mask is not None or (k, 3 * j) not in had]
             want += [(k, n + 1, j, -s) for n, (s, j) in enumerate(sorted(rows * (2 if k == 0 else 1))[:4])]
         assert got == want
+
+
+def test_lists_of_a_scorer_work_out_few_pairs_exactly(spark, monkeypatch):
+    """Rough scores leave out what cannot be in a list, never what can: nearly equal scores, ties, masks, huge and not-a-number vectors."""
+    import numpy as np
+
+    from kgrec.operators import scorer as S
+    rng = np.random.default_rng(9)
+    u, v = rng.standard_normal((40, 8)), rng.standard_normal((3000, 8))
+    v[100:200] = v[0] * (1 + 1e-9 * np.arange(100))[:, None]   # equal in single precision
+    v[300:330] = v[1]
+    item, k = np.arange(3000) * 2, 5
+    who, seen = np.repeat(np.arange(40), 30), np.sort(rng.integers(0, 6000, (40, 30)), axis=1).ravel()
+    theta = S.init_params(8)
+    for score, few in ((R.dot_scores, True), (S.block_scores(theta, 8), True), (S.block_scores(3 * theta, 8), False)):  # the last gives many scores of 1
+        worked = []
+        monkeypatch.setattr(type(score), "pairs", lambda self, *a, f=type(score).pairs: worked.append(len(a[2])) or f(self, *a))
+        for mask in (None, 0.5):
+            def run(rough, u=u, v=v):
+                held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                for at in range(0, 3000, 700):
+                    held = R._taken_through(score, u, v[at:at + 700], item[at:at + 700], who, seen, k, mask, held, rough)
+                return held
+            worked.clear()
+            for a, b in zip(run(False), run(True), strict=True):
+                assert np.allclose(a, b, rtol=0, atol=2e-9) and (a.dtype == float or (a == b).all())
+            assert not few or 0 < sum(worked) < 0.1 * 40 * 3000
+            for odd in (1e200, np.nan, np.inf):
+                w = v.copy()
+                w[17] = odd
+                with np.errstate(all="ignore"):
+                    assert all(np.array_equal(a, b, equal_nan=a.dtype == float) or np.allclose(a, b, rtol=1e-9, atol=2e-9, equal_nan=True)
+                               for a, b in zip(run(False, v=w), run(True, v=w), strict=True))

@@ -178,3 +178,31 @@ def test_scores_of_users_with_few_and_many_wanted_pairs(spark, monkeypatch):
     monkeypatch.setattr(NB, "FEW_WANTED", 4)
     got = sorted((r["user_id"] or -1, r["item_id"], round(r["score"], 9)) for r in NB.score_pairs(*dfs).collect())
     assert got == sorted((u or -1, j, round(sum(sims.get((i, j), 0.0) for v, i in hist if v == u), 9)) for u, j in pairs)
+
+
+def test_pair_norms_ship_no_vectors(spark):
+    """Norms are worked out before the joins, so no exchange carries the vectors of a pair; a null vector has a null norm."""
+    pairs = spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("c", "a", 3), ("a", "x", 4)], "user_entity string, item_entity string, n int")
+    vecs = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", None)], "entity string, vec array<double>")
+    got = VX.pair_norms(pairs, vecs)
+    assert sorted((r.n, r.u_norm, r.v_norm) for r in got.collect()) == [(1, 5.0, 0.0), (2, 5.0, None), (3, None, 5.0)]
+    assert set(got.columns) == {"user_entity", "item_entity", "n", "u_norm", "v_norm"}
+
+
+def test_registered_pair_features_join_norms(spark, monkeypatch):
+    from kgrec.plans import catalog as C
+    vecs = spark.createDataFrame([("user1", [3.0, 4.0]), ("uri7", [6.0, 8.0])], "entity string, vec array<double>")
+    monkeypatch.setattr(C, "_imputed", lambda *_: vecs)
+    monkeypatch.setattr(C.V, "train", lambda *_: spark.createDataFrame([(1, 7, 1)], "user_id long, item_id long, rating long"))
+    monkeypatch.setattr(C.V, "item_uris", lambda *_: spark.createDataFrame([(7, "uri7")], "item_id long, uri string"))
+    wide = []
+    monkeypatch.setattr(C.VX, "pair_vectors", lambda p, u, v, f=C.VX.pair_vectors: wide.append(u.agg(F.max(F.size("vec"))).first()[0]) or f(p, u, v))
+    assert list(map(tuple, C.q_pair_features(spark, "").collect())) == [(1, 7, 1, 5.0, 10.0)] and wide == [1]
+
+
+def test_draws_are_made_in_as_many_tasks_as_cores_allow(spark):
+    """Names have few bytes, so that by bytes one task would make all draws."""
+    names = spark.createDataFrame([(f"n{k}",) for k in range(400)], "entity string")
+    given = spark.createDataFrame([("n1", [1.0, 2.0])], "entity string, vec array<double>")
+    out = VX.impute_vectors(names, given, dim=2).withColumn("task", F.spark_partition_id())
+    assert out.select("task").distinct().count() > 4 and out.count() == 400
